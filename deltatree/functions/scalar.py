@@ -53,7 +53,7 @@ def zero_replacement(x0: Column, x1: Column) -> Column:
     factor which is zero in both periods gets 1.0 twice and contributes nothing.
     """
     smallest = F.least(F.nullif(F.abs(x0), F.lit(0.0)), F.nullif(F.abs(x1), F.lit(0.0)))
-    return F.coalesce(F.greatest(F.lit(ZERO_FLOOR), smallest * ZERO_SHARE), F.lit(1.0))
+    return F.when(smallest.isNull(), F.lit(1.0)).otherwise(F.greatest(F.lit(ZERO_FLOOR), smallest * ZERO_SHARE))
 
 
 def product(columns: Column) -> Column:

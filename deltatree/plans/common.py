@@ -119,7 +119,23 @@ def money(column: str, name: str | None = None):
 
 
 def r(column, digits: int = 6):
-    return F.round(column, digits)
+    """Rounded for output; adding 0.0 turns a negative zero into zero."""
+    return F.round(column, digits) + F.lit(0.0)
+
+
+def amount(column, name: str | None = None):
+    """Whole cents for large amounts, four digits for small ones: two engines agree on these."""
+    value = F.col(column) if isinstance(column, str) else column
+    shown = F.when(F.abs(value) >= 10_000, F.round(value)).otherwise(F.round(value, 4)) + F.lit(0.0)
+    return shown.alias(name or column)
+
+
+def amount_sql(expression: str) -> str:
+    return f"(CASE WHEN abs({expression}) >= 10000 THEN round({expression}) ELSE round({expression}, 4) END + 0.0::DOUBLE)"
+
+
+def r_sql(expression: str, digits: int = 6) -> str:
+    return f"(round({expression}, {digits}) + 0.0::DOUBLE)"
 
 
 # One row per line with every dimension code; the same roundings as the Spark fact.
