@@ -6,7 +6,7 @@ import importlib
 
 from deltatree.plans.common import ORACLES, QUERIES, Plan, compose
 
-MODULES = ("relational", "decomposition")
+MODULES = ("relational", "decomposition", "anomaly", "statistics")
 
 for _name in MODULES:
     importlib.import_module(f"deltatree.plans.{_name}")
