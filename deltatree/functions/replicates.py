@@ -31,7 +31,10 @@ def with_replicates(df: DataFrame, key: str, count: int, block: int = BLOCK) ->
         raise ValueError(f"at least 100 replicates are needed: {count}")
     blocks = -(-count // block)
     spread = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    spread = spread.repartition(F.col(key), F.col("_block"))
+    # A fixed number of partitions: the rows are few and small but each stands for
+    # much work, so they must not be coalesced by their size in bytes.
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = spread.repartition(width, F.col(key), F.col("_block"))
     last = F.least(F.lit(count), (F.col("_block") + 1) * block) - 1
     return spread.withColumn("b", F.explode(F.sequence(F.col("_block") * block, last))).drop("_block")
 
@@ -40,7 +43,7 @@ def shuffled(seed: int, key: Column, replicate: Column, values: Column) -> Colum
     """The array of values in the replicate's order."""
     hashed = F.transform(values, lambda v, i: F.struct(
         digest(seed, key, replicate, i).alias("h"), i.alias("i"), v.alias("v")))
-    return F.transform(F.array_sort(hashed), lambda s: s["v"])
+    return F.transform(F.sort_array(hashed), lambda s: s["v"])
 
 
 def draw(seed: int, key: Column, replicate: Column, position: Column, n: Column) -> Column:

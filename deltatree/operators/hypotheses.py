@@ -174,7 +174,7 @@ def slice_shares(pairs: DataFrame, root: str) -> DataFrame:
 def first_deviation(series: DataFrame, keys: Sequence[str], sigmas: float = DEVIATION_SIGMAS) -> DataFrame:
     """Position of the first day far from the mean (5 days and a spread needed)."""
     points = series.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("day", "value"))).alias("_p"), F.count(F.lit(1)).alias("n_days"),
+        F.sort_array(F.collect_list(F.struct("day", "value"))).alias("_p"), F.count(F.lit(1)).alias("n_days"),
         F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
     far = F.filter(
         F.transform("_p", lambda s, i: F.when(F.abs(s["value"] - F.col("_m")) > F.col("_s") * sigmas, i + 1)),
@@ -232,7 +232,7 @@ def combine_checks(checks: DataFrame) -> DataFrame:
     rows = checks.groupBy("hypothesis_id").agg(
         F.max(F.when(hard, F.struct("step_order", "verdict"))).alias("_v"),
         F.sum("penalty").alias("penalty"),
-        F.array_sort(F.collect_list(F.when(hard | (F.col("penalty") > 0), F.struct(
+        F.sort_array(F.collect_list(F.when(hard | (F.col("penalty") > 0), F.struct(
             "step_order", F.concat_ws(":", "step", "verdict").alias("t"))))).alias("_r"),
     )
     return rows.select(
@@ -276,14 +276,14 @@ def conclude(contributions: DataFrame, verified: DataFrame, matches: DataFrame,
     causes = top.groupBy("slice_id").agg(
         F.min_by("factor", "_r").alias("primary_cause"),
         F.min_by("contribution", "_r").alias("primary_contribution"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("_r") > 1, F.struct("_r", "factor")))),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("_r") > 1, F.struct("_r", "factor")))),
                     lambda s: s["factor"]).alias("secondary_causes"),
     )
     tested = verified.groupBy("slice_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("status") == "verified", F.col("factor")))).alias("verified_factors"),
-        F.array_sort(F.collect_list(F.when(F.col("status") != "verified", F.col("factor")))).alias("excluded_factors"))
+        F.sort_array(F.collect_list(F.when(F.col("status") == "verified", F.col("factor")))).alias("verified_factors"),
+        F.sort_array(F.collect_list(F.when(F.col("status") != "verified", F.col("factor")))).alias("excluded_factors"))
     outside = matches.where(F.col("tier") == "chain").groupBy("slice_id").agg(
-        F.array_sort(F.collect_set("name")).alias("exogenous_events"))
+        F.sort_array(F.collect_set("name")).alias("exogenous_events"))
     empty = F.array().cast("array<string>")
     return (
         causes.join(tested, "slice_id", "left").join(outside, "slice_id", "left")

@@ -55,7 +55,7 @@ def permutation_correlation(rows: DataFrame, keys: Sequence[str], replicates: in
     ranks = average_ranks(average_ranks(rows, keys, x, "_rx"), keys, y, "_ry")
     ranks = ranks.withColumn("_rx", (F.col("_rx") * 2).cast("long")).withColumn("_ry", (F.col("_ry") * 2).cast("long"))
     packed = ranks.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_rx").alias("a"), F.col("_ry").alias("b")))).alias("p"),
+        F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_rx").alias("a"), F.col("_ry").alias("b")))).alias("p"),
         F.count(F.lit(1)).alias("n"), F.sum("_rx").alias("_sx"), F.sum("_ry").alias("_sy"),
         F.sum(F.col("_rx") * F.col("_ry")).alias("_sxy"),
         F.sum(F.col("_rx") * F.col("_rx")).alias("_sxx"), F.sum(F.col("_ry") * F.col("_ry")).alias("_syy"),
@@ -93,7 +93,7 @@ def two_groups(rows: DataFrame, keys: Sequence[str], side: str = "side", value:
     """Per key: the values of both groups as one array, left group first, and moments."""
     is_left = F.col(side) == left
     return rows.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(
+        F.sort_array(F.collect_list(F.struct(
             F.when(is_left, 0).otherwise(1).alias("g"), F.col(order).alias("o"), F.col(value).alias("v")
         ))).alias("_rows"),
         F.count_if(is_left).alias("n_in"), F.count_if(~is_left).alias("n_out"),

@@ -74,7 +74,7 @@ def fingerprint(daily: DataFrame, order: str, columns: Sequence[str]) -> DataFra
         F.col(order).alias("o"),
         F.sha2(F.concat_ws("|", F.col(order).cast("string"), *[F.col(c).cast("string") for c in columns]), 256).alias("h"),
     )
-    listed = F.array_sort(F.collect_list(F.struct("o", "h")))
+    listed = F.sort_array(F.collect_list(F.struct("o", "h")))
     return per_day.agg(
         F.sha2(F.array_join(F.transform(listed, lambda s: s["h"]), ""), 256).alias("digest"),
         F.count(F.lit(1)).alias("n_days"),

@@ -46,10 +46,10 @@ def report_rows(parts: Sequence[DataFrame]) -> DataFrame:
 
 def nested_report(rows: DataFrame) -> DataFrame:
     """One row per slice with its segments as nested arrays (a report is small)."""
-    fields = F.array_sort(F.collect_list(F.struct("position", "label", "value", "display")))
+    fields = F.sort_array(F.collect_list(F.struct("position", "label", "value", "display")))
     segments = rows.groupBy("slice_id", "segment_index", "segment").agg(fields.alias("fields"))
     return segments.groupBy("slice_id").agg(
-        F.array_sort(F.collect_list(F.struct("segment_index", "segment", "fields"))).alias("segments"))
+        F.sort_array(F.collect_list(F.struct("segment_index", "segment", "fields"))).alias("segments"))
 
 
 def flatten_report(reports: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def content_checksum(rows: DataFrame) -> DataFrame:
     """Digest of a report's rows in canonical order, one per slice."""
     text = F.concat_ws("|", F.col("segment_index").cast("string"), F.col("position").cast("string"), "label", "display")
     key = F.struct("segment_index", "position", "label", text.alias("t"))
-    listed = F.transform(F.array_sort(F.collect_list(key)), lambda s: s["t"])
+    listed = F.transform(F.sort_array(F.collect_list(key)), lambda s: s["t"])
     return rows.groupBy("slice_id").agg(
         F.sha2(F.array_join(listed, "\n"), 256).alias("checksum"), F.count(F.lit(1)).alias("n_fields"))
 

@@ -126,7 +126,7 @@ def evaluate_attribution(shocked: DataFrame, tree: MetricTree, shocks: Sequence[
 
 def evaluation_summary(cases: DataFrame) -> DataFrame:
     """Hit rates, upper median and maximum of the errors; a case list is short."""
-    errors = F.array_sort(F.collect_list("relative_error"))
+    errors = F.sort_array(F.collect_list("relative_error"))
     return cases.agg(
         F.count(F.lit(1)).alias("total"),
         F.avg(F.col("top1_hit").cast("int")).alias("top1_rate"),

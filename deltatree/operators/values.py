@@ -34,9 +34,9 @@ def tag_slices(df: DataFrame, slices: dict[str, SliceSpec]) -> DataFrame:
 
 def canonical_slice(dims: Column) -> Column:
     """Name of a slice map: ``channel=a|b&region=c``, ``all`` for the empty map."""
-    entries = F.array_sort(F.map_entries(dims))
+    entries = F.sort_array(F.map_entries(dims))
     name = F.array_join(F.transform(
-        entries, lambda e: F.concat(e["key"], F.lit("="), F.array_join(F.array_sort(e["value"]), "|"))), "&")
+        entries, lambda e: F.concat(e["key"], F.lit("="), F.array_join(F.sort_array(e["value"]), "|"))), "&")
     return F.when(F.size(entries) == 0, ALL).otherwise(name)
 
 

@@ -92,7 +92,7 @@ def log_log_fit(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def pack(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Series of a key as an array of (day, x, y) in day order."""
     return pairs.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("day").alias("o"), "x", "y"))).alias("_rows"))
+        F.sort_array(F.collect_list(F.struct(F.col("day").alias("o"), "x", "y"))).alias("_rows"))
 
 
 def _mean(values: Column, size: Column) -> Column:

@@ -13,6 +13,7 @@ from deltatree.operators import hypotheses as H
 from deltatree.operators import inference as I
 from deltatree.operators import values as V
 from deltatree.operators.whatif import align
+from deltatree.session import cut_lineage
 from deltatree.plans.anomaly import SUMS, in_period, long_nodes
 from deltatree.plans.common import (
     BASE, CURRENT, OBSERVED, REPLICATES, WHATIF, amount, amount_sql, cte, lines_cube, orders_cube, query, r, r_sql,
@@ -203,47 +204,48 @@ chain("hy", "hy_list", in_period(OBSERVED), in_period(BASE), in_period(CURRENT))
 
 
 def full_cube(spark, d):
-    return orders_cube(spark, d, DIMS)
+    """The daily cube, written once: pairs, codes and series are all read from it."""
+    return cut_lineage(orders_cube(spark, d, DIMS), "cube")
 
 
-def channel_slices(spark, d):
+def channel_slices(cube):
     """The total and one slice per channel that occurs."""
-    codes = orders_cube(spark, d, ("channel",), measures=("orders",)).select("channel").distinct()
+    codes = cube.select("channel").distinct()
     each = codes.select(F.create_map(F.lit("channel"), F.array("channel")).alias("dims"))
-    total = spark.createDataFrame([({},)], each.schema)
+    total = cube.sparkSession.createDataFrame([({},)], each.schema)
     return each.unionByName(total).withColumn("slice_id", V.canonical_slice(F.col("dims")))
 
 
 def drafted(spark, d):
-    """Pairs, contributions and hypotheses of the base and current period."""
-    pairs = V.period_values(full_cube(spark, d), retail(), BASE, CURRENT, ALL_SETS)
+    """Cube, pairs, contributions and hypotheses of the base and current period."""
+    cube = full_cube(spark, d)
+    pairs = V.period_values(cube, retail(), BASE, CURRENT, ALL_SETS)
     rows = D.decompose(pairs, retail(), ["slice_id"])
-    return pairs, rows, H.candidates(rows, channel_slices(spark, d), "revenue")
+    return cube, pairs, rows, H.candidates(rows, channel_slices(cube), "revenue")
 
 
-def tested(spark, d):
-    pairs, rows, hyps = drafted(spark, d)
-    cube = full_cube(spark, d)
-    tests = H.tests_for(hyps, cube, retail())
+def tested(spark, d, kinds=("verify", "control", "placebo")):
+    """As ``drafted``, with the test results; these are written once, many steps read them."""
+    cube, pairs, rows, hyps = drafted(spark, d)
+    hyps = cut_lineage(hyps, "hypotheses")
+    tests = H.tests_for(hyps, cube, retail()).where(F.col("kind").isin(*kinds))
     series = H.test_series(tests, cube, retail(), OBSERVED)
-    return pairs, rows, hyps, H.run_tests(tests, series, REPLICATES)
+    return cube, pairs, rows, hyps, cut_lineage(H.run_tests(tests, series, REPLICATES), "tests")
 
 
-def verified(spark, d):
-    pairs, rows, hyps, results = tested(spark, d)
-    return rows, hyps, results, H.verify(hyps, results, H.slice_shares(pairs, "revenue"))
+def verified(spark, d, kinds=("verify",)):
+    cube, pairs, rows, hyps, results = tested(spark, d, kinds)
+    return cube, rows, hyps, results, H.verify(hyps, results, H.slice_shares(pairs, "revenue"))
 
 
-def deviations(spark, d, hyps, window=OBSERVED):
+def deviations(cube, hyps, window=OBSERVED):
     slices = hyps.groupBy("slice_id").agg(F.first("dims").alias("dims"))
-    series = H.slice_series(full_cube(spark, d), retail(), slices, window, DIMS)
-    return H.first_deviation(series, ["slice_id", "factor"])
+    return H.first_deviation(H.slice_series(cube, retail(), slices, window, DIMS), ["slice_id", "factor"])
 
 
 def checked(spark, d):
-    rows, hyps, results, ver = verified(spark, d)
-    checks = H.spurious_checks(hyps, results, deviations(spark, d, hyps), "revenue")
-    return rows, hyps, ver, checks
+    cube, rows, hyps, results, ver = verified(spark, d, ("verify", "control", "placebo"))
+    return rows, hyps, ver, H.spurious_checks(hyps, results, deviations(cube, hyps), "revenue")
 
 
 def judged(spark, d):
@@ -258,8 +260,8 @@ KIND = "WHERE kind = 'verify'"
 SELECT hypothesis_id, n_in, n_out, {amount_sql('mean_in - mean_out')} AS statistic, p_value FROM hy_res {KIND}
 """)
 def _(spark, d):
-    _, _, _, results = tested(spark, d)
-    return results.where(F.col("kind") == "verify").select(
+    *_, results = tested(spark, d, ("verify",))
+    return results.select(
         "hypothesis_id", "n_in", "n_out", amount(F.col("mean_in") - F.col("mean_out"), "statistic"), "p_value")
 
 
@@ -268,17 +270,18 @@ SELECT test_id AS key, extreme, p_value FROM hy_res WHERE kind <> 'verify'
 UNION ALL SELECT channel, extreme, (extreme + 1) / {REPLICATES + 1}::DOUBLE FROM in3_ext
 """)
 def _(spark, d):
-    _, _, _, results = tested(spark, d)
+    *_, results = tested(spark, d, ("control", "placebo"))
     pairs = I.permutation_correlation(price_and_lines(spark, d), ["channel"], REPLICATES)
-    return results.where(F.col("kind") != "verify").select(F.col("test_id").alias("key"), "extreme", "p_value").unionByName(
+    return results.select(F.col("test_id").alias("key"), "extreme", "p_value").unionByName(
         pairs.select(F.col("channel").alias("key"), "extreme", "p_value"))
 
 
 def simple_groups(spark, d):
     """Every channel's days against the days of all channels, for each metric: no replicates."""
-    slices = channel_slices(spark, d)
+    cube = full_cube(spark, d)
+    slices = channel_slices(cube)
     hyps = slices.withColumn("factor", F.explode(F.array(F.lit("orders"), F.lit("basket"), F.lit("price_per_unit"))))
-    series = H.slice_series(full_cube(spark, d), retail(), slices, OBSERVED, DIMS)
+    series = H.slice_series(cube, retail(), slices, OBSERVED, DIMS)
     inside = hyps.join(series, ["slice_id", "factor"]).select("slice_id", "factor", F.lit("in").alias("side"), "day", "value")
     whole = series.where(F.col("slice_id") == "all").select("factor", "day", "value")
     outside = hyps.select("slice_id", "factor").join(whole, "factor").select("slice_id", "factor", F.lit("out").alias("side"), "day", "value")
@@ -323,8 +326,8 @@ def _(spark, d):
 
 
 def scores(spark, d):
-    _, _, _, results = tested(spark, d)
-    return I.with_confidence(results.where(F.col("kind") == "verify"), H.COVERAGE_DAYS)
+    *_, results = tested(spark, d, ("verify",))
+    return I.with_confidence(results, H.COVERAGE_DAYS)
 
 
 @query("in9_significance", "SELECT hypothesis_id, p_value, sig AS score FROM hy_conf")
@@ -360,7 +363,7 @@ SELECT hypothesis_id, slice_id, factor, CAST(rank AS INT) AS rank, {amount_sql('
        factor || ' in slice ' || slice_id || ' drives revenue' AS statement FROM hy_hyp
 """)
 def _(spark, d):
-    _, _, hyps = drafted(spark, d)
+    *_, hyps = drafted(spark, d)
     return hyps.select("hypothesis_id", "slice_id", "factor", "rank", amount("contribution"), "direction", "statement")
 
 
@@ -368,8 +371,7 @@ def _(spark, d):
 SELECT test_id, CASE WHEN g = 0 THEN 'in' ELSE 'out' END AS side, day, {amount_sql('value')} AS value FROM hy_pool WHERE test_id LIKE '%/verify/'
 """)
 def _(spark, d):
-    _, _, hyps = drafted(spark, d)
-    cube = full_cube(spark, d)
+    cube, _, _, hyps = drafted(spark, d)
     tests = H.tests_for(hyps, cube, retail()).where(F.col("kind") == "verify")
     return H.test_series(tests, cube, retail(), OBSERVED).select("test_id", "side", "day", amount("value"))
 
@@ -378,7 +380,7 @@ def _(spark, d):
 SELECT hypothesis_id, n_in, n_out, p_value, {r_sql('effect')} AS effect, {r_sql('final', 4)} AS final_confidence, status, reason FROM hy_ver
 """)
 def _(spark, d):
-    _, _, _, ver = verified(spark, d)
+    *_, ver = verified(spark, d)
     return ver.select("hypothesis_id", "n_in", "n_out", "p_value", r("effect").alias("effect"), r("final_confidence", 4).alias("final_confidence"), "status", "reason")
 
 
@@ -386,13 +388,13 @@ def _(spark, d):
 SELECT hypothesis_id, direction, CASE WHEN gap IS NULL THEN NOT against END AS direction_ok, {r_sql('confidence', 4)} AS confidence, {r_sql('final', 4)} AS final_confidence FROM hy_ver
 """)
 def _(spark, d):
-    _, _, _, ver = verified(spark, d)
+    *_, ver = verified(spark, d)
     return ver.select("hypothesis_id", "direction", "direction_ok", r("confidence", 4).alias("confidence"), r("final_confidence", 4).alias("final_confidence"))
 
 
 @query("hy5_share_gate", f"SELECT hypothesis_id, {r_sql('share')} AS share, small AS gated, status FROM hy_ver")
 def _(spark, d):
-    _, _, _, ver = verified(spark, d)
+    *_, ver = verified(spark, d)
     return ver.select("hypothesis_id", r("share").alias("share"), F.coalesce(F.col("share") < H.MIN_SHARE, F.lit(False)).alias("gated"), "status")
 
 
@@ -401,7 +403,7 @@ def step_sql(step: str) -> str:
 
 
 def step_rows(spark, d, step):
-    _, _, _, checks = checked(spark, d)
+    *_, checks = checked(spark, d)
     return checks.where(F.col("step") == step).select("hypothesis_id", "verdict", "penalty")
 
 
@@ -427,16 +429,17 @@ def _(spark, d):
 
 @query("pc5_first_deviation", "SELECT slice_id, factor, n_days, CAST(deviation_day AS INT) AS deviation_day FROM hy_dev")
 def _(spark, d):
-    return deviations(spark, d, channel_slices(spark, d)).select("slice_id", "factor", "n_days", "deviation_day")
+    cube = full_cube(spark, d)
+    return deviations(cube, channel_slices(cube)).select("slice_id", "factor", "n_days", "deviation_day")
 
 
 @query("pc6_combine", "SELECT hypothesis_id, verdict, penalty, reasons, excluded FROM hy_verd")
 def _(spark, d):
-    _, _, _, checks = checked(spark, d)
+    *_, checks = checked(spark, d)
     return H.combine_checks(checks)
 
 
 @query("pc7_apply", f"SELECT hypothesis_id, verify_status, verdict, status, {r_sql('lowered', 4)} AS final_confidence, accepted, reason FROM hy_final")
 def _(spark, d):
-    _, _, rows = judged(spark, d)
+    *_, rows = judged(spark, d)
     return rows.select("hypothesis_id", "verify_status", "verdict", "status", r("final_confidence", 4).alias("final_confidence"), "accepted", "reason")
