@@ -11,7 +11,6 @@ from deltatree.plans.common import WEEK, amount, amount_sql, cte, orders_cube, q
 from deltatree.plans.relational import PROMOTIONS
 from deltatree.sources import facts as X
 
-PREVIOUS = WEEK.previous()
 SETS = ((), ("channel",))
 SEASON = (0.92, 0.95, 1.0, 1.02, 1.03, 1.05, 0.98, 0.97, 1.04, 1.06, 1.15, 1.10)
 
@@ -38,42 +37,47 @@ SELECT day, CASE WHEN GROUPING(channel) = 0 THEN 'channel=' || channel ELSE 'all
 FROM v GROUP BY GROUPING SETS ((day), (day, channel))
 """)
 cte("day_nodes", long_nodes("day_sums", "day, slice_id"))
-cte("week_sums", f"""
-SELECT CASE WHEN {in_period(WEEK)} THEN 'c' ELSE 'b' END AS side,
+def band_chain(p: str, period) -> None:
+    """Subqueries which score one period: change, band, z-score and verdict."""
+    cte(f"{p}_sums", f"""
+SELECT CASE WHEN {in_period(period)} THEN 'c' ELSE 'b' END AS side,
        CASE WHEN GROUPING(channel) = 0 THEN 'channel=' || channel ELSE 'all' END AS slice_id, {SUMS}
-FROM v WHERE {in_period(WEEK)} OR {in_period(PREVIOUS)} GROUP BY GROUPING SETS ((1), (1, channel))
+FROM v WHERE {in_period(period)} OR {in_period(period.previous())} GROUP BY GROUPING SETS ((1), (1, channel))
 """)
-cte("week_nodes", long_nodes("week_sums", "side, slice_id"))
-cte("an_change", """
+    cte(f"{p}_nodes", long_nodes(f"{p}_sums", "side, slice_id"))
+    cte(f"{p}_change", f"""
 SELECT *, current - base AS delta, (current - base) / NULLIF(base, 0) AS change_rate FROM (
  SELECT slice_id, code, is_total, COALESCE(MAX(value) FILTER (WHERE side = 'b'), 0) AS base, COALESCE(MAX(value) FILTER (WHERE side = 'c'), 0) AS current
- FROM week_nodes GROUP BY 1, 2, 3)
+ FROM {p}_nodes GROUP BY 1, 2, 3)
 """)
-cte("an_days", f"""
+    cte(f"{p}_days", f"""
 SELECT slice_id, code, d, median(value) AS m, CASE WHEN COUNT(*) > 1 THEN stddev_pop(value) END AS s FROM (
- SELECT n.slice_id, n.code, p.d, n.value FROM (SELECT DATE '{WEEK.start}' + CAST(i AS INT) AS d FROM range({WEEK.days}) t(i)) p,
+ SELECT n.slice_id, n.code, p.d, n.value FROM (SELECT DATE '{period.start}' + CAST(i AS INT) AS d FROM range({period.days}) t(i)) p,
   (SELECT unnest([1, 2, 3, 4]) AS k) w, day_nodes n
- WHERE n.day = p.d - 7 * k AND n.day < DATE '{WEEK.start}' AND n.day >= DATE '{A.history_start(WEEK)}')
+ WHERE n.day = p.d - 7 * k AND n.day < DATE '{period.start}' AND n.day >= DATE '{A.history_start(period)}')
 GROUP BY 1, 2, 3
 """)
-cte("an_band", """
-SELECT slice_id, code, AVG(m) AS centre, COALESCE(AVG(s), 0) AS sigma, COUNT(*) AS covered_days FROM an_days GROUP BY 1, 2
+    cte(f"{p}_band", f"""
+SELECT slice_id, code, AVG(m) AS centre, COALESCE(AVG(s), 0) AS sigma, COUNT(*) AS covered_days FROM {p}_days GROUP BY 1, 2
 """)
-cte("an_scored", f"""
+    cte(f"{p}_scored", f"""
 SELECT *, CASE WHEN sigma <> 0 THEN (compared - centre) / sigma END AS z,
        COALESCE(compared BETWEEN centre - 2 * sigma AND centre + 2 * sigma, TRUE) AS inside
 FROM (SELECT c.*, b.centre, b.sigma, COALESCE(b.covered_days, 0) AS covered_days, basis,
-             CASE WHEN basis = 'daily_mean' AND is_total THEN current / {WEEK.days} ELSE current END AS compared
-      FROM an_change c LEFT JOIN an_band b USING (slice_id, code), (SELECT unnest(['daily_mean', 'period_total']) AS basis) k)
+             CASE WHEN basis = 'daily_mean' AND is_total THEN current / {period.days} ELSE current END AS compared
+      FROM {p}_change c LEFT JOIN {p}_band b USING (slice_id, code), (SELECT unnest(['daily_mean', 'period_total']) AS basis) k)
 """)
-cte("an_verdicts", """
+    cte(f"{p}_verdicts", f"""
 SELECT *, COALESCE(abs(change_rate) > 0.05, FALSE) AND (COALESCE(abs(z) > 2, FALSE) OR (z IS NULL AND COALESCE(sigma, 0) = 0)) AS is_anomaly,
        COALESCE(abs(z), abs(COALESCE(change_rate, 0)) * 10) AS severity,
        CASE WHEN centre IS NULL THEN 'no history' WHEN sigma = 0 THEN 'no spread in history' ELSE '' END AS note
-FROM an_scored
+FROM {p}_scored
 """)
 
 
+band_chain("an", WEEK)
+
+
 def cube(spark, d):
     return orders_cube(spark, d, ("channel",))
 
