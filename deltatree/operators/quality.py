@@ -152,3 +152,48 @@ def validate_nodes(cube: DataFrame, tree: MetricTree) -> DataFrame:
     failed = cube.sparkSession.createDataFrame(bad, "code string, problem string").select(
         "code", F.lit(None).cast("double").alias("value"), F.lit(False).alias("passed"), "problem")
     return rows.unionByName(failed)
+
+
+def table_status(spark, sf_dir: str, names: Sequence[str]) -> DataFrame:
+    """Whether each expected table exists and holds rows."""
+    from pyspark.errors import AnalysisException
+
+    from deltatree.sources.facts import table
+
+    found, missing = {}, []
+    for name in names:
+        try:
+            found[name] = table(spark, sf_dir, name)
+        except AnalysisException:
+            missing.append((name,))
+    rows = row_counts(found).withColumn("status", F.when(F.col("n_rows") > 0, "ok").otherwise("empty"))
+    if missing:
+        lost = spark.createDataFrame(missing, "name string").select(
+            "name", F.lit(0).cast("long").alias("n_rows"), F.lit("missing").alias("status"))
+        rows = rows.unionByName(lost)
+    return rows
+
+
+def stale_parts(stored: DataFrame, now: DataFrame, key: str) -> DataFrame:
+    """Parts of a table whose digest differs from the one stored with the results."""
+    joined = stored.select(key, F.col("digest").alias("stored")).join(
+        now.select(key, F.col("digest").alias("now")), key, "full_outer")
+    return joined.select(key, (~F.col("stored").eqNullSafe(F.col("now"))).alias("stale"))
+
+
+def part_digests(daily: DataFrame, part: str, order: str, columns: Sequence[str]) -> DataFrame:
+    """One digest per part (such as a month) of a daily table, days in order."""
+    row = F.sha2(F.concat_ws("|", F.col(order).cast("string"), *[F.col(c).cast("string") for c in columns]), 256)
+    per_day = daily.groupBy(part, order).agg(*[F.sum(c).alias(c) for c in columns]).select(
+        part, F.struct(F.col(order).alias("o"), row.alias("h")).alias("s"))
+    return per_day.groupBy(part).agg(
+        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["h"]), ""), 256).alias("digest"))
+
+
+def derive_skus(parts: DataFrame, factors: DataFrame, margins: DataFrame) -> DataFrame:
+    """Standard price and unit cost in cents: price x factor, then price x (1 - margin)."""
+    joined = parts.join(factors, "category", "left").join(margins, "sku", "left")
+    price = F.rint(F.col("price_cents") * F.coalesce("factor", F.lit(1.0))).cast("long")
+    priced = joined.withColumn("standard_price_cents", price)
+    cost = F.rint(F.col("standard_price_cents") * (F.lit(1.0) - F.coalesce("margin", F.lit(0.0)))).cast("long")
+    return priced.withColumn("unit_cost_cents", cost)
