@@ -77,27 +77,31 @@ def truth_rows(before: DataFrame, shocks: Sequence[Shock], metric: str, weight:
     weight itself when both are; the metric it implies without the shock is
     observed x factor before / factor after.
     """
-    parts = []
+    hits = []
     for s in shocks:
-        slim = before.where(s.mask())
-        after = inject_shock(slim, s)
-        keep = [F.sum(metric).alias("m"), F.sum(weight).alias("w")]
-        a = slim.agg(*keep).select(F.lit(s.id).alias("truth_id"), F.lit(s.factor).alias("factor"),
-                                   F.lit(s.multiplier).alias("multiplier"), F.col("m").alias("m0"), F.col("w").alias("w0"))
-        b = after.agg(*keep).select(F.lit(s.id).alias("truth_id"), F.col("m").alias("observed"), F.col("w").alias("w1"))
-        both = weight in s.columns
-        x0 = F.col("w0").cast("double") if both else F.col("m0") / F.nullif(F.col("w0").cast("double"), F.lit(0.0))
-        x1 = F.col("w1").cast("double") if both else F.col("observed") / F.nullif(F.col("w1").cast("double"), F.lit(0.0))
-        parts.append(a.join(b, "truth_id").withColumn("factor_base", x0).withColumn("factor_injected", x1))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+        scaled = {c: F.rint(F.col(c) * F.lit(s.multiplier)).cast("long") for c in s.columns}
+        hits.append(F.when(s.mask(), F.struct(
+            F.lit(s.id).alias("truth_id"), F.lit(s.factor).alias("factor"), F.lit(s.multiplier).alias("multiplier"),
+            F.lit(weight in s.columns).alias("by_weight"),
+            F.col(metric).alias("m0"), F.col(weight).alias("w0"),
+            scaled.get(metric, F.col(metric)).alias("m1"), scaled.get(weight, F.col(weight)).alias("w1"))))
+    # One pass: every row is tagged with the shocks that hit it, before and after values side by side.
+    tagged = before.select(F.inline(F.filter(F.array(*hits), lambda x: x.isNotNull())))
+    sums = tagged.groupBy("truth_id", "factor", "multiplier", "by_weight").agg(
+        *[F.sum(c).alias(c) for c in ("m0", "w0", "m1", "w1")])
+
+    def factor_value(m: str, w: str) -> Column:
+        heavy = F.col(w).cast("double")
+        return F.when(F.col("by_weight"), heavy).otherwise(F.col(m) / F.nullif(heavy, F.lit(0.0)))
+
+    rows = sums.withColumnRenamed("m1", "observed").withColumn("factor_base", factor_value("m0", "w0")).withColumn(
+        "factor_injected", factor_value("observed", "w1"))
     rows = rows.withColumn("counterfactual", D.counterfactual(F.col("observed"), F.col("factor_base"), F.col("factor_injected")))
     rows = rows.withColumn("contribution", F.col("observed") - F.col("counterfactual"))
     again = D.analytic_lmdi(F.col("counterfactual").cast("double"), F.col("observed").cast("double"),
                             F.col("factor_base"), F.col("factor_injected"))
     off = F.abs(again - F.col("contribution"))
-    return rows.withColumn("recheck_ok", F.coalesce(off <= 1.0, F.lit(False))).drop("m0", "w0", "w1")
+    return rows.withColumn("recheck_ok", F.coalesce(off <= 1.0, F.lit(False))).drop("m0", "w0", "w1", "by_weight")
 
 
 def evaluate_attribution(shocked: DataFrame, tree: MetricTree, shocks: Sequence[Shock], truth: DataFrame) -> DataFrame:

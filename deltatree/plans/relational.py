@@ -43,22 +43,20 @@ def _(spark, d):
 def derived_parameters(spark: SparkSession, d: str) -> DataFrame:
     """Weights of the channels and regions in revenue, as a parameter list."""
     cube = orders_cube(spark, d, ("channel", "region"), measures=("revenue_cents",))
-    parts = []
-    for dim in ("channel", "region"):
-        sums = cube.groupBy(dim).agg(F.sum("revenue_cents").alias("s"))
-        total = sums.agg(F.sum("s")).scalar()
-        parts.append(sums.select(
-            F.concat(F.lit(f"{dim}_weight."), F.regexp_replace(F.col(dim), " ", "_")).alias("param_key"),
-            F.lit(dim).alias("scope"),
-            F.round(F.col("s") / total.cast("double"), 8).alias("value"), F.lit("share").alias("unit"),
-            F.when(F.col(dim).startswith("1"), "estimated").when(F.col(dim).startswith("A"), "derived")
-            .otherwise("official").alias("source_type"),
-            F.lit("sales history").alias("source_name"),
-            F.when(F.col(dim) == "EUROPE", "").otherwise("https://example.org/weights").alias("source_url"),
-            F.when(F.col(dim) == "ASIA", "Jan 1998").otherwise("1998-01-28").alias("captured_on"),
-            F.lit("weights").alias("used_for"), F.lit("").alias("note"),
-        ))
-    return parts[0].unionByName(parts[1])
+    sums = V.slice_sets(cube, [], [("channel",), ("region",)], [F.sum("revenue_cents").cast("double").alias("s")])
+    sums = sums.select(
+        F.when(F.col("channel").isNotNull(), "channel").otherwise("region").alias("scope"),
+        F.coalesce("channel", "region").alias("code"), "s")
+    code = F.col("code")
+    return Q.normalise(sums, ["scope"], "s", "value").select(
+        F.concat(F.col("scope"), F.lit("_weight."), F.regexp_replace(code, " ", "_")).alias("param_key"), "scope",
+        F.round("value", 8).alias("value"), F.lit("share").alias("unit"),
+        F.when(code.startswith("1"), "estimated").when(code.startswith("A"), "derived").otherwise("official").alias("source_type"),
+        F.lit("sales history").alias("source_name"),
+        F.when(code == "EUROPE", "").otherwise("https://example.org/weights").alias("source_url"),
+        F.when(code == "ASIA", "Jan 1998").otherwise("1998-01-28").alias("captured_on"),
+        F.lit("weights").alias("used_for"), F.lit("").alias("note"),
+    )
 
 
 cte("params", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deltatree.plans.common import cte, query, r, r_sql
-from deltatree.sources.facts import table
+from deltatree.sources.facts import SCHEMAS, table
 from deltatree.streaming import daily as S
 
 # A day is closed when the watermark (newest row minus one day) has passed its end.
@@ -18,8 +18,8 @@ cte("es_best", "SELECT event_type, day FROM es_daily QUALIFY row_number() OVER (
 
 
 def stream(spark, d):
-    schema = table(spark, d, "events").schema
-    return S.daily_fact(S.read_events(spark, d, "events.parquet", schema), ["event_type"], "value")
+    rows = S.read_events(spark, d, "events.parquet", SCHEMAS["events"])
+    return S.daily_fact(rows, ["event_type"], "value")
 
 
 def batch_daily(spark, d):

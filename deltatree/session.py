@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Call-site capture doubles the time to build wide expressions on the driver.
+DRIVER_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def build_session(app: str = "deltatree", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the plans are written for.
 
@@ -25,6 +29,7 @@ def build_session(app: str = "deltatree", master: str | None = None, **conf: str
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        **DRIVER_SETTINGS,
         **conf,
     }
     for key, value in settings.items():

@@ -25,13 +25,41 @@ LINE_MEASURES = (
 )
 
 
+#: Declared schemas: no job is started to infer them, and a wrong file fails early.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read
+    if name in SCHEMAS:
+        reader = reader.schema(SCHEMAS[name])
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cents(amount: Column) -> Column:
-    """Round an amount to whole cents; the cast alone would truncate."""
-    return F.round(amount * 100).cast("long")
+    """Round an amount to whole cents, halves away from zero."""
+    return whole(amount * 100)
+
+
+def whole(value: Column) -> Column:
+    """Nearest whole number as a long.
+
+    ``round`` on a double goes through BigDecimal for every row; this stays in
+    double arithmetic and the generated code.
+    """
+    return F.signum(value).cast("long") * F.floor(F.abs(value) + 0.5)
 
 
 def _timestamp_bounds(column: str, start: str | None, end: str | None) -> Column | None:
@@ -99,7 +127,7 @@ def _line_measures(lines: DataFrame) -> DataFrame:
         "l_orderkey", "l_partkey",
         F.col("l_returnflag").alias("status"),
         "l_quantity",
-        F.round("l_quantity").cast("long").alias("units"),
+        whole(F.col("l_quantity")).alias("units"),
         cents(price).alias("revenue_cents"),
         cents(price * F.col("l_discount")).alias("discount_cents"),
         cents(price * F.col("l_tax")).alias("tax_cents"),

@@ -19,7 +19,7 @@ from deltatree.session import scratch_path
 LATENESS = "1 day"
 
 
-def read_events(spark: SparkSession, folder: str, pattern: str, schema: StructType) -> DataFrame:
+def read_events(spark: SparkSession, folder: str, pattern: str, schema: StructType | str) -> DataFrame:
     """Files of a folder as a stream; a cluster would read a message log the same way."""
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
