@@ -48,7 +48,7 @@ def _layer(node: Node, zero_policy: str) -> Column:
     raw = [(F.col(f"b_{c.code}"), F.col(f"c_{c.code}")) for c in node.children]
     replaceable = node.structure != ADDITIVE and zero_policy == "substitute"
     if node.structure == ADDITIVE:
-        pairs = [(b * c.sign, v * c.sign) for (b, v), c in zip(raw, node.children)]
+        pairs = [(b, v) if c.sign > 0 else (-b + 0.0, -v + 0.0) for (b, v), c in zip(raw, node.children)]
     elif replaceable:
         pairs = [substituted(b, v) for b, v in raw]
     else:

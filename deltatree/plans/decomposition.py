@@ -51,7 +51,7 @@ def _sided(expression: str, side: int) -> str:
 for _name, _nodes in FACTOR_LISTS.items():
     cte(_name, " UNION ALL ".join(
         f"SELECT month, slice_id, '{node}' AS node, '{method}' AS method, '{code}' AS factor, {i} AS child_order, "
-        f"{sign} * ({_sided(e, 0)}) AS base, {sign} * ({_sided(e, 1)}) AS current, "
+        f"{sign} * ({_sided(e, 0)}) + 0.0::DOUBLE AS base, {sign} * ({_sided(e, 1)}) + 0.0::DOUBLE AS current, "
         f"{_sided(total, 0)} AS node_base, {_sided(total, 1)} AS node_current FROM mp"
         for node, method, total, factors in _nodes for i, (code, e, sign) in enumerate(factors)))
     cte(_name.replace("mf_", "mc_"), f"""
@@ -364,7 +364,7 @@ def _(spark, d):
 
 
 @query("dc19_analytic", f"""
-SELECT month, slice_id, {amount_sql("r1 - r1 * (r0 / u0) / (r1 / u1)")} AS multiplicative, -(m1 - m0) + 0.0::DOUBLE AS additive, TRUE AS agrees
+SELECT month, slice_id, {r_sql("(r1 - r1 * (r0 / u0) / (r1 / u1)) / r1")} AS multiplicative, -(m1 - m0) + 0.0::DOUBLE AS additive, TRUE AS agrees
 FROM mp WHERE u0 > 0 AND u1 > 0
 """)
 def _(spark, d):
@@ -374,7 +374,7 @@ def _(spark, d):
     closed = D.analytic_lmdi(F.col("y0"), F.col("c_revenue"), F.col("b_avg_price"), F.col("c_avg_price"))
     general = S.lmdi_term(F.col("b_avg_price"), F.col("c_avg_price"), F.col("y0"), F.col("c_revenue"))
     cost = D.analytic_additive(F.col("b_material_cost"), F.col("c_material_cost"), -1)
-    return pairs.select("month", "slice_id", amount(closed, "multiplicative"), (cost + 0.0).alias("additive"),
+    return pairs.select("month", "slice_id", r(closed / F.col("c_revenue")).alias("multiplicative"), (cost + 0.0).alias("additive"),
                         (F.abs(closed - general) <= 1.0).alias("agrees"))
 
 

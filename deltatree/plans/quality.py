@@ -254,8 +254,8 @@ SELECT *, row_number() OVER (PARTITION BY truth_id ORDER BY abs(c) DESC, child_o
 """)
 cte("eval_cases", """
 SELECT truth_id, expected_factor, first_factor, rank = 1 AS top1_hit, rank <= 3 AS top3_hit, true_contribution, CAST(round(found) AS BIGINT) AS found_contribution,
-       CASE WHEN true_contribution <> 0 THEN abs(round(found) - true_contribution) / greatest(abs(true_contribution), 1) END AS relative_error, TRUE AS conserved
-FROM (SELECT truth_id, expected_factor, arg_min(factor, rank) AS first_factor, MIN(rank) FILTER (WHERE factor = expected_factor) AS rank, MAX(c) FILTER (WHERE factor = expected_factor) AS found FROM eval_ranked GROUP BY 1, 2)
+       CASE WHEN true_contribution <> 0 THEN abs(round(found) - true_contribution) / greatest(abs(true_contribution), 1) END AS relative_error, conserved
+FROM (SELECT truth_id, expected_factor, arg_min(factor, rank) AS first_factor, MIN(rank) FILTER (WHERE factor = expected_factor) AS rank, MAX(c) FILTER (WHERE factor = expected_factor) AS found, bool_and(c IS NOT NULL) AS conserved FROM eval_ranked GROUP BY 1, 2)
 JOIN (SELECT truth_id, CAST(observed AS BIGINT) - counterfactual AS true_contribution FROM truths) USING (truth_id)
 """)
 
@@ -273,7 +273,7 @@ def _(spark, d):
 
 @query("ag14_rates", f"""
 SELECT COUNT(*) AS total, {r_sql('AVG(top1_hit::INT)')} AS top1_rate, {r_sql('AVG(top3_hit::INT)')} AS top3_rate,
-       {r_sql('list_sort(list(relative_error))[len(list(relative_error)) // 2 + 1]')} AS median_relative_error, {r_sql('MAX(relative_error)')} AS max_relative_error, TRUE AS all_conserved
+       {r_sql('list_sort(list(relative_error) FILTER (WHERE relative_error IS NOT NULL))[COUNT(relative_error) // 2 + 1]')} AS median_relative_error, {r_sql('MAX(relative_error)')} AS max_relative_error, bool_and(conserved) AS all_conserved
 FROM eval_cases
 """)
 def _(spark, d):

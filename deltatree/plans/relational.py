@@ -139,7 +139,7 @@ FROM v WHERE day BETWEEN DATE '1997-06-10' AND DATE '1998-03-20' GROUP BY 1
 def _(spark, d):
     cube = orders_cube(spark, d, ("channel",), measures=("units", "revenue_cents"))
     path = X.write_fact(cube, scratch_path(spark, "fact"), cluster_by=("channel",))
-    fact = X.load_facts(spark, path, ("day", "units", "revenue_cents"), "1997-06-10", "1998-03-20")
+    fact = X.load_facts(X.open_fact(spark, path), ("day", "units", "revenue_cents"), "1997-06-10", "1998-03-20")
     return fact.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(
         F.countDistinct("day").alias("n_days"), F.sum("units").alias("units"),
         F.sum("revenue_cents").alias("revenue_cents"))
@@ -529,7 +529,7 @@ def _(spark, d):
         "region": X.table(spark, d, "region").select(F.col("r_name").alias("region")),
         "segment": X.table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment")),
     }
-    return X.densify(cube, codes, ["day"], ["units"]).groupBy("day").agg(
+    return X.densify(cube, codes, X.order_heads(spark, d).select("day"), ["units"]).groupBy("day").agg(
         F.count(F.lit(1)).alias("cells"), F.count_if("filled").alias("filled"), F.sum("units").alias("units"))
 
 

@@ -214,10 +214,15 @@ def daily_cube(
     return rows.groupBy("day", *dims).agg(*[F.sum(m).alias(m) for m in chosen])
 
 
-def load_facts(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
+def open_fact(spark: SparkSession, path: str) -> DataFrame:
+    """Handle of a stored daily fact; open it once, its files are listed then."""
+    return spark.read.parquet(path)
+
+
+def load_facts(fact: DataFrame, columns: Sequence[str] | None = None,
                start: str | None = None, end: str | None = None) -> DataFrame:
-    """Read a stored daily fact: pruned columns, month folders and days filtered."""
-    fact = spark.read.parquet(path)
+    """Days of a stored fact: month folders pruned, days filtered, columns pruned."""
+    _check_period(start, end)
     if start:
         fact = fact.where((F.col("month") >= start[:7]) & (F.col("day") >= F.lit(date.fromisoformat(start))))
     if end:
@@ -252,21 +257,21 @@ def resolve_codes(requested: DataFrame, dimension: DataFrame, code: str, key: st
     )
 
 
-def densify(fact: DataFrame, codes: dict[str, DataFrame], keys: Sequence[str],
+def densify(fact: DataFrame, codes: dict[str, DataFrame], keys: DataFrame,
             measures: Sequence[str]) -> DataFrame:
-    """Every combination of the listed codes per key, absent ones with measure 0.
+    """Every combination of the listed codes per key row, absent ones with measure 0.
 
     ``codes`` maps a dimension to its code list. The lists are short by nature
     (they are the domain of a dimension); each is gathered to one array and
     exploded, so the grid is made where the key rows already are.
     """
-    grid = fact.select(*keys).distinct()
+    grid = keys.distinct()
     for dim, listing in codes.items():
         array = listing.select(F.sort_array(F.collect_set(F.col(dim))).alias("a")).scalar()
         grid = grid.select("*", F.explode(array).alias(dim))
-    joined = grid.join(fact, [*keys, *codes], "left")
+    joined = grid.join(fact, grid.columns, "left")
     return joined.select(
-        *keys, *codes,
+        *grid.columns,
         *[F.coalesce(m, F.lit(0)).cast("long").alias(m) for m in measures],
         F.col(measures[0]).isNull().alias("filled"),
     )
