@@ -165,15 +165,15 @@ def test_injected_causes_are_found(spark, sf_dir):
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
-    """Second file holds a row older than the watermark of the first."""
+    """The last file holds a row of a day that the watermark has closed already."""
     from deltatree.streaming import daily as D
 
     folder = tmp_path / "in"
     schema = "ts timestamp_ntz, kind string, value double"
-    for i, days in enumerate(([1, 2, 9], [1, 10])):
+    for i, days in enumerate(([1, 2, 9], [10], [1, 11])):
         rows = [(datetime(2024, 1, d, 12), "a", 1.0) for d in days]
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / f"f{i}"))
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(folder))
     out = D.run_to_end(D.daily_fact(stream, ["kind"], "value"), "late")
     got = {r["day"]: r["n"] for r in out.collect()}
-    assert got == {date(2024, 1, 1): 1, date(2024, 1, 2): 1}
+    assert got == {date(2024, 1, 1): 1, date(2024, 1, 2): 1, date(2024, 1, 9): 1}
