@@ -57,12 +57,9 @@ def test_cubes_keep_every_line(spark, skewed):
 
 def test_order_path_shuffles_lines_once(spark, skewed):
     path = skewed[0]
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = X.order_rows(spark, path, ("channel",))._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = X.order_rows(own, path, ("channel",))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and plan.count("Exchange hashpartitioning") == 2
     assert "partial_sum" in plan
 
@@ -177,3 +174,18 @@ def test_late_rows_are_dropped(spark, tmp_path):
     out = D.run_to_end(D.daily_fact(stream, ["kind"], "value"), "late")
     got = {r["day"]: r["n"] for r in out.collect()}
     assert got == {date(2024, 1, 1): 1, date(2024, 1, 2): 1, date(2024, 1, 9): 1}
+
+
+def test_hot_part_is_split(spark, skewed):
+    """A part with a third of all lines: AQE splits its partition in the join with parts."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    own = spark.newSession()
+    for key, value in conf.items():
+        own.conf.set(key, value)
+    df = X.line_rows(own, skewed[0], ("sku",), ("units", "material_cents"))
+    assert len(df.collect()) == 3000
+    assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
