@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltatree.llm import jaccard
+from deltatree.llm import decontaminate, jaccard
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,42 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10).drop(
+        "longest_match", "longest_item")
+
+
 QUERIES: dict[str, Plan] = {f.__name__: f for f in (
-    op8_ngram_jaccard_join,
+    op8_ngram_jaccard_join, op9_benchmark_decontamination,
 )}
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LETTERED = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACED = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op8_ngram_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, {_SPACED} AS w FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda p: w[p] || ' ' || w[p + 1] || ' ' || w[p + 2])) END AS s FROM w),
+g AS MATERIALIZED (SELECT min(rid) AS g, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY list_sort(s), s),
+t AS MATERIALIZED (SELECT g, n, unnest(s) AS t FROM g),
+e AS MATERIALIZED (SELECT a.g AS a, b.g AS b FROM t a JOIN t b ON a.t = b.t AND a.g <> b.g AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+        GROUP BY a.g, b.g, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r(a, b) AS (SELECT g, g FROM g UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT r.a AS g, min(x.doc_id) AS component_id FROM r JOIN g ON g.g = r.b JOIN s x ON list_sort(x.s) = list_sort(g.s) GROUP BY r.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE c.component_id END AS component_id
+FROM s LEFT JOIN g ON list_sort(g.s) = list_sort(s.s) LEFT JOIN c ON c.g = g.g""",
+    "op9_benchmark_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_LETTERED} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_LETTERED} AS w FROM benchmark),
+bm AS (SELECT item_id, w, least(10, len(w)) AS m FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, m, w[p:p + m - 1] AS seq FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS p FROM bm)),
+dw AS (SELECT rid, m, p, w[p:p + m - 1] AS seq FROM (SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM win) WHERE len(w) >= m)),
+h AS (SELECT rid, p, dw.m, item_id FROM dw JOIN win USING (m, seq)),
+n AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, p + unnest(range(0, m)) AS q FROM h) GROUP BY rid),
+i AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM h GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN i USING (rid)""",
+}

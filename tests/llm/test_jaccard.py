@@ -58,14 +58,6 @@ def test_against_brute_force(documents, k, percent, block):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, k, percent)
 
 
-def test_given_documents(given, spark, sf_dir):
-    from deltatree.llm.queries import op8_ngram_jaccard_join
-
-    rows = [tuple(r) for r in given("documents").select("doc_id", "text").collect()]
-    got = op8_ngram_jaccard_join(spark, sf_dir).collect()
-    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 3, 90)
-
-
 def test_many_copies_and_no_rows(documents):
     rows = [(i, "the same text in every row of a third of all") for i in range(300)] + [(1000 + i, f"row {i} of its own kind") for i in range(50)]
     got = {r[0]: r[2] for r in jaccard.jaccard_components(documents(rows)).collect()}
