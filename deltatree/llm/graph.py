@@ -23,9 +23,15 @@ def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     if larger:
         out = linked.where("x > a").select(F.col("x").alias("a"), F.col("root").alias("b"))
     else:
-        out = linked.select(F.col("x").alias("a"), F.col("root").alias("b")).unionByName(
-            lowest.select("a", F.col("root").alias("b")))
-    return out.where("a <> b").distinct()
+        out = linked.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("root").alias("b")), F.struct("a", F.col("root").alias("b")))).alias("e")).select("e.*")
+    return out.where("a <> b")
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has at most one smaller neighbour, and none if it is one itself."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("child")), F.struct(F.col("b").alias("node"), F.lit(0).alias("child")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.child").alias("up"), F.min("e.child").alias("low"))
+    return not nodes.where("up > 1 or (up = 1 and low = 0)").limit(1).count()
 
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
@@ -33,18 +39,15 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
 
     Only nodes that have an edge to another node appear; repeated edges, loops and
     edges with a null end are no matter. Works for any type with an order. Large and small
-    stars alternate until nothing changes, which takes a number of rounds in the
+    stars alternate until every component is a star, which takes a number of rounds in the
     logarithm of the component's size; every round is written to the shared folder.
     """
-    now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
-    now = cut_lineage(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
+    now = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(rounds):
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before or not state[0]:
+        if _are_stars(now):
             break
-        before = state
-        now = cut_lineage(_stars(_stars(now, True), False), "edges")
+        now = cut_lineage(_stars(_stars(now, True), False).distinct(), "edges")
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

@@ -259,14 +259,15 @@ def _tasks(members: DataFrame, percent: int, block: int) -> DataFrame:
     level = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(step)).cast("int")
     members = members.withColumn("level", level)
     counts = members.groupBy("root", "level").agg(F.count("*").alias("c"))
-    blocks = counts.withColumn("blocks", F.ceil(F.col("c") / F.lit(block)).cast("int"))
-    whole = counts.groupBy("root").agg(F.sum("c").alias("size"))
-    around = blocks.join(whole, "root")
-    for side, shift in (("up", 1), ("down", -1)):
-        around = around.join(
-            blocks.select("root", (F.col("level") - shift).alias("level"), F.col("blocks").alias(side)), ["root", "level"], "left")
-    around = around.select("root", "level", "size", "blocks", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("up", "down")))
-    m = members.join(around, ["root", "level"]).withColumn("i", F.pmod(F.xxhash64("digest", F.lit(7)), "blocks").cast("int"))
+    blocks = F.ceil(F.col("c") / F.lit(block)).cast("int")
+    # one entry for each size level, of which there are a few hundred at most
+    around = counts.groupBy("root").agg(F.sum("c").alias("size"), F.map_from_entries(F.collect_list(F.struct("level", blocks))).alias("of"))
+
+    def at(shift: int) -> Column:
+        return F.coalesce(F.try_element_at("of", F.col("level") + F.lit(shift)), F.lit(0))
+
+    m = members.join(around, "root").select("*", at(0).alias("blocks"), at(1).alias("up"), at(-1).alias("down"))
+    m = m.withColumn("i", F.pmod(F.xxhash64("digest", F.lit(7)), "blocks").cast("int"))
 
     def each(number: str, make) -> Column:
         return F.when(F.col(number) > 0, F.transform(F.sequence(F.lit(0), F.col(number) - 1), make)).otherwise(F.array().cast("array<string>"))
@@ -337,7 +338,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, table: np
     lowest = members.select("digest", "doc_id").join(links.select(F.col("node").alias("digest"), F.col("root").alias("top")), "digest")
     ids = lowest.groupBy("top").agg(F.min("doc_id").alias("component_id"))
     moved = lowest.join(ids, "top").select("digest", "component_id")
-    named = classes.select("digest", "doc_id").join(moved, "digest", "left").select(
-        "digest", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # written, so that both sides of the last join are plain exchanges and a digest with very many copies can be split
+    named = cut_lineage(classes.select("digest", "doc_id").join(moved, "digest", "left").select(
+        "digest", F.coalesce("component_id", "doc_id").alias("component_id")), "named")
     return sets.join(named, "digest", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
