@@ -80,9 +80,9 @@ def test_given_labels(spark, sf_dir, query, column):
     from deltatree.llm.queries import QUERIES
 
     larger = sf_dir.replace("0.001", "0.01")  # the smallest size has labels for 16 rejected texts only
-    got = QUERIES[query](spark, larger).join(spark.read.parquet(f"{larger}/labels.parquet").select("doc_id", "quality"), "doc_id").collect()
+    got = QUERIES[query](spark, larger).join(spark.read.parquet(f"{larger}/labels.parquet").selectExpr("doc_id", "quality as truth"), "doc_id").collect()
     rows = [r for r in got if (r.held_out if query[:3] == "op1" else not r.base_failed)]
-    assert len(rows) > 10 and sum(int(r[column]) == r.quality for r in rows) >= 0.95 * len(rows)
+    assert len(rows) > 10 and sum(int(r[column]) == r.truth for r in rows) >= 0.95 * len(rows)
 
 
 def test_ratio_and_repeats():
