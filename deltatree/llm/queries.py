@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deltatree.llm import decontaminate, jaccard, packing, quality_rules, quality_svm, substrings
+from deltatree.llm import decontaminate, jaccard, language, packing, quality_rules, quality_svm, substrings
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_svm.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -42,7 +46,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Plan] = {f.__name__: f for f in (
-    op1_quality_classifier, op4_best_fit_packing, op5_substring_dedup, op6_quality_rules, op8_ngram_jaccard_join, op9_benchmark_decontamination,
+    op1_quality_classifier, op3_language_id, op4_best_fit_packing, op5_substring_dedup, op6_quality_rules, op8_ngram_jaccard_join, op9_benchmark_decontamination,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
