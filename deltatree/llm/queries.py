@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deltatree.llm import decontaminate, jaccard, language, packing, quality_rules, quality_svm, substrings
+from deltatree.llm import decontaminate, jaccard, language, packing, quality_rules, quality_svm, substrings, urls
+
+#: allow or block, and host/path
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -45,8 +48,12 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         "longest_match", "longest_item")
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Plan] = {f.__name__: f for f in (
-    op1_quality_classifier, op3_language_id, op4_best_fit_packing, op5_substring_dedup, op6_quality_rules, op8_ngram_jaccard_join, op9_benchmark_decontamination,
+    op1_quality_classifier, op3_language_id, op4_best_fit_packing, op5_substring_dedup, op6_quality_rules, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_url_filters,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
