@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from deltatree.llm import decontaminate, jaccard, language, packing, pages, quality_rules, quality_svm, substrings, urls
+from deltatree.llm import decontaminate, jaccard, language, licenses, packing, pages, quality_rules, quality_svm, substrings, urls
 
 #: allow or block, and host/path
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -23,6 +23,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_svm.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Plan] = {f.__name__: f for f in (
-    op1_quality_classifier, op3_language_id, op4_best_fit_packing, op5_substring_dedup, op6_quality_rules, op7_html_extraction, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_url_filters,
+    op1_quality_classifier, op2_license_scans, op3_language_id, op4_best_fit_packing, op5_substring_dedup, op6_quality_rules, op7_html_extraction, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_url_filters,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
