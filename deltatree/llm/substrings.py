@@ -130,8 +130,8 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(emit, "bucket int, digest binary, doc binary")
 
 
-def _repeats(packed: DataFrame) -> DataFrame:
-    """Rows ``(doc_id, digests, firsts)``: digests of a document that an earlier one has, and that one's id."""
+def _repeats(packed: DataFrame, buckets: int) -> DataFrame:
+    """Rows ``(doc_id, digests, firsts)``, one for each document: its digests that an earlier one has, and that one's id."""
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, cols in runs(batches, "bucket", ("digest", "doc")):
             digest, doc = np.frombuffer(b"".join(cols["digest"]), np.uint64), np.frombuffer(b"".join(cols["doc"]), np.int64)
@@ -142,13 +142,28 @@ def _repeats(packed: DataFrame) -> DataFrame:
             later = np.flatnonzero(first != doc)
             if not later.size:
                 continue
-            later = later[np.argsort(doc[later], kind="stable")]
-            cut = np.flatnonzero(np.concatenate([[True], np.diff(doc[later]) != 0, [True]]))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(doc[later[cut[:-1]]], pa.int64()), pa.array([digest[later[b:e]].tobytes() for b, e in zip(cut, cut[1:], strict=False)], pa.binary()),
-                pa.array([first[later[b:e]].tobytes() for b, e in zip(cut, cut[1:], strict=False)], pa.binary())], ["doc_id", "digests", "firsts"])
-
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, digests binary, firsts binary")
+            target = (A.mix(doc[later].view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            order = np.argsort(target, kind="stable")
+            later, target = later[order], target[order]
+            cut = np.flatnonzero(np.concatenate([[True], np.diff(target) != 0, [True]]))
+            yield pa.RecordBatch.from_arrays([pa.array(target[cut[:-1]], pa.int32()), *(
+                pa.array([x[later[b:e]].tobytes() for b, e in zip(cut, cut[1:], strict=False)], pa.binary()) for x in (doc, digest, first))],
+                ["target", "doc", "digest", "first"])
+
+    def sort_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, cols in runs(batches, "target", ("doc", "digest", "first")):
+            doc, digest, first = (np.frombuffer(b"".join(cols[c]), t) for c, t in (("doc", np.int64), ("digest", np.uint64), ("first", np.int64)))
+            order = np.argsort(doc, kind="stable")
+            doc, digest, first = doc[order], digest[order], first[order]
+            cut = np.flatnonzero(np.concatenate([[True], np.diff(doc) != 0, [True]]))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[cut[:-1]], pa.int64()), *(
+                pa.array([x[b:e].tobytes() for b, e in zip(cut, cut[1:], strict=False)], pa.binary()) for x in (digest, first))], ["doc_id", "digests", "firsts"])
+
+    def together(df: DataFrame, key: str) -> DataFrame:
+        return df.repartition(key).sortWithinPartitions(key)
+
+    found = together(packed, "bucket").mapInArrow(meet, "target int, doc binary, digest binary, first binary")
+    return together(found, "target").mapInArrow(sort_out, "doc_id long, digests binary, firsts binary")
 
 
 def _copies(docs: DataFrame) -> DataFrame:
@@ -170,7 +185,7 @@ def _marked(docs: DataFrame, min_words: int, finish, schema) -> DataFrame:
     spark = docs.sparkSession
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(1 << 20, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size / 24 / BUCKET)))
-    known = _repeats(_packed(narrow, buckets)).select("doc_id", "digests", "firsts", F.lit(None).cast("binary").alias("copy"), F.lit(None).cast("long").alias("first"))
+    known = _repeats(_packed(narrow, buckets), buckets).select("doc_id", "digests", "firsts", F.lit(None).cast("binary").alias("copy"), F.lit(None).cast("long").alias("first"))
     copies = _copies(narrow).select("doc_id", F.lit(None).cast("binary").alias("digests"), F.lit(None).cast("binary").alias("firsts"), "copy", "first")
     # one list of its own digests for each document
     lists = known.unionByName(copies).groupBy("doc_id").agg(*(F.collect_list(c).alias(f"_{c}") for c in ("digests", "firsts")),
