@@ -101,18 +101,18 @@ def _node(digest: bytes) -> int:
 
 
 def document_sets(docs: DataFrame, k: int, table: np.ndarray = A.SPACED) -> DataFrame:
-    """Rows ``(doc_id, n_shingles, digest, node)``, one per document; an empty set has an empty digest."""
+    """Rows ``(doc_id, mark, n_shingles, digest, node)``, one per document; ``mark`` hashes the text, an empty set has an empty digest."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in A.slices(batch):
                 sets = _sets(part, "text", k, table)
                 digests = [_digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array([s.size for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-                    pa.array([_node(d) for d in digests], pa.int64())], ["doc_id", "n_shingles", "digest", "node"])
+                    part.column("doc_id"), part.column("mark"), pa.array([s.size for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+                    pa.array([_node(d) for d in digests], pa.int64())], ["doc_id", "mark", "n_shingles", "digest", "node"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, node long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark")).mapInArrow(
+        run, "doc_id long, mark long, n_shingles long, digest binary, node long")
 
 
 def candidate_links(docs: DataFrame, k: int, percent: int, buckets: int, table: np.ndarray = A.SPACED) -> DataFrame:
@@ -325,6 +325,31 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, table: np
       a null ``component_id`` if no member has an id.
     * An empty table gives no rows.
     """
+    return _components(docs, k, percent, table, block).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, table: np.ndarray = A.SPACED, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each component of ``jaccard_components``: the one with the smallest ``doc_id``.
+
+    Of several rows with that id the one with the smallest hash of its text stays, and one of rows that are equal in both. Documents
+    without a shingle all stay; so do texts whose component has no id at all, one row for each text. All columns stay as they are.
+    """
+    found = cut_lineage(_components(docs, k, percent, table, block), "components")
+    keeper = found.where("n_shingles > 0 and component_id is not null").groupBy("component_id").agg(
+        F.min(F.when(F.col("doc_id") == F.col("component_id"), F.col("mark"))).alias("kept_mark"))
+    stays = (F.col("n_shingles") == 0) | F.col("component_id").isNull() | F.coalesce(
+        (F.col("doc_id") == F.col("component_id")) & (F.col("mark") == F.col("kept_mark")), F.lit(False))
+    verdicts = found.join(keeper, "component_id", "left").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), stays.alias("stays"), (F.col("n_shingles") > 0).alias("some")).groupBy(
+        "_id", "_mark").agg(F.max("stays").alias("_stays"), (F.max("some") & (F.count("*") > 1)).alias("_again"))
+    columns = docs.columns
+    row = docs.select(F.struct(*(docs[c] for c in columns)).alias("_row"), docs["doc_id"].cast("long").alias("_doc"), F.xxhash64(docs["text"]).alias("_text"))
+    kept = row.join(verdicts.where("_stays"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_mark")))
+    return kept.where(~F.col("_again")).select("_row").unionByName(
+        kept.where("_again").groupBy("_doc", "_text").agg(F.first("_row").alias("_row")).select("_row")).select("_row.*")
+
+
+def _components(docs: DataFrame, k: int, percent: int, table: np.ndarray, block: int) -> DataFrame:
+    """One row per document: ``doc_id``, ``mark``, ``n_shingles``, ``component_id``."""
     docs = docs.select("doc_id", "text")
     sets = cut_lineage(document_sets(docs, k, table), "sets")
     classes = sets.where("n_shingles > 0").groupBy("digest", "node", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
@@ -342,4 +367,4 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, table: np
     named = cut_lineage(classes.select("digest", "doc_id").join(moved, "digest", "left").select(
         "digest", F.coalesce("component_id", "doc_id").alias("component_id")), "named")
     return sets.join(named, "digest", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", "mark", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from deltatree.llm import decontaminate, jaccard, language, licenses, packing, pages, quality_rules, quality_svm, substrings, urls
 
 #: allow or block, and host/path
@@ -60,8 +61,13 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Plan] = {f.__name__: f for f in (
     op1_quality_classifier, op2_license_scans, op3_language_id, op4_best_fit_packing, op5_substring_dedup, op6_quality_rules, op7_html_extraction, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_url_filters,
+    pipeline,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -69,6 +75,7 @@ _LETTERED = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACED = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
+    **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
     "op8_ngram_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, {_SPACED} AS w FROM documents),
 s AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]

@@ -63,3 +63,15 @@ def test_many_copies_and_no_rows(documents):
     got = {r[0]: r[2] for r in jaccard.jaccard_components(documents(rows)).collect()}
     assert all(got[i] == 0 for i in range(300)) and all(got[1000 + i] == 1000 + i for i in range(50))
     assert jaccard.jaccard_components(documents([])).collect() == []
+
+
+def test_keep_one(documents):
+    rows = EDGE + variants() + [(1000, variants()[5][1]), (1000, variants()[0][1])]
+    docs = documents(rows).selectExpr("*", "'a' as _row", "1 as _id", "2 as stays", "3 as mark")
+    kept = jaccard.keep_one(docs, 3, 90)
+    assert kept.dtypes == docs.dtypes
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    groups = brute(rows, 3, 90)
+    empty = [r for r in rows if not (r[1] or "").split()]
+    assert sorted(i for i, t in got if (i, t) not in empty and i is not None) == sorted({c for _, n, c in groups if n and c is not None})
+    assert sorted((r for r in got if r in empty), key=str) == sorted(empty, key=str) and got.count((None, "only null ids here")) == 1
