@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from deltatree.functions import replicates as R
 from deltatree.functions import scalar as S
 
 MIN_SAMPLE = 8
+#: Sums of the same values in another order count as equal.
+ROUNDING = 1e-9
 
 
 def average_ranks(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
@@ -40,6 +43,10 @@ def spearman(rows: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -
     )
 
 
+def finite(column: str) -> Column:
+    return F.coalesce(S.finite_status(F.col(column).cast("double")) == "ok", F.lit(False))
+
+
 def _key(keys: Sequence[str]) -> Column:
     return F.concat_ws("/", *[F.col(k) for k in keys])
 
@@ -48,6 +55,7 @@ def permutation_correlation(rows: DataFrame, keys: Sequence[str], replicates: in
                             seed: int = R.SEED, x: str = "x", y: str = "y", order: str = "day") -> DataFrame:
     """Two-sided test of the rank correlation of paired values.
 
+    A key with a value that isn't finite is not tested (status ``not_finite``).
     The rank sums and spreads do not change under a permutation, so a replicate
     is compared by the sum of rank products around its expectation; twice the
     ranks are whole numbers, which keeps ties exact.
@@ -59,6 +67,7 @@ def permutation_correlation(rows: DataFrame, keys: Sequence[str], replicates: in
         F.count(F.lit(1)).alias("n"), F.sum("_rx").alias("_sx"), F.sum("_ry").alias("_sy"),
         F.sum(F.col("_rx") * F.col("_ry")).alias("_sxy"),
         F.sum(F.col("_rx") * F.col("_rx")).alias("_sxx"), F.sum(F.col("_ry") * F.col("_ry")).alias("_syy"),
+        F.min(finite(x) & finite(y)).alias("finite"),
     )
     n = F.col("n")
     spread_x = n * F.col("_sxx") - F.col("_sx") * F.col("_sx")
@@ -67,30 +76,36 @@ def permutation_correlation(rows: DataFrame, keys: Sequence[str], replicates: in
         packed.withColumn("_key", _key(keys))
         .withColumn("_a", F.transform("p", lambda s: s["a"])).withColumn("_b", F.transform("p", lambda s: s["b"]))
         .withColumn("_obs", n * F.col("_sxy") - F.col("_sx") * F.col("_sy"))
-        .withColumn("statistic", F.when((spread_x > 0) & (spread_y > 0), F.col("_obs") / F.sqrt(spread_x.cast("double") * spread_y)))
+        .withColumn("statistic", F.when(F.col("finite") & (spread_x > 0) & (spread_y > 0), F.col("_obs") / F.sqrt(spread_x.cast("double") * spread_y)))
         .drop("p")
     )
     usable = packed.where((n >= MIN_SAMPLE) & F.col("statistic").isNotNull())
-    reps = R.with_replicates(usable.select(*keys, "_key", "_a", "_b", "n", "_sx", "_sy", "_obs"), "_key", replicates)
-    mixed = R.shuffled(seed, F.col("_key"), F.col("b"), F.col("_b"))
-    products = F.aggregate(F.zip_with("_a", mixed, lambda a, b: a * b), F.lit(0).cast("long"), lambda s, v: s + v)
-    hit = F.abs(n * products - F.col("_sx") * F.col("_sy")) >= F.abs("_obs")
-    extreme = reps.withColumn("_hit", hit).groupBy(*keys).agg(F.count_if("_hit").alias("extreme"))
+
+    def extremes(row: dict, replicates: np.ndarray) -> np.ndarray:
+        a, b = np.array(row["_a"], np.int64), np.array(row["_b"], np.int64)
+        products = (b[R.orders(row["_number"], replicates, a.size)] * a).sum(axis=1)
+        return (np.abs(a.size * products - row["_sx"] * row["_sy"]) >= abs(row["_obs"])).sum()
+
+    work = usable.select(*keys, "_key", "_a", "_b", n.alias("_size"), "_sx", "_sy", "_obs")
+    extreme = R.count_extremes(work, keys, replicates, extremes, "extreme long", seed).groupBy(*keys).agg(F.sum("extreme").alias("extreme"))
     return _p_values(packed, extreme, keys, replicates)
 
 
 def _p_values(packed: DataFrame, extreme: DataFrame, keys: Sequence[str], replicates: int) -> DataFrame:
-    return packed.select(*keys, "n", "statistic").join(extreme, list(keys), "left").select(
+    return packed.select(*keys, "n", "statistic", "finite").join(extreme, list(keys), "left").select(
         *keys, "n", "statistic", "extreme",
         ((F.col("extreme") + 1) / F.lit(float(replicates + 1))).alias("p_value"),
-        F.when(F.col("extreme").isNotNull(), "ok").when(F.col("n") < MIN_SAMPLE, "sample_too_small")
+        F.when(~F.col("finite"), "not_finite").when(F.col("extreme").isNotNull(), "ok").when(F.col("n") < MIN_SAMPLE, "sample_too_small")
         .otherwise("undefined").alias("status"),
     )
 
 
 def two_groups(rows: DataFrame, keys: Sequence[str], side: str = "side", value: str = "value",
                order: str = "day", left: str = "in") -> DataFrame:
-    """Per key: the values of both groups as one array, left group first, and moments."""
+    """Per key: the values of both groups as one array, left group first, and moments.
+
+    A key with a value that isn't finite has ``finite`` false, and neither effect nor p-value.
+    """
     is_left = F.col(side) == left
     return rows.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct(
@@ -102,6 +117,7 @@ def two_groups(rows: DataFrame, keys: Sequence[str], side: str = "side", value:
         F.var_samp(F.when(is_left, F.col(value))).alias("var_in"),
         F.var_samp(F.when(~is_left, F.col(value))).alias("var_out"),
         F.sum(F.when(is_left, F.col(value))).alias("sum_in"), F.sum(value).alias("sum_all"),
+        F.min(finite(value)).alias("finite"),
     )
 
 
@@ -112,7 +128,7 @@ def standardized_difference(groups: DataFrame) -> DataFrame:
                     / F.nullif((n_in + n_out - 2).cast("double"), F.lit(0.0)))
     return groups.withColumn(
         "effect",
-        F.when((n_in >= 3) & (n_out >= 3),
+        F.when(F.col("finite") & (n_in >= 3) & (n_out >= 3),
                (F.col("mean_in") - F.col("mean_out")) / F.nullif(pooled, F.lit(0.0))),
     )
 
@@ -122,19 +138,20 @@ def permutation_mean_difference(groups: DataFrame, keys: Sequence[str],
     """Adds ``extreme`` and ``p_value`` of the mean difference to ``two_groups`` rows.
 
     With the pooled sum fixed, the difference of means grows with the sum of the
-    left group alone; for whole numbers the comparison below is exact.
+    left group alone.
     """
     n_in, n_out = F.col("n_in"), F.col("n_out")
     named = groups.withColumn("_key", _key(keys))
-    usable = named.where((n_in >= MIN_SAMPLE) & (n_out >= MIN_SAMPLE)).select(
-        *keys, "_key", F.transform("_rows", lambda s: s["v"]).alias("_v"), "n_in", "n_out", "sum_in", "sum_all"
-    )
-    reps = R.with_replicates(usable, "_key", replicates)
-    mixed = R.shuffled(seed, F.col("_key"), F.col("b"), F.col("_v"))
-    left = F.aggregate(F.slice(mixed, F.lit(1), n_in.cast("int")), F.lit(0.0), lambda s, v: s + v)
-    n = n_in + n_out
-    hit = F.abs(left * n - F.col("sum_all") * n_in) >= F.abs(F.col("sum_in") * n - F.col("sum_all") * n_in)
-    extreme = reps.withColumn("_hit", hit).groupBy(*keys).agg(F.count_if("_hit").alias("extreme"))
+    usable = named.where(F.col("finite") & (n_in >= MIN_SAMPLE) & (n_out >= MIN_SAMPLE)).select(
+        *keys, "_key", F.transform("_rows", lambda s: s["v"].cast("double")).alias("_v"), n_in.alias("_left"), (n_in + n_out).alias("_size"), "sum_in", "sum_all")
+
+    def extremes(row: dict, replicates: np.ndarray) -> np.ndarray:
+        v, left, n = np.array(row["_v"]), row["_left"], row["_size"]
+        sums = v[R.orders(row["_number"], replicates, n)[:, :left]].sum(axis=1)
+        observed = abs(row["sum_in"] * n - row["sum_all"] * left)
+        return (np.abs(sums * n - row["sum_all"] * left) >= observed - ROUNDING * max(1.0, observed)).sum()
+
+    extreme = R.count_extremes(usable, keys, replicates, extremes, "extreme long", seed).groupBy(*keys).agg(F.sum("extreme").alias("extreme"))
     return groups.join(extreme, list(keys), "left").withColumn(
         "p_value", (F.col("extreme") + 1) / F.lit(float(replicates + 1))
     )

@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltatree.functions import replicates as R
 from deltatree.functions import scalar as S
+from deltatree.operators.inference import finite
 
 # Fixed values which decide results.
 MIN_OBSERVATIONS = 60
@@ -69,21 +71,22 @@ def align(target: DataFrame, factor: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def log_log_fit(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Least squares of ln y on ln x; NULL unless all values are positive and x moves.
+    """Least squares of ln y on ln x; NULL unless all values are finite and positive and x moves.
 
     r2 is 0 for a constant y.
     """
-    positive = (F.col("x") > 0) & (F.col("y") > 0)
+    numbers = finite("x") & finite("y")
+    positive = numbers & (F.col("x") > 0) & (F.col("y") > 0)
     lx, ly = F.when(positive, F.ln("x")), F.when(positive, F.ln("y"))
     stats = pairs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(positive).alias("positive"),
+        F.count(F.lit(1)).alias("n"), F.min(positive).alias("positive"), F.min(numbers).alias("finite"),
         F.var_pop(lx).alias("_vx"), F.var_pop(ly).alias("_vy"),
         F.regr_slope(ly, lx).alias("_slope"), F.regr_intercept(ly, lx).alias("_icept"),
         F.regr_r2(ly, lx).alias("_r2"),
     )
     usable = F.col("positive") & (F.col("_vx") > 0)
     return stats.select(
-        *keys, "n", "positive", usable.alias("x_moves"),
+        *keys, "n", "positive", "finite", usable.alias("x_moves"),
         F.when(usable, F.col("_slope")).alias("slope"), F.when(usable, F.col("_icept")).alias("intercept"),
         F.when(usable, F.when(F.col("_vy") > 0, F.col("_r2")).otherwise(0.0)).alias("r_squared"),
     )
@@ -116,7 +119,8 @@ def finite_difference(packed: DataFrame) -> DataFrame:
         out = out.withColumn(f"_{side}1", _mean(tail, F.col("_n") - F.col("_h")))
     rx = (F.col("_x1") - F.col("_x0")) / F.nullif(F.col("_x0"), F.lit(0.0))
     ry = (F.col("_y1") - F.col("_y0")) / F.nullif(F.col("_y0"), F.lit(0.0))
-    value = F.when(F.col("_n") >= MIN_PAIRS, ry / F.nullif(rx, F.lit(0.0)))
+    numbers = F.forall("_rows", lambda s: (S.finite_status(s["x"].cast("double")) == "ok") & (S.finite_status(s["y"].cast("double")) == "ok"))
+    value = F.when(numbers & (F.col("_n") >= MIN_PAIRS), ry / F.nullif(rx, F.lit(0.0)))
     return out.withColumn("finite_difference", value).drop("_n", "_h", "_x0", "_x1", "_y0", "_y1")
 
 
@@ -133,23 +137,20 @@ def bootstrap_slopes(packed: DataFrame, keys: Sequence[str], replicates: int = R
         *keys, key.alias("_key"), n.alias("_n"),
         F.transform("_rows", lambda s: F.ln(s["x"])).alias("_lx"), F.transform("_rows", lambda s: F.ln(s["y"])).alias("_ly"))
     logs = logs.withColumn("_mx", _mean(F.col("_lx"), F.col("_n"))).withColumn("_my", _mean(F.col("_ly"), F.col("_n")))
-    points = F.zip_with(
-        "_lx", "_ly",
-        lambda a, b: F.struct((a - F.col("_mx")).alias("a"), (b - F.col("_my")).alias("b")))
-    logs = logs.select(*keys, "_key", "_n", points.alias("_p"))
-    reps = R.with_replicates(logs, "_key", replicates)
-    positions = F.sequence(F.lit(0), F.col("_n") - 1)
-    drawn = F.transform(positions, lambda j: F.element_at(
-        F.col("_p"), R.draw(seed, F.col("_key"), F.col("b"), j, F.col("_n")) + 1))
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("a", "b", "aa", "ab")])
-    sums = F.aggregate(drawn, zero, lambda s, v: F.struct(
-        (s["a"] + v["a"]).alias("a"), (s["b"] + v["b"]).alias("b"),
-        (s["aa"] + v["a"] * v["a"]).alias("aa"), (s["ab"] + v["a"] * v["b"]).alias("ab")))
-    s = F.col("_s")
-    spread = F.col("_n") * s["aa"] - s["a"] * s["a"]
-    slope = (F.col("_n") * s["ab"] - s["a"] * s["b"]) / F.nullif(spread, F.lit(0.0))
+    logs = logs.select(*keys, "_key", F.col("_n").alias("_size"), F.transform("_lx", lambda v: v - F.col("_mx")).alias("_a"),
+                       F.transform("_ly", lambda v: v - F.col("_my")).alias("_b"))
+
+    def slopes(row: dict, chosen: np.ndarray) -> np.ndarray:
+        a, b, size = np.array(row["_a"]), np.array(row["_b"]), row["_size"]
+        at = R.draws(row["_number"], chosen, size)
+        x, y = a[at], b[at]
+        spread = size * (x * x).sum(axis=1) - x.sum(axis=1) ** 2
+        return (size * (x * y).sum(axis=1) - x.sum(axis=1) * y.sum(axis=1)) / np.where(spread == 0, np.nan, spread)
+
+    reps = R.count_extremes(logs, keys, replicates, slopes, "_slope double", seed)
     alpha = (1.0 - level) / 2.0
-    per_key = reps.withColumn("_s", sums).select(*keys, slope.alias("_slope")).groupBy(*keys).agg(
+    # a redraw whose x doesn't move has no slope
+    per_key = reps.withColumn("_slope", F.nanvl("_slope", F.lit(None).cast("double"))).groupBy(*keys).agg(
         F.count("_slope").alias("valid_draws"),
         F.percentile("_slope", F.array(F.lit(alpha), F.lit(1.0 - alpha))).alias("_q"))
     return per_key.select(*keys, "valid_draws", F.col("_q")[0].alias("draw_low"), F.col("_q")[1].alias("draw_high"))
@@ -161,7 +162,7 @@ def estimate(pairs: DataFrame, keys: Sequence[str], replicates: int = R.BOOTSTRA
 
     Log-log regression from ``min_observations`` positive pairs on, otherwise
     the finite difference with half the trust; a key that allows neither is
-    refused with a reason.
+    refused with a reason, and so is one with a value that isn't finite.
     """
     fit = log_log_fit(pairs, keys)
     packed = finite_difference(pack(pairs, keys))
@@ -188,13 +189,14 @@ def estimate(pairs: DataFrame, keys: Sequence[str], replicates: int = R.BOOTSTRA
     ).withColumn(
         "notes",
         F.filter(F.array(
+            F.when(~F.col("finite"), "not finite"),
             F.when(F.col("_regress") & F.col("_few"), "few valid draws"),
             F.when(F.col("_regress") & (F.col("r_squared") < WEAK_FIT), "weak fit"),
             F.when(~F.col("_regress") & (F.col("n") < min_observations), "small sample"),
-            F.when(~F.col("_regress") & (F.col("n") >= min_observations) & ~F.col("positive"), "non-positive values"),
+            F.when(~F.col("_regress") & (F.col("n") >= min_observations) & F.col("finite") & ~F.col("positive"), "non-positive values"),
             F.when(~F.col("_regress") & (F.col("n") >= min_observations) & F.col("positive"), "constant factor"),
         ), lambda x: x.isNotNull()),
-    ).drop("_regress", "_few", "draw_low", "draw_high", "slope", "intercept", "finite_difference", "positive", "x_moves")
+    ).drop("_regress", "_few", "draw_low", "draw_high", "slope", "intercept", "finite_difference", "positive", "finite", "x_moves")
 
 
 def with_trust(rows: DataFrame, min_observations: int = MIN_OBSERVATIONS) -> DataFrame:
@@ -243,11 +245,12 @@ def curve(estimates: DataFrame, keys: Sequence[str], adjustments: Sequence[float
         F.least(*points.values()).alias("expected_low"),
         F.greatest(*points.values()).alias("expected_high"),
         F.coalesce(beyond, F.lit(False)).alias("out_of_range"),
-        F.array_distinct(F.concat("notes", F.filter(F.array(
+        # the curve's own warnings come first, then the notes of the estimate
+        F.array_distinct(F.concat(F.filter(F.array(
             F.when(F.lit(any(abs(a) > max_adjustment + 1e-12 for a in adjustments)), "extrapolated"),
             F.when(F.col("method") == "finite_difference", "fallback"),
             F.when(F.col("r_squared") < WEAK_FIT, "weak fit"),
-        ), lambda x: x.isNotNull()))).alias("warnings"),
+        ), lambda x: x.isNotNull()), "notes")).alias("warnings"),
     )
 
 

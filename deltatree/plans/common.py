@@ -82,8 +82,6 @@ SLICES = {
     "west_low": {"channel": ["5-LOW"], "region": ["AMERICA", "EUROPE"]},
 }
 
-REPLICATES = 200
-
 
 @cache
 def trees() -> dict[str, MetricTree]:

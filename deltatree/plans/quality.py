@@ -12,7 +12,7 @@ from deltatree.operators import shocks as K
 from deltatree.operators import values as V
 from deltatree.operators.calendar import date_table
 from deltatree.plans.anomaly import SEASON, in_period
-from deltatree.plans.common import REPLICATES, amount_sql, amount, cte, lines_cube, margin, orders_cube, query, r, r_sql, retail
+from deltatree.plans.common import amount_sql, amount, cte, lines_cube, margin, orders_cube, query, r, r_sql, retail
 from deltatree.plans.relational import PROMOTIONS, derived_parameters
 from deltatree.plans.statistics import ALL_SETS, DIMS, chain, deviations
 from deltatree.session import cut_lineage
@@ -313,7 +313,7 @@ def negative_cases(spark, d):
     hyps = hyps.withColumn("slice_id", V.canonical_slice(F.col("dims")))
     pairs = V.period_values(cube, retail(), current.previous(), current, ALL_SETS)
     tests = H.tests_for(hyps, cube, retail())
-    results = cut_lineage(H.run_tests(tests, H.test_series(tests, cube, retail(), observed), REPLICATES), "tests")
+    results = cut_lineage(H.run_tests(tests, H.test_series(tests, cube, retail(), observed)), "tests")
     ver = H.verify(hyps, results, H.slice_shares(pairs, "revenue"))
     checks = H.spurious_checks(hyps, results, deviations(cube, hyps, observed), "revenue")
     return H.apply_checks(ver, H.combine_checks(checks))

@@ -14,7 +14,7 @@ from deltatree.operators import values as V
 from deltatree.operators import whatif as W
 from deltatree.plans.anomaly import band_chain
 from deltatree.plans.calendar import derived_calendar
-from deltatree.plans.common import CURRENT, BASE, REPLICATES, amount, amount_sql, cte, orders_cube, query, r, r_sql, retail
+from deltatree.plans.common import CURRENT, BASE, amount, amount_sql, cte, orders_cube, query, r, r_sql, retail
 from deltatree.plans.events import SCENARIO_DIMS
 from deltatree.plans.statistics import ALL_SETS, DIMS, channel_slices, deviations
 from deltatree.plans.statistics import OBSERVED, in_period
@@ -57,7 +57,7 @@ def run(spark, d):
     contributions = D.decompose(pairs.join(slices.select("slice_id"), "slice_id", "left_semi"), retail(), ["slice_id"])
     hyps = cut_lineage(H.candidates(contributions, slices, "revenue"), "hypotheses")
     tests = H.tests_for(hyps, cube, retail())
-    results = cut_lineage(H.run_tests(tests, H.test_series(tests, cube, retail(), OBSERVED), REPLICATES), "tests")
+    results = cut_lineage(H.run_tests(tests, H.test_series(tests, cube, retail(), OBSERVED)), "tests")
     ver = H.verify(hyps, results, H.slice_shares(pairs, "revenue"))
     checks = H.spurious_checks(hyps, results, deviations(cube, hyps), "revenue")
     final = cut_lineage(H.apply_checks(ver, H.combine_checks(checks)), "verdicts")
@@ -73,7 +73,7 @@ def near_events(spark, d, slices):
 
 
 def price_curve(cube):
-    est = with_base(W.estimate(price_pairs(cube, SETS), ["slice_id"], REPLICATES), cube)
+    est = with_base(W.estimate(price_pairs(cube, SETS), ["slice_id"]), cube)
     points = W.curve(est, ["slice_id", "base_value"]).where(F.col("reason") == "")
     ratio = {c: F.col(c) / F.col("base_value") for c in ("expected", "expected_low", "expected_high")}
     return est, points.select("slice_id", F.lit("price_index").alias("knob"), "adjustment", *[v.alias(k) for k, v in ratio.items()])

@@ -6,7 +6,9 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from deltatree.functions import replicates as R
 from deltatree.functions import scalar as S
+from deltatree.functions.replicates import PERMUTATIONS
 from deltatree.functions.periods import Period
 from deltatree.operators import decompose as D
 from deltatree.operators import hypotheses as H
@@ -16,11 +18,10 @@ from deltatree.operators.whatif import align
 from deltatree.session import cut_lineage
 from deltatree.plans.anomaly import SUMS, in_period, long_nodes
 from deltatree.plans.common import (
-    BASE, CURRENT, OBSERVED, REPLICATES, WHATIF, amount, amount_sql, cte, lines_cube, orders_cube, query, r, r_sql,
+    BASE, CURRENT, OBSERVED, WHATIF, amount, amount_sql, cte, lines_cube, orders_cube, query, r, r_sql,
     retail, span,
 )
 
-SEED = 20260915
 DIMS = ("channel", "region", "segment")
 ALL_SETS = [s for n in range(4) for s in combinations(DIMS, n)]
 
@@ -67,20 +68,21 @@ SELECT channel, CAST(rx * 2 AS BIGINT) AS a, CAST(ry * 2 AS BIGINT) AS b, row_nu
 cte("in3_tot", """
 SELECT channel, COUNT(*) AS n, SUM(a) AS sa, SUM(b) AS sb, SUM(a * b) AS sab, corr(a, b) AS rho FROM in3_rows GROUP BY 1
 """)
+cte("in3_lists", "SELECT channel, list(a ORDER BY i) AS la, list(b ORDER BY i) AS lb FROM in3_rows GROUP BY 1")
 cte("in3_ext", f"""
 SELECT channel, COUNT(*) FILTER (WHERE abs(n * p - sa * sb) >= abs(n * sab - sa * sb)) AS extreme FROM (
- SELECT x.channel, rep, SUM(x.a * y.b) AS p FROM in3_rows x JOIN (
-  SELECT channel, rep, b, row_number() OVER (PARTITION BY channel, rep ORDER BY md5(concat_ws('|', {SEED}, channel, rep, i)), i) - 1 AS j
-  FROM in3_rows, (SELECT unnest(range({REPLICATES})) AS rep)) y ON x.channel = y.channel AND x.i = y.j GROUP BY 1, 2)
-JOIN in3_tot USING (channel) WHERE n >= 8 GROUP BY 1
+ SELECT channel, n, sa, sb, sab, list_sum(list_transform(range(len(la)), lambda j: la[j + 1] * lb[(o[j + 1] & 1048575) + 1])) AS p FROM (
+  SELECT *, list_sort(list_transform(range(len(la)), lambda i: ({R.position_sql("row", "i")} << 20) | i)) AS o FROM (
+   SELECT *, {R.row_sql("channel", "rep")} AS row FROM in3_lists JOIN in3_tot USING (channel), (SELECT unnest(range({PERMUTATIONS})) AS rep) WHERE n >= 8)))
+GROUP BY 1
 """)
 
 
 @query("in3_permutation_correlation", f"""
-SELECT channel, n, {r_sql('rho')} AS statistic, (extreme + 1) / {REPLICATES + 1}::DOUBLE AS p_value, 'ok' AS status FROM in3_tot JOIN in3_ext USING (channel)
+SELECT channel, n, {r_sql('rho')} AS statistic, (extreme + 1) / {PERMUTATIONS + 1}::DOUBLE AS p_value, 'ok' AS status FROM in3_tot JOIN in3_ext USING (channel)
 """)
 def _(spark, d):
-    rows = I.permutation_correlation(price_and_lines(spark, d), ["channel"], REPLICATES)
+    rows = I.permutation_correlation(price_and_lines(spark, d), ["channel"], PERMUTATIONS)
     return rows.select("channel", "n", r("statistic").alias("statistic"), "p_value", "status")
 
 
@@ -121,16 +123,17 @@ FROM (SELECT test_id, COUNT(*) FILTER (WHERE g = 0) AS n_in, COUNT(*) FILTER (WH
  AVG(value) FILTER (WHERE g = 0) AS mean_in, AVG(value) FILTER (WHERE g = 1) AS mean_out, var_samp(value) FILTER (WHERE g = 0) AS var_in,
  var_samp(value) FILTER (WHERE g = 1) AS var_out, SUM(value) FILTER (WHERE g = 0) AS sum_in, SUM(value) AS sum_all FROM {p}_pool GROUP BY 1)
 """)
+    cte(f"{p}_lists", f"SELECT test_id, list(value ORDER BY i) AS vals FROM {p}_pool GROUP BY 1")
     cte(f"{p}_ext", f"""
-SELECT test_id, COUNT(*) FILTER (WHERE abs(lft * (n_in + n_out) - sum_all * n_in) >= abs(sum_in * (n_in + n_out) - sum_all * n_in)) AS extreme FROM (
- SELECT test_id, rep, SUM(value) AS lft FROM (
-  SELECT test_id, rep, value, n_in, row_number() OVER (PARTITION BY test_id, rep ORDER BY md5(concat_ws('|', {SEED}, test_id, rep, i)), i) AS rn
-  FROM {p}_pool JOIN {p}_grp USING (test_id), (SELECT unnest(range({REPLICATES})) AS rep) WHERE n_in >= 8 AND n_out >= 8)
- WHERE rn <= n_in GROUP BY 1, 2) JOIN {p}_grp USING (test_id) GROUP BY 1
+SELECT test_id, COUNT(*) FILTER (WHERE abs(lft * (n_in + n_out) - sum_all * n_in) >= obs - {I.ROUNDING} * greatest(1, obs)) AS extreme FROM (
+ SELECT test_id, abs(sum_in * (n_in + n_out) - sum_all * n_in) AS obs, n_in, n_out, sum_all, sum_in, list_sum(list_transform(list_sort(list_transform(range(len(vals)), lambda i: ({R.position_sql("row", "i")} << 20) | i))[1:n_in],
+        lambda x: vals[(x & 1048575) + 1])) AS lft FROM (
+  SELECT *, {R.row_sql("test_id", "rep")} AS row FROM {p}_lists JOIN {p}_grp USING (test_id), (SELECT unnest(range({PERMUTATIONS})) AS rep) WHERE n_in >= 8 AND n_out >= 8))
+GROUP BY 1
 """)
     cte(f"{p}_res", f"""
 SELECT test_id, hypothesis_id, kind, code, factor, COALESCE(n_in, 0) AS n_in, COALESCE(n_out, 0) AS n_out, mean_in, mean_out, effect, extreme,
-       (extreme + 1) / {REPLICATES + 1}::DOUBLE AS p_value
+       (extreme + 1) / {PERMUTATIONS + 1}::DOUBLE AS p_value
 FROM {p}_tests LEFT JOIN {p}_grp USING (test_id) LEFT JOIN {p}_ext USING (test_id)
 """)
     cte(f"{p}_conf", f"""
@@ -230,7 +233,7 @@ def tested(spark, d, kinds=("verify", "control", "placebo")):
     hyps = cut_lineage(hyps, "hypotheses")
     tests = H.tests_for(hyps, cube, retail()).where(F.col("kind").isin(*kinds))
     series = H.test_series(tests, cube, retail(), OBSERVED)
-    return cube, pairs, rows, hyps, cut_lineage(H.run_tests(tests, series, REPLICATES), "tests")
+    return cube, pairs, rows, hyps, cut_lineage(H.run_tests(tests, series, PERMUTATIONS), "tests")
 
 
 def verified(spark, d, kinds=("verify",)):
@@ -267,11 +270,11 @@ def _(spark, d):
 
 @query("in5_p_value", f"""
 SELECT test_id AS key, extreme, p_value FROM hy_res WHERE kind <> 'verify'
-UNION ALL SELECT channel, extreme, (extreme + 1) / {REPLICATES + 1}::DOUBLE FROM in3_ext
+UNION ALL SELECT channel, extreme, (extreme + 1) / {PERMUTATIONS + 1}::DOUBLE FROM in3_ext
 """)
 def _(spark, d):
     *_, results = tested(spark, d, ("control", "placebo"))
-    pairs = I.permutation_correlation(price_and_lines(spark, d), ["channel"], REPLICATES)
+    pairs = I.permutation_correlation(price_and_lines(spark, d), ["channel"], PERMUTATIONS)
     return results.select(F.col("test_id").alias("key"), "extreme", "p_value").unionByName(
         pairs.select(F.col("channel").alias("key"), "extreme", "p_value"))
 

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from deltatree.functions import replicates as R
+from deltatree.functions.replicates import BOOTSTRAPS
 from deltatree.operators import values as V
 from deltatree.operators import whatif as W
 from deltatree.plans.anomaly import in_period
-from deltatree.plans.common import CURRENT, REPLICATES, WHATIF, amount, amount_sql, cte, orders_cube, query, r, r_sql, retail, trees
+from deltatree.plans.common import CURRENT, WHATIF, amount, amount_sql, cte, orders_cube, query, r, r_sql, retail, trees
 from deltatree.session import cut_lineage
 
 SETS = ((), ("channel",), ("channel", "region"))
 KEYS = ["slice_id"]
-SEED = 20260915
 ADJUSTMENT_SQL = "[" + ", ".join(f"{a}::DOUBLE" for a in W.ADJUSTMENTS) + "]"
 
 SLICE_SQL = """CASE WHEN GROUPING(region) = 0 THEN 'channel=' || channel || '&region=' || region
@@ -34,8 +35,8 @@ SELECT slice_id, CASE WHEN n >= 4 THEN ((y1 - y0) / NULLIF(y0, 0)) / NULLIF((x1
 """)
 cte("wi_draws", f"""
 SELECT k.slice_id, rep, regr_slope(ly, lx) AS slope FROM (
- SELECT slice_id, rep, CAST(('0x' || substr(md5(concat_ws('|', {SEED}, slice_id, rep, j)), 1, 8)) AS BIGINT) % n AS pick
- FROM (SELECT slice_id, n, unnest(range(n)) AS j FROM wi_fit WHERE n >= 60), (SELECT unnest(range({REPLICATES})) AS rep)) k
+ SELECT slice_id, rep, {R.position_sql("row", "j")} % n AS pick FROM (
+  SELECT slice_id, n, rep, {R.row_sql("slice_id", "rep")} AS row, unnest(range(n)) AS j FROM wi_fit, (SELECT unnest(range({BOOTSTRAPS})) AS rep) WHERE n >= 60)) k
 JOIN wi_xy x ON x.slice_id = k.slice_id AND x.i = k.pick GROUP BY 1, 2
 """)
 cte("wi_ci", "SELECT slice_id, COUNT(slope) AS valid, quantile_cont(slope, 0.05) AS lo, quantile_cont(slope, 0.95) AS hi FROM wi_draws GROUP BY 1")
@@ -44,8 +45,8 @@ SELECT *, CASE WHEN value IS NULL THEN 'refused' WHEN regress THEN 'log_log' ELS
   least(round(0.4 * sp + 0.3 * fp + 0.3 * wp, 4), CASE WHEN r2u IS NULL THEN 0.5 WHEN r2u < 0.3 THEN 0.4 ELSE 1.0 END) AS trust FROM (
  SELECT *, least(1.0, n / 60.0::DOUBLE) AS sp, COALESCE(greatest(0.0, least(1.0, r2u)), 0.0) AS fp,
    1.0 / (1.0 + greatest(0.0, (high - low) / greatest(abs(value), 1e-6) - 1.0)) AS wp FROM (
-  SELECT *, CASE WHEN regress THEN least(CASE WHEN valid >= {REPLICATES // 2} THEN lo ELSE value * 0.5 END, value) ELSE value * 0.5 END AS low,
-    CASE WHEN regress THEN greatest(CASE WHEN valid >= {REPLICATES // 2} THEN hi ELSE value * 1.5 END, value) ELSE value * 1.5 END AS high,
+  SELECT *, CASE WHEN regress THEN least(CASE WHEN valid >= {BOOTSTRAPS // 2} THEN lo ELSE value * 0.5 END, value) ELSE value * 0.5 END AS low,
+    CASE WHEN regress THEN greatest(CASE WHEN valid >= {BOOTSTRAPS // 2} THEN hi ELSE value * 1.5 END, value) ELSE value * 1.5 END AS high,
     CASE WHEN regress THEN r2 END AS r2u FROM (
    SELECT f.slice_id, n, r2, lo, hi, COALESCE(valid, 0) AS valid, last_x, n >= 60 AND slope IS NOT NULL AS regress,
      CASE WHEN n >= 60 AND slope IS NOT NULL THEN slope ELSE fd END AS value
@@ -84,7 +85,7 @@ def priced_cube(spark, d):
 
 
 def estimates(spark, d):
-    return W.estimate(price_pairs(priced_cube(spark, d)), KEYS, REPLICATES)
+    return W.estimate(price_pairs(priced_cube(spark, d)), KEYS, BOOTSTRAPS)
 
 
 @query("wi1_log_log", f"SELECT slice_id, n, {r_sql('slope')} AS slope, {r_sql('intercept')} AS intercept, {r_sql('r2')} AS r_squared FROM wi_fit")
@@ -96,7 +97,7 @@ def _(spark, d):
 @query("wi2_bootstrap", f"SELECT slice_id, valid AS valid_draws, {r_sql('lo')} AS draw_low, {r_sql('hi')} AS draw_high FROM wi_ci")
 def _(spark, d):
     packed = W.pack(price_pairs(priced_cube(spark, d)), KEYS).where(F.size("_rows") >= W.MIN_OBSERVATIONS)
-    return W.bootstrap_slopes(packed, KEYS, REPLICATES).select(
+    return W.bootstrap_slopes(packed, KEYS, BOOTSTRAPS).select(
         "slice_id", "valid_draws", r("draw_low").alias("draw_low"), r("draw_high").alias("draw_high"))
 
 
@@ -137,7 +138,7 @@ def with_base(est, cube):
 
 def whatif_curve(spark, d, last_observation=False, **options):
     cube = cut_lineage(priced_cube(spark, d), "priced")
-    est = with_base(W.estimate(price_pairs(cube), KEYS, REPLICATES), cube)
+    est = with_base(W.estimate(price_pairs(cube), KEYS, BOOTSTRAPS), cube)
     if last_observation:
         est = est.withColumn("factor_base", F.col("last_x"))
     return W.curve(est, [*KEYS, "base_value"], **options)
@@ -183,12 +184,11 @@ def _(spark, d):
 
 
 @query("set3_warnings", """
-SELECT slice_id, array_to_string(list_distinct_ordered, ',') AS warnings FROM (
- SELECT slice_id, list_concat(list_concat(CASE WHEN regress AND r2u < 0.3 THEN ['weak fit'] ELSE [] END, CASE WHEN NOT regress AND n < 60 THEN ['small sample'] ELSE [] END),
-   list_concat(['extrapolated'], CASE WHEN method = 'finite_difference' THEN ['fallback'] ELSE [] END)) AS list_distinct_ordered
- FROM wi_est JOIN (SELECT DISTINCT slice_id FROM wi_curve WHERE reason = '') USING (slice_id))
+SELECT slice_id, array_to_string(list_concat(['extrapolated'], list_concat(CASE WHEN method = 'finite_difference' THEN ['fallback'] ELSE [] END,
+   list_concat(CASE WHEN regress AND r2u < 0.3 THEN ['weak fit'] ELSE [] END, CASE WHEN NOT regress AND n < 60 THEN ['small sample'] ELSE [] END))), ',') AS warnings
+ FROM wi_est JOIN (SELECT DISTINCT slice_id FROM wi_curve WHERE reason = '') USING (slice_id)
 """)
 def _(spark, d):
-    """Warnings of estimate and curve in order, each once."""
+    """Warnings of curve and estimate in order, each once."""
     rows = whatif_curve(spark, d, max_adjustment=0.25).where(F.col("reason") == "")
     return rows.select("slice_id", F.array_join("warnings", ",").alias("warnings")).distinct()

@@ -1,4 +1,4 @@
-"""Grouped tests against plain numpy with the same md5 orders."""
+"""Grouped tests against plain numpy with the same seeded orders."""
 
 import hashlib
 import random
@@ -14,12 +14,19 @@ from deltatree.operators import hypotheses as H
 from deltatree.operators import inference as I
 
 
-def digest(key, b, i, seed=R.SEED):
-    return hashlib.md5(f"{seed}|{key}|{b}|{i}".encode()).hexdigest()
+def order_of(key, b, n, seed=R.SEED):
+    """Positions of a replicate by the hash, number by number."""
+    def mix(x):
+        x = ((x ^ x >> 15) * 0x2C1B3C6D) & 0x7FFFFFFF
+        x = ((x ^ x >> 12) * 0x297A2D39) & 0x7FFFFFFF
+        return x ^ x >> 15
+    number = int(hashlib.md5(f"{seed}|{key}".encode()).hexdigest()[:8], 16) & 0x7FFFFFFF
+    row = mix(number ^ ((b * 668265263) & 0x7FFFFFFF))
+    return sorted(range(n), key=lambda i: (mix(row ^ ((i * 374761393) & 0x7FFFFFFF)), i))
 
 
 def shuffled(key, b, values):
-    return [v for _, _, v in sorted((digest(key, b, i), i, v) for i, v in enumerate(values))]
+    return [values[i] for i in order_of(key, b, len(values))]
 
 
 @pytest.fixture(scope="module")
@@ -75,7 +82,25 @@ def test_permutation_mean_difference(spark):
 
 def test_too_few_replicates(spark):
     with pytest.raises(ValueError):
-        R.with_replicates(spark.range(1).withColumn("k", F.lit("a")), "k", 99)
+        R.count_extremes(spark.range(1).withColumn("_key", F.lit("a")), ["id"], 99, len, "x long")
+
+
+def test_orders_are_fair():
+    """Every value reaches every place about equally often."""
+    at = R.orders(R.key_number(R.SEED, "k"), np.arange(20_000), 6)
+    counts = np.array([np.bincount(at[:, p], minlength=6) for p in range(6)])
+    assert abs(counts / 20_000 - 1 / 6).max() < 0.012
+    assert len({tuple(r) for r in at.tolist()}) == 720
+
+
+def test_values_that_are_not_finite(spark, paired):
+    bad = spark.createDataFrame(paired).withColumn("x", F.when((F.col("k") == "a") & (F.col("day") == 3), F.lit(float("nan"))).otherwise(F.col("x")))
+    got = {r["k"]: r for r in I.permutation_correlation(bad, ["k"], 100).collect()}
+    assert (got["a"]["status"], got["a"]["p_value"], got["a"]["statistic"]) == ("not_finite", None, None) and got["b"]["status"] == "ok"
+    rows = [("k", side, d, float("inf") if d == 3 else float(d)) for side in ("in", "out") for d in range(20)]
+    groups = I.standardized_difference(I.two_groups(spark.createDataFrame(rows, "k string, side string, day int, value double"), ["k"]))
+    (r,) = I.with_confidence(I.permutation_mean_difference(groups, ["k"], 100), 21).collect()
+    assert (r["effect"], r["p_value"], r["confidence"]) == (None, None, None)
 
 
 def test_score_tables(spark):

@@ -1,4 +1,3 @@
-import hashlib
 import math
 import random
 
@@ -6,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from deltatree.functions.replicates import SEED
+from deltatree.functions import replicates as R
 from deltatree.operators import whatif as W
 
 SCHEMA = "k string, day int, x double, y double"
@@ -38,11 +37,18 @@ def test_estimates(spark, rows):
     assert got["tiny"]["method"] == "refused" and got["flat_x"]["method"] == "refused"
 
 
+def test_one_day_that_is_not_finite(spark, rows):
+    bad = [("nan", d, float("nan") if d == 5 else 1.0 + d, 2.0 + d) for d in range(70)] + [("inf", d, 1.0 + d, float("inf") if d == 5 else 2.0 + d) for d in range(20)]
+    got = {r["k"]: r for r in W.estimate(spark.createDataFrame(bad, SCHEMA), ["k"], 120).collect()}
+    for key in ("nan", "inf"):
+        assert (got[key]["method"], got[key]["value"], got[key]["confidence"]) == ("refused", None, None) and "not finite" in got[key]["notes"]
+
+
 def test_bootstrap_against_numpy(spark, rows):
     noisy = [(math.log(r[2]), math.log(r[3])) for r in rows if r[0] == "noisy"]
     slopes = []
     for b in range(120):
-        pick = [int(hashlib.md5(f"{SEED}|noisy|{b}|{j}".encode()).hexdigest()[:8], 16) % 80 for j in range(80)]
+        pick = R.draws(R.key_number(R.SEED, "noisy"), np.array([b]), 80)[0]
         lx, ly = np.array([noisy[i][0] for i in pick]), np.array([noisy[i][1] for i in pick])
         slopes.append(np.cov(lx, ly, bias=True)[0, 1] / np.var(lx))
     packed = W.pack(spark.createDataFrame([r for r in rows if r[0] == "noisy"], SCHEMA), ["k"])
