@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from deltatree.functions import scalar as S
 from deltatree.functions.periods import Period
-from deltatree.operators.tree import LEVEL_DEPTH, MetricTree
+from deltatree.operators.tree import LEVEL_DEPTH, SUM, MetricTree
 from deltatree.operators.values import paired_values, slice_sets, weekly_lags
 
 BASELINE_WEEKS = 4
@@ -105,8 +105,7 @@ def node_changes(cube: DataFrame, tree: MetricTree, period: Period, max_level: i
     items = F.array(*[
         F.struct(
             F.lit(n.code).alias("code"), F.lit(n.level).alias("level"),
-            # A plain sum grows with the length of the period, a ratio does not.
-            F.lit("NULLIF" not in n.sql.upper()).alias("is_total"),
+            F.lit(n.aggregate == SUM).alias("is_total"),
             F.col(f"b_{n.code}").alias("base"), F.col(f"c_{n.code}").alias("current"),
         ) for n in nodes
     ])
@@ -121,7 +120,7 @@ def node_changes(cube: DataFrame, tree: MetricTree, period: Period, max_level: i
 def anomalies(cube: DataFrame, tree: MetricTree, period: Period, basis: str = "daily_mean",
               max_level: int = 3, sets: Sequence[Sequence[str]] = ((),),
               change_threshold: float = CHANGE_THRESHOLD, z_threshold: float = Z_THRESHOLD) -> DataFrame:
-    """Verdict for every node and slice, worst first.
+    """Verdict for every node and slice; ``by_severity`` puts the worst first.
 
     The band describes one day. ``daily_mean`` compares a total divided by the
     days of the period with it; ``period_total`` compares the undivided total.
@@ -134,22 +133,34 @@ def anomalies(cube: DataFrame, tree: MetricTree, period: Period, basis: str = "d
     compared = F.col("current")
     if basis == "daily_mean":
         compared = F.when(F.col("is_total"), F.col("current") / period.days).otherwise(F.col("current"))
-    return score(changes, band, keys, compared, change_threshold, z_threshold).orderBy(
-        F.col("severity").desc(), "code", "slice_id"
-    )
+    return score(changes, band, keys, compared, change_threshold, z_threshold)
+
+
+def by_severity(verdicts: DataFrame) -> DataFrame:
+    return verdicts.orderBy(F.col("severity").desc(), "code", "slice_id")
+
+
+def series_with_band(cube: DataFrame, tree: MetricTree, shown: Period, sets: Sequence[Sequence[str]] = ((),)) -> DataFrame:
+    """Daily values of every node and slice over the days shown, with the band that the weeks before give for these days."""
+    keys = ["slice_id", "code"]
+    days = cube.where((F.col("day") >= F.lit(date.fromisoformat(history_start(shown)))) & (F.col("day") <= F.lit(date.fromisoformat(shown.end))))
+    wide = slice_sets(days, ["day"], sets, tree.values())
+    series = wide.unpivot(["slice_id", "day"], [n.code for n in tree.nodes()], "code", "value").where(F.col("value").isNotNull())
+    return series.where(shown.holds(F.col("day"))).join(baseline_band(series, shown, keys), keys, "left")
 
 
 def run_status(rows: DataFrame, log: DataFrame, metric: str, start: str) -> DataFrame:
-    """Whether a metric and period was attributed before, and how the latest run ended.
+    """Whether a metric of a scenario was attributed before for a period, by which runs, and how the latest one ended.
 
-    The log stores a period as ``start..end`` or as one day; both match by start.
+    ``rows`` and ``log`` have a ``scenario``: trees may use the same codes. The log stores a period as ``start..end`` or as one day; both match by start.
     """
-    runs = log.withColumn("_start", F.to_date(F.split("period", r"\.\.")[0])).groupBy("metric", "_start").agg(
+    runs = log.withColumn("_start", F.to_date(F.split("period", r"\.\.")[0])).groupBy("scenario", "metric", "_start").agg(
         F.count(F.lit(1)).alias("n_runs"), F.max_by("status", "id").alias("latest_status"),
+        F.sort_array(F.collect_list("id")).alias("run_ids"),  # the runs of one metric and period are few
     )
-    joined = rows.join(runs, (rows[metric] == runs["metric"]) & (rows[start] == runs["_start"]), "left")
+    joined = rows.join(runs, (rows["scenario"] == runs["scenario"]) & (rows[metric] == runs["metric"]) & (rows[start] == runs["_start"]), "left")
     return joined.select(
         *[rows[c] for c in rows.columns],
         F.col("n_runs").isNotNull().alias("started"),
-        F.coalesce("n_runs", F.lit(0)).alias("n_runs"), "latest_status",
+        F.coalesce("n_runs", F.lit(0)).alias("n_runs"), "latest_status", F.coalesce("run_ids", F.array().cast(runs.schema["run_ids"].dataType)).alias("run_ids"),
     )

@@ -23,18 +23,26 @@ def _bucket(day: Column) -> Column:
 def in_promotion(days: DataFrame, promotions: Sequence[tuple]) -> DataFrame:
     """Adds promotion name and lift; yearly windows, the first listed one wins.
 
-    ``promotions``: (name, first month, first day, last month, last day, lift).
-    Windows are unrolled to days for the years in the data and joined by day.
+    ``promotions``: (name, first month, first day, last month, last day, lift). A window
+    whose last day is before its first one ends in the next year; 29 February is the
+    28th in other years. Windows are unrolled to days for the years in the data and joined by day.
     """
     listing = F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(name).alias("name"), F.lit(m0).alias("m0"), F.lit(d0).alias("d0"),
                  F.lit(m1).alias("m1"), F.lit(d1).alias("d1"), F.lit(float(lift)).alias("lift"))
         for i, (name, m0, d0, m1, d1, lift) in enumerate(promotions)
     ])
-    years = days.select(F.year("day").alias("y")).distinct()
+    # the year before as well: its last window may reach into the first year
+    years = days.select(F.explode(F.array(F.year("day"), F.year("day") - 1)).alias("y")).distinct()
+
+    def date_of(year: Column, month: Column, day: Column) -> Column:
+        first = F.make_date(year, month, F.lit(1))
+        return F.least(F.date_add(first, day - 1), F.last_day(first))
+
+    over = F.when(F.col("p.m1") * 100 + F.col("p.d1") < F.col("p.m0") * 100 + F.col("p.d0"), 1).otherwise(0)
     unrolled = years.select("y", F.explode(listing).alias("p")).select(
         "p.i", "p.name", "p.lift",
-        F.explode(F.sequence(F.make_date("y", "p.m0", "p.d0"), F.make_date("y", "p.m1", "p.d1"))).alias("day"),
+        F.explode(F.sequence(date_of(F.col("y"), F.col("p.m0"), F.col("p.d0")), date_of(F.col("y") + over, F.col("p.m1"), F.col("p.d1")))).alias("day"),
     )
     first = unrolled.groupBy("day").agg(
         F.min_by("name", "i").alias("promo_name"), F.min_by("lift", "i").alias("promo_lift"))
@@ -43,16 +51,22 @@ def in_promotion(days: DataFrame, promotions: Sequence[tuple]) -> DataFrame:
     ).withColumn("promo_lift", F.coalesce("promo_lift", F.lit(1.0)))
 
 
-def date_table(bounds: DataFrame, promotions: Sequence[tuple], season: Sequence[float]) -> DataFrame:
-    """Every calendar day between ``first_day`` and ``last_day`` of the one-row input."""
-    if len(season) != 12:
-        raise ValueError("season needs a factor for each month")
+def month_factors(daily: DataFrame, value: str) -> DataFrame:
+    """Rows ``(month, season_factor)``: mean daily value of a month of the year over that of all days."""
+    month = daily.groupBy(F.month("day").alias("month")).agg(F.avg(value).alias("_m"))
+    return month.select("month", (F.col("_m") / F.nullif(daily.agg(F.avg(value)).scalar(), F.lit(0.0))).alias("season_factor"))
+
+
+def date_table(bounds: DataFrame, promotions: Sequence[tuple], season: DataFrame) -> DataFrame:
+    """Every calendar day between ``first_day`` and ``last_day`` of the one-row input.
+
+    ``season``: (month, season_factor); a month without a factor has 1.
+    """
     days = bounds.select(F.explode(F.sequence("first_day", "last_day")).alias("day"))
-    factors = F.array(*[F.lit(float(x)) for x in season])
-    return in_promotion(days, promotions).select(
+    return in_promotion(days, promotions).join(season.withColumnRenamed("month", "_month"), F.month("day") == F.col("_month"), "left").select(
         "day", F.year("day").alias("year"), F.month("day").alias("month"), F.quarter("day").alias("quarter"),
         F.weekday("day").alias("weekday"), (F.weekday("day") >= 5).alias("is_weekend"),
-        "is_promo", "promo_name", F.element_at(factors, F.month("day")).alias("season_factor"), "promo_lift",
+        "is_promo", "promo_name", F.coalesce("season_factor", F.lit(1.0)).alias("season_factor"), "promo_lift",
     )
 
 

@@ -43,12 +43,13 @@ def substituted(x0: Column, x1: Column) -> tuple[Column, Column]:
     return z0, z1
 
 
-def _layer(node: Node, zero_policy: str) -> Column:
+def _layer(tree: MetricTree, node: Node, zero_policy: str) -> Column:
     """Struct of one parent: its factors with both values, and what they amount to."""
-    raw = [(F.col(f"b_{c.code}"), F.col(f"c_{c.code}")) for c in node.children]
+    children = tree.factors(node.code)
+    raw = [(F.col(f"b_{c.code}"), F.col(f"c_{c.code}")) for c in children]
     replaceable = node.structure != ADDITIVE and zero_policy == "substitute"
     if node.structure == ADDITIVE:
-        pairs = [(b, v) if c.sign > 0 else (-b + 0.0, -v + 0.0) for (b, v), c in zip(raw, node.children)]
+        pairs = [(b, v) if c.sign > 0 else (-b + 0.0, -v + 0.0) for (b, v), c in zip(raw, children)]
     elif replaceable:
         pairs = [substituted(b, v) for b, v in raw]
     else:
@@ -58,7 +59,7 @@ def _layer(node: Node, zero_policy: str) -> Column:
     factors = F.array(*[
         F.struct(F.lit(child.code).alias("factor"), F.lit(order).alias("child_order"),
                  b.alias("base"), v.alias("current"))
-        for order, (child, (b, v)) in enumerate(zip(node.children, pairs))
+        for order, (child, (b, v)) in enumerate(zip(children, pairs))
     ])
     return F.struct(
         F.lit(node.code).alias("node"), F.lit(METHOD_OF[node.structure]).alias("method"),
@@ -134,7 +135,7 @@ def decompose(
     """
     wanted = targets or auto_targets
     parents = [tree.find(code) for code in tree.visited(wanted)]
-    layers = pairs.select(*keys, F.inline(F.array(*[_layer(node, zero_policy) for node in parents])))
+    layers = pairs.select(*keys, F.inline(F.array(*[_layer(tree, node, zero_policy) for node in parents])))
     rows = _contributions(layers, keys, tolerance)
     if auto_targets and not targets:
         rows = rows.where((F.col("node") == tree.root.code) | (F.col("status") != "non_positive"))
@@ -160,14 +161,14 @@ def screen_targets(pairs: DataFrame, tree: MetricTree, keys: Sequence[str],
             structs.append(F.struct(F.lit(code).alias("node"), F.lit(False).alias("accepted"),
                                     F.lit("not in the dictionary").alias("reason")))
             continue
-        if not node.decomposable:
+        if not tree.splits(code):
             structs.append(F.struct(F.lit(code).alias("node"), F.lit(False).alias("accepted"),
                                     F.lit(f"structure {node.structure} is not split").alias("reason")))
             continue
         bad = F.filter(F.array(*[
             F.when((F.coalesce(F.col(f"b_{c.code}"), F.lit(0.0)) <= 0)
                    | (F.coalesce(F.col(f"c_{c.code}"), F.lit(0.0)) <= 0), F.lit(c.code))
-            for c in node.children
+            for c in tree.factors(code)
         ]), lambda x: x.isNotNull())
         structs.append(F.struct(
             F.lit(code).alias("node"), (F.size(bad) == 0).alias("accepted"),
@@ -182,7 +183,7 @@ def node_identities(wide: DataFrame, tree: MetricTree, keys: Sequence[str],
     """Declared value of every parent against the value its children give."""
     structs = []
     for node in tree.parents():
-        children = [F.col(c.code) * (c.sign if node.structure == ADDITIVE else 1) for c in node.children]
+        children = [F.col(c.code) * (c.sign if node.structure == ADDITIVE else 1) for c in tree.factors(node.code)]
         derived = _total(node, children)
         relative = S.relative_residual(F.col(node.code), derived)
         structs.append(F.struct(

@@ -129,12 +129,13 @@ def run_tests(tests: DataFrame, series: DataFrame, replicates: int = R.PERMUTATI
 
 
 def verify(hypotheses: DataFrame, results: DataFrame, shares: DataFrame | None = None,
-           required: int = COVERAGE_DAYS) -> DataFrame:
-    """Status, confidence and reason per hypothesis.
+           required: int = COVERAGE_DAYS, window: Period | None = None) -> DataFrame:
+    """Status, confidence and reason per hypothesis; ``required`` days, or those of the observation window if it is shorter.
 
     ``shares`` (slice_id, share): part of the total change; a slice below the
     minimum share cannot be a main cause.
     """
+    required = min(required, window.days) if window else required
     tested = results.where(F.col("kind") == "verify").drop("test_id", "kind", "code", "factor")
     rows = I.with_confidence(hypotheses.join(tested, "hypothesis_id", "left"), required)
     if shares is None:

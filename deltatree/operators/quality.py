@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltatree.operators.tree import MetricTree
+from deltatree.sources.tables import limited
 
 WEIGHT_TOLERANCE = 1e-6
 SOURCE_TYPES = ("official", "derived", "self_defined")
@@ -32,16 +33,21 @@ def narrow_slices(rows: DataFrame) -> DataFrame:
 
 
 def list_events(events: DataFrame, kind: str | None = None, start: str | None = None,
-                end: str | None = None, limit: int = 200) -> DataFrame:
-    """Live events of a type that touch ``start..end``, newest first."""
+                end: str | None = None, limit: int | None = None) -> DataFrame:
+    """Live events of a type that start on or after ``start`` and end on or before ``end``, newest first.
+
+    An open event has no end, so it isn't listed if ``end`` is given. With a ``limit`` the rows have a
+    ``status``, which is ``overflow`` if there are more.
+    """
     rows = events
     if kind:
         rows = rows.where(F.col("type") == kind)
     if start:
-        rows = rows.where(F.col("end_day").isNull() | (F.col("end_day") >= F.lit(date.fromisoformat(start))))
+        rows = rows.where(F.col("start_day") >= F.lit(date.fromisoformat(start)))
     if end:
-        rows = rows.where(F.col("start_day") <= F.lit(date.fromisoformat(end)))
-    return rows.orderBy(F.col("start_day").desc(), F.col("event_id").desc()).limit(limit)
+        rows = rows.where(F.col("end_day") <= F.lit(date.fromisoformat(end)))
+    newest = (F.col("start_day").desc(), F.col("event_id").desc())
+    return rows.orderBy(*newest) if limit is None else limited(rows, limit, newest)
 
 
 def booked_daily(cube: DataFrame) -> DataFrame:
@@ -140,7 +146,7 @@ def validate_nodes(cube: DataFrame, tree: MetricTree) -> DataFrame:
         try:
             fact.agg(node.value()).schema  # noqa: B018 - analysis is the check
         except Exception as error:  # noqa: BLE001 - the error text is the result
-            bad.append((node.code, str(error).splitlines()[0][:120]))
+            bad.append((node.code, str(error).splitlines()[0]))
         else:
             good.append(node)
     rows = fact.agg(*[n.value() for n in good]).unpivot([], [n.code for n in good], "code", "value").select(

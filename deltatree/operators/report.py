@@ -60,12 +60,18 @@ def flatten_report(reports: DataFrame) -> DataFrame:
 
 
 def content_checksum(rows: DataFrame) -> DataFrame:
-    """Digest of a report's rows in canonical order, one per slice."""
-    text = F.concat_ws("|", F.col("segment_index").cast("string"), F.col("position").cast("string"), "label", "display")
+    """Digest of a report's rows in canonical order, one per slice.
+
+    Every field, the value to four digits included, is written with its length in front and NULL as a
+    dash, so no two different rows have one text.
+    """
+    number = F.format_string("%.4f", F.col("value"))
+    parts = [F.col("segment_index").cast("string"), F.col("position").cast("string"), F.col("label"), F.when(F.col("value").isNotNull(), number), F.col("display")]
+    text = F.concat(*[F.when(p.isNull(), "-").otherwise(F.concat(F.length(p).cast("string"), F.lit(":"), p)) for p in parts])
     key = F.struct("segment_index", "position", "label", text.alias("t"))
     listed = F.transform(F.sort_array(F.collect_list(key)), lambda s: s["t"])
     return rows.groupBy("slice_id").agg(
-        F.sha2(F.array_join(listed, "\n"), 256).alias("checksum"), F.count(F.lit(1)).alias("n_fields"))
+        F.sha2(F.array_join(listed, ""), 256).alias("checksum"), F.count(F.lit(1)).alias("n_fields"))
 
 
 def cross_check(tree_change: DataFrame, anomaly_change: DataFrame, keys: Sequence[str],

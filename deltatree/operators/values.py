@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,34 +39,58 @@ def canonical_slice(dims: Column) -> Column:
     return F.when(F.size(entries) == 0, ALL).otherwise(name)
 
 
-def _prefix(text: str):
-    return lambda code: F.concat(F.lit(text), code)
+def slice_problem(dims: Column, names: Sequence[str]) -> Column:
+    """Why a slice map can't be used: a dimension that doesn't exist, or a list without codes; NULL if it can."""
+    return (
+        F.when(F.exists(F.map_keys(dims), lambda k: ~k.isin(list(names))), "unknown_dimension")
+        .when(F.exists(F.map_values(dims), lambda codes: F.coalesce(F.size(codes), F.lit(0)) <= 0), "empty_codes")
+    )
+
+
+def check_slices(slices: DataFrame, cube: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """Rows ``(slice_id, status)``: ok, unknown_dimension, empty_codes, or unknown_code if the cube lacks one of the codes."""
+    listed = slices.select("slice_id", F.explode_outer("dims").alias("dimension", "codes")).select(
+        "slice_id", "dimension", F.explode_outer("codes").alias("code"))
+    known = cube.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("code")) for d in dims])).alias("k")).select("k.*").distinct()
+    missing = listed.where("code is not null").join(known, ["dimension", "code"], "left_anti").select("slice_id").distinct().withColumn("_lost", F.lit(True))
+    return slices.join(missing, "slice_id", "left").select(
+        "slice_id", F.coalesce(slice_problem(F.col("dims"), dims), F.when(F.col("_lost"), "unknown_code"), F.lit("ok")).alias("status"))
+
+
+def _key(names: Sequence[str], code, used) -> Column:
+    """Which dimensions are fixed, and their codes, each in a field of its own."""
+    mask = reduce(lambda a, b: a + b, [F.when(used(d), F.lit(1 << i)).otherwise(0) for i, d in enumerate(names)], F.lit(0))
+    return F.struct(mask.alias("_mask"), *[F.when(used(d), code(d)).otherwise("").alias(d) for d in names])
 
 
 def slice_keys(slices: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """``(slice_id, slice_key)``: one key per combination of the codes of a slice."""
-    out = slices.select("slice_id", "dims")
-    for dim in sorted(dims):
+    """``(slice_id, slice_key)``: one key per combination of the codes of a slice.
+
+    A slice with a ``slice_problem`` has no key; ``check_slices`` reports it.
+    """
+    names = sorted(dims)
+    out = slices.select("slice_id", "dims").where(slice_problem(F.col("dims"), names).isNull())
+    for dim in names:
         listed = F.array_distinct(F.try_element_at("dims", F.lit(dim)))
-        codes = F.transform(listed, _prefix(f"{dim}="))
-        out = out.withColumn(f"_{dim}", F.explode(F.coalesce(codes, F.array(F.lit(None).cast("string")))))
-    return out.select("slice_id", F.concat_ws("&", *[f"_{d}" for d in sorted(dims)]).alias("slice_key")).distinct()
+        out = out.withColumn(f"_{dim}", F.explode(F.coalesce(listed, F.array(F.lit(None).cast("string")))))
+    return out.select("slice_id", _key(names, lambda d: F.col(f"_{d}"), lambda d: F.col(f"_{d}").isNotNull()).alias("slice_key")).distinct()
 
 
-def join_slices(cube: DataFrame, slices: DataFrame, dims: Sequence[str], most: int = 3) -> DataFrame:
+def join_slices(cube: DataFrame, slices: DataFrame, dims: Sequence[str]) -> DataFrame:
     """As ``tag_slices`` for a table ``(slice_id, dims map<string, array<string>>)``.
 
-    A cube row offers one key per subset of its dimensions (8 for three) and a
-    slice one per combination of its codes, so matching is one equi-join whose
-    work does not grow with rows x slices. Use it on the cube, not on line rows.
+    A cube row offers one key for each set of dimensions that a slice fixes, and a
+    slice has one per combination of its codes, so matching is one equi-join whose
+    work does not grow with rows x slices. Use it on the cube, not on line rows. Slices that can't be
+    used match nothing and are reported by ``check_slices``; none becomes wider.
     """
     names = sorted(dims)
-    keys = [
-        F.concat_ws("&", *[F.concat(F.lit(f"{d}="), F.col(d)) for d in subset])
-        for size in range(0, min(most, len(names)) + 1) for subset in combinations(names, size)
-    ]
-    offered = cube.withColumn("slice_key", F.explode(F.array(*keys)))
-    return offered.join(slice_keys(slices, names), "slice_key").drop("slice_key")
+    keys = slice_keys(slices, names)
+    # at most one entry for each subset of the dimensions
+    masks = keys.agg(F.sort_array(F.collect_set("slice_key._mask"))).scalar()
+    offered = cube.withColumn("_use", F.explode(masks))
+    offered = offered.withColumn("slice_key", _key(names, F.col, lambda d: F.col("_use").bitwiseAND(1 << names.index(d)) > 0)).drop("_use")
+    return offered.join(keys, "slice_key").drop("slice_key")
 
 
 def slice_sets(cube: DataFrame, keys: Sequence[str], sets: Sequence[Sequence[str]],

@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from deltatree.operators import anomaly as A
 from deltatree.operators import values as V
-from deltatree.operators.calendar import date_table
+from deltatree.operators.calendar import date_table, month_factors
 from deltatree.plans.common import WEEK, amount, amount_sql, cte, orders_cube, query, r, r_sql, retail
 from deltatree.plans.relational import PROMOTIONS
 from deltatree.sources import facts as X
 
 SETS = ((), ("channel",))
-SEASON = (0.92, 0.95, 1.0, 1.02, 1.03, 1.05, 0.98, 0.97, 1.04, 1.06, 1.15, 1.10)
 
 NODE_SQL = {
     "revenue": ("r", True), "orders": ("o", True), "basket": ("u / o", False), "lines_per_order": ("l / o", False),
@@ -37,6 +36,9 @@ SELECT day, CASE WHEN GROUPING(channel) = 0 THEN 'channel=' || channel ELSE 'all
 FROM v GROUP BY GROUPING SETS ((day), (day, channel))
 """)
 cte("day_nodes", long_nodes("day_sums", "day, slice_id"))
+cte("season", "SELECT month(day) AS month, AVG(revenue_cents) / (SELECT AVG(revenue_cents) FROM daily) AS season_factor FROM daily GROUP BY 1")
+
+
 def band_chain(p: str, period) -> None:
     """Subqueries which score one period: change, band, z-score and verdict."""
     cte(f"{p}_sums", f"""
@@ -76,6 +78,9 @@ FROM {p}_scored
 
 
 band_chain("an", WEEK)
+#: The days of a chart; its band is that of the days themselves.
+SHOWN = WEEK.trailing(60)
+band_chain("sb", SHOWN)
 
 
 def cube(spark, d):
@@ -104,13 +109,15 @@ def _(spark, d):
 
 
 @query("an3_season", f"""
-SELECT slice_id, code, {amount_sql(f'centre * {SEASON[0]}::DOUBLE')} AS baseline_value, {amount_sql('sigma')} AS sigma, {SEASON[0]}::DOUBLE AS season_factor FROM an_band
+SELECT slice_id, code, {amount_sql('centre * season_factor')} AS baseline_value, {amount_sql('sigma')} AS sigma, {r_sql('season_factor')} AS season_factor FROM an_band, season
+WHERE month = month(DATE '{WEEK.start}')
 """)
 def _(spark, d):
     """The centre moves with the mean season factor of the period's days; the width does not."""
     _, series = A.node_changes(cube(spark, d), retail(), WEEK, sets=SETS)
     bounds = X.order_heads(spark, d).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
-    season = date_table(bounds, PROMOTIONS, SEASON).select("day", "season_factor")
+    factors = month_factors(orders_cube(spark, d, measures=("revenue_cents",)), "revenue_cents")
+    season = date_table(bounds, PROMOTIONS, factors).select("day", "season_factor")
     band = A.baseline_band(series, WEEK, ["slice_id", "code"], season=season)
     return band.select("slice_id", "code", amount("baseline_value"), amount("sigma"), r("season_factor").alias("season_factor"))
 
@@ -154,10 +161,10 @@ FROM an_verdicts LEFT JOIN runs USING (code) WHERE basis = 'daily_mean'
 """)
 def _(spark, d):
     """All nodes of the tree, with the state of earlier runs for the same week."""
-    rows = A.anomalies(cube(spark, d), retail(), WEEK, sets=SETS).withColumn("start_day", F.lit(WEEK.start).cast("date"))
+    rows = A.anomalies(cube(spark, d), retail(), WEEK, sets=SETS).withColumn("start_day", F.lit(WEEK.start).cast("date")).withColumn("scenario", F.lit("retail"))
     days = X.order_heads(spark, d, (), WEEK.start, WEEK.end).select("day").distinct()
     log = days.select(
-        F.datediff("day", F.lit("1970-01-01").cast("date")).alias("id"),
+        F.datediff("day", F.lit("1970-01-01").cast("date")).alias("id"), F.lit("retail").alias("scenario"),
         F.when(F.dayofmonth("day") % 2 == 0, "revenue").otherwise("basket").alias("metric"),
         F.lit(f"{WEEK.start}..{WEEK.end}").alias("period"),
         F.when(F.dayofmonth("day") % 3 == 0, "failed").otherwise("done").alias("status"))
@@ -168,21 +175,16 @@ def _(spark, d):
 @query("an7_series_band", f"""
 SELECT n.slice_id, n.code, n.day, {amount_sql('n.value')} AS value, {amount_sql('centre')} AS baseline_value, {amount_sql('centre - 2 * sigma')} AS baseline_low,
        {amount_sql('centre + 2 * sigma')} AS baseline_high
-FROM day_nodes n LEFT JOIN an_band b USING (slice_id, code) WHERE {in_period(WEEK.trailing(60))}
+FROM day_nodes n LEFT JOIN sb_band b USING (slice_id, code) WHERE {in_period(SHOWN)}
 """)
 def _(spark, d):
-    window = WEEK.trailing(60)
-    daily = V.slice_sets(cube(spark, d), ["day"], SETS, retail().values())
-    series = daily.unpivot(["slice_id", "day"], [n.code for n in retail().nodes()], "code", "value").where(
-        F.col("value").isNotNull())
-    band = A.baseline_band(series.where(F.col("day") >= F.lit(A.history_start(WEEK)).cast("date")), WEEK, ["slice_id", "code"])
-    rows = series.where(window.holds(F.col("day"))).join(band, ["slice_id", "code"], "left")
+    rows = A.series_with_band(cube(spark, d), retail(), SHOWN, sets=SETS)
     return rows.select("slice_id", "code", "day", amount("value"), amount("baseline_value"), amount("baseline_low"), amount("baseline_high"))
 
 
 @query("so2_severity_order", f"""
-SELECT slice_id, code, {r_sql('severity', 4)} AS severity FROM an_verdicts WHERE basis = 'daily_mean' ORDER BY an_verdicts.severity DESC, code, slice_id LIMIT 10
+SELECT slice_id, code, {r_sql('severity', 4)} AS severity FROM an_verdicts WHERE basis = 'daily_mean'
 """)
 def _(spark, d):
-    rows = A.anomalies(cube(spark, d), retail(), WEEK, sets=SETS).limit(10)
+    rows = A.by_severity(A.anomalies(cube(spark, d), retail(), WEEK, sets=SETS))
     return rows.select("slice_id", "code", r("severity", 4).alias("severity"))

@@ -67,7 +67,8 @@ BASE = Period("1997-12-04", "1997-12-31")
 CURRENT = Period("1998-01-01", "1998-01-28")
 WEEK = Period("1998-01-05", "1998-01-11")
 OBSERVED = CURRENT.trailing(42)
-WHATIF = Period("1998-01-01", "1998-04-30")
+#: What-if series end with the current period.
+WHATIF = CURRENT.trailing(120)
 
 IN_BASE = f"day BETWEEN DATE '{BASE.start}' AND DATE '{BASE.end}'"
 IN_CURRENT = f"day BETWEEN DATE '{CURRENT.start}' AND DATE '{CURRENT.end}'"

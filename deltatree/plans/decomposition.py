@@ -38,8 +38,8 @@ FACTOR_LISTS = {
     "mf_margin": [
         ("profit", "diff", "r-d-t-m", [("revenue", "r", 1), ("discount_cost", "d", -1), ("tax_cost", "t", -1), ("material_cost", "m", -1)]),
         ("revenue", "lmdi", "r", [("units", "u", 1), ("avg_price", "r/u", 1)]),
-        ("discount_cost", "lmdi", "d", [("discount_base", "r", 1), ("discount_rate", "d/r", 1)]),
-        ("material_cost", "lmdi", "m", [("raw_units", "u", 1), ("unit_cost", "m/u", 1)]),
+        ("discount_cost", "lmdi", "d", [("discount_lines", "l", 1), ("discount_per_line", "d/l", 1)]),
+        ("material_cost", "lmdi", "m", [("material_lines", "l", 1), ("units_in_line", "u/l", 1), ("material_per_unit", "m/u", 1)]),
     ],
 }
 
@@ -130,10 +130,10 @@ def _(spark, d):
 REFUND_TREE = {
     "scenarios": [{"code": "refund", "name": "Refunds", "dimensions": ["channel", "region", "segment"], "root": {
         "code": "refund", "name": "Refunds", "level": "composite", "structure": "multiplicative", "method": "lmdi",
-        "sql": "SUM(CASE WHEN fact.status = 'R' THEN fact.revenue_cents ELSE 0 END)",
+        "sql": "SUM(CASE WHEN fact.status = 'R' THEN fact.revenue_cents ELSE 0 END)", "aggregate": "sum",
         "children": [
-            {"code": "lines", "name": "Lines", "level": "atomic", "sql": "SUM(fact.lines)"},
-            {"code": "refund_rate", "name": "Refund per line", "level": "derived", "structure": "unresolvable",
+            {"code": "lines", "name": "Lines", "level": "atomic", "sql": "SUM(fact.lines)", "aggregate": "sum"},
+            {"code": "refund_rate", "name": "Refund per line", "level": "derived", "structure": "unresolvable", "aggregate": "ratio",
              "sql": "CAST(SUM(CASE WHEN fact.status = 'R' THEN fact.revenue_cents ELSE 0 END) AS DOUBLE) / NULLIF(SUM(fact.lines), 0)"},
         ]}}]}
 
@@ -213,11 +213,11 @@ def _(spark, d):
 
 @query("dc10_screen", """
 SELECT month, slice_id, node, bad IS NULL AS accepted, COALESCE('not positive: ' || bad, '') AS reason FROM (
- SELECT month, slice_id, 'discount_cost' AS node, NULLIF(concat_ws(',', CASE WHEN COALESCE(r0, 0) <= 0 OR COALESCE(r1, 0) <= 0 THEN 'discount_base' END,
-   CASE WHEN COALESCE(d0, 0) <= 0 OR COALESCE(d1, 0) <= 0 THEN 'discount_rate' END), '') AS bad FROM mp
+ SELECT month, slice_id, 'discount_cost' AS node, NULLIF(concat_ws(',', CASE WHEN COALESCE(l0, 0) <= 0 OR COALESCE(l1, 0) <= 0 THEN 'discount_lines' END,
+   CASE WHEN COALESCE(d0, 0) <= 0 OR COALESCE(d1, 0) <= 0 THEN 'discount_per_line' END), '') AS bad FROM mp
  UNION ALL SELECT month, slice_id, 'revenue', NULLIF(concat_ws(',', CASE WHEN COALESCE(u0, 0) <= 0 OR COALESCE(u1, 0) <= 0 THEN 'units' END,
    CASE WHEN COALESCE(r0, 0) <= 0 OR COALESCE(r1, 0) <= 0 THEN 'avg_price' END), '') FROM mp)
-UNION ALL SELECT month, slice_id, 'units', FALSE, 'structure additive is not split' FROM mp
+UNION ALL SELECT month, slice_id, 'units', FALSE, 'structure atomic is not split' FROM mp
 UNION ALL SELECT month, slice_id, 'nowhere', FALSE, 'not in the dictionary' FROM mp
 """)
 def _(spark, d):
@@ -281,7 +281,7 @@ def _(spark, d):
 
 REFUND_NODE = {"scenarios": [{"code": "r", "name": "r", "root": {
     "code": "refund", "name": "Refunds", "level": "composite",
-    "sql": "SUM(CASE WHEN fact.status = 'R' THEN fact.revenue_cents END)"}}]}
+    "sql": "SUM(CASE WHEN fact.status = 'R' THEN fact.revenue_cents END)", "aggregate": "sum"}}]}
 
 TABLE_SETS = "((category), (category, channel), (category, channel, sku))"
 cte("ref_vals", f"""
@@ -393,11 +393,11 @@ UNION ALL SELECT 'per_void', NULL, FALSE UNION ALL SELECT 'broken', NULL, FALSE
 """)
 def _(spark, d):
     raw = {"scenarios": [{"code": "x", "name": "x", "root": {
-        "code": "revenue", "name": "Revenue", "level": "composite", "structure": "additive", "sql": "SUM(fact.revenue_cents)",
+        "code": "revenue", "name": "Revenue", "level": "composite", "structure": "additive", "method": "diff", "sql": "SUM(fact.revenue_cents)", "aggregate": "sum",
         "children": [
-            {"code": "per_void", "name": "Divided by nothing", "level": "derived", "structure": "unresolvable",
+            {"code": "per_void", "name": "Divided by nothing", "level": "derived", "structure": "unresolvable", "aggregate": "ratio",
              "sql": "CAST(SUM(fact.revenue_cents) AS DOUBLE) / NULLIF(SUM(fact.units - fact.units), 0)"},
-            {"code": "broken", "name": "Unknown column", "level": "atomic", "sql": "SUM(fact.no_such_column)"}]}}]}
+            {"code": "broken", "name": "Unknown column", "level": "atomic", "sql": "SUM(fact.no_such_column)", "aggregate": "sum"}]}}]}
     tree = parse_dictionary(raw)["x"]
     return Q.validate_nodes(orders_cube(spark, d, period=CURRENT), tree).select("code", "value", "passed")
 

@@ -10,22 +10,19 @@ from deltatree.operators import hypotheses as H
 from deltatree.operators import quality as Q
 from deltatree.operators import shocks as K
 from deltatree.operators import values as V
-from deltatree.operators.calendar import date_table
-from deltatree.plans.anomaly import SEASON, in_period
+from deltatree.operators.calendar import date_table, month_factors
+from deltatree.plans.anomaly import in_period
 from deltatree.plans.common import amount_sql, amount, cte, lines_cube, margin, orders_cube, query, r, r_sql, retail
-from deltatree.plans.relational import PROMOTIONS, derived_parameters
+from deltatree.plans.relational import PROMOTIONS, TABLES, derived_parameters, in_promotion_sql
 from deltatree.plans.statistics import ALL_SETS, DIMS, chain, deviations
 from deltatree.session import cut_lineage
 from deltatree.sources import facts as X
 
-EXPECTED = ("customer", "lineitem", "nation", "no_such_table", "orders", "part", "region")
-
-
 @query("dq1_tables", " UNION ALL ".join(
     f"SELECT '{t}' AS name, COUNT(*) AS n_rows, CASE WHEN COUNT(*) > 0 THEN 'ok' ELSE 'empty' END AS status FROM {t}"
-    for t in EXPECTED if t != "no_such_table") + " UNION ALL SELECT 'no_such_table', 0, 'missing'")
+    for t in TABLES))
 def _(spark, d):
-    return Q.table_status(spark, d, EXPECTED)
+    return Q.table_status(spark, d, TABLES)
 
 
 @query("dq2_reconcile", """
@@ -45,9 +42,9 @@ cte("last28", "SELECT MIN(day) AS s, MAX(day) AS e FROM (SELECT day FROM cal_day
 
 @query("dq3_metric_values", f"""
 SELECT code, {amount_sql('value')} AS value, TRUE AS passed FROM (
- SELECT unnest(['profit', 'revenue', 'units', 'avg_price', 'discount_cost', 'discount_base', 'discount_rate', 'tax_cost', 'material_cost', 'raw_units', 'unit_cost']) AS code,
-  unnest([r - dc - t - m, r, u, r / u, dc, r, dc / r, t, m, u, m / u]) AS value
- FROM (SELECT SUM(revenue_cents)::DOUBLE AS r, SUM(units)::DOUBLE AS u, SUM(discount_cents)::DOUBLE AS dc, SUM(tax_cents)::DOUBLE AS t, SUM(material_cents)::DOUBLE AS m
+ SELECT unnest(['profit', 'revenue', 'units', 'avg_price', 'discount_cost', 'discount_lines', 'discount_per_line', 'tax_cost', 'material_cost', 'material_lines', 'units_in_line', 'material_per_unit']) AS code,
+  unnest([r - dc - t - m, r, u, r / u, dc, l, dc / l, t, m, l, u / l, m / u]) AS value
+ FROM (SELECT SUM(revenue_cents)::DOUBLE AS r, COUNT(*)::DOUBLE AS l, SUM(units)::DOUBLE AS u, SUM(discount_cents)::DOUBLE AS dc, SUM(tax_cents)::DOUBLE AS t, SUM(material_cents)::DOUBLE AS m
        FROM v, last28 WHERE day BETWEEN s AND e))
 """)
 def _(spark, d):
@@ -61,7 +58,7 @@ def _(spark, d):
 WITH t AS (SELECT COUNT(DISTINCT order_id)::DOUBLE AS o, COUNT(*)::DOUBLE AS l, SUM(units)::DOUBLE AS u, SUM(revenue_cents)::DOUBLE AS r, SUM(discount_cents)::DOUBLE AS dc,
                   SUM(tax_cents)::DOUBLE AS t, SUM(material_cents)::DOUBLE AS m FROM v),
 x AS (SELECT unnest(['retail', 'retail', 'margin', 'margin', 'margin', 'margin']) AS scenario, unnest(['revenue', 'basket', 'profit', 'revenue', 'discount_cost', 'material_cost']) AS node,
-             unnest([r, u / o, r - dc - t - m, r, dc, m]) AS declared, unnest([o * (u / o) * (r / u), (l / o) * (u / l), r - dc - t - m, u * (r / u), r * (dc / r), u * (m / u)]) AS derived FROM t)
+             unnest([r, u / o, r - dc - t - m, r, dc, m]) AS declared, unnest([o * (u / o) * (r / u), (l / o) * (u / l), r - dc - t - m, u * (r / u), l * (dc / l), l * (u / l) * (m / u)]) AS derived FROM t)
 SELECT scenario, node, {amount_sql('declared')} AS declared, {amount_sql('derived')} AS derived, abs(declared - derived) / greatest(abs(derived), 1) < 1e-9 AS passed FROM x
 """)
 def _(spark, d):
@@ -105,15 +102,14 @@ def cells(spark, d):
     return orders_cube(spark, d, DIMS, measures=MEASURES)
 
 
-FUNNEL = K.Shock("funnel", "orders", ("units", "lines", "orders"), 0.4, Period("1998-02-02", "1998-02-15"), {"region": ["EUROPE", "ASIA"]}, funnel=True)
+FUNNEL = K.Shock("funnel", "orders", ("lines", "orders"), 4.0, Period("1998-02-02", "1998-02-15"), {"region": ["EUROPE", "ASIA"]}, stages=("units", "lines", "orders"))
 
 
 @query("pe1_inject", f"""
 WITH f AS (SELECT *, {in_period(FUNNEL.window)} AND region IN ('EUROPE', 'ASIA') AS hit FROM shocked),
-g AS (SELECT *, CASE WHEN hit THEN CAST(round_even(units * 0.4::DOUBLE, 0) AS BIGINT) ELSE units END AS u2 FROM f),
-h AS (SELECT *, CASE WHEN hit THEN least(CAST(round_even(lines * 0.4::DOUBLE, 0) AS BIGINT), u2) ELSE lines END AS l2 FROM g)
-SELECT day, channel, CAST(SUM(u2) AS BIGINT) AS units, CAST(SUM(l2) AS BIGINT) AS lines,
-       CAST(SUM(CASE WHEN hit THEN least(CAST(round_even(orders * 0.4::DOUBLE, 0) AS BIGINT), l2) ELSE orders END) AS BIGINT) AS orders,
+h AS (SELECT *, CASE WHEN hit THEN least(CAST(round_even(lines * 4.0::DOUBLE, 0) AS BIGINT), units) ELSE lines END AS l2 FROM f)
+SELECT day, channel, CAST(SUM(units) AS BIGINT) AS units, CAST(SUM(l2) AS BIGINT) AS lines,
+       CAST(SUM(CASE WHEN hit THEN least(CAST(round_even(orders * 4.0::DOUBLE, 0) AS BIGINT), l2) ELSE orders END) AS BIGINT) AS orders,
        CAST(SUM(revenue_cents) AS BIGINT) AS revenue_cents
 FROM h GROUP BY 1, 2
 """)
@@ -197,42 +193,42 @@ def _(spark, d):
     return Q.parameter_violations(derived_parameters(spark, d))
 
 
-SEASON_SQL = "[" + ", ".join(f"{x}::DOUBLE" for x in SEASON) + "]"
+def season(spark, d):
+    """Month factors of revenue per selling day."""
+    return month_factors(orders_cube(spark, d, measures=("revenue_cents",)), "revenue_cents")
 
 
 @query("dq9_date_table", f"""
 SELECT day, year(day)::INT AS year, month(day)::INT AS month, quarter(day)::INT AS quarter, (isodow(day) - 1)::INT AS weekday, isodow(day) >= 6 AS is_weekend,
-       promo_name IS NOT NULL AS is_promo, promo_name, {SEASON_SQL}[month(day)] AS season_factor, COALESCE(promo_lift, 1.0) AS promo_lift
+       promo_name IS NOT NULL AS is_promo, promo_name, {r_sql('COALESCE(season_factor, 1.0::DOUBLE)')} AS season_factor, COALESCE(promo_lift, 1.0) AS promo_lift
 FROM (SELECT CAST(unnest(range((SELECT MIN(day) FROM cal_days)::TIMESTAMP, (SELECT MAX(day) FROM cal_days)::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day)
-LEFT JOIN all_promo USING (day)
+LEFT JOIN all_promo USING (day) LEFT JOIN season ON season.month = month(day)
 """)
 def _(spark, d):
     bounds = X.order_heads(spark, d).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
-    return date_table(bounds, PROMOTIONS, SEASON)
+    return date_table(bounds, PROMOTIONS, season(spark, d)).withColumn("season_factor", r("season_factor"))
 
 
 _promo = ", ".join(f"({i}, '{n}', {a * 100 + b}, {c * 100 + e}, {lift}::DOUBLE)" for i, (n, a, b, c, e, lift) in enumerate(PROMOTIONS))
 cte("all_promo", f"""
 SELECT day, arg_min(name, i) AS promo_name, arg_min(lift, i) AS promo_lift FROM
  (SELECT CAST(unnest(range((SELECT MIN(day) FROM cal_days)::TIMESTAMP, (SELECT MAX(day) FROM cal_days)::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day)
-JOIN (VALUES {_promo}) p(i, name, s, e, lift) ON month(day) * 100 + day(day) BETWEEN s AND e GROUP BY day
+JOIN (VALUES {_promo}) p(i, name, s, e, lift) ON {in_promotion_sql("day")} GROUP BY day
 """)
 
-PRICE_FACTORS = {"ECONOMY": 0.78, "LARGE": 1.42, "MEDIUM": 0.95, "PROMO": 1.15, "SMALL": 0.85}
-
-
 @query("dq10_sku_costs", """
 SELECT part_id, category, price AS standard_price_cents, CAST(round_even(price * (1.0::DOUBLE - margin), 0) AS BIGINT) AS unit_cost_cents FROM (
- SELECT p_partkey AS part_id, p_type AS category, CAST(round_even(CAST(round(p_retailprice * 100) AS BIGINT) * (CASE p_type WHEN 'ECONOMY' THEN 0.78 WHEN 'LARGE' THEN 1.42
-   WHEN 'MEDIUM' THEN 0.95 WHEN 'PROMO' THEN 1.15 WHEN 'SMALL' THEN 0.85 ELSE 1.0 END)::DOUBLE, 0) AS BIGINT) AS price, margin
- FROM part JOIN (SELECT sku, round(SUM(discount_cents) / SUM(revenue_cents)::DOUBLE, 4) AS margin FROM v GROUP BY 1) ON sku = p_brand)
+ SELECT p_partkey AS part_id, p_type AS category, CAST(round_even(CAST(round(p_retailprice * 100) AS BIGINT) * factor, 0) AS BIGINT) AS price, margin
+ FROM part JOIN (SELECT p_type AS t, round(AVG(round(p_retailprice * 100)) / (SELECT AVG(round(p_retailprice * 100)) FROM part), 4) AS factor FROM part GROUP BY 1) ON t = p_type
+ JOIN (SELECT sku, round(SUM(discount_cents) / SUM(revenue_cents)::DOUBLE, 4) AS margin FROM v GROUP BY 1) ON sku = p_brand)
 """)
 def _(spark, d):
-    """Standard price per part by category factor, cost by the brand's observed discount as margin."""
+    """Standard price per part by the category's price level, cost by the brand's observed discount as margin."""
     parts = X.table(spark, d, "part").select(
         F.col("p_partkey").alias("part_id"), F.col("p_type").alias("category"), F.col("p_brand").alias("sku"),
         X.cents(F.col("p_retailprice")).alias("price_cents"))
-    factors = spark.createDataFrame(list(PRICE_FACTORS.items()), "category string, factor double")
+    level = parts.agg(F.avg("price_cents")).scalar()
+    factors = parts.groupBy("category").agg(F.round(F.avg("price_cents") / level, 4).alias("factor"))
     sums = lines_cube(spark, d, ("sku",), measures=("revenue_cents", "discount_cents")).groupBy("sku").agg(
         F.round(F.sum("discount_cents") / F.sum("revenue_cents"), 4).alias("margin"))
     return Q.derive_skus(parts, factors, sums).select("part_id", "category", "standard_price_cents", "unit_cost_cents")
@@ -281,21 +277,16 @@ def _(spark, d):
     return rows.select("total", *[r(c).alias(c) for c in ("top1_rate", "top3_rate", "median_relative_error", "max_relative_error")], "all_conserved")
 
 
-NEGATIVES = (
-    ("wrong_channel", "orders", {"channel": ["5-LOW"]}), ("far_region", "basket", {"region": ["AFRICA"]}),
-    ("tiny_slice", "lines_per_order", {"channel": ["1-URGENT"], "region": ["ASIA"]}), ("noise", "price_per_unit", {}),
-    ("one_segment", "units_per_line", {"segment": ["MACHINERY"]}),
-)
-
-
-def _null(text):
-    return f"'{text}'" if text else "CAST(NULL AS VARCHAR)"
-
+#: Wrong causes by construction: a factor of a slice that sells least over the whole history.
+NEGATIVES = (("least_channel", "orders", ("channel",)), ("least_region", "basket", ("region",)), ("least_segment", "price_per_unit", ("segment",)),
+             ("least_pair", "lines_per_order", ("channel", "region")))
 
+cte("least", "SELECT " + ", ".join(
+    f"(SELECT arg_min({dim}, s) FROM (SELECT {dim}, SUM(revenue_cents) AS s FROM v GROUP BY 1)) AS {dim}" for dim in DIMS))
 cte("neg_list", " UNION ALL ".join(
     f"SELECT '{i}' AS hypothesis_id, '{f}' AS factor, 'down' AS direction, "
-    + ", ".join(f"{_null((spec.get(dim) or [None])[0])} AS h_{dim}" for dim in DIMS)
-    for i, f, spec in NEGATIVES))
+    + ", ".join(f"{dim if dim in dims else 'CAST(NULL AS VARCHAR)'} AS h_{dim}" for dim in DIMS) + " FROM least"
+    for i, f, dims in NEGATIVES))
 chain("neg", "neg_list", "day BETWEEN (SELECT e - 41 FROM last28) AND (SELECT e FROM last28)",
       "day BETWEEN (SELECT CAST(s - CAST(e - s + 1 AS INT) AS DATE) FROM last28) AND (SELECT s - 1 FROM last28)",
       "day BETWEEN (SELECT s FROM last28) AND (SELECT e FROM last28)")
@@ -308,8 +299,11 @@ def negative_cases(spark, d):
     bounds = last_days(cube, (28,)).first()
     current = Period(bounds["start_day"].isoformat(), bounds["end_day"].isoformat())
     observed = current.trailing(H.OBSERVATION_DAYS)
-    rows = [(i, f, spec, "down") for i, f, spec in NEGATIVES]
-    hyps = spark.createDataFrame(rows, "hypothesis_id string, factor string, dims map<string,array<string>>, direction string")
+    least = {dim: cube.groupBy(dim).agg(F.sum("revenue_cents").alias("s")).agg(F.min(F.struct("s", dim))[dim]).scalar() for dim in DIMS}
+    rows = F.array(*[F.struct(
+        F.lit(i).alias("hypothesis_id"), F.lit(f).alias("factor"), F.lit("down").alias("direction"),
+        F.create_map(*[x for dim in dims for x in (F.lit(dim), F.array(least[dim]))]).alias("dims")) for i, f, dims in NEGATIVES])
+    hyps = cut_lineage(spark.range(1).select(F.inline(rows)), "negatives")
     hyps = hyps.withColumn("slice_id", V.canonical_slice(F.col("dims")))
     pairs = V.period_values(cube, retail(), current.previous(), current, ALL_SETS)
     tests = H.tests_for(hyps, cube, retail())
@@ -338,7 +332,7 @@ def _(spark, d):
 @query("el3_history", """
 SELECT year(month) * 100 + month(month) AS id, 'run ' || strftime(month, '%Y-%m') AS label, CASE WHEN month(month) % 2 = 0 THEN 'attribution' ELSE 'negatives' END AS dataset,
        CAST(orders AS BIGINT) AS total, CASE WHEN month(month) % 2 = 0 THEN round(lines / units, 4) END AS top1_rate, CASE WHEN month(month) % 2 = 1 THEN round(orders / lines, 4) END AS accept_rate
-FROM month_sums WHERE slice_id = 'all' ORDER BY id DESC LIMIT 20
+FROM month_sums WHERE slice_id = 'all'
 """)
 def _(spark, d):
     """Stored runs as JSON, one per month of the data."""
@@ -350,4 +344,4 @@ def _(spark, d):
         F.when(even, "attribution").otherwise("negatives").alias("dataset"),
         F.to_json(F.struct(F.col("orders").cast("long").alias("total"), F.when(even, F.round(F.col("lines") / F.col("units"), 4)).alias("top1_rate"),
                            F.when(~even, F.round(F.col("orders") / F.col("lines"), 4)).alias("accept_rate"))).alias("metrics_json"))
-    return K.evaluation_history(runs, 20)
+    return K.evaluation_history(runs)

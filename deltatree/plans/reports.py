@@ -23,12 +23,12 @@ from deltatree.session import cut_lineage
 from deltatree.sources.tables import load_events
 
 SETS = ((), ("channel",))
-TOP_CODES = 3
+TOP_CODES = 5
 
 # factor, knob, action, owner, cycle, adjustment to look up
 PLAYBOOK = (
-    ("orders", "promo_mix", "shift budget towards the channels that gained", "growth lead", "2 weeks", 0.10),
-    ("price_per_unit", "price_index", "test price bands in the largest category", "pricing lead", "4 weeks", 0.08),
+    ("orders", "lines_mix", "call the customers whose orders stopped", "account managers", "every month", 0.20),
+    ("price_per_unit", "avg_price", "review the list prices of the parts that sell most", "price desk", "every quarter", -0.10),
 )
 
 band_chain("rpb", CURRENT)
@@ -76,7 +76,7 @@ def price_curve(cube):
     est = with_base(W.estimate(price_pairs(cube, SETS), ["slice_id"]), cube)
     points = W.curve(est, ["slice_id", "base_value"]).where(F.col("reason") == "")
     ratio = {c: F.col(c) / F.col("base_value") for c in ("expected", "expected_low", "expected_high")}
-    return est, points.select("slice_id", F.lit("price_index").alias("knob"), "adjustment", *[v.alias(k) for k, v in ratio.items()])
+    return est, points.select("slice_id", F.lit("avg_price").alias("knob"), "adjustment", *[v.alias(k) for k, v in ratio.items()])
 
 
 def playbook(spark):
@@ -104,7 +104,7 @@ def _(spark, d):
 
 
 cte("rp_points", """
-SELECT slice_id, 'price_index' AS knob, adjustment, expected / base_value AS expected, expected_low / base_value AS expected_low, expected_high / base_value AS expected_high
+SELECT slice_id, 'avg_price' AS knob, adjustment, expected / base_value AS expected, expected_low / base_value AS expected_low, expected_high / base_value AS expected_high
 FROM wi_curve WHERE reason = '' AND slice_id NOT LIKE '%&%'
 """)
 _book = ", ".join(f"('{f}', '{k}', '{a}', '{o}', '{c}', {w}::DOUBLE)" for f, k, a, o, c, w in PLAYBOOK)
@@ -254,8 +254,11 @@ def _(spark, d):
 
 
 @query("rp4_checksum", """
-SELECT slice_id, sha256(string_agg(concat_ws('|', segment_index, CAST(position AS INT), label, display), chr(10) ORDER BY segment_index, position, label)) AS checksum, COUNT(*) AS n_fields
-FROM rp_rows GROUP BY 1
+SELECT slice_id, sha256(string_agg(t, '' ORDER BY segment_index, position, label, t)) AS checksum, COUNT(*) AS n_fields FROM (
+ SELECT slice_id, segment_index, CAST(position AS INT) AS position, label,
+  array_to_string(list_transform([CAST(segment_index AS VARCHAR), CAST(CAST(position AS INT) AS VARCHAR), label, printf('%.4f', CAST(value AS DOUBLE)), display],
+   lambda x: CASE WHEN x IS NULL THEN '-' ELSE length(x) || ':' || x END), '') AS t FROM rp_rows)
+GROUP BY 1
 """)
 def _(spark, d):
     return R.content_checksum(segments(spark, d))

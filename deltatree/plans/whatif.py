@@ -153,20 +153,20 @@ def _(spark, d):
 
 
 KNOBS = (
-    W.Knob("margin", "price_index", "Price level", "CAST(SUM(fact.revenue_cents) AS DOUBLE) / NULLIF(SUM(fact.units), 0)"),
-    W.Knob("margin", "discount_rate", "Discount rate", "CAST(SUM(fact.discount_cents) AS DOUBLE) / NULLIF(SUM(fact.revenue_cents), 0)"),
-    W.Knob("margin", "promo_mix", "Promotion mix", "", "promotions are not recorded on the lines"),
+    W.Knob("margin", "avg_price", "Average price", "CAST(SUM(fact.revenue_cents) AS DOUBLE) / NULLIF(SUM(fact.units), 0)"),
+    W.Knob("margin", "tax_rate", "Tax rate", "CAST(SUM(fact.tax_cents) AS DOUBLE) / NULLIF(SUM(fact.revenue_cents), 0)"),
+    W.Knob("margin", "lines_mix", "Mix of lines", "", "the mix of lines follows from the customers' orders"),
 )
 
 
 @query("wi7_knobs", """
-SELECT channel, factor, CASE factor WHEN 'weather' THEN 'not_intervenable' WHEN 'promo_mix' THEN 'not_estimable' ELSE 'ok' END AS status,
-       CASE factor WHEN 'promo_mix' THEN 'promotions are not recorded on the lines' WHEN 'weather' THEN NULL ELSE '' END AS reject_reason
-FROM (SELECT DISTINCT channel FROM v), (SELECT unnest(['price_index', 'discount_rate', 'promo_mix', 'weather']) AS factor)
+SELECT channel, factor, CASE factor WHEN 'ship_date' THEN 'not_intervenable' WHEN 'lines_mix' THEN 'not_estimable' ELSE 'ok' END AS status,
+       CASE factor WHEN 'lines_mix' THEN 'the mix of lines follows from the customers'' orders' WHEN 'ship_date' THEN NULL ELSE '' END AS reject_reason
+FROM (SELECT DISTINCT channel FROM v), (SELECT unnest(['avg_price', 'tax_rate', 'lines_mix', 'ship_date']) AS factor)
 """)
 def _(spark, d):
     channels = orders_cube(spark, d, ("channel",), measures=("orders",)).select("channel").distinct()
-    wanted = F.array(*[F.lit(x) for x in ("price_index", "discount_rate", "promo_mix", "weather")])
+    wanted = F.array(*[F.lit(x) for x in ("avg_price", "tax_rate", "lines_mix", "ship_date")])
     requests = channels.select("channel", F.lit("margin").alias("scenario"), F.explode(wanted).alias("factor"))
     declared = {"margin": trees()["margin"].intervenable_factors}
     return W.resolve_knobs(requests, declared, KNOBS).select("channel", "factor", "status", "reject_reason")

@@ -189,3 +189,67 @@ def test_hot_part_is_split(spark, skewed):
     df = X.line_rows(own, skewed[0], ("sku",), ("units", "material_cents"))
     assert len(df.collect()) == 3000
     assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slices_are_refused_not_widened(spark, skewed):
+    cube = X.daily_cube(spark, skewed[0], ("channel", "region"), ("units",))
+    rows = [("ok", {"channel": ["0-X"]}), ("sku", {"channel": ["0-X"], "sku": ["x"]}), ("none", {"region": []}), ("code", {"region": ["R1", "nowhere"]})]
+    table = spark.createDataFrame(rows, "slice_id string, dims map<string,array<string>>")
+    assert {r[0]: r[1] for r in V.check_slices(table, cube, ("channel", "region")).collect()} == {
+        "ok": "ok", "sku": "unknown_dimension", "none": "empty_codes", "code": "unknown_code"}
+    assert {r[0] for r in V.join_slices(cube, table, ("channel", "region")).select("slice_id").distinct().collect()} == {"ok", "code"}
+
+
+def test_four_dimensions_and_codes_with_separators(spark):
+    cube = spark.createDataFrame([("a&b=c", "x", "y", "z", 1), ("a", "b=c&x", "y", "z", 2)], "p string, q string, r string, s string, n int")
+    table = spark.createDataFrame([("one", {"p": ["a&b=c"], "q": ["x"], "r": ["y"], "s": ["z"]}), ("two", {"q": ["x", "b=c&x"]})], "slice_id string, dims map<string,array<string>>")
+    got = {(r["slice_id"], r["n"]) for r in V.join_slices(cube, table, ("p", "q", "r", "s")).collect()}
+    assert got == {("one", 1), ("two", 1), ("two", 2)}
+
+
+def test_promotion_over_the_year_end(spark):
+    from datetime import date
+
+    from deltatree.operators.calendar import in_promotion
+
+    days = spark.createDataFrame([(date(1997, m, d),) for m, d in ((1, 1), (1, 6), (2, 28), (6, 15), (12, 24), (12, 31))], "day date")
+    got = {r["day"].isoformat()[5:]: r["promo_name"] for r in in_promotion(days, [("turn", 12, 25, 1, 5, 1.5), ("leap", 2, 29, 3, 1, 1.1)]).collect()}
+    assert got == {"01-01": "turn", "01-06": None, "02-28": "leap", "06-15": None, "12-24": None, "12-31": "turn"}
+
+
+def test_event_list_holds_whole_events_and_marks_a_cut(spark):
+    from datetime import date
+
+    rows = [(i, "promotion", date(1998, 1, i), date(1998, 1, i + 2) if i < 9 else None) for i in range(1, 10)]
+    events = spark.createDataFrame(rows, "event_id int, type string, start_day date, end_day date")
+    assert [r["event_id"] for r in Q.list_events(events, "promotion", "1998-01-03", "1998-01-08").collect()] == [6, 5, 4, 3]
+    assert {r["status"] for r in Q.list_events(events, limit=4).collect()} == {"overflow"}
+
+
+def test_shocks_clamp_to_the_stage_before_and_must_not_overlap(spark):
+    from deltatree.functions.periods import Period
+    from deltatree.operators import shocks as K
+
+    week = Period("1998-01-01", "1998-01-07")
+    df = spark.createDataFrame([("1998-01-02", 10, 8, 6)], "day string, created long, paid long, shipped long").selectExpr("cast(day as date) day", "created", "paid", "shipped")
+    shock = K.Shock("s", "paid", ("paid", "shipped"), 2.0, week, stages=("created", "paid", "shipped"))
+    assert tuple(K.inject_shock(df, shock).first())[1:] == (10, 10, 10)
+    with pytest.raises(ValueError, match="overlap"):
+        K.inject_shocks(df, (shock, K.Shock("t", "paid", ("paid",), 1.5, week)))
+
+
+def test_checksums_differ_with_any_field(spark):
+    from deltatree.operators import report as R
+
+    rows = [(s, 1, "x", 1, a, v, b) for s, a, v, b in (("p", "a|b", 1.0, "c"), ("q", "a", 1.0, "b|c"), ("r", "a|b", 2.0, "c"), ("s", "a|b", None, "c"), ("t", "a|b", 1.0, None))]
+    df = spark.createDataFrame(rows, "slice_id string, segment_index int, segment string, position int, label string, value double, display string")
+    assert len({r["checksum"] for r in R.content_checksum(df).collect()}) == 5
+
+
+def test_run_log_keeps_scenarios_apart(spark):
+    from deltatree.operators.anomaly import run_status
+
+    log = spark.createDataFrame([(1, "retail", "revenue", "1998-01-01", "done"), (2, "retail", "revenue", "1998-01-01..1998-01-31", "failed")], "id int, scenario string, metric string, period string, status string")
+    rows = spark.createDataFrame([("retail", "revenue"), ("margin", "revenue")], "scenario string, code string").selectExpr("*", "date '1998-01-01' as start_day")
+    got = {r["scenario"]: (r["n_runs"], r["latest_status"], r["run_ids"]) for r in run_status(rows, log, "code", "start_day").collect()}
+    assert got == {"retail": (2, "failed", [1, 2]), "margin": (0, None, [])}
