@@ -53,9 +53,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Paths that this driver has handed out and not removed.
+_written: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(scratch_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh path below the shared folder; ``remove_scratch`` removes what was written there."""
+    path = os.path.join(scratch_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    _written.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Remove written intermediate tables: ``paths``, or all of this driver once nothing reads them any more."""
+    for path in list(_written if paths is None else paths):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        if path in _written:
+            _written.remove(path)
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:

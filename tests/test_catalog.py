@@ -21,7 +21,9 @@ SAMPLE = (
     "src1_load_facts", "src3_load_parameters", "src7_write_results", "flt2_slice_table", "flt7_narrow", "prj2_unknown_label",
     "jn4_outer", "jn6_weekly_lags", "jn7_events_near", "jn10_dense_grid", "ag6_pivots", "ag9_fingerprint",
     "dc5_lmdi_zero", "dc8_tree", "dc11_decompose", "dc15_dimension_table", "dc16_ranked", "an5_verdict", "in3_permutation_correlation",
-    "ev3_match", "wi4_estimate", "dq6_staleness", "pe1_inject", "st1_daily_stream",
+    "ev3_match", "wi4_estimate", "dq6_staleness", "pe1_inject", "st1_daily_stream", "flt4_refused", "flt8_event_list", "jn5_align", "jn8_promo_days",
+    "jn11_reconcile", "jn12_run_log", "an7_series_band", "wi7_knobs", "set3_warnings", "dq1_tables", "dq9_date_table", "dq10_sku_costs", "el2_negative_cases",
+    "rp5_actions",
 )
 
 
