@@ -126,10 +126,10 @@ def windows(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray
     keep = np.arange(at[-1]) - np.repeat(at[:-1], count) + np.repeat(offsets[:-1], count)
     out = rolled[keep]
     for d in np.flatnonzero((words > 0) & (words < k)):
-        h = np.uint64(words[d])
-        for w in hashes[offsets[d]:offsets[d + 1]]:
-            h = mix(np.array([h * _MIX1 + w]))[0]
-        out[at[d]] = h
+        h = np.array([words[d]], np.uint64)
+        for w in range(offsets[d], offsets[d + 1]):
+            h = mix(h * _MIX1 + hashes[w:w + 1])
+        out[at[d]] = h[0]
     return out, at
 
 

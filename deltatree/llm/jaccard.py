@@ -8,12 +8,12 @@ How it is spread over a cluster:
 
 1. Documents of the same set are one class (a 128-bit digest of the sorted set), so copies, however many, are one
    row of everything that follows.
-2. Candidates, without a loss. Two sets of sizes ``a`` and ``b`` that reach the threshold differ in at most
-   ``k = (1 - t) / (1 + t) * (a + b)`` tokens. If the token space is cut into ``k + 1`` ranges, one range at
-   least is the same in both. So each document emits one signature per range, for its own size level and the next one
-   (a level spans sizes up to a factor 1 / t, so linked sizes are in one level or in two adjacent ones).
-   A signature covers about 1 / (1 - t) tokens, so a phrase that very many documents share makes no candidates by itself.
-3. Equal signatures are linked with their smallest class; the connected components of these candidate links
+2. Candidates, without a loss. Document frequencies of all n-grams are counted, by bucket of n-gram. A linked document shares at least
+   a share ``t`` of its ``n`` n-grams with one other, so a document with fewer that anyone else has is linked with
+   nothing and is done. Of the others' n-grams, ordered by frequency (rare first), the first ``n - ceil(t * n) + 1`` hold one
+   that a linked document has among its own first ones. A phrase that very many documents share comes last in
+   that order, so it makes no candidates by itself.
+3. Equal n-grams among those are linked with their smallest class; the connected components of these candidate links
    are the neighbourhoods: every true link lies inside one.
 4. Each neighbourhood is joined exactly by the token-group matrix. A neighbourhood of more than ``block`` classes is
    dealt out as pairs of blocks of compatible size levels, so no task holds an unbounded group.
@@ -39,8 +39,10 @@ from deltatree.session import cut_lineage
 
 #: Classes of a neighbourhood that one task compares; beyond, pairs of blocks of this size.
 BLOCK = 2048
-#: Signatures that one bucket holds, about.
-BUCKET = 400_000
+#: N-grams that one bucket holds, about.
+BUCKET = 2_000_000
+#: A side of a join is broadcast up to so many rows; beyond, both sides are shuffled.
+BROADCAST_ROWS = 200_000
 #: Members of a group in the token-group matrix.
 GROUP = 32
 
@@ -62,40 +64,6 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if s.size else b""
 
 
-class Levels:
-    """Size levels and the number of ranges that a level needs."""
-
-    def __init__(self, percent: int):
-        self.percent, self.tops = percent, [1]
-        self.reach(1 << 24)
-
-    def reach(self, n: int) -> None:
-        while self.tops[-1] < n:
-            self.tops.append(max(self.tops[-1] + 1, self.tops[-1] * 100 // self.percent))
-
-    def of(self, n: int) -> int:
-        """The level is the first one whose largest size is ``n`` or more."""
-        self.reach(n)
-        return int(np.searchsorted(self.tops, n))
-
-    def ranges(self, level: int) -> int:
-        self.reach(self.tops[-1] + 1) if level >= len(self.tops) else None
-        return (100 - self.percent) * 2 * self.tops[level] // (100 + self.percent) + 1
-
-
-def signatures(s: np.ndarray, levels: Levels) -> np.ndarray:
-    """One 64-bit signature for each range of the token space, for the set's level and the next one."""
-    own, out = levels.of(s.size), []
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(A.mix(s ^ np.uint64(0x5851F42D4C957F2D)))])
-    high = s >> np.uint64(32)
-    for level in (own, own + 1):
-        p = levels.ranges(level)
-        bounds = np.searchsorted((high * np.uint64(p)) >> np.uint64(32), np.arange(p + 1, dtype=np.uint64))
-        salt = np.arange(p, dtype=np.uint64) + np.uint64((level + 1) << 32)
-        out.append(A.mix((total[bounds[1:]] - total[bounds[:-1]]) ^ A.mix(salt)))
-    return np.concatenate(out)
-
-
 def _node(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
@@ -115,49 +83,138 @@ def document_sets(docs: DataFrame, k: int, table: np.ndarray = A.SPACED) -> Data
         run, "doc_id long, mark long, n_shingles long, digest binary, node long")
 
 
+def _cuts(keys: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in use and the places where each begins, of sorted keys below ``count``."""
+    cut = np.searchsorted(keys, np.arange(count + 1))
+    return np.flatnonzero(np.diff(cut)), cut
+
+
+def _blobs(data: np.ndarray, used: np.ndarray, cut: np.ndarray) -> pa.Array:
+    return pa.array([data[cut[i]:cut[i + 1]].tobytes() for i in used], pa.binary())
+
+
+def _joined(blobs: list[bytes], kind) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind)
+
+
+def _spread(values: np.ndarray, count: int) -> np.ndarray:
+    """Numbers below ``count`` for 64-bit values, in the order of the values."""
+    return (((values >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)).astype(np.int64)
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Places where any of the keys changes, the first one included."""
+    changed = np.zeros(keys[0].size, bool)
+    changed[:1] = True
+    for k in keys:
+        changed[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(changed)
+
+
 def candidate_links(docs: DataFrame, k: int, percent: int, buckets: int, table: np.ndarray = A.SPACED) -> DataFrame:
-    """Rows ``(a, b)``: classes of different sets that share a signature, each with the smallest one of the signature.
+    """Rows ``(a, b)``: classes that share one of their rarest n-grams, each with the smallest one that has it.
 
-    Signatures travel packed, one row for each slice of text and bucket; a row of Spark for
+    N-grams travel packed, grouped by document: one row for each slice of text and bucket; a row of Spark for
     each of them would cost several times the work.
     """
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = Levels(percent)
         for batch in batches:
             for part in A.slices(batch, most=4 * A.SLICE_BYTES):
                 classes = {d: s for s in _sets(part, "text", k, table) if (d := _digest(s))}
                 if not classes:
                     continue
-                each = [signatures(s, levels) for s in classes.values()]
-                sig = np.concatenate(each)
-                node = np.repeat(np.array([_node(d) for d in classes], np.int64), [x.size for x in each])
-                bucket = ((sig >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                order = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-                sig, node = sig[order].astype(np.uint32), node[order]
-                used = np.flatnonzero(np.diff(cut))
+                n = np.array([s.size for s in classes.values()])
+                node = np.array([_node(d) for d in classes], np.int64)
+                gram, owner = np.concatenate(list(classes.values())), np.repeat(np.arange(n.size), n)
+                bucket, low = _spread(gram, buckets), gram.astype(np.uint32)
+                order = np.lexsort((low, owner, bucket))
+                order = order[_starts(bucket[order], owner[order], low[order])]  # n-grams are known by bucket and 32 bits from here on
+                bucket, owner, low = bucket[order], owner[order], low[order]
+                first = _starts(bucket, owner)
+                size = np.bincount(owner, minlength=n.size)
+                # n-grams that are compared, and distinct ones
+                needed = np.stack([n - -(-percent * n // 100) + 1, size], 1).astype(np.uint32)
+                used, cut = _cuts(bucket, buckets)
+                _, group = _cuts(bucket[first], buckets)
+                counts = np.diff(np.append(first, bucket.size)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(used, pa.int32()), pa.array([sig[cut[i]:cut[i + 1]].tobytes() for i in used], pa.binary()),
-                    pa.array([node[cut[i]:cut[i + 1]].tobytes() for i in used], pa.binary())], ["bucket", "sig", "node"])
-
-    def link(sigs: list[bytes], nodes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        sig, node = np.frombuffer(b"".join(sigs), np.uint32), np.frombuffer(b"".join(nodes), np.int64)
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        first = np.concatenate([[True], sig[1:] != sig[:-1]])
-        leader = node[np.maximum.accumulate(np.where(first, np.arange(sig.size), 0))]
-        found = np.flatnonzero(leader != node)
-        pairs = np.unique(np.stack([node[found], leader[found]], 1), axis=0)
-        return pairs[:, 0], pairs[:, 1]
+                    pa.array(used, pa.int32()), _blobs(low, used, cut), _blobs(node[owner[first]], used, group), _blobs(counts, used, group),
+                    _blobs(needed[owner[first]], used, group)], ["bucket", "grams", "nodes", "counts", "needed"])
+
+    def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What more than one class has, sorted out by class: its bucket, frequency and 32 bits."""
+        for bucket, cols in runs(batches, "bucket", ("grams", "nodes", "counts", "needed")):
+            names, index, back = np.unique(_joined(cols["nodes"], np.int64), return_index=True, return_inverse=True)
+            needed = _joined(cols["needed"], np.uint32).reshape(-1, 2)[index]
+            key = np.sort((_joined(cols["grams"], np.uint32).astype(np.uint64) << np.uint64(32)) | np.repeat(
+                back, _joined(cols["counts"], np.uint32)).astype(np.uint64))
+            key = key[_starts(key)]  # a class that several slices hold
+            first = _starts(key >> np.uint64(32))
+            frequency = np.diff(np.append(first, key.size))
+            frequency = np.repeat(frequency, frequency)
+            key, frequency = key[frequency > 1], frequency[frequency > 1]
+            if not key.size:
+                continue
+            owner, gram = (key & np.uint64(0xFFFFFFFF)).astype(np.int64), (key >> np.uint64(32)).astype(np.uint32)
+            rank = np.floor(4 * np.log2(frequency)).astype(np.uint8)
+            target = _spread(A.mix(names.view(np.uint64)), buckets)[owner]
+            order = np.lexsort((owner, target))
+            owner, gram, rank, target = owner[order], gram[order], rank[order], target[order]
+            first = _starts(owner)
+            used, cut = _cuts(target, buckets)
+            _, group = _cuts(target[first], buckets)
+            counts = np.diff(np.append(first, owner.size)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(used, pa.int32()), pa.array(np.full(used.size, bucket), pa.int32()), _blobs(gram, used, cut), _blobs(rank, used, cut),
+                _blobs(names[owner[first]], used, group), _blobs(counts, used, group), _blobs(needed[owner[first]], used, group)],
+                ["target", "bucket", "grams", "ranks", "nodes", "counts", "needed"])
+
+    def rarest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first n-grams of every class that enough of them are shared of."""
+        for _, cols in runs(batches, "target", ("bucket", "grams", "ranks", "nodes", "counts", "needed")):
+            names, index, back = np.unique(_joined(cols["nodes"], np.int64), return_index=True, return_inverse=True)
+            needed = _joined(cols["needed"], np.uint32).reshape(-1, 2)[index].astype(np.int64)
+            owner = np.repeat(back, _joined(cols["counts"], np.uint32))
+            gram = _joined(cols["grams"], np.uint32).astype(np.uint64) | (np.repeat(
+                np.array(cols["bucket"], np.uint64), [len(g) // 4 for g in cols["grams"]]) << np.uint64(32))
+            take = needed[:, 0] - (needed[:, 1] - np.bincount(owner, minlength=names.size))  # n-grams of its own come before all others
+            able = take[owner] > 0
+            owner, gram, rank = owner[able], A.mix(gram[able]), _joined(cols["ranks"], np.uint8)[able]
+            order = np.lexsort((gram, rank, owner))
+            owner, gram = owner[order], gram[order]
+            first = _starts(owner)
+            at = np.arange(owner.size) - np.repeat(first, np.diff(np.append(first, owner.size)))
+            owner, gram = owner[at < take[owner]], gram[at < take[owner]]
+            bucket = _spread(gram, buckets)
+            order = np.argsort(bucket, kind="stable")
+            used, cut = _cuts(bucket[order], buckets)
+            if used.size:
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), _blobs(gram[order], used, cut), _blobs(names[owner[order]], used, cut)],
+                                                 ["bucket", "grams", "nodes"])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, cols in runs(batches, "bucket", ("sig", "node")):
-            a, b = link(cols["sig"], cols["node"])
-            if a.size:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for _, cols in runs(batches, "bucket", ("grams", "nodes")):
+            gram, node = _joined(cols["grams"], np.uint64), _joined(cols["nodes"], np.int64)
+            order = np.lexsort((node, gram))
+            gram, node = gram[order], node[order]
+            first = _starts(gram)
+            leader = np.repeat(node[first], np.diff(np.append(first, gram.size)))
+            pairs = np.unique(np.stack([node, leader], 1)[leader != node], axis=0)
+            if pairs.size:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+
+    def by(df: DataFrame, key: str) -> DataFrame:
+        return df.repartition(key).sortWithinPartitions(key)
+
+    packed = docs.select("text").mapInArrow(emit, "bucket int, grams binary, nodes binary, counts binary, needed binary")
+    found = by(packed, "bucket").mapInArrow(shared, "target int, bucket int, grams binary, ranks binary, nodes binary, counts binary, needed binary")
+    first = by(found, "target").mapInArrow(rarest, "bucket int, grams binary, nodes binary")
+    return by(first, "bucket").mapInArrow(meet, "a long, b long")
+
 
-    packed = docs.select("text").mapInArrow(emit, "bucket int, sig binary, node binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, which is read from a written table, marked for a broadcast if its counted rows are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def runs(batches: Iterable[pa.RecordBatch], key: str, columns: tuple[str, ...]) -> Iterator[tuple[object, dict[str, list]]]:
@@ -341,11 +398,14 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, table: np.ndarray =
         (F.col("doc_id") == F.col("component_id")) & (F.col("mark") == F.col("kept_mark")), F.lit(False))
     verdicts = found.join(keeper, "component_id", "left").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), stays.alias("stays"), (F.col("n_shingles") > 0).alias("some")).groupBy(
         "_id", "_mark").agg(F.max("stays").alias("_stays"), (F.max("some") & (F.count("*") > 1)).alias("_again"))
+    verdicts = cut_lineage(verdicts, "verdicts")
     columns = docs.columns
+    gone, again = _small(verdicts.where("not _stays")), _small(verdicts.where("_stays and _again").select("_id", "_mark"))
     row = docs.select(F.struct(*(docs[c] for c in columns)).alias("_row"), docs["doc_id"].cast("long").alias("_doc"), F.xxhash64(docs["text"]).alias("_text"))
-    kept = row.join(verdicts.where("_stays"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_mark")))
-    return kept.where(~F.col("_again")).select("_row").unionByName(
-        kept.where("_again").groupBy("_doc", "_text").agg(F.first("_row").alias("_row")).select("_row")).select("_row.*")
+    here = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_mark"))
+    kept = row.join(gone, here, "left_anti")
+    single = kept.join(again, here, "left_anti").select("_row")
+    return single.unionByName(kept.join(again, here, "left_semi").groupBy("_doc", "_text").agg(F.first("_row").alias("_row")).select("_row")).select("_row.*")
 
 
 def _components(docs: DataFrame, k: int, percent: int, table: np.ndarray, block: int) -> DataFrame:
@@ -353,13 +413,12 @@ def _components(docs: DataFrame, k: int, percent: int, table: np.ndarray, block:
     docs = docs.select("doc_id", "text")
     sets = cut_lineage(document_sets(docs, k, table), "sets")
     classes = sets.where("n_shingles > 0").groupBy("digest", "node", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
-    per_token = 2 * (100 - percent) / (100 + percent) * 2.3
-    work = sets.agg(F.sum(F.col("n_shingles") * per_token + 2)).first()[0] or 0
+    work = sets.agg(F.sum("n_shingles")).first()[0] or 0
     spark = docs.sparkSession
     buckets = int(min(1 << 20, max(int(spark.conf.get("spark.sql.shuffle.partitions")), work / BUCKET)))
     near = components(candidate_links(docs, k, percent, buckets, table), "a", "b")
     members = cut_lineage(classes.join(near, "node"), "members")
-    links = components(exact_links(docs, _tasks(members, percent, block), k, percent, table), "a", "b")
+    links = components(exact_links(docs, _small(cut_lineage(_tasks(members, percent, block), "tasks")), k, percent, table), "a", "b")
     lowest = members.select("digest", "doc_id").join(links.select(F.col("node").alias("digest"), F.col("root").alias("top")), "digest")
     ids = lowest.groupBy("top").agg(F.min("doc_id").alias("component_id"))
     moved = lowest.join(ids, "top").select("digest", "component_id")
