@@ -49,8 +49,8 @@ def _power(which: str, n: int) -> np.ndarray:
     return _powers[which][:n]
 
 
-def text_bytes(column: pa.Array) -> tuple[bytes, np.ndarray]:
-    """The joined UTF-8 bytes of a string column and the len + 1 offsets into them."""
+def _strings(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """A string column without nulls, and the len + 1 offsets into its buffer of bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not pa.types.is_string(column.type) and not pa.types.is_large_string(column.type):
@@ -58,7 +58,12 @@ def text_bytes(column: pa.Array) -> tuple[bytes, np.ndarray]:
     column = column.fill_null("")
     wide = pa.types.is_large_string(column.type)
     at = np.frombuffer(column.buffers()[1] or bytes(8), np.int64 if wide else np.int32)
-    at = at[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    return column, at[column.offset:column.offset + len(column) + 1].astype(np.int64)
+
+
+def text_bytes(column: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The joined UTF-8 bytes of a string column and the len + 1 offsets into them."""
+    column, at = _strings(column)
     data = column.buffers()[2]
     if data is None or not len(column):
         return b"", np.zeros(len(column) + 1, np.int64)
@@ -67,7 +72,7 @@ def text_bytes(column: pa.Array) -> tuple[bytes, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``most`` bytes of text; at least one row each."""
-    _, at = text_bytes(batch.column(column))
+    _, at = _strings(batch.column(column))
     begin = 0
     while begin < batch.num_rows:
         end = max(begin + 1, int(np.searchsorted(at, at[begin] + most, "right")) - 1)

@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltatree.session import cut_lineage
+from deltatree.session import remove_scratch, scratch_path
 
 
-def _stars(edges: DataFrame, larger: bool) -> DataFrame:
+def _write(df: DataFrame, paths: list[str]) -> DataFrame:
+    path = scratch_path(df.sparkSession, "edges")
+    df.write.parquet(path)
+    paths.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _stars(edges: DataFrame, larger: bool, paths: list[str]) -> DataFrame:
     """Each node's larger (or smaller) neighbours, linked with its smallest neighbour.
 
     The smallest neighbour is an aggregate with partial sums, so a node with very
-    many neighbours isn't gathered; the join back is one that AQE can split.
+    many neighbours isn't gathered. It is written, so that both sides of the join back are
+    plain exchanges and AQE can split such a node there.
     """
     if larger:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
+    lowest = _write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")), paths)
     linked = both.join(lowest, "a").select(F.col("b").alias("x"), "root", "a")
     if larger:
         out = linked.where("x > a").select(F.col("x").alias("a"), F.col("root").alias("b"))
@@ -43,11 +51,15 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     logarithm of the component's size; every round is written to the shared folder.
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    now = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    paths: list[str] = []
+    now = _write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), paths)
     for _ in range(rounds):
         if _are_stars(now):
             break
-        now = cut_lineage(_stars(_stars(now, True), False).distinct(), "edges")
+        large = _write(_stars(now, True, paths), paths)
+        now = _write(_stars(large, False, paths).distinct(), paths)
+        remove_scratch(edges.sparkSession, paths[:-1])  # nothing reads the rounds before
+        del paths[:-1]
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

@@ -119,7 +119,7 @@ def candidate_links(docs: DataFrame, k: int, percent: int, buckets: int, table:
     """
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in A.slices(batch, most=4 * A.SLICE_BYTES):
+            for part in A.slices(batch, most=2 * A.SLICE_BYTES):
                 classes = {d: s for s in _sets(part, "text", k, table) if (d := _digest(s))}
                 if not classes:
                     continue
@@ -392,8 +392,9 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, table: np.ndarray =
     without a shingle all stay; so do texts whose component has no id at all, one row for each text. All columns stay as they are.
     """
     found = cut_lineage(_components(docs, k, percent, table, block), "components")
-    keeper = found.where("n_shingles > 0 and component_id is not null").groupBy("component_id").agg(
-        F.min(F.when(F.col("doc_id") == F.col("component_id"), F.col("mark"))).alias("kept_mark"))
+    # written, so that a component with very many documents can be split in the join
+    keeper = cut_lineage(found.where("n_shingles > 0 and component_id is not null").groupBy("component_id").agg(
+        F.min(F.when(F.col("doc_id") == F.col("component_id"), F.col("mark"))).alias("kept_mark")), "keepers")
     stays = (F.col("n_shingles") == 0) | F.col("component_id").isNull() | F.coalesce(
         (F.col("doc_id") == F.col("component_id")) & (F.col("mark") == F.col("kept_mark")), F.lit(False))
     verdicts = found.join(keeper, "component_id", "left").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), stays.alias("stays"), (F.col("n_shingles") > 0).alias("some")).groupBy(

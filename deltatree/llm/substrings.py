@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from deltatree.llm import arrays as A
 from deltatree.llm.jaccard import runs
+from deltatree.session import cut_lineage
 
 MIN_CHUNK, MAX_CHUNK, WINDOW, RUN = 8, 64, 16, 3
 #: Digests a task gathers before it packs them, and digests of a bucket, about.
-BUFFER, BUCKET = 1_500_000, 400_000
+BUFFER, BUCKET = 800_000, 400_000
 MIN_WORDS = 30
 #: Stands for a null doc_id, which is the last of all.
 NO_ID = (1 << 63) - 1
@@ -174,8 +175,9 @@ def _copies(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").fill_null(NO_ID), pa.array([text_digest(text[b:e]) for b, e in zip(at, at[1:], strict=False)], pa.binary())], ["doc_id", "copy"])
 
-    named = docs.mapInArrow(name, "doc_id long, copy binary").groupBy("copy", "doc_id").agg(F.count("*").alias("rows"))
-    first = named.groupBy("copy").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    # both tables are written, so that a text with very many copies can be split in the join
+    named = cut_lineage(docs.mapInArrow(name, "doc_id long, copy binary").distinct(), "texts")
+    first = cut_lineage(named.groupBy("copy").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"), "copies")
     return named.join(first, "copy").where("doc_id > first").select("doc_id", "copy", "first")
 
 
