@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from deltatree.operators import anomaly as A
 from deltatree.operators import values as V
 from deltatree.operators.calendar import date_table, month_factors
-from deltatree.plans.common import WEEK, amount, amount_sql, cte, orders_cube, query, r, r_sql, retail
+from deltatree.plans.common import WEEK, amount, amount_sql, cte, orders_cube, query, r, r_sql, retail, in_money, in_money_sql
 from deltatree.plans.relational import PROMOTIONS
 from deltatree.sources import facts as X
 
@@ -88,18 +88,18 @@ def cube(spark, d):
 
 
 @query("an1_change", f"""
-SELECT slice_id, code, {amount_sql('base')} AS base, {amount_sql('current')} AS current, {amount_sql('delta')} AS delta, {r_sql('change_rate')} AS change_rate FROM an_change
+SELECT slice_id, code, {amount_sql('base', in_money_sql('code'))} AS base, {amount_sql('current', in_money_sql('code'))} AS current, {amount_sql('delta', in_money_sql('code'))} AS delta, {r_sql('change_rate')} AS change_rate FROM an_change
 """)
 def _(spark, d):
     changes, _ = A.node_changes(cube(spark, d), retail(), WEEK, sets=SETS)
-    return changes.select("slice_id", "code", amount("base"), amount("current"), amount("delta"), r("change_rate").alias("change_rate"))
+    return changes.select("slice_id", "code", amount("base", money=in_money("code")), amount("current", money=in_money("code")), amount("delta", money=in_money("code")), r("change_rate").alias("change_rate"))
 
 
-BAND = f"{amount_sql('centre')} AS baseline_value, {amount_sql('sigma')} AS sigma, {amount_sql('centre - 2 * sigma')} AS baseline_low, {amount_sql('centre + 2 * sigma')} AS baseline_high, covered_days"
+BAND = f"{amount_sql('centre', in_money_sql('code'))} AS baseline_value, {amount_sql('sigma', in_money_sql('code'))} AS sigma, {amount_sql('centre - 2 * sigma', in_money_sql('code'))} AS baseline_low, {amount_sql('centre + 2 * sigma', in_money_sql('code'))} AS baseline_high, covered_days"
 
 
 def band_columns():
-    return [amount("baseline_value"), amount("sigma"), amount("baseline_low"), amount("baseline_high"), "covered_days"]
+    return [amount("baseline_value", money=in_money("code")), amount("sigma", money=in_money("code")), amount("baseline_low", money=in_money("code")), amount("baseline_high", money=in_money("code")), "covered_days"]
 
 
 @query("an2_band", f"SELECT slice_id, code, {BAND} FROM an_band")
@@ -109,7 +109,7 @@ def _(spark, d):
 
 
 @query("an3_season", f"""
-SELECT slice_id, code, {amount_sql('centre * season_factor')} AS baseline_value, {amount_sql('sigma')} AS sigma, {r_sql('season_factor')} AS season_factor FROM an_band, season
+SELECT slice_id, code, {amount_sql('centre * season_factor', in_money_sql('code'))} AS baseline_value, {amount_sql('sigma', in_money_sql('code'))} AS sigma, {r_sql('season_factor')} AS season_factor FROM an_band, season
 WHERE month = month(DATE '{WEEK.start}')
 """)
 def _(spark, d):
@@ -119,15 +119,15 @@ def _(spark, d):
     factors = month_factors(orders_cube(spark, d, measures=("revenue_cents",)), "revenue_cents")
     season = date_table(bounds, PROMOTIONS, factors).select("day", "season_factor")
     band = A.baseline_band(series, WEEK, ["slice_id", "code"], season=season)
-    return band.select("slice_id", "code", amount("baseline_value"), amount("sigma"), r("season_factor").alias("season_factor"))
+    return band.select("slice_id", "code", amount("baseline_value", money=in_money("code")), amount("sigma", money=in_money("code")), r("season_factor").alias("season_factor"))
 
 
 @query("an4_z_score", f"""
-SELECT slice_id, code, {amount_sql('compared')} AS compared_value, {r_sql('z', 4)} AS z_score, inside AS in_normal_band FROM an_scored WHERE basis = 'daily_mean'
+SELECT slice_id, code, {amount_sql('compared', in_money_sql('code'))} AS compared_value, {r_sql('z', 4)} AS z_score, inside AS in_normal_band FROM an_scored WHERE basis = 'daily_mean'
 """)
 def _(spark, d):
     rows = A.anomalies(cube(spark, d), retail(), WEEK, sets=SETS)
-    return rows.select("slice_id", "code", amount("compared_value"), r("z_score", 4).alias("z_score"), "in_normal_band")
+    return rows.select("slice_id", "code", amount("compared_value", money=in_money("code")), r("z_score", 4).alias("z_score"), "in_normal_band")
 
 
 def verdict_sql(basis: str) -> str:
@@ -173,13 +173,13 @@ def _(spark, d):
 
 
 @query("an7_series_band", f"""
-SELECT n.slice_id, n.code, n.day, {amount_sql('n.value')} AS value, {amount_sql('centre')} AS baseline_value, {amount_sql('centre - 2 * sigma')} AS baseline_low,
-       {amount_sql('centre + 2 * sigma')} AS baseline_high
+SELECT n.slice_id, n.code, n.day, {amount_sql('n.value', in_money_sql('code'))} AS value, {amount_sql('centre', in_money_sql('code'))} AS baseline_value, {amount_sql('centre - 2 * sigma', in_money_sql('code'))} AS baseline_low,
+       {amount_sql('centre + 2 * sigma', in_money_sql('code'))} AS baseline_high
 FROM day_nodes n LEFT JOIN sb_band b USING (slice_id, code) WHERE {in_period(SHOWN)}
 """)
 def _(spark, d):
     rows = A.series_with_band(cube(spark, d), retail(), SHOWN, sets=SETS)
-    return rows.select("slice_id", "code", "day", amount("value"), amount("baseline_value"), amount("baseline_low"), amount("baseline_high"))
+    return rows.select("slice_id", "code", "day", amount("value", money=in_money("code")), amount("baseline_value", money=in_money("code")), amount("baseline_low", money=in_money("code")), amount("baseline_high", money=in_money("code")))
 
 
 @query("so2_severity_order", f"""

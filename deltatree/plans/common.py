@@ -122,15 +122,29 @@ def r(column, digits: int = 6):
     return F.round(column, digits) + F.lit(0.0)
 
 
-def amount(column, name: str | None = None):
-    """Whole cents for large amounts, four digits for small ones: two engines agree on these."""
+#: Metrics in cents; the others are counts and ratios.
+MONEY = ("revenue", "profit", "refund", "discount_cost", "tax_cost", "material_cost")
+
+
+def in_money(column: str):
+    return F.col(column).isin(*MONEY)
+
+
+def in_money_sql(expression: str) -> str:
+    return f"{expression} IN ({', '.join(repr(m) for m in MONEY)})"
+
+
+def amount(column, name: str | None = None, money=None):
+    """Whole cents where ``money`` holds (everywhere by default), four digits elsewhere: two engines agree on these."""
     value = F.col(column) if isinstance(column, str) else column
-    shown = F.when(F.abs(value) >= 10_000, F.round(value)).otherwise(F.round(value, 4)) + F.lit(0.0)
-    return shown.alias(name or column)
+    shown = F.round(value) if money is None else F.when(money, F.round(value)).otherwise(F.round(value, 4))
+    return (shown + F.lit(0.0)).alias(name or column)
 
 
-def amount_sql(expression: str) -> str:
-    return f"(CASE WHEN abs({expression}) >= 10000 THEN round({expression}) ELSE round({expression}, 4) END + 0.0::DOUBLE)"
+def amount_sql(expression: str, money: str | None = None) -> str:
+    if money is None:
+        return f"(round({expression}) + 0.0::DOUBLE)"
+    return f"(CASE WHEN {money} THEN round({expression}) ELSE round({expression}, 4) END + 0.0::DOUBLE)"
 
 
 def r_sql(expression: str, digits: int = 6) -> str:

@@ -12,12 +12,12 @@ from deltatree.operators import quality as Q
 from deltatree.operators import values as V
 from deltatree.operators.tree import parse_dictionary
 from deltatree.plans.common import (
-    BASE, CURRENT, IN_BASE, IN_CURRENT, MONTH_SETS, amount, amount_sql, cte, lines_cube, margin, orders_cube, query, r, r_sql, retail, span,
+    in_money, in_money_sql, BASE, CURRENT, IN_BASE, IN_CURRENT, MONTH_SETS, amount, amount_sql, cte, lines_cube, margin, orders_cube, query, r, r_sql, retail, span,
 )
 from deltatree.plans.relational import IN_BOTH, YEAR0, YEAR1
 
 KEYS = ["month", "slice_id"]
-A_C = amount_sql("contribution")
+A_C = amount_sql("contribution", in_money_sql("node"))
 R_RATE = r_sql("rate")
 ORDER_DIMS = ("channel", "region")
 
@@ -80,7 +80,7 @@ def shown(rows, *more):
 
 
 def contribution_column():
-    return amount("contribution")
+    return amount("contribution", money=in_money("node"))
 
 
 def rate_column():
@@ -166,7 +166,7 @@ def _(spark, d):
 
 
 @query("dc6_conservation", f"""
-SELECT scenario, month, slice_id, node, COUNT(*) AS n_factors, {amount_sql("SUM(contribution)")} AS total, {amount_sql("MAX(delta)")} AS delta,
+SELECT scenario, month, slice_id, node, COUNT(*) AS n_factors, {amount_sql("SUM(contribution)", in_money_sql("node"))} AS total, {amount_sql("MAX(delta)", in_money_sql("node"))} AS delta,
        COALESCE(abs(SUM(contribution) - MAX(delta)) / greatest(abs(MAX(delta)), 1.0) < 1e-9, FALSE) AS passed
 FROM (SELECT 'retail' AS scenario, * FROM mc_retail UNION ALL SELECT 'margin', * FROM mc_margin) GROUP BY 1, 2, 3, 4
 """)
@@ -176,7 +176,7 @@ def _(spark, d):
         rows = D.decompose(pairs, tree, KEYS, targets=[n.code for n in tree.parents()])
         parts.append(D.conservation(rows, KEYS).withColumn("scenario", F.lit(tree.scenario)))
     both = parts[0].unionByName(parts[1])
-    return both.select("scenario", "month", "slice_id", "node", "n_factors", amount("total"), amount("delta"), "passed")
+    return both.select("scenario", "month", "slice_id", "node", "n_factors", amount("total", money=in_money("node")), amount("delta", money=in_money("node")), "passed")
 
 
 @query("dc7_identity", """
@@ -317,7 +317,7 @@ TABLE_DIMS = [("category",), ("category", "channel"), ("category", "channel", "s
 
 
 @query("dc15_dimension_table", f"""
-SELECT grouping_id, slice_id, status, {A_C} AS contribution, round(delta, 2) AS layer_delta,
+SELECT grouping_id, slice_id, status, {amount_sql("contribution")} AS contribution, round(delta, 2) AS layer_delta,
        CAST(row_number() OVER (PARTITION BY grouping_id ORDER BY abs(contribution) DESC, slice_id) AS INT) AS rank, TRUE AS passed
 FROM ref_table
 """)

@@ -12,7 +12,7 @@ from deltatree.operators import shocks as K
 from deltatree.operators import values as V
 from deltatree.operators.calendar import date_table, month_factors
 from deltatree.plans.anomaly import in_period
-from deltatree.plans.common import amount_sql, amount, cte, lines_cube, margin, orders_cube, query, r, r_sql, retail
+from deltatree.plans.common import amount_sql, amount, cte, lines_cube, margin, orders_cube, query, r, r_sql, retail, in_money, in_money_sql
 from deltatree.plans.relational import PROMOTIONS, TABLES, derived_parameters, in_promotion_sql
 from deltatree.plans.statistics import ALL_SETS, DIMS, chain, deviations
 from deltatree.session import cut_lineage
@@ -41,7 +41,7 @@ cte("last28", "SELECT MIN(day) AS s, MAX(day) AS e FROM (SELECT day FROM cal_day
 
 
 @query("dq3_metric_values", f"""
-SELECT code, {amount_sql('value')} AS value, TRUE AS passed FROM (
+SELECT code, {amount_sql('value', in_money_sql('code'))} AS value, TRUE AS passed FROM (
  SELECT unnest(['profit', 'revenue', 'units', 'avg_price', 'discount_cost', 'discount_lines', 'discount_per_line', 'tax_cost', 'material_cost', 'material_lines', 'units_in_line', 'material_per_unit']) AS code,
   unnest([r - dc - t - m, r, u, r / u, dc, l, dc / l, t, m, l, u / l, m / u]) AS value
  FROM (SELECT SUM(revenue_cents)::DOUBLE AS r, COUNT(*)::DOUBLE AS l, SUM(units)::DOUBLE AS u, SUM(discount_cents)::DOUBLE AS dc, SUM(tax_cents)::DOUBLE AS t, SUM(material_cents)::DOUBLE AS m
@@ -51,7 +51,7 @@ def _(spark, d):
     """Every node over the last 28 days of the data; the window is a scalar subquery."""
     cube = lines_cube(spark, d)
     first = last_days(X.order_heads(spark, d), (28,)).select("start_day").scalar()
-    return Q.validate_nodes(cube.where(F.col("day") >= first), margin()).select("code", amount("value"), "passed")
+    return Q.validate_nodes(cube.where(F.col("day") >= first), margin()).select("code", amount("value", money=in_money("code")), "passed")
 
 
 @query("dq4_identities", f"""
@@ -59,7 +59,7 @@ WITH t AS (SELECT COUNT(DISTINCT order_id)::DOUBLE AS o, COUNT(*)::DOUBLE AS l,
                   SUM(tax_cents)::DOUBLE AS t, SUM(material_cents)::DOUBLE AS m FROM v),
 x AS (SELECT unnest(['retail', 'retail', 'margin', 'margin', 'margin', 'margin']) AS scenario, unnest(['revenue', 'basket', 'profit', 'revenue', 'discount_cost', 'material_cost']) AS node,
              unnest([r, u / o, r - dc - t - m, r, dc, m]) AS declared, unnest([o * (u / o) * (r / u), (l / o) * (u / l), r - dc - t - m, u * (r / u), l * (dc / l), l * (u / l) * (m / u)]) AS derived FROM t)
-SELECT scenario, node, {amount_sql('declared')} AS declared, {amount_sql('derived')} AS derived, abs(declared - derived) / greatest(abs(derived), 1) < 1e-9 AS passed FROM x
+SELECT scenario, node, {amount_sql('declared', in_money_sql('node'))} AS declared, {amount_sql('derived', in_money_sql('node'))} AS derived, abs(declared - derived) / greatest(abs(derived), 1) < 1e-9 AS passed FROM x
 """)
 def _(spark, d):
     """All identities of both trees over the whole history."""
@@ -67,7 +67,7 @@ def _(spark, d):
     for tree, cube in ((retail(), orders_cube(spark, d)), (margin(), lines_cube(spark, d))):
         wide = cube.alias("fact").agg(*tree.values()).withColumn("scenario", F.lit(tree.scenario))
         parts.append(D.node_identities(wide, tree, ["scenario"]).select(
-            "scenario", "node", amount("declared"), amount("derived"), "passed"))
+            "scenario", "node", amount("declared", money=in_money("node")), amount("derived", money=in_money("node")), "passed"))
     return parts[0].unionByName(parts[1])
 
 

@@ -24,6 +24,8 @@ from deltatree.sources.tables import load_events
 
 SETS = ((), ("channel",))
 TOP_CODES = 5
+#: Report rows whose value is in cents.
+MONEY_ROWS = "label IN ('base', 'current', 'change', 'main cause', 'further cause') OR segment = 'contributions' OR segment = 'drilldown' AND label <> 'coverage'"
 
 # factor, knob, action, owner, cycle, adjustment to look up
 PLAYBOOK = (
@@ -242,10 +244,10 @@ def segments(spark, d):
 
 
 @query("rp1_report", f"""
-SELECT slice_id, segment_index, segment, CAST(position AS INT) AS position, label, {amount_sql('value')} AS value, display FROM rp_rows
+SELECT slice_id, segment_index, segment, CAST(position AS INT) AS position, label, {amount_sql('value', MONEY_ROWS)} AS value, display FROM rp_rows
 """)
 def _(spark, d):
-    return segments(spark, d).withColumn("value", amount("value"))
+    return segments(spark, d).withColumn("value", amount("value", money=F.expr(MONEY_ROWS)))
 
 
 @query("rp3_flatten", "SELECT slice_id, segment_index, segment, label, display FROM rp_rows")

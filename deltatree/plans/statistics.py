@@ -18,7 +18,7 @@ from deltatree.operators.whatif import align
 from deltatree.session import cut_lineage
 from deltatree.plans.anomaly import SUMS, in_period, long_nodes
 from deltatree.plans.common import (
-    BASE, CURRENT, OBSERVED, WHATIF, amount, amount_sql, cte, lines_cube, orders_cube, query, r, r_sql,
+    in_money, in_money_sql, BASE, CURRENT, OBSERVED, WHATIF, amount, amount_sql, cte, lines_cube, orders_cube, query, r, r_sql,
     retail, span,
 )
 
@@ -260,12 +260,12 @@ KIND = "WHERE kind = 'verify'"
 
 
 @query("in4_permutation_difference", f"""
-SELECT hypothesis_id, n_in, n_out, {amount_sql('mean_in - mean_out')} AS statistic, p_value FROM hy_res {KIND}
+SELECT hypothesis_id, n_in, n_out, {amount_sql('mean_in - mean_out', in_money_sql('factor'))} AS statistic, p_value FROM hy_res {KIND}
 """)
 def _(spark, d):
     *_, results = tested(spark, d, ("verify",))
     return results.select(
-        "hypothesis_id", "n_in", "n_out", amount(F.col("mean_in") - F.col("mean_out"), "statistic"), "p_value")
+        "hypothesis_id", "n_in", "n_out", amount(F.col("mean_in") - F.col("mean_out"), "statistic", in_money("factor")), "p_value")
 
 
 @query("in5_p_value", f"""
@@ -371,12 +371,13 @@ def _(spark, d):
 
 
 @query("hy2_series", f"""
-SELECT test_id, CASE WHEN g = 0 THEN 'in' ELSE 'out' END AS side, day, {amount_sql('value')} AS value FROM hy_pool WHERE test_id LIKE '%/verify/'
+SELECT test_id, CASE WHEN g = 0 THEN 'in' ELSE 'out' END AS side, day, {amount_sql('value', in_money_sql("split_part(test_id, '/', 2)"))} AS value FROM hy_pool WHERE test_id LIKE '%/verify/'
 """)
 def _(spark, d):
     cube, _, _, hyps = drafted(spark, d)
     tests = H.tests_for(hyps, cube, retail()).where(F.col("kind") == "verify")
-    return H.test_series(tests, cube, retail(), OBSERVED).select("test_id", "side", "day", amount("value"))
+    rows = H.test_series(tests, cube, retail(), OBSERVED).withColumn("factor", F.split("test_id", "/")[1])
+    return rows.select("test_id", "side", "day", amount("value", money=in_money("factor")))
 
 
 @query("hy3_verify", f"""
