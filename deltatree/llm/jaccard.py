@@ -111,12 +111,25 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(changed)
 
 
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where equal keys begin, again after 65,535 of them, and how many follow, as 16-bit numbers."""
+    first = _starts(*keys)
+    n = np.diff(np.append(first, keys[0].size))
+    if n.size and n.max() > 65535:
+        parts = -(-n // 65535)
+        first = np.repeat(first, parts) + 65535 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        n = np.diff(np.append(first, keys[0].size))
+    return first, n.astype(np.uint16)
+
+
 def candidate_links(docs: DataFrame, k: int, percent: int, buckets: int, table: np.ndarray = A.SPACED) -> DataFrame:
     """Rows ``(a, b)``: classes that share one of their rarest n-grams, each with the smallest one that has it.
 
     N-grams travel packed, grouped by document: one row for each slice of text and bucket; a row of Spark for
     each of them would cost several times the work.
     """
+    names = ["bucket", "grams", "nodes", "counts", "needed"]
+
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in A.slices(batch, most=2 * A.SLICE_BYTES):
@@ -130,24 +143,37 @@ def candidate_links(docs: DataFrame, k: int, percent: int, buckets: int, table:
                 order = np.lexsort((low, owner, bucket))
                 order = order[_starts(bucket[order], owner[order], low[order])]  # n-grams are known by bucket and 32 bits from here on
                 bucket, owner, low = bucket[order], owner[order], low[order]
-                first = _starts(bucket, owner)
+                first, counts = _groups(bucket, owner)
                 size = np.bincount(owner, minlength=n.size)
                 # n-grams that are compared, and distinct ones
                 needed = np.stack([n - -(-percent * n // 100) + 1, size], 1).astype(np.uint32)
                 used, cut = _cuts(bucket, buckets)
                 _, group = _cuts(bucket[first], buckets)
-                counts = np.diff(np.append(first, bucket.size)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(used, pa.int32()), _blobs(low, used, cut), _blobs(node[owner[first]], used, group), _blobs(counts, used, group),
-                    _blobs(needed[owner[first]], used, group)], ["bucket", "grams", "nodes", "counts", "needed"])
+                    pa.nulls(used.size, pa.binary())], names)
+                # these numbers go to where the class's n-grams will meet
+                target = _spread(A.mix(node.view(np.uint64)), buckets)
+                order = np.argsort(target, kind="stable")
+                used, cut = _cuts(target[order], buckets)
+                none = pa.array([b""] * used.size, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), none, _blobs(node[order], used, cut), none, _blobs(needed[order], used, cut)], names)
+
+    out = ["target", "bucket", "grams", "ranks", "nodes", "counts", "needed"]
 
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What more than one class has, sorted out by class: its bucket, frequency and 32 bits."""
         for bucket, cols in runs(batches, "bucket", ("grams", "nodes", "counts", "needed")):
-            names, index, back = np.unique(_joined(cols["nodes"], np.int64), return_index=True, return_inverse=True)
-            needed = _joined(cols["needed"], np.uint32).reshape(-1, 2)[index]
+            told = [i for i, x in enumerate(cols["needed"]) if x is not None]
+            if told:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([bucket], pa.int32()), pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary()),
+                    pa.array([b"".join(cols["nodes"][i] for i in told)], pa.binary()), pa.array([b""], pa.binary()),
+                    pa.array([b"".join(cols["needed"][i] for i in told)], pa.binary())], out)
+            held = [x for x, y in zip(cols["nodes"], cols["needed"], strict=True) if y is None]
+            names, back = np.unique(_joined(held, np.int64), return_inverse=True)
             key = np.sort((_joined(cols["grams"], np.uint32).astype(np.uint64) << np.uint64(32)) | np.repeat(
-                back, _joined(cols["counts"], np.uint32)).astype(np.uint64))
+                back, _joined(cols["counts"], np.uint16)).astype(np.uint64))
             key = key[_starts(key)]  # a class that several slices hold
             first = _starts(key >> np.uint64(32))
             frequency = np.diff(np.append(first, key.size))
@@ -160,23 +186,24 @@ def candidate_links(docs: DataFrame, k: int, percent: int, buckets: int, table:
             target = _spread(A.mix(names.view(np.uint64)), buckets)[owner]
             order = np.lexsort((owner, target))
             owner, gram, rank, target = owner[order], gram[order], rank[order], target[order]
-            first = _starts(owner)
+            first, counts = _groups(target, owner)
             used, cut = _cuts(target, buckets)
             _, group = _cuts(target[first], buckets)
-            counts = np.diff(np.append(first, owner.size)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([
                 pa.array(used, pa.int32()), pa.array(np.full(used.size, bucket), pa.int32()), _blobs(gram, used, cut), _blobs(rank, used, cut),
-                _blobs(names[owner[first]], used, group), _blobs(counts, used, group), _blobs(needed[owner[first]], used, group)],
-                ["target", "bucket", "grams", "ranks", "nodes", "counts", "needed"])
+                _blobs(names[owner[first]], used, group), _blobs(counts, used, group), pa.nulls(used.size, pa.binary())], out)
 
     def rarest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first n-grams of every class that enough of them are shared of."""
         for _, cols in runs(batches, "target", ("bucket", "grams", "ranks", "nodes", "counts", "needed")):
-            names, index, back = np.unique(_joined(cols["nodes"], np.int64), return_index=True, return_inverse=True)
-            needed = _joined(cols["needed"], np.uint32).reshape(-1, 2)[index].astype(np.int64)
-            owner = np.repeat(back, _joined(cols["counts"], np.uint32))
+            told = [x is not None for x in cols["needed"]]
+            names, index = np.unique(_joined([x for x, y in zip(cols["nodes"], told, strict=True) if y], np.int64), return_index=True)
+            needed = _joined([x for x in cols["needed"] if x is not None], np.uint32).reshape(-1, 2)[index].astype(np.int64)
+            # every class that shares an n-gram has told its numbers
+            back = np.searchsorted(names, _joined([x for x, y in zip(cols["nodes"], told, strict=True) if not y], np.int64))
+            owner = np.repeat(back, _joined(cols["counts"], np.uint16))
             gram = _joined(cols["grams"], np.uint32).astype(np.uint64) | (np.repeat(
-                np.array(cols["bucket"], np.uint64), [len(g) // 4 for g in cols["grams"]]) << np.uint64(32))
+                np.array(cols["bucket"], np.int64).astype(np.uint64), [len(g) // 4 for g in cols["grams"]]) << np.uint64(32))
             take = needed[:, 0] - (needed[:, 1] - np.bincount(owner, minlength=names.size))  # n-grams of its own come before all others
             able = take[owner] > 0
             owner, gram, rank = owner[able], A.mix(gram[able]), _joined(cols["ranks"], np.uint8)[able]
