@@ -92,11 +92,11 @@ def labelled(labels: DataFrame, label: str) -> DataFrame:
         "doc_id").agg(F.min("label").alias("label"))
 
 
-def sample(docs: DataFrame, marks: DataFrame, each: int, grams: Grams, texts_each: int = 2) -> tuple[list[np.ndarray], np.ndarray, float]:
+def sample(docs: DataFrame, marks: DataFrame, each: int, grams: Grams) -> tuple[list[np.ndarray], np.ndarray, float]:
     """Places and labels of about ``each`` labelled texts a class, and the share of label 1 among all of ``marks``.
 
     The ``each`` ids of a class with the smallest hashes are chosen, so the sample is the same whatever
-    the partitions. Two bounds hold: ``2 * each`` ids, and ``texts_each`` texts an id.
+    the partitions. Two bounds hold: ``2 * each`` ids, and two texts for an id with several.
     """
     share = marks.agg(F.avg("label")).first()[0]
     if share is None:
@@ -115,8 +115,8 @@ def sample(docs: DataFrame, marks: DataFrame, each: int, grams: Grams, texts_eac
                                                  ["doc_id", "label", "places"])
 
     rows = docs.select("doc_id", "text").join(picked, "doc_id").mapInArrow(run, "doc_id long, label int, places binary").groupBy(
-        "doc_id", "label").agg(F.sort_array(F.collect_set("places")).alias("places")).select(
-        "doc_id", "label", F.explode(F.slice("places", 1, texts_each)).alias("places")).orderBy("doc_id", "places").toPandas()
+        "doc_id", "label").agg(F.array_distinct(F.array(F.min("places"), F.max("places"))).alias("places")).select(
+        "doc_id", "label", F.explode("places").alias("places")).orderBy("doc_id", "places").toPandas()
     return [np.frombuffer(b, np.uint32).astype(np.intp) for b in rows["places"]], rows["label"].to_numpy(np.float64), float(share)
 
 

@@ -23,6 +23,8 @@ from deltatree.llm.features import fold
 LENGTHS, PLACES = (2, 3, 4), 1 << 13
 #: Landmarks and training texts of a language, at most.
 LANDMARKS, EACH = 128, 800
+#: Languages that are learned, the most frequent ones.
+MOST = 1000
 RIDGE = 1e-3
 UNKNOWN = "und"
 #: Texts of one matrix product.
@@ -57,15 +59,14 @@ def presence(column: pa.Array) -> np.ndarray:
     return out / np.sqrt(np.maximum(count, 1))
 
 
-def fit(landmarks: pa.Array, texts: pa.Array, langs: list[str], ridge: float = RIDGE) -> dict:
-    """Landmark rows and, for each language, the weights of their kernel values."""
+def fit(anchors: np.ndarray, rows: np.ndarray, langs: list[str], ridge: float = RIDGE) -> dict:
+    """Landmark rows and, for each language, the weights of their kernel values; from rows of ``presence``."""
     names = sorted(set(langs))
-    anchors = presence(landmarks)
     gram = anchors.astype(np.float64) @ anchors.T.astype(np.float64)
     values, vectors = np.linalg.eigh(gram)
     good = values > 1e-8 * max(1e-12, values.max())
     nystroem = vectors[:, good] / np.sqrt(values[good])  # kernel values to features
-    features = np.concatenate([presence(texts.slice(i, BATCH)) @ anchors.T for i in range(0, len(texts), BATCH)]).astype(np.float64) @ nystroem
+    features = (rows @ anchors.T).astype(np.float64) @ nystroem
     target = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     # every language weighs the same, however many texts it has
     weight = np.array([1 / langs.count(x) for x in langs])[:, None]
@@ -87,41 +88,46 @@ def predict(column: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(best), np.concatenate(score).astype(np.float64)) if best else (np.zeros(0, int), np.zeros(0))
 
 
-def _sample(docs: DataFrame, folds: int, held: int, each: int) -> tuple[list[str], list[str]]:
-    """Texts and languages of up to ``each`` texts a language, those with the smallest hashes.
+def _sample(docs: DataFrame, folds: int, held: int, each: int, most: int) -> tuple[np.ndarray, list[str]]:
+    """Rows of ``presence`` and languages of up to ``each`` texts a language, those with the smallest hashes.
 
     Candidates are found with a hash below a limit that the counts of the languages give, so a
-    language of a third of all rows isn't sorted as one group.
+    language of a third of all rows isn't sorted as one group. What is gathered is a bit for each place, not the texts.
     """
-    known = docs.where("doc_id is not null and lang is not null and text is not null").where(F.col("lang") != UNKNOWN).where(
-        F.length("text") >= 1).withColumn("fold", fold(F.col("doc_id"), folds)).where(F.col("fold") != held)
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    known = docs.where("doc_id is not null and lang is not null and length(text) > 0").where(
+        (F.col("lang") != UNKNOWN) & (fold(F.col("doc_id"), folds) != held)).select("lang", "text", F.xxhash64("doc_id", "text", F.lit(41)).alias("hash"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most)
     # twice as many as are wanted pass, on average
     limit = F.least(F.lit(1.0), F.lit(2.0 * each + 50) / F.col("n"))
-    unit = F.pmod(F.xxhash64("doc_id", "text", F.lit(41)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = known.join(F.broadcast(counts.orderBy("lang").limit(1000)), "lang").withColumn("unit", unit).where(F.col("unit") < limit).select(
-        "lang", "text", "unit", "doc_id").toPandas().sort_values(["lang", "unit", "doc_id", "text"]).groupby("lang").head(each)
-    return rows["text"].tolist(), rows["lang"].tolist()
+
+    def bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, BATCH):
+                part = batch.slice(i, BATCH)
+                rows = np.packbits(presence(part.column("text")) > 0, axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("hash"), pa.array([r.tobytes() for r in rows], pa.binary())], ["lang", "hash", "bits"])
+
+    chosen = known.join(counts, "lang").where(F.pmod("hash", F.lit(1 << 30)) / F.lit(float(1 << 30)) < limit).select("lang", "hash", "text")
+    rows = chosen.mapInArrow(bits, "lang string, hash long, bits binary").toPandas().sort_values(["lang", "hash"]).groupby("lang").head(each)
+    ones = np.unpackbits(np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(-1, PLACES // 8), axis=1).astype(np.float32)
+    return ones / np.sqrt(np.maximum(ones.sum(1, keepdims=True), 1)), rows["lang"].tolist()
 
 
-def languages(docs: DataFrame, folds: int = 3, held: int = 1, each: int = EACH, landmarks: int = LANDMARKS) -> DataFrame:
+def languages(docs: DataFrame, folds: int = 3, held: int = 1, each: int = EACH, landmarks: int = LANDMARKS, most: int = MOST) -> DataFrame:
     """One row per document: ``doc_id``, ``held_out``, ``lang_pred``, ``score`` (0 to 1).
 
     Learned from text and ``lang`` of rows whose ``crc32(doc_id) mod folds`` isn't ``held``; at most ``each`` texts a
-    language (a parameter), the first ``landmarks`` of which are landmarks. Only the text is an input of a prediction.
+    language and of the ``most`` most frequent languages (parameters), the first ``landmarks`` of which are landmarks. Only the text is an input of a prediction.
 
     * ``lang_pred`` is ``und`` with score 0 for a text that is null or has no letter, and for all if nothing could be learned.
     * A null ``doc_id`` is in no fold (``held_out`` false) and not learned from; rows with a null ``lang`` are predicted only.
     * Repeated rows each give a row; texts are taken whole. No documents: no rows. Other columns are ignored.
     """
     plain = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"))
-    texts, langs = _sample(plain, folds, held, each)
-    if texts:
-        seen: dict[str, int] = {}
-        anchors = [t for t, x in zip(texts, langs, strict=True) if seen.setdefault(x, 0) < landmarks and not seen.update({x: seen[x] + 1})]
-        fitted = fit(pa.array(anchors, pa.large_string()), pa.array(texts, pa.large_string()), langs)
-    else:
-        fitted = None
+    rows, langs = _sample(plain, folds, held, each, most)
+    seen: dict[str, int] = {}
+    first = [i for i, x in enumerate(langs) if seen.setdefault(x, 0) < landmarks and not seen.update({x: seen[x] + 1})]
+    fitted = fit(rows[first], rows, langs) if langs else None
     model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
