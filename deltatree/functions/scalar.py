@@ -56,11 +56,6 @@ def zero_replacement(x0: Column, x1: Column) -> Column:
     return F.when(smallest.isNull(), F.lit(1.0)).otherwise(F.greatest(F.lit(ZERO_FLOOR), smallest * ZERO_SHARE))
 
 
-def product(columns: Column) -> Column:
-    """Product of an array of doubles."""
-    return F.aggregate(columns, F.lit(1.0), lambda acc, x: acc * x)
-
-
 def significance_score(p: Column) -> Column:
     expr = F.when((p < 0) | (p > 1), F.lit(None).cast("double"))
     for upper, score in SIGNIFICANCE_BANDS:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from deltatree.functions import scalar as S
 from deltatree.functions.periods import Period, period_label
-from deltatree.operators.tree import Node
+from deltatree.operators.tree import Node, check_dimensions
 from deltatree.operators.values import slice_sets
 
 TOP_N = 5
@@ -103,9 +103,10 @@ def dimension_tables(cube: DataFrame, node: Node, sets: Sequence[Sequence[str]],
 
     A set whose combinations all have values is exact. If one value is NULL, the
     change of the layer is split by the current shares and marked heuristic. The
-    change of the layer comes from its own grouping set ``()``.
+    change of the layer comes from its own grouping set ``()``. Sets with unknown, repeated or
+    too many dimensions are refused before any job runs.
     """
-    wanted = [tuple(s) for s in sets if s]
+    wanted = [check_dimensions(s, cube.columns) for s in sets if s]
     dims = sorted({d for s in wanted for d in s})
     pairs = combination_pairs(cube, node, [(), *wanted], base, current, keys)
     total_id = 2 ** len(dims) - 1
