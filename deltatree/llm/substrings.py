@@ -27,7 +27,7 @@ from deltatree.session import cut_lineage
 
 MIN_CHUNK, MAX_CHUNK, WINDOW, RUN = 8, 64, 16, 3
 #: Digests a task gathers before it packs them, and digests of a bucket, about.
-BUFFER, BUCKET = 800_000, 400_000
+BUFFER, BUCKET = 500_000, 400_000
 MIN_WORDS = 30
 #: Stands for a null doc_id, which is the last of all.
 NO_ID = (1 << 63) - 1
