@@ -3,10 +3,11 @@
 URLs that a rule allows are accepted, those it blocks rejected. A smoothed Markov model of variable order is counted for
 each of the two: the probability of a character after its context is interpolated from the longest context that was seen
 down to none. A URL's score is the difference of its two log-likelihoods per character; a logistic curve that is
-fitted to URLs the models haven't counted makes it a probability.
+fitted to URLs the models haven't counted makes it a probability; the models that score then count all labelled URLs.
 
-Counts are hashed to a fixed number of places for each order, summed inside tasks, then over all tasks;
-so what the driver gathers and sends out is bounded by ``2 * 2 * (ORDER + 1) * 2 ** BITS`` numbers, while all labelled URLs are counted.
+Counts are exact. They stand in a table keyed by n-gram, summed inside tasks, then over all tasks; so the model grows with the
+URLs and no process holds it. URLs are dealt into blocks of bounded size, a block asks the table for its own distinct n-grams,
+and what comes back to it is only their counts.
 """
 
 from __future__ import annotations
@@ -15,16 +16,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltatree.llm import arrays as A
-from deltatree.llm import features as X
+from deltatree.session import cut_lineage
 
-#: Longest context in bytes, bits of the places of an order, weight of the shorter context.
-ORDER, BITS, PRIOR = 5, 16, 3.0
-#: One labelled URL in so many calibrates and isn't counted.
+#: Longest context in bytes (with its character it fits 48 bits), weight of the shorter context.
+ORDER, PRIOR = 5, 3.0
+#: One labelled URL in so many isn't counted until the curve is fitted.
 HELD = 5
+#: N-grams a task gathers before it sums them; bytes of text of a block.
+BUFFER, BLOCK_BYTES = 1_000_000, A.SLICE_BYTES // 4
 BINS = 400
 ALLOW, BLOCK = "allow", "block"
 
@@ -47,78 +51,136 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
     return rule, verdict
 
 
-def _places(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of (context and character) and of (context) by order, for every character and the end of each text; and texts' offsets."""
+def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of (context and character) and of (context) by order, for every character and the end of each text; and texts' offsets.
+
+    A key holds the bytes themselves, with the order and which of the two it is above them.
+    """
     text, at = A.text_bytes(column)
     n = len(at) - 1
     lengths = np.diff(at) + ORDER + 1
     edges = np.concatenate([[0], np.cumsum(lengths)])
-    data = np.full(edges[-1], 2, np.uint64)
+    data = np.full(edges[-1], 2, np.int64)
     body = np.arange(len(text)) + np.repeat(np.arange(n) * (ORDER + 1) + ORDER, np.diff(at))
     data[body] = np.frombuffer(text, np.uint8)
     data[edges[1:] - 1] = 3
     take = np.delete(np.arange(edges[-1]), np.concatenate([np.arange(ORDER) + e for e in edges[:-1]])) if n else np.zeros(0, np.int64)
     pairs, contexts = [], []
-    before = np.zeros(take.size, np.uint64)
+    before = np.zeros(take.size, np.int64)
     for o in range(ORDER + 1):
         if o:
-            before |= data[take - o] << np.uint64(8 * o)
-        slot = np.uint64(o << BITS)
-        contexts.append((A.mix(before + np.uint64(o)) >> np.uint64(64 - BITS)) + slot)
-        pairs.append((A.mix((before | data[take]) + (np.uint64(o + 1) << np.uint64(56))) >> np.uint64(64 - BITS)) + slot)
-    return np.array(pairs, np.int64), np.array(contexts, np.int64), edges - np.arange(n + 1) * ORDER
+            before |= data[take - o] << (8 * o)
+        contexts.append(before | (2 * o << 48))
+        pairs.append(before | data[take] | (2 * o + 1 << 48))
+    return np.array(pairs), np.array(contexts), edges - np.arange(n + 1) * ORDER
+
+
+def _numbered(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of a column, ascending, and ``_grams`` as places among them."""
+    pairs, contexts, at = _grams(column)
+    keys, place = np.unique(np.concatenate([pairs.ravel(), contexts.ravel()]), return_inverse=True)
+    return keys, *place.reshape(2, ORDER + 1, -1), at
+
+
+def _places(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _numbered(column)[1:]
 
 
-SIZE = (ORDER + 1) << BITS
+#: Length of arrays of counts by place for a column of few texts; longer ones have as many places as distinct keys.
+SIZE = 1 << 16
 
 
 def log_likelihood(pairs: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Log-probability of each character; ``counts`` has a row for pairs and one for contexts."""
     p = np.full(pairs.shape[1], 1 / 256)
     for o in range(ORDER + 1):
-        p = (counts[0][pairs[o]] + PRIOR * p) / (np.maximum(counts[1][contexts[o]], counts[0][pairs[o]]) + PRIOR)
+        p = (counts[0][pairs[o]] + PRIOR * p) / (counts[1][contexts[o]] + PRIOR)
     return np.log(p)
 
 
-def differences(column: pa.Array, model: np.ndarray) -> np.ndarray:
-    """Accepted minus rejected log-likelihood of each text, divided by its number of characters and the end."""
-    pairs, contexts, at = _places(column)
-    each = log_likelihood(pairs, contexts, model[0]) - log_likelihood(pairs, contexts, model[1])
-    total = np.concatenate([[0], np.cumsum(each)])
-    return (total[at[1:]] - total[at[:-1]]) / np.maximum(np.diff(at), 1)
+def count_models(labelled: DataFrame) -> DataFrame:
+    """Counts of every n-gram over all rows ``(text, accepted, held)``: ``gram`` and ``n0`` to ``n3``, accepted and rejected, and then those held."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        total = 0
 
+        def flush() -> pa.RecordBatch:
+            keys, place = np.unique(np.concatenate(grams), return_inverse=True)
+            n = np.concatenate(counts, 1)
+            return pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.bincount(place, x, keys.size).astype(np.int64)) for x in n)], ["gram", "n0", "n1", "n2", "n3"])
 
-def count_models(labelled: DataFrame) -> np.ndarray:
-    """Counts of characters and contexts over all rows ``(text, accepted)``: accepted and rejected, pairs and contexts, places."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2, SIZE), np.int64)
         for batch in batches:
-            for part in A.slices(batch, "text", A.SLICE_BYTES // 4):
-                accepted = part.column("accepted").to_numpy(zero_copy_only=False).astype(bool)
-                for c, pick in enumerate((accepted, ~accepted)):
-                    if pick.any():
-                        pairs, contexts, _ = _places(part.column("text").filter(pa.array(pick)))
-                        total[c, 0] += np.bincount(pairs.ravel(), minlength=SIZE)
-                        total[c, 1] += np.bincount(contexts.ravel(), minlength=SIZE)
-        flat = total.ravel()
-        some = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(flat[some], pa.int64())], ["place", "n"])
-
-    rows = labelled.mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(2 * 2 * SIZE)
-    out[rows["place"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
-    return out.reshape(2, 2, SIZE)
-
-
-def calibrate(held: DataFrame, model) -> tuple[float, float]:
-    """Slope and offset of the logistic curve, from counts by bin of score over all rows ``(text, accepted)``."""
+            for part in A.slices(batch, "text", BLOCK_BYTES):
+                accepted, held = (part.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("accepted", "held"))
+                kind = 2 * held + ~accepted
+                for k in np.unique(kind):
+                    pairs, contexts, _ = _grams(part.column("text").filter(pa.array(kind == k)))
+                    keys, n = np.unique(np.concatenate([pairs.ravel(), contexts.ravel()]), return_counts=True)
+                    grams.append(keys)
+                    counts.append(np.zeros((4, keys.size), np.int64))
+                    counts[-1][k] = n
+                    total += keys.size
+                if total >= BUFFER:
+                    yield flush()
+                    grams, counts, total = [], [], 0
+        if grams:
+            yield flush()
+
+    return labelled.mapInArrow(run, "gram long, n0 long, n1 long, n2 long, n3 long").groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "n2", "n3")))
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` with a ``block``, the number of about ``BLOCK_BYTES`` of text that stand together; written, so that it stays."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = TaskContext.get().partitionId() << 33, 0
+        for batch in batches:
+            for part in A.slices(batch, "text", BLOCK_BYTES):
+                more = int(A.text_bytes(part.column("text"))[1][-1])
+                if size and size + more > BLOCK_BYTES:
+                    block, size = block + 1, 0
+                size += more + part.num_rows
+                yield part.append_column("block", pa.array(np.full(part.num_rows, block), pa.int64()))
+
+    return cut_lineage(rows.mapInArrow(run, rows.withColumn("block", F.lit(0).cast("long")).schema), "urls")
+
+
+def differences(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """``rows`` with ``d``, the accepted minus rejected log-likelihood of the text by its number of characters and the end, and ``d_held``,
+    the same without the held URLs for a row that is one of them."""
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in A.slices(batch, "text", A.SLICE_BYTES // 4):
-                d = differences(part.column("text"), model.value)
-                yield pa.RecordBatch.from_arrays([pa.array(np.clip(np.floor(d * BINS / 8), -BINS, BINS).astype(np.int32)), part.column("accepted")], ["bin", "accepted"])
+            block = batch.column("block").to_numpy()
+            for b in np.unique(block):
+                keys = _numbered(batch.column("text").filter(pa.array(block == b)))[0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, b)), pa.array(keys)], ["block", "gram"])
+
+    def score(mine: pa.Table, found: pa.Table) -> pa.Table:
+        keys, pairs, contexts, at = _numbered(mine.column("text"))
+        n = np.zeros((4, keys.size))
+        n[:, np.searchsorted(keys, found.column("gram").to_numpy())] = [found.column(f"n{i}").to_numpy() for i in range(4)]
+
+        def of(accepted: np.ndarray, rejected: np.ndarray) -> np.ndarray:
+            each = log_likelihood(pairs, contexts, np.array([accepted, accepted])) - log_likelihood(pairs, contexts, np.array([rejected, rejected]))
+            total = np.concatenate([[0], np.cumsum(each)])
+            return (total[at[1:]] - total[at[:-1]]) / np.diff(at)
+
+        held = mine.column("held").to_numpy().astype(bool)
+        out = mine.select(KEPT).append_column("d", pa.array(of(n[0] + n[2], n[1] + n[3])))
+        return out.append_column("d_held", pa.array(of(n[0], n[1]), mask=~held))
+
+    found = rows.select("block", "text").mapInArrow(ask, "block long, gram long").join(model, "gram")
+    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
+        score, "page_id long, host string, path string, rule string, verdict string, d double, d_held double")
 
-    rows = held.mapInArrow(run, "bin int, accepted boolean").groupBy("bin", "accepted").agg(F.count("*").alias("n")).toPandas()
+
+KEPT = ["page_id", "host", "path", "rule", "verdict"]
+
+
+def calibrate(held: DataFrame) -> tuple[float, float]:
+    """Slope and offset of the logistic curve, from counts by bin of score over all rows ``(d_held, accepted)``."""
+    rows = held.groupBy(F.greatest(F.least(F.floor(F.col("d_held") * BINS / 8), F.lit(BINS)), F.lit(-BINS)).cast("int").alias("bin"), "accepted").agg(
+        F.count("*").alias("n")).orderBy("bin", "accepted").toPandas()
     if rows["accepted"].nunique() < 2:
         return 4.0, 0.0
     weight = rows.groupby("accepted")["n"].transform("sum").to_numpy(np.float64)
@@ -140,33 +202,23 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], threshold: floa
     allowed if its score is ``threshold`` or more.
 
     * A null URL, or one without ``://``, has an empty host and path, no rule, and the score of an empty text.
-    * Repeated rows each give a row and are each counted. If no URL is accepted or none is rejected, all scores are 0.5.
+    * Repeated rows each give a row and are each counted; a labelled URL is among those that score it. If no URL is accepted or none is rejected, all scores are 0.5.
     * No pages: no rows. URLs are taken whole. Other columns are ignored, whatever their names.
     """
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.concat("host", "path").alias("text"))
-    labelled = rows.where("verdict is not null").select("text", (F.col("verdict") == ALLOW).alias("accepted"))
-    part = F.crc32(F.col("text").cast("binary")) % HELD
-    spark = pages.sparkSession
-    counts = count_models(labelled.where(part != 0))
-    if not counts[0].any() or not counts[1].any():
-        fitted = None
+    rows = _in_blocks(rows.withColumn("held", F.col("verdict").isNotNull() & (F.crc32(F.col("text").cast("binary")) % HELD == 0)))
+    accepted = (F.col("verdict") == ALLOW).alias("accepted")
+    labelled = rows.where("verdict is not null").select("text", accepted, "held")
+    there = {(r.accepted, r.held) for r in labelled.select("accepted", "held").distinct().collect()}
+    if len({a for a, _ in there}) < 2:
+        out = rows.select(*KEPT, F.lit(0.5).alias("score"))
     else:
-        held = spark.sparkContext.broadcast(counts)
-        fitted = (counts, calibrate(labelled.where(part == 0), held))
-    model = spark.sparkContext.broadcast(fitted)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for batch in batches:
-            for p in A.slices(batch, "text", A.SLICE_BYTES // 4):
-                score = X.probability(differences(p.column("text"), m[0]), *m[1]) if m else np.full(p.num_rows, 0.5)
-                given = p.column("verdict").to_pylist()
-                final = [v or (ALLOW if s >= threshold else BLOCK) for v, s in zip(given, score, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(p.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(final, pa.string()), pa.array(score, pa.float64())],
-                                                 ["page_id", "host", "path", "rule", "verdict", "score"])
-
-    return rows.withColumn("page_id", F.col("page_id").cast("long")).mapInArrow(
-        run, "page_id long, host string, path string, rule string, verdict string, score double")
+        scored = cut_lineage(differences(rows, count_models(labelled)), "scores")
+        # without URLs of both verdicts beside the held ones there is nothing to hold them against
+        fitted = calibrate(scored.where("d_held is not null").select("d_held", accepted)) if {(True, False), (False, False)} <= there else (4.0, 0.0)
+        margin = F.greatest(F.least(F.col("d") * fitted[0] + fitted[1], F.lit(30.0)), F.lit(-30.0))
+        out = scored.select(*KEPT, (1 / (1 + F.exp(-margin))).alias("score"))
+    return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("score") >= threshold, ALLOW).otherwise(BLOCK)))

@@ -1,6 +1,9 @@
 """URL filter: rules by plain code, likelihoods by a plain model, held-out verdicts, odd rows."""
 
+import collections
+import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -77,3 +80,40 @@ def test_given_pages(spark, sf_dir, given):
     got = op10_url_filters(spark, sf_dir).collect()
     assert len(got) == len(truth) and all((r.host, r.path, r.rule) == truth[r.page_id][:3] and r.verdict == (truth[r.page_id][3] or r.verdict) for r in got)
     assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
+
+
+def test_counts_are_exact_and_whole(spark):
+    rng = random.Random(7)
+    rows = [(f"h.x/{rng.getrandbits(40):x}", i % 3 > 0, i % 5 == 0) for i in range(12000)]
+    model = U.count_models(spark.createDataFrame(rows, "text string, accepted boolean, held boolean").repartition(3)).toPandas()
+    want = collections.Counter()
+    for t, accepted, held in rows:
+        full = "\2" * U.ORDER + t + "\3"
+        want.update((full[i - U.ORDER:i + 1], 2 * held + (not accepted)) for i in range(U.ORDER, len(full)))
+    longest = model[model["gram"].to_numpy(np.int64) >> 48 == 2 * U.ORDER + 1]
+    assert len(longest) == len({g for g, _ in want}) > 1 << 16
+    got = {(int(r.gram & (1 << 48) - 1).to_bytes(6, "big").decode(), k): n for r in longest.itertuples() for k, n in enumerate((r.n0, r.n1, r.n2, r.n3)) if n}
+    assert got == want
+
+
+def test_scores_are_those_of_all_labelled_urls(spark):
+    rows = [(i, f"http://w{i % 7}.{'org/news' if i % 2 else 'com/de'}/{i * 7919 % 1000}") for i in range(200)] + [(1000 + i, f"http://x.net/{i}/news") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    got = {r.page_id: r.score for r in U.url_verdicts(pages, URL_RULES).collect()}
+    texts = {i: "".join(plain(u)[:2]) for i, u in rows}
+    kinds = {i: plain(u)[3] for i, u in rows}
+
+    def d(i, held):
+        keys, pairs, contexts, _ = U._numbered(pa.array([texts[i]]))
+        one = []
+        for kind in ("allow", "block"):
+            mine = [t for j, t in texts.items() if kinds[j] == kind and (held or zlib.crc32(t.encode()) % U.HELD)]
+            grams, n = np.unique(np.concatenate([x.ravel() for x in U._grams(pa.array(mine))[:2]]), return_counts=True)
+            c = np.array([dict(zip(grams.tolist(), n.tolist(), strict=True)).get(k, 0) for k in keys.tolist()])
+            one.append(U.log_likelihood(pairs, contexts, np.array([c, c])).mean())
+        return one[0] - one[1]
+    some = [i for i in texts if i % 9 == 0]
+    x, y = np.array([d(i, True) for i in some]), np.array([got[i] for i in some])
+    near = (y > 1e-9) & (y < 1 - 1e-9)  # beyond that the logarithm is of rounded digits
+    x, y = x[near], np.log(y[near] / (1 - y[near]))
+    assert x.size > 8 and np.allclose(np.polyval(np.polyfit(x, y, 1), x), y, atol=1e-5)
