@@ -29,8 +29,8 @@ MIN_CHUNK, MAX_CHUNK, WINDOW, RUN = 8, 64, 16, 3
 #: Digests a task gathers before it packs them, and digests of a bucket, about.
 BUFFER, BUCKET = 500_000, 400_000
 MIN_WORDS = 30
-#: Stands for a null doc_id, which is the last of all.
-NO_ID = (1 << 63) - 1
+#: The last number of a document; rows with a null doc_id have the last ones, each its own.
+LAST = (1 << 63) - 1
 
 _GEAR = (A.mix(np.arange(256, dtype=np.uint64) + np.uint64(977)) >> np.uint64(32)).astype(np.uint32)
 
@@ -100,7 +100,7 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             first: dict[bytes, int] = {}
             for _, doc, name in held:
-                first[name] = min(first.get(name, NO_ID), doc)
+                first[name] = min(first.get(name, LAST), doc)
             rows = {name: d for d, _, name in held}
             digest = np.concatenate(list(rows.values()))
             doc = np.repeat(np.array([first[n] for n in rows], np.int64), [x.size for x in rows.values()])
@@ -116,7 +116,7 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for part in A.slices(batch):
                 text, at, _, of, digest = digests(part.column("text"))
-                ids = part.column("doc_id").fill_null(NO_ID).to_pylist()
+                ids = part.column("doc_id").to_pylist()
                 for d in range(part.num_rows):
                     mine = digest[of[d]:max(of[d], of[d + 1] - RUN + 1)]
                     if mine.size:
@@ -173,7 +173,7 @@ def _copies(docs: DataFrame) -> DataFrame:
         for batch in batches:
             text, at = A.text_bytes(batch.column("text"))
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").fill_null(NO_ID), pa.array([text_digest(text[b:e]) for b, e in zip(at, at[1:], strict=False)], pa.binary())], ["doc_id", "copy"])
+                batch.column("doc_id"), pa.array([text_digest(text[b:e]) for b, e in zip(at, at[1:], strict=False)], pa.binary())], ["doc_id", "copy"])
 
     # both tables are written, so that a text with very many copies can be split in the join
     named = cut_lineage(docs.mapInArrow(name, "doc_id long, copy binary").distinct(), "texts")
@@ -181,11 +181,34 @@ def _copies(docs: DataFrame) -> DataFrame:
     return named.join(first, "copy").where("doc_id > first").select("doc_id", "copy", "first")
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """Rows ``(_row, _key, text)`` with the number of the document; the bytes of all text, and the first number that stands for no ``doc_id``.
+
+    The number is the ``doc_id``. Rows without one are written with theirs, so that each keeps it whenever it is read.
+    """
+    row, key = F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs["doc_id"].cast("long")
+    size, nulls, largest = docs.agg(F.sum(F.octet_length(docs["text"])), F.count_if(key.isNull()), F.max(key)).first()
+    if not nulls:
+        return docs.select(row, key.alias("_key"), docs["text"].alias("text")), size or 0, LAST + 1
+    base = LAST - nulls + 1
+    if largest is not None and largest >= base:
+        raise ValueError(f"doc_id {largest} leaves no numbers for {nulls} rows without one")
+    none = cut_lineage(docs.where(key.isNull()).select(row, F.monotonically_increasing_id().alias("_key")), "no_ids")
+    part, offsets, so_far = F.shiftright("_key", 33).cast("int"), [], base
+    counts = {r.part: r["count"] for r in none.groupBy(part.alias("part")).count().collect()}  # one for each task that wrote
+    for i in range(max(counts) + 1):
+        offsets.append(str(so_far))
+        so_far += counts.get(i, 0)
+    number = F.get(F.split(F.lit(",".join(offsets)), ","), part).cast("long") + F.col("_key").bitwiseAND(F.lit((1 << 33) - 1))
+    return docs.where(key.isNotNull()).select(row, key.alias("_key"), docs["text"].alias("text")).unionByName(
+        none.select("_row", number.alias("_key"), F.col("_row.text").alias("text"))), size or 0, base
+
+
 def _marked(docs: DataFrame, min_words: int, finish, schema) -> DataFrame:
     """``finish(part, new texts or None, spans' sources)`` over every document together with its repeated digests."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spark = docs.sparkSession
-    size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows, size, base = _numbered(docs)
+    narrow = rows.select(F.col("_key").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     buckets = int(min(1 << 20, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size / 24 / BUCKET)))
     known = _repeats(_packed(narrow, buckets), buckets).select("doc_id", "digests", "firsts", F.lit(None).cast("binary").alias("copy"), F.lit(None).cast("long").alias("first"))
     copies = _copies(narrow).select("doc_id", F.lit(None).cast("binary").alias("digests"), F.lit(None).cast("binary").alias("firsts"), "copy", "first")
@@ -193,16 +216,14 @@ def _marked(docs: DataFrame, min_words: int, finish, schema) -> DataFrame:
     lists = known.unionByName(copies).groupBy("doc_id").agg(*(F.collect_list(c).alias(f"_{c}") for c in ("digests", "firsts")),
                                                             F.collect_list(F.struct("copy", "first")).alias("_copies")).select(
         F.col("doc_id").alias("_id"), F.struct("_digests", "_firsts", F.expr("filter(_copies, x -> x.copy is not null)").alias("_copies")).alias("_found"))
-    columns = docs.columns
-    joined = docs.select(F.struct(*(docs[c] for c in columns)).alias("_row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("_key"),
-                         docs["text"].alias("text")).join(lists, F.col("_key") == F.col("_id"), "left").select("_row", "_key", "text", "_found")
+    joined = rows.join(lists, F.col("_key") == F.col("_id"), "left").select("_row", "_key", "text", "_found")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in A.slices(batch):
                 found = part.column("_found").to_pylist()
                 some = np.flatnonzero([x is not None for x in found])
-                texts: dict[int, tuple[str, list[int]]] = {}
+                texts: dict[int, tuple[str, list[int | None]]] = {}
                 if some.size:
                     picked = part.take(pa.array(some))
                     text, at, starts, of, digest = digests(picked.column("text"))
@@ -210,6 +231,7 @@ def _marked(docs: DataFrame, min_words: int, finish, schema) -> DataFrame:
                         mine = text[at[k]:at[k + 1]]
                         cut, sources = _cut(mine, starts[of[k]:of[k + 1]] - at[k], digest[of[k]:of[k + 1]], found[row], min_words)
                         if cut:
+                            sources = [x for x in sources if x < base] + [None] * any(x >= base for x in sources)
                             texts[int(row)] = (b"".join(mine[b:e] for b, e in zip([0, *(x[1] for x in cut)], [*(x[0] for x in cut), len(mine)], strict=True)).decode("utf-8", "replace"), sources)
                 yield finish(part, texts)
 
@@ -253,10 +275,11 @@ def substring_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     last words may stay, up to the chunk in which it begins and ends. Repeats inside one document stay.
 
     * A null text stays null; texts are taken whole, whatever their length. A copy of a whole text of fewer words stays.
-    * Rows of one ``doc_id`` are one document: they don't lose text to each other. A null ``doc_id`` is the last of all.
+    * Rows of one ``doc_id`` are one document: they don't lose text to each other. Rows with a null ``doc_id`` are each a document of its own and come
+      last of all, in no set order; ``first_doc_ids`` ends with a null if one of them keeps what went.
     * An empty table gives no rows. Other columns are ignored, whatever their names.
     """
-    def finish(part: pa.RecordBatch, texts: dict[int, tuple[str, list[int]]]) -> pa.RecordBatch:
+    def finish(part: pa.RecordBatch, texts: dict[int, tuple[str, list[int | None]]]) -> pa.RecordBatch:
         old = part.column("text").to_pylist()
         new = [texts[i][0] if i in texts else t for i, t in enumerate(old)]
         return pa.RecordBatch.from_arrays([
@@ -272,7 +295,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` as in ``substring_report``, and ``n_chars``, if there is one, as the length of it; other columns stay."""
     columns = docs.columns
 
-    def finish(part: pa.RecordBatch, texts: dict[int, tuple[str, list[int]]]) -> pa.RecordBatch:
+    def finish(part: pa.RecordBatch, texts: dict[int, tuple[str, list[int | None]]]) -> pa.RecordBatch:
         fields = dict(zip(columns, part.column("_row").flatten(), strict=True))
         new = [texts[i][0] if i in texts else t for i, t in enumerate(part.column("text").to_pylist())]
         fields["text"] = pa.array(new, fields["text"].type)

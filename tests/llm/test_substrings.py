@@ -71,3 +71,18 @@ def test_chunks_shift_with_the_text():
         return [t[b:e] for b, e in zip(starts, [*starts[1:], len(t)])]
     a, b = chunks(text), chunks(moved)
     assert len(set(a) & set(b)) > 0.95 * len(a) and max(map(len, a)) <= S.MAX_CHUNK
+
+
+def test_rows_without_an_id_are_documents_of_their_own(documents):
+    rng = random.Random(12)
+    long, passage = words(rng, 90), words(rng, 80)
+    own = [words(rng, 70) for _ in range(6)]
+    shared = [f"{o} {passage} {o[::-1]}" for o in own]
+    docs = documents([(None, long)] * 3 + [(None, t) for t in shared] + [(None, None), (7, own[0] * 2)])
+    got = S.substring_report(docs).collect()
+    assert len(got) == 11 and sorted(r.text for r in got if r.text in ("", long)) == ["", "", long]
+    assert sum(passage in (r.text or "") for r in got) == 1
+    cut = [r for r in got if r.repeated]
+    assert all(r.doc_id is None for r in cut) and sum(r.first_doc_ids == [None] for r in cut) >= 6
+    kept = [r.text for r in S.remove_repeats(docs).collect()]
+    assert kept.count(long) == 1 and sum(passage in (t or "") for t in kept) == 1
