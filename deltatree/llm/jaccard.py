@@ -365,15 +365,19 @@ def _tasks(members: DataFrame, percent: int, block: int) -> DataFrame:
         each("up", lambda j: pair(lv, i, lv + 1, j)),
         each("down", lambda j: pair(lv - 1, j, lv, i)))
     tasks = F.when(F.col("size") <= block, F.array(F.lit("all"))).otherwise(parts)
-    return m.select("doc_id", "digest", F.explode(tasks).alias("part"), "root").select(
-        "doc_id", "digest", F.xxhash64("root", "part").alias("task"))
+    return m.select("doc_id", "mark", "digest", F.explode(tasks).alias("part"), "root").select(
+        "doc_id", "mark", "digest", F.xxhash64("root", "part").alias("task"))
+
+
+def task_texts(docs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Rows ``(task, text, digest)``: the text of each representative, found by its id and its mark, for one id may have very many texts."""
+    tasks = tasks.select(F.col("doc_id").alias("rep"), F.col("mark").alias("rep_mark"), "digest", "task")
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
+    return texts.join(tasks, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("mark") == F.col("rep_mark"))).select("task", "text", "digest")
 
 
 def exact_links(docs: DataFrame, tasks: DataFrame, k: int, percent: int, table: np.ndarray = A.SPACED) -> DataFrame:
     """Rows ``(a, b)`` of digests: the spanning forest of the links inside each task."""
-    tasks = tasks.select(F.col("doc_id").alias("rep"), "digest", "task")
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(tasks, F.col("doc_id").eqNullSafe(F.col("rep")))
-
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, cols in runs(batches, "task", ("text", "digest")):
             texts = pa.table({"text": pa.array(cols["text"], pa.large_string())}).combine_chunks()
@@ -383,7 +387,7 @@ def exact_links(docs: DataFrame, tasks: DataFrame, k: int, percent: int, table:
                 for part in A.slices(batch):
                     for s in _sets(part, "text", k, table):
                         d = _digest(s)
-                        if d == cols["digest"][done]:  # another text may have the same doc_id
+                        if d == cols["digest"][done]:  # another text may have the same doc_id and mark
                             known[d] = s
                         done += 1
             names = sorted(known)
@@ -393,7 +397,7 @@ def exact_links(docs: DataFrame, tasks: DataFrame, k: int, percent: int, table:
                 yield pa.RecordBatch.from_arrays([
                     pa.array([names[i] for i in moved], pa.binary()), pa.array([names[label[i]] for i in moved], pa.binary())], ["a", "b"])
 
-    return found.select("task", "text", "digest").repartition("task").sortWithinPartitions("task").mapInArrow(check, "a binary, b binary")
+    return task_texts(docs, tasks).repartition("task").sortWithinPartitions("task").mapInArrow(check, "a binary, b binary")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, table: np.ndarray = A.SPACED, block: int = BLOCK) -> DataFrame:
@@ -440,7 +444,8 @@ def _components(docs: DataFrame, k: int, percent: int, table: np.ndarray, block:
     """One row per document: ``doc_id``, ``mark``, ``n_shingles``, ``component_id``."""
     docs = docs.select("doc_id", "text")
     sets = cut_lineage(document_sets(docs, k, table), "sets")
-    classes = sets.where("n_shingles > 0").groupBy("digest", "node", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
+    classes = sets.where("n_shingles > 0").groupBy("digest", "node", "n_shingles").agg(
+        F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("mark", "doc_id"), F.min("mark")).alias("mark"))  # of one row
     work = sets.agg(F.sum("n_shingles")).first()[0] or 0
     spark = docs.sparkSession
     buckets = int(min(1 << 20, max(int(spark.conf.get("spark.sql.shuffle.partitions")), work / BUCKET)))

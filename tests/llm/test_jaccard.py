@@ -75,3 +75,12 @@ def test_keep_one(documents):
     empty = [r for r in rows if not (r[1] or "").split()]
     assert sorted(i for i, t in got if (i, t) not in empty and i is not None) == sorted({c for _, n, c in groups if n and c is not None})
     assert sorted((r for r in got if r in empty), key=str) == sorted(empty, key=str) and got.count((None, "only null ids here")) == 1
+
+
+def test_texts_of_one_id_meet_their_own_tasks(documents):
+    rows = [(None, text) for _, text in variants(7, 40)] + [(5, text) for _, text in variants(8, 40)]
+    docs = documents(sorted(set(rows), key=str))
+    tasks = jaccard.document_sets(docs, 3).selectExpr("doc_id", "mark", "digest", "1L as task")
+    assert jaccard.task_texts(docs, tasks).count() == tasks.count() == len(set(rows))
+    got = jaccard.jaccard_components(docs, 3, 90).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(sorted(set(rows), key=str), 3, 90)
