@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from deltatree.llm import decontaminate, jaccard, language, licenses, packing, pages, quality_rules, quality_svm, substrings, urls
+from deltatree.llm import decontaminate, jaccard, language, licenses, merkle, packing, pages, quality_rules, quality_svm, substrings, urls
 
 #: allow or block, and host/path
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -61,12 +61,17 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Plan] = {f.__name__: f for f in (
     op1_quality_classifier, op2_license_scans, op3_language_id, op4_best_fit_packing, op5_substring_dedup, op6_quality_rules, op7_html_extraction, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_url_filters,
+    op11_merkle_manifest,
     pipeline,
 )}
 
@@ -74,7 +79,38 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _LETTERED = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACED = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 
+def _framed(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE octet_length(encode(CAST({column} AS VARCHAR))) || ':' || {column} END"
+
+
+#: Whether the CRC-32 of the decimal digits is even: a bit at a time, -1 stands for a step.
+_EVEN = """(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+ lambda d: [CAST(ascii(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+ lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END) & 1) = 1"""
+
 ORACLES: dict[str, str] = {
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, {_framed('doc_id')} || {_framed('source')} || {_framed('lang')} || {_framed('n_chars')} AS head, text,
+         CASE WHEN doc_id IS NOT NULL AND {_EVEN} THEN replace(text, chr(10), '') ELSE text END AS tampered FROM documents),
+l AS (SELECT *, sha256(head || {_framed('text')}) AS leaf, sha256(head || {_framed('tampered')}) AS changed FROM d),
+s AS (SELECT dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS tree, *,
+             row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l),
+t(lvl, tree, pos, n, h) AS (SELECT 0, tree, pos, n, leaf FROM s
+  UNION ALL SELECT lvl + 1, tree, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lvl, tree, pos // 3, n),
+sub AS (SELECT tree, h, count(*) OVER () AS n FROM t WHERE n = 1),
+c(lvl, pos, n, h) AS (SELECT 0, tree, n, h FROM sub
+  UNION ALL SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM c WHERE n > 1 GROUP BY lvl, pos // 3, n),
+runs AS (SELECT lvl, tree, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM t WHERE n > 1 GROUP BY ALL
+  UNION ALL SELECT 100 + lvl, NULL, pos // 3, list(h ORDER BY pos) FROM c WHERE n > 1 GROUP BY ALL),
+steps AS (SELECT rid, lvl, CASE WHEN lvl < 100 THEN s.pos ELSE s.tree END // CAST(pow(3, lvl % 100) AS BIGINT) AS here, runs.run, hs
+  FROM s JOIN runs ON (runs.tree = s.tree OR runs.tree IS NULL)
+   AND runs.run = CASE WHEN lvl < 100 THEN s.pos ELSE s.tree END // CAST(pow(3, lvl % 100 + 1) AS BIGINT)),
+p AS (SELECT rid, list(array_to_string(hs[:here % 3], '') || '*' || array_to_string(hs[here % 3 + 2:], '') ORDER BY lvl) AS path FROM steps GROUP BY rid)
+SELECT *, folded_root = root AS verified FROM (
+SELECT doc_id, leaf, sub.h AS subroot, (SELECT h FROM c WHERE n = 1) AS root, sha256(replace(array_to_string(coalesce(path, []), ''), '*', '')) AS proof_sha256,
+       list_reduce(list_prepend(changed, coalesce(path, [])), lambda a, x: sha256(replace(x, '*', a))) AS folded_root
+FROM s JOIN sub USING (tree) LEFT JOIN p USING (rid))""",
     **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
     "op8_ngram_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, {_SPACED} AS w FROM documents),
