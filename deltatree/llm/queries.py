@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from deltatree.llm import decontaminate, jaccard, language, licenses, merkle, packing, pages, quality_rules, quality_svm, substrings, urls
+from deltatree.llm import decontaminate, jaccard, language, licenses, merkle, packing, pages, quality_rules, quality_svm, substrings, token_counts, urls, vector_codes
 
 #: allow or block, and host/path
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -65,13 +65,21 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Plan] = {f.__name__: f for f in (
     op1_quality_classifier, op2_license_scans, op3_language_id, op4_best_fit_packing, op5_substring_dedup, op6_quality_rules, op7_html_extraction, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_url_filters,
-    op11_merkle_manifest,
+    op11_merkle_manifest, op12_token_counts, op13_vector_codes,
     pipeline,
 )}
 
@@ -88,7 +96,29 @@ _EVEN = """(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
  lambda d: [CAST(ascii(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END) & 1) = 1"""
 
+def _vector_rounds() -> str:
+    """The assignments and codebooks of four rounds and the last assignment, one table each."""
+    parts = []
+    for i in range(5):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT rid, p, min(dist * 256 + e) // 256 AS dist, min(dist * 256 + e) % 256 AS e FROM (
+  SELECT rid, v.p, e, CAST(sum((v.x - c.x) * (v.x - c.x)) AS HUGEINT) AS dist FROM v JOIN c{i} c USING (p, j) GROUP BY rid, v.p, e) GROUP BY rid, p)""")
+        if i < 4:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT p, e, j, CAST(CASE WHEN n IS NULL THEN c.x ELSE (s - ((s % n) + n) % n) // n END AS BIGINT) AS x FROM c{i} c
+  LEFT JOIN (SELECT a.p, a.e, v.j, count(*) AS n, CAST(sum(v.x) AS HUGEINT) AS s FROM a{i} a JOIN v USING (rid, p) GROUP BY a.p, a.e, v.j) USING (p, e, j))""")
+    return ",\n".join(parts)
+
+
 ORACLES: dict[str, str] = {
+    "op13_vector_codes": f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT rid, pos // (n // 4) AS p, pos % (n // 4) AS j, x FROM (SELECT rid, len(x) AS n, unnest(range(len(x))) AS pos, unnest(x) AS x FROM k)),
+c0 AS (SELECT p, rid AS e, j, x FROM v WHERE rid < 256),
+{_vector_rounds()},
+f AS (SELECT rid, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a4 GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, j)) FROM c4) AS codebooks_sha256
+FROM k JOIN f USING (rid)""",
     "op11_merkle_manifest": f"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS rid, doc_id, source, {_framed('doc_id')} || {_framed('source')} || {_framed('lang')} || {_framed('n_chars')} AS head, text,

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from deltatree.llm import arrays as A
 
-#: Pieces whose counts a task remembers, and their longest.
+#: Pieces whose counts a task remembers, in two generations of so many, and their longest.
 REMEMBERED, SHORT = 200_000, 64
 
 #: GPT-2's published way to cut text before the merges; fixed value.
@@ -80,14 +79,15 @@ class Counting:
     added: regex.Pattern | None
     pattern: regex.Pattern = field(default_factory=lambda: regex.compile(PATTERN))
     known: dict[str, int] = field(default_factory=dict)
+    older: dict[str, int] = field(default_factory=dict)
 
     def piece(self, piece: str) -> int:
         count = self.known.get(piece)
         if count is None:
-            count = merged_count(piece.encode(), self.ranks)
+            count = self.older.get(piece) or merged_count(piece.encode(), self.ranks)
             if len(piece) <= SHORT:
                 if len(self.known) >= REMEMBERED:
-                    self.known.clear()
+                    self.known, self.older = {}, self.known
                 self.known[piece] = count
         return count
 
