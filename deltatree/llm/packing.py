@@ -44,19 +44,19 @@ def _byte_of() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def _encoding(path: str) -> tiktoken.Encoding:
-    """The vocabulary of the tokenizer's file as merge ranks: ids ascend in the order of its merges."""
+    """The vocabulary of the tokenizer's file as merge ranks, ids ascend in the order of its merges, and its added tokens."""
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     byte = _byte_of()
-    ranks = {bytes(byte[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
-    return tiktoken.Encoding("documents", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(byte[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in added}
+    return tiktoken.Encoding("documents", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def ids_of(path: str):
-    """A function from text to its little-endian 32-bit ids."""
+    """A function from text to its little-endian 32-bit ids; an added token's text is that token, as in the library."""
     encoding = _encoding(path)
-    return lambda text: encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+    return lambda text: encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
 
 def pack_groups(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -125,8 +125,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, closing: int = CLOSIN
                 pa.array(g + sequence * groups, pa.int64()), pa.array(offset, pa.int64())], [*names, "sequence_id", "offset"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    # the hash of all columns deals the same rows to the same group however often a task is run again
-    packed = short.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups))).repartition("group").sortWithinPartitions(
+    # the row number in the written table is the same however often a task is run again, and spreads equal rows
+    packed = short.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))).repartition("group").sortWithinPartitions(
         "group", "length", "doc_id", "piece", "ids_crc32").mapInArrow(place, schema)
     # Full pieces are numbered below zero, by partition and place within it, after the written table
     full = pieces.where(F.col("length") == length).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))

@@ -12,14 +12,13 @@ from tokenizers import Tokenizer
 from deltatree.llm import packing as K
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = [None, "", " ", "  two  spaces ", "a\n\n b \t c", "it's we'll THEY'RE", "漢字 é ü 😀  x y", "<|endoftext|> is text", "x" * 3000, "1234 5678, #$%!",
+TEXTS = [None, "", " ", "  two  spaces ", "a\n\n b \t c", "it's we'll THEY'RE", "漢字 é ü 😀  x y", "<|endoftext|> is text", "a <|endoftext|> b<|endoftext|><|endoftext|>\n", "<|endoftext", "x" * 3000, "1234 5678, #$%!",
          "word " * 2047, "word " * 2048, "a" + " a" * 5000, "\r\n end\n"]
 
 
 @pytest.fixture(scope="module")
 def plain():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
 
 
@@ -62,6 +61,14 @@ def test_repeated_rows_and_none(documents):
     assert K.pack(documents([]), PATH).collect() == []
 
 
+def test_equal_rows_are_spread(documents):
+    got = K.pack(documents([(1, "word " * 1000)] * 600 + [(None, "x")] * 300), PATH, group=100).collect()
+    groups = defaultdict(int)
+    for r in got:
+        groups[r.sequence_id % 9] += 1
+    assert len(got) == 900 and len(groups) == 9 and max(groups.values()) < 200
+
+
 def test_rule():
     sizes = np.array(random.Random(1).choices(range(1, 2048), k=3000))
     sequence, offset = K.pack_groups(sizes)
