@@ -107,18 +107,27 @@ def slice_series(cube: DataFrame, tree: MetricTree, slices: DataFrame, window: P
     return long.where(F.col("value").isNotNull())
 
 
-def test_series(tests: DataFrame, cube: DataFrame, tree: MetricTree, window: Period) -> DataFrame:
-    """Daily values of both sides of every test: ``test_id, side, day, value``."""
+def test_sides(tests: DataFrame) -> DataFrame:
+    """``test_id, factor, side, dims, slice_id``: the slices of both sides of every test, by their canonical name."""
     sides = tests.select("test_id", "factor", F.explode(F.array(
         F.struct(F.lit("in").alias("side"), F.col("in_dims").alias("dims")),
         F.struct(F.lit("out").alias("side"), F.col("out_dims").alias("dims")),
     )).alias("s")).select("test_id", "factor", "s.side", "s.dims")
-    sides = sides.withColumn("slice_id", canonical_slice(F.col("dims")))
-    slices = sides.groupBy("slice_id").agg(F.first("dims").alias("dims"))
-    series = slice_series(cube, tree, slices, window, tree.dimensions)
+    return sides.withColumn("slice_id", canonical_slice(F.col("dims")))
+
+
+def sides_series(sides: DataFrame, series: DataFrame) -> DataFrame:
+    """Daily values of both sides of every test: ``test_id, side, day, value``."""
     return sides.drop("dims").join(series, ["slice_id", "factor"]).select("test_id", "side", "day", "value")
 
 
+def test_series(tests: DataFrame, cube: DataFrame, tree: MetricTree, window: Period, dims: Sequence[str] | None = None) -> DataFrame:
+    """``sides_series`` from the cube; ``dims`` are those that slices may fix, the tree's by default."""
+    sides = test_sides(tests)
+    slices = sides.groupBy("slice_id").agg(F.first("dims").alias("dims"))
+    return sides_series(sides, slice_series(cube, tree, slices, window, dims or tree.dimensions))
+
+
 def run_tests(tests: DataFrame, series: DataFrame, replicates: int = R.PERMUTATIONS, seed: int = R.SEED) -> DataFrame:
     """Sizes, means, effect and p-value per test; tests without data keep a row."""
     groups = I.standardized_difference(I.two_groups(series, ["test_id"]))
@@ -185,11 +194,12 @@ def first_deviation(series: DataFrame, keys: Sequence[str], sigmas: float = DEVI
 
 
 def spurious_checks(hypotheses: DataFrame, results: DataFrame, deviations: DataFrame, root: str,
-                    required: int = COVERAGE_DAYS) -> DataFrame:
-    """Four check rows per hypothesis, in the order in which they are judged.
+                    required: int = COVERAGE_DAYS, window: Period | None = None) -> DataFrame:
+    """Four check rows per hypothesis, in the order in which they are judged; ``required`` as in ``verify``.
 
     ``deviations``: slice_id, factor, deviation_day for the factors and the root.
     """
+    required = min(required, window.days) if window else required
     ids = hypotheses.select("hypothesis_id", "slice_id", "factor")
     enough = (
         F.col("p_value").isNotNull() & F.col("effect").isNotNull()
@@ -270,7 +280,7 @@ def conclude(contributions: DataFrame, verified: DataFrame, matches: DataFrame,
     """One row per slice: main causes, tested hypotheses and outside events.
 
     ``matches``: slice_id, name, tier. The lists hold a few factors, hypotheses
-    and near events of one slice.
+    and near events of one slice; ``excluded_reasons`` say why each hypothesis that isn't verified is not.
     """
     order = Window.partitionBy("slice_id").orderBy(F.abs("contribution").desc_nulls_last(), "child_order")
     top = contributions.where(F.col("node") == root).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= 3)
@@ -280,9 +290,11 @@ def conclude(contributions: DataFrame, verified: DataFrame, matches: DataFrame,
         F.transform(F.sort_array(F.collect_list(F.when(F.col("_r") > 1, F.struct("_r", "factor")))),
                     lambda s: s["factor"]).alias("secondary_causes"),
     )
+    kept = F.col("status") == "verified"
     tested = verified.groupBy("slice_id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("status") == "verified", F.col("factor")))).alias("verified_factors"),
-        F.sort_array(F.collect_list(F.when(F.col("status") != "verified", F.col("factor")))).alias("excluded_factors"))
+        F.sort_array(F.collect_list(F.when(kept, F.col("factor")))).alias("verified_factors"),
+        F.sort_array(F.collect_list(F.when(~kept, F.col("factor")))).alias("excluded_factors"),
+        F.sort_array(F.collect_list(F.when(~kept, F.concat_ws(": ", "factor", "status", F.nullif("reason", F.lit("")))))).alias("excluded_reasons"))
     outside = matches.where(F.col("tier") == "chain").groupBy("slice_id").agg(
         F.sort_array(F.collect_set("name")).alias("exogenous_events"))
     empty = F.array().cast("array<string>")

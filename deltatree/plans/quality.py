@@ -14,7 +14,7 @@ from deltatree.operators.calendar import date_table, month_factors
 from deltatree.plans.anomaly import in_period
 from deltatree.plans.common import amount_sql, amount, cte, lines_cube, margin, orders_cube, query, r, r_sql, retail, in_money, in_money_sql
 from deltatree.plans.relational import PROMOTIONS, TABLES, derived_parameters, in_promotion_sql
-from deltatree.plans.statistics import ALL_SETS, DIMS, chain, deviations
+from deltatree.plans.statistics import DIMS, chain, stored_cube, stored_run
 from deltatree.session import cut_lineage
 from deltatree.sources import facts as X
 
@@ -50,7 +50,7 @@ SELECT code, {amount_sql('value', in_money_sql('code'))} AS value, TRUE AS passe
 def _(spark, d):
     """Every node over the last 28 days of the data; the window is a scalar subquery."""
     cube = lines_cube(spark, d)
-    first = last_days(X.order_heads(spark, d), (28,)).select("start_day").scalar()
+    first = last_days(stored_cube(spark, d), (28,)).select("start_day").scalar()
     return Q.validate_nodes(cube.where(F.col("day") >= first), margin()).select("code", amount("value", money=in_money("code")), "passed")
 
 
@@ -292,25 +292,26 @@ chain("neg", "neg_list", "day BETWEEN (SELECT e - 41 FROM last28) AND (SELECT e
       "day BETWEEN (SELECT s FROM last28) AND (SELECT e FROM last28)")
 
 
-def negative_cases(spark, d):
-    """Labelled wrong causes, tested on the last 28 days of the data against the 28 before."""
-    cube = cut_lineage(orders_cube(spark, d, DIMS), "cube")
+def negatives(spark, d):
+    """The run of labelled wrong causes, tested on the last 28 days of the data against the 28 before."""
     # One row: the bounds of the newest window set the literals of the plan.
-    bounds = last_days(cube, (28,)).first()
+    bounds = last_days(stored_cube(spark, d), (28,)).first()
     current = Period(bounds["start_day"].isoformat(), bounds["end_day"].isoformat())
-    observed = current.trailing(H.OBSERVATION_DAYS)
-    least = {dim: cube.groupBy(dim).agg(F.sum("revenue_cents").alias("s")).agg(F.min(F.struct("s", dim))[dim]).scalar() for dim in DIMS}
-    rows = F.array(*[F.struct(
-        F.lit(i).alias("hypothesis_id"), F.lit(f).alias("factor"), F.lit("down").alias("direction"),
-        F.create_map(*[x for dim in dims for x in (F.lit(dim), F.array(least[dim]))]).alias("dims")) for i, f, dims in NEGATIVES])
-    hyps = cut_lineage(spark.range(1).select(F.inline(rows)), "negatives")
-    hyps = hyps.withColumn("slice_id", V.canonical_slice(F.col("dims")))
-    pairs = V.period_values(cube, retail(), current.previous(), current, ALL_SETS)
-    tests = H.tests_for(hyps, cube, retail())
-    results = cut_lineage(H.run_tests(tests, H.test_series(tests, cube, retail(), observed)), "tests")
-    ver = H.verify(hyps, results, H.slice_shares(pairs, "revenue"))
-    checks = H.spurious_checks(hyps, results, deviations(cube, hyps, observed), "revenue")
-    return H.apply_checks(ver, H.combine_checks(checks))
+
+    def cases(cube):
+        least = {dim: cube.groupBy(dim).agg(F.sum("revenue_cents").alias("s")).agg(F.min(F.struct("s", dim))[dim]).scalar() for dim in DIMS}
+        rows = F.array(*[F.struct(
+            F.lit(i).alias("hypothesis_id"), F.lit(f).alias("factor"), F.lit("down").alias("direction"),
+            F.create_map(*[x for dim in dims for x in (F.lit(dim), F.array(least[dim]))]).alias("dims")) for i, f, dims in NEGATIVES])
+        return spark.range(1).select(F.inline(rows)).withColumn("slice_id", V.canonical_slice(F.col("dims")))
+
+    return stored_run(
+        spark, d, "negatives", lambda cube: cases(cube).select("slice_id", "dims").dropDuplicates(["slice_id"]), base=current.previous(), current=current,
+        observed=current.trailing(H.OBSERVATION_DAYS), build_hypotheses=cases)
+
+
+def negative_cases(spark, d):
+    return negatives(spark, d).verdicts
 
 
 @query("el2_negative_cases", f"SELECT hypothesis_id, slice_id, factor, verify_status, verdict, accepted, reason, {r_sql('final', 4)} AS confidence FROM neg_final")

@@ -23,6 +23,7 @@ from deltatree.plans.common import (
 from deltatree.session import scratch_path
 from deltatree.sources import facts as X
 from deltatree.sources import tables as T
+from deltatree.sources.store import read_results, write_results
 
 BOTH = span(BASE, CURRENT)
 IN_BOTH = f"day BETWEEN DATE '{BOTH.start}' AND DATE '{BOTH.end}'"
@@ -103,11 +104,9 @@ def _(spark, d):
     pairs = V.period_values(cube, retail(), YEAR0, YEAR1, ((), ("channel",), ("region",)))
     rows = D.decompose(pairs, retail(), ["slice_id"]).select("slice_id", "node", "factor", "contribution")
     path = scratch_path(spark, "results")
-    T.write_results(rows, path, "retail", "run-1", "contribution", ("slice_id",))
-    payload = "struct<node:string,factor:string,contribution:double>"
-    back = spark.read.parquet(path).withColumn("p", F.from_json("payload", payload))
-    return back.select("scenario", "run_id", "kind", "slice_id", "p.node", "p.factor",
-                       r("p.contribution", 2).alias("contribution"))
+    write_results(rows, path, "retail", "run-1", "contribution", ("slice_id",))
+    back = read_results(spark, path, "retail", "run-1", "contribution", "node string, factor string, contribution double")
+    return back.withColumn("contribution", r("contribution", 2))
 
 
 YEAR0, YEAR1 = Period("1997-01-01", "1997-12-31"), Period("1998-01-01", "1998-12-31")

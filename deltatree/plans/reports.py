@@ -16,8 +16,7 @@ from deltatree.plans.anomaly import band_chain
 from deltatree.plans.calendar import derived_calendar
 from deltatree.plans.common import CURRENT, BASE, amount, amount_sql, cte, orders_cube, query, r, r_sql, retail
 from deltatree.plans.events import SCENARIO_DIMS
-from deltatree.plans.statistics import ALL_SETS, DIMS, channel_slices, deviations
-from deltatree.plans.statistics import OBSERVED, in_period
+from deltatree.plans.statistics import channels, in_period
 from deltatree.plans.whatif import price_pairs, with_base
 from deltatree.session import cut_lineage
 from deltatree.sources.tables import load_events
@@ -51,21 +50,6 @@ SELECT COALESCE('channel=' || channel, 'all') AS slice_id, factor, child_order,
 """)
 
 
-def run(spark, d):
-    """All operator outputs of one attribution run over one stored cube."""
-    cube = cut_lineage(orders_cube(spark, d, DIMS), "cube")
-    pairs = V.period_values(cube, retail(), BASE, CURRENT, ALL_SETS)
-    slices = channel_slices(cube)
-    contributions = D.decompose(pairs.join(slices.select("slice_id"), "slice_id", "left_semi"), retail(), ["slice_id"])
-    hyps = cut_lineage(H.candidates(contributions, slices, "revenue"), "hypotheses")
-    tests = H.tests_for(hyps, cube, retail())
-    results = cut_lineage(H.run_tests(tests, H.test_series(tests, cube, retail(), OBSERVED)), "tests")
-    ver = H.verify(hyps, results, H.slice_shares(pairs, "revenue"))
-    checks = H.spurious_checks(hyps, results, deviations(cube, hyps), "revenue")
-    final = cut_lineage(H.apply_checks(ver, H.combine_checks(checks)), "verdicts")
-    return cube, slices, contributions, final
-
-
 def near_events(spark, d, slices):
     windows = slices.select(
         F.col("slice_id").alias("window_id"), F.col("dims").alias("slice_dims"),
@@ -95,13 +79,14 @@ SELECT c.slice_id, MAX(factor) FILTER (WHERE rank = 1) AS primary_cause, {amount
   string_agg(factor, ',' ORDER BY rank) FILTER (WHERE rank > 1) AS secondary_causes,
   COALESCE((SELECT string_agg(f.factor, ',' ORDER BY f.factor) FROM hy_final f WHERE f.slice_id = c.slice_id AND f.status = 'verified'), '') AS verified_factors,
   COALESCE((SELECT string_agg(f.factor, ',' ORDER BY f.factor) FROM hy_final f WHERE f.slice_id = c.slice_id AND f.status <> 'verified'), '') AS excluded_factors,
+  COALESCE((SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT concat_ws(': ', f.factor, f.status, NULLIF(f.reason, '')) AS t FROM hy_final f WHERE f.slice_id = c.slice_id AND f.status <> 'verified')), '') AS excluded_reasons,
   COALESCE((SELECT string_agg(DISTINCT e.name, ',' ORDER BY e.name) FROM rp_events e WHERE e.slice_id = c.slice_id AND e.tier = 'chain'), '') AS exogenous_events
 FROM rp_causes c GROUP BY 1
 """)
 def _(spark, d):
-    _, slices, contributions, final = run(spark, d)
-    rows = H.conclude(contributions, final, near_events(spark, d, slices), "revenue")
-    lists = ("secondary_causes", "verified_factors", "excluded_factors", "exogenous_events")
+    run = channels(spark, d)
+    rows = H.conclude(run.contributions, run.verdicts, near_events(spark, d, run.slices), "revenue")
+    lists = ("secondary_causes", "verified_factors", "excluded_factors", "excluded_reasons", "exogenous_events")
     return rows.select("slice_id", "primary_cause", amount("primary_contribution"), *[F.array_join(c, ",").alias(c) for c in lists])
 
 
@@ -193,7 +178,13 @@ UNION ALL SELECT slice_id, 7, 'actions', rank, factor, expected, COALESCE(action
 
 
 def segments(spark, d):
-    cube, slices, contributions, final = run(spark, d)
+    """All rows of the report, a stage of the run like the others."""
+    run = channels(spark, d)
+    return run.store.stage("report", lambda: report_segments(spark, d, run), ("slice_id",))
+
+
+def report_segments(spark, d, run):
+    cube, slices, contributions, final = run.cube, run.slices, run.contributions, run.verdicts
     anomaly = A.anomalies(cube, retail(), CURRENT, sets=SETS).where(F.col("code") == "revenue")
     background = R.segment_rows(anomaly, "background", [
         R.field(1, F.lit("base"), F.col("base"), R.amount_text(F.col("base"))),

@@ -10,12 +10,13 @@ from deltatree.functions import replicates as R
 from deltatree.functions import scalar as S
 from deltatree.functions.replicates import PERMUTATIONS
 from deltatree.functions.periods import Period
-from deltatree.operators import decompose as D
 from deltatree.operators import hypotheses as H
 from deltatree.operators import inference as I
 from deltatree.operators import values as V
+from deltatree.operators.attribution import Attribution
 from deltatree.operators.whatif import align
-from deltatree.session import cut_lineage
+from deltatree.session import runs_path, scratch_path
+from deltatree.sources.store import RunStore, read_results, source_mark, write_results
 from deltatree.plans.anomaly import SUMS, in_period, long_nodes
 from deltatree.plans.common import (
     in_money, in_money_sql, BASE, CURRENT, OBSERVED, WHATIF, amount, amount_sql, cte, lines_cube, orders_cube, query, r, r_sql,
@@ -112,6 +113,42 @@ SELECT hypothesis_id || '/verify/' AS test_id, hypothesis_id, 'verify' AS kind,
 UNION ALL SELECT hypothesis_id || '/control/' || code, hypothesis_id, 'control', code, factor, {with_code}, slice_id FROM {p}_hyp JOIN {p}_codes ON dim = free
 UNION ALL SELECT hypothesis_id || '/placebo/' || code, hypothesis_id, 'placebo', code, factor, dim || '=' || code, slice_id FROM {p}_hyp JOIN {p}_codes ON dim = free WHERE position = 3
 """)
+    chain_tests(p)
+    cte(f"{p}_dev", f"""
+SELECT slice_id, factor, n_days, CASE WHEN n_days >= 5 AND s > 0 THEN first_far END AS deviation_day FROM (
+ SELECT slice_id, factor, COUNT(*) AS n_days, MAX(s) AS s, MIN(CASE WHEN abs(value - m) > 1.5 * s THEN i END) AS first_far FROM (
+  SELECT *, AVG(value) OVER w AS m, stddev_pop(value) OVER w AS s, row_number() OVER (PARTITION BY slice_id, factor ORDER BY day) AS i
+  FROM {p}_obs WHERE slice_id IN (SELECT slice_id FROM {p}_hyp) WINDOW w AS (PARTITION BY slice_id, factor)) GROUP BY 1, 2)
+""")
+    cte(f"{p}_chk", f"""
+SELECT v.hypothesis_id, 1 AS step_order, 'sample' AS step, CASE WHEN gap IS NULL THEN 'passed' ELSE 'insufficient_evidence' END AS verdict, 0.0::DOUBLE AS penalty FROM {p}_ver v
+UNION ALL SELECT h.hypothesis_id, 2, 'control', CASE WHEN b.p IS NULL THEN 'skipped' WHEN b.p >= 0.10 THEN 'common_driver' ELSE 'passed' END, 0.0
+ FROM {p}_hyp h LEFT JOIN (SELECT hypothesis_id, first(p_value ORDER BY abs(effect) DESC, code) AS p FROM {p}_res WHERE kind = 'control' AND p_value IS NOT NULL AND effect IS NOT NULL GROUP BY 1) b USING (hypothesis_id)
+UNION ALL SELECT h.hypothesis_id, 3, 'precedence', CASE WHEN f.deviation_day > t.deviation_day THEN 'cause_after_effect' WHEN f.deviation_day <= t.deviation_day THEN 'passed' ELSE 'skipped' END,
+  CASE WHEN f.deviation_day > t.deviation_day THEN 0.3 ELSE 0.0 END
+ FROM {p}_hyp h LEFT JOIN {p}_dev f ON f.slice_id = h.slice_id AND f.factor = h.factor LEFT JOIN {p}_dev t ON t.slice_id = h.slice_id AND t.factor = 'revenue'
+UNION ALL SELECT h.hypothesis_id, 4, 'placebo', CASE WHEN q.p_value IS NULL OR q.effect IS NULL THEN 'skipped'
+  WHEN q.p_value < 0.05 AND (ref IS NULL OR abs(q.effect) >= 0.8 * ref) THEN 'trend_driver' ELSE 'passed' END, 0.0
+ FROM {p}_hyp h LEFT JOIN (SELECT * FROM {p}_res WHERE kind = 'placebo') q USING (hypothesis_id)
+ LEFT JOIN (SELECT hypothesis_id, CASE WHEN gap IS NULL THEN abs(effect) END AS ref FROM {p}_ver) e USING (hypothesis_id)
+""")
+    cte(f"{p}_verd", f"""
+SELECT hypothesis_id, COALESCE(last_hard, CASE WHEN penalty > 0 THEN 'passed_with_penalty' ELSE 'passed' END) AS verdict, penalty, COALESCE(reasons, '') AS reasons, last_hard IS NOT NULL AS excluded FROM (
+ SELECT hypothesis_id, arg_max(verdict, step_order) FILTER (WHERE hard) AS last_hard, SUM(penalty) AS penalty,
+        string_agg(step || ':' || verdict, ';' ORDER BY step_order) FILTER (WHERE hard OR penalty > 0) AS reasons
+ FROM (SELECT *, verdict IN ('insufficient_evidence', 'common_driver', 'trend_driver') AS hard FROM {p}_chk) GROUP BY 1)
+""")
+    cte(f"{p}_final", f"""
+SELECT *, CASE WHEN excluded OR (penalty > 0 AND round(lowered, 12) < 0.6) THEN 'excluded' ELSE verify_status END AS status,
+       concat_ws(';', NULLIF(verify_reason, ''), NULLIF(reasons, '')) AS reason, verify_status = 'verified' AND NOT excluded AS accepted
+FROM (SELECT v.* EXCLUDE (status, reason), v.status AS verify_status, v.reason AS verify_reason, verdict, penalty, reasons, excluded,
+  CASE WHEN NOT excluded AND penalty > 0 THEN greatest(0.0, final - penalty) ELSE final END AS lowered
+ FROM {p}_ver v JOIN {p}_verd USING (hypothesis_id))
+""")
+
+
+def chain_tests(p: str) -> None:
+    """Subqueries of the tests in ``{p}_tests`` over the series in ``{p}_obs``, up to the verification of ``{p}_hyp``."""
     cte(f"{p}_pool", f"""
 SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY g, day) - 1 AS i FROM (
  SELECT test_id, 0 AS g, day, value FROM {p}_tests t JOIN {p}_obs o ON o.slice_id = in_slice AND o.factor = t.factor
@@ -153,37 +190,6 @@ FROM (SELECT *, COALESCE(share < 0.05, FALSE) AS small,
    CASE WHEN n_in < 3 OR n_out < 3 THEN 'few_days' WHEN p_value IS NULL OR effect IS NULL THEN 'undefined' WHEN n_in + n_out < 60 OR n_in < 21 THEN 'thin_sample' END AS gap
   FROM {p}_hyp h JOIN {p}_conf c USING (hypothesis_id) LEFT JOIN {p}_move m ON m.slice_id = h.slice_id))
 """)
-    cte(f"{p}_dev", f"""
-SELECT slice_id, factor, n_days, CASE WHEN n_days >= 5 AND s > 0 THEN first_far END AS deviation_day FROM (
- SELECT slice_id, factor, COUNT(*) AS n_days, MAX(s) AS s, MIN(CASE WHEN abs(value - m) > 1.5 * s THEN i END) AS first_far FROM (
-  SELECT *, AVG(value) OVER w AS m, stddev_pop(value) OVER w AS s, row_number() OVER (PARTITION BY slice_id, factor ORDER BY day) AS i
-  FROM {p}_obs WHERE slice_id IN (SELECT slice_id FROM {p}_hyp) WINDOW w AS (PARTITION BY slice_id, factor)) GROUP BY 1, 2)
-""")
-    cte(f"{p}_chk", f"""
-SELECT v.hypothesis_id, 1 AS step_order, 'sample' AS step, CASE WHEN gap IS NULL THEN 'passed' ELSE 'insufficient_evidence' END AS verdict, 0.0::DOUBLE AS penalty FROM {p}_ver v
-UNION ALL SELECT h.hypothesis_id, 2, 'control', CASE WHEN b.p IS NULL THEN 'skipped' WHEN b.p >= 0.10 THEN 'common_driver' ELSE 'passed' END, 0.0
- FROM {p}_hyp h LEFT JOIN (SELECT hypothesis_id, first(p_value ORDER BY abs(effect) DESC, code) AS p FROM {p}_res WHERE kind = 'control' AND p_value IS NOT NULL AND effect IS NOT NULL GROUP BY 1) b USING (hypothesis_id)
-UNION ALL SELECT h.hypothesis_id, 3, 'precedence', CASE WHEN f.deviation_day > t.deviation_day THEN 'cause_after_effect' WHEN f.deviation_day <= t.deviation_day THEN 'passed' ELSE 'skipped' END,
-  CASE WHEN f.deviation_day > t.deviation_day THEN 0.3 ELSE 0.0 END
- FROM {p}_hyp h LEFT JOIN {p}_dev f ON f.slice_id = h.slice_id AND f.factor = h.factor LEFT JOIN {p}_dev t ON t.slice_id = h.slice_id AND t.factor = 'revenue'
-UNION ALL SELECT h.hypothesis_id, 4, 'placebo', CASE WHEN q.p_value IS NULL OR q.effect IS NULL THEN 'skipped'
-  WHEN q.p_value < 0.05 AND (ref IS NULL OR abs(q.effect) >= 0.8 * ref) THEN 'trend_driver' ELSE 'passed' END, 0.0
- FROM {p}_hyp h LEFT JOIN (SELECT * FROM {p}_res WHERE kind = 'placebo') q USING (hypothesis_id)
- LEFT JOIN (SELECT hypothesis_id, CASE WHEN gap IS NULL THEN abs(effect) END AS ref FROM {p}_ver) e USING (hypothesis_id)
-""")
-    cte(f"{p}_verd", f"""
-SELECT hypothesis_id, COALESCE(last_hard, CASE WHEN penalty > 0 THEN 'passed_with_penalty' ELSE 'passed' END) AS verdict, penalty, COALESCE(reasons, '') AS reasons, last_hard IS NOT NULL AS excluded FROM (
- SELECT hypothesis_id, arg_max(verdict, step_order) FILTER (WHERE hard) AS last_hard, SUM(penalty) AS penalty,
-        string_agg(step || ':' || verdict, ';' ORDER BY step_order) FILTER (WHERE hard OR penalty > 0) AS reasons
- FROM (SELECT *, verdict IN ('insufficient_evidence', 'common_driver', 'trend_driver') AS hard FROM {p}_chk) GROUP BY 1)
-""")
-    cte(f"{p}_final", f"""
-SELECT *, CASE WHEN excluded OR (penalty > 0 AND round(lowered, 12) < 0.6) THEN 'excluded' ELSE verify_status END AS status,
-       concat_ws(';', NULLIF(verify_reason, ''), NULLIF(reasons, '')) AS reason, verify_status = 'verified' AND NOT excluded AS accepted
-FROM (SELECT v.* EXCLUDE (status, reason), v.status AS verify_status, v.reason AS verify_reason, verdict, penalty, reasons, excluded,
-  CASE WHEN NOT excluded AND penalty > 0 THEN greatest(0.0, final - penalty) ELSE final END AS lowered
- FROM {p}_ver v JOIN {p}_verd USING (hypothesis_id))
-""")
 
 
 cte("hy_sums", f"""
@@ -206,54 +212,42 @@ FROM hy_contrib
 chain("hy", "hy_list", in_period(OBSERVED), in_period(BASE), in_period(CURRENT))
 
 
-def full_cube(spark, d):
-    """The daily cube, written once: pairs, codes and series are all read from it."""
-    return cut_lineage(orders_cube(spark, d, DIMS), "cube")
-
-
-def channel_slices(cube):
-    """The total and one slice per channel that occurs."""
-    codes = cube.select("channel").distinct()
-    each = codes.select(F.create_map(F.lit("channel"), F.array("channel")).alias("dims"))
-    total = cube.sparkSession.createDataFrame([({},)], each.schema)
-    return each.unionByName(total).withColumn("slice_id", V.canonical_slice(F.col("dims")))
+#: What the cube of the runs is read from.
+SOURCES = ("lineitem", "orders", "customer", "nation", "region")
 
 
-def drafted(spark, d):
-    """Cube, pairs, contributions and hypotheses of the base and current period."""
-    cube = full_cube(spark, d)
-    pairs = V.period_values(cube, retail(), BASE, CURRENT, ALL_SETS)
-    rows = D.decompose(pairs, retail(), ["slice_id"])
-    return cube, pairs, rows, H.candidates(rows, channel_slices(cube), "revenue")
+def run_store(spark, d, name):
+    """The store of a run of this application over the tables as they are: changed files give another run."""
+    return RunStore(spark, runs_path(spark), "retail", f"{name}-{source_mark(spark, [f'{d}/{t}.parquet' for t in SOURCES])}")
 
 
-def tested(spark, d, kinds=("verify", "control", "placebo")):
-    """As ``drafted``, with the test results; these are written once, many steps read them."""
-    cube, pairs, rows, hyps = drafted(spark, d)
-    hyps = cut_lineage(hyps, "hypotheses")
-    tests = H.tests_for(hyps, cube, retail()).where(F.col("kind").isin(*kinds))
-    series = H.test_series(tests, cube, retail(), OBSERVED)
-    return cube, pairs, rows, hyps, cut_lineage(H.run_tests(tests, series, PERMUTATIONS), "tests")
+def stored_cube(spark, d, dims=DIMS):
+    """The daily cube of some dimensions, written once for all runs."""
+    return run_store(spark, d, "cubes").stage("-".join(dims), lambda: orders_cube(spark, d, dims), ("day",))
 
 
-def verified(spark, d, kinds=("verify",)):
-    cube, pairs, rows, hyps, results = tested(spark, d, kinds)
-    return cube, rows, hyps, results, H.verify(hyps, results, H.slice_shares(pairs, "revenue"))
+def stored_run(spark, d, name, build_slices, dims=DIMS, base=BASE, current=CURRENT, observed=OBSERVED, **more):
+    """A run whose stages are committed once, whichever query asks first."""
+    return Attribution(run_store(spark, d, name), retail(), base, current, observed, dims, lambda: stored_cube(spark, d, dims), build_slices, **more)
 
 
-def deviations(cube, hyps, window=OBSERVED):
-    slices = hyps.groupBy("slice_id").agg(F.first("dims").alias("dims"))
-    return H.first_deviation(H.slice_series(cube, retail(), slices, window, DIMS), ["slice_id", "factor"])
+def channel_slices(cube):
+    """The total and one slice per channel that occurs."""
+    codes = cube.select("channel").distinct()
+    each = codes.select(F.create_map(F.lit("channel"), F.array("channel")).alias("dims"))
+    total = cube.sparkSession.createDataFrame([({},)], each.schema)
+    return each.unionByName(total).withColumn("slice_id", V.canonical_slice(F.col("dims")))
 
 
-def checked(spark, d):
-    cube, rows, hyps, results, ver = verified(spark, d, ("verify", "control", "placebo"))
-    return rows, hyps, ver, H.spurious_checks(hyps, results, deviations(cube, hyps), "revenue")
+def channels(spark, d):
+    """The run of the total and every channel."""
+    return stored_run(spark, d, "channels", channel_slices)
 
 
-def judged(spark, d):
-    rows, hyps, ver, checks = checked(spark, d)
-    return rows, hyps, H.apply_checks(ver, H.combine_checks(checks))
+def fresh_results(run, *kinds):
+    """The tests of some kinds, carried out anew."""
+    tests = run.tests.where(F.col("kind").isin(*kinds))
+    return H.run_tests(tests, H.sides_series(H.test_sides(tests), run.series), PERMUTATIONS)
 
 
 KIND = "WHERE kind = 'verify'"
@@ -263,8 +257,7 @@ KIND = "WHERE kind = 'verify'"
 SELECT hypothesis_id, n_in, n_out, {amount_sql('mean_in - mean_out', in_money_sql('factor'))} AS statistic, p_value FROM hy_res {KIND}
 """)
 def _(spark, d):
-    *_, results = tested(spark, d, ("verify",))
-    return results.select(
+    return fresh_results(channels(spark, d), "verify").select(
         "hypothesis_id", "n_in", "n_out", amount(F.col("mean_in") - F.col("mean_out"), "statistic", in_money("factor")), "p_value")
 
 
@@ -273,7 +266,7 @@ SELECT test_id AS key, extreme, p_value FROM hy_res WHERE kind <> 'verify'
 UNION ALL SELECT channel, extreme, (extreme + 1) / {PERMUTATIONS + 1}::DOUBLE FROM in3_ext
 """)
 def _(spark, d):
-    *_, results = tested(spark, d, ("control", "placebo"))
+    results = fresh_results(channels(spark, d), "control", "placebo")
     pairs = I.permutation_correlation(price_and_lines(spark, d), ["channel"], PERMUTATIONS)
     return results.select(F.col("test_id").alias("key"), "extreme", "p_value").unionByName(
         pairs.select(F.col("channel").alias("key"), "extreme", "p_value"))
@@ -281,8 +274,8 @@ def _(spark, d):
 
 def simple_groups(spark, d):
     """Every channel's days against the days of all channels, for each metric: no replicates."""
-    cube = full_cube(spark, d)
-    slices = channel_slices(cube)
+    run = channels(spark, d)
+    cube, slices = run.cube, run.slices.select("slice_id", "dims")
     hyps = slices.withColumn("factor", F.explode(F.array(F.lit("orders"), F.lit("basket"), F.lit("price_per_unit"))))
     series = H.slice_series(cube, retail(), slices, OBSERVED, DIMS)
     inside = hyps.join(series, ["slice_id", "factor"]).select("slice_id", "factor", F.lit("in").alias("side"), "day", "value")
@@ -329,8 +322,7 @@ def _(spark, d):
 
 
 def scores(spark, d):
-    *_, results = tested(spark, d, ("verify",))
-    return I.with_confidence(results, H.COVERAGE_DAYS)
+    return I.with_confidence(channels(spark, d).results.where(F.col("kind") == "verify"), H.COVERAGE_DAYS)
 
 
 @query("in9_significance", "SELECT hypothesis_id, p_value, sig AS score FROM hy_conf")
@@ -366,17 +358,16 @@ SELECT hypothesis_id, slice_id, factor, CAST(rank AS INT) AS rank, {amount_sql('
        factor || ' in slice ' || slice_id || ' drives revenue' AS statement FROM hy_hyp
 """)
 def _(spark, d):
-    *_, hyps = drafted(spark, d)
-    return hyps.select("hypothesis_id", "slice_id", "factor", "rank", amount("contribution"), "direction", "statement")
+    return channels(spark, d).hypotheses.select("hypothesis_id", "slice_id", "factor", "rank", amount("contribution"), "direction", "statement")
 
 
 @query("hy2_series", f"""
 SELECT test_id, CASE WHEN g = 0 THEN 'in' ELSE 'out' END AS side, day, {amount_sql('value', in_money_sql("split_part(test_id, '/', 2)"))} AS value FROM hy_pool WHERE test_id LIKE '%/verify/'
 """)
 def _(spark, d):
-    cube, _, _, hyps = drafted(spark, d)
-    tests = H.tests_for(hyps, cube, retail()).where(F.col("kind") == "verify")
-    rows = H.test_series(tests, cube, retail(), OBSERVED).withColumn("factor", F.split("test_id", "/")[1])
+    run = channels(spark, d)
+    tests = run.tests.where(F.col("kind") == "verify")
+    rows = H.sides_series(H.test_sides(tests), run.series).withColumn("factor", F.split("test_id", "/")[1])
     return rows.select("test_id", "side", "day", amount("value", money=in_money("factor")))
 
 
@@ -384,22 +375,19 @@ def _(spark, d):
 SELECT hypothesis_id, n_in, n_out, p_value, {r_sql('effect')} AS effect, {r_sql('final', 4)} AS final_confidence, status, reason FROM hy_ver
 """)
 def _(spark, d):
-    *_, ver = verified(spark, d)
-    return ver.select("hypothesis_id", "n_in", "n_out", "p_value", r("effect").alias("effect"), r("final_confidence", 4).alias("final_confidence"), "status", "reason")
+    return channels(spark, d).verified.select("hypothesis_id", "n_in", "n_out", "p_value", r("effect").alias("effect"), r("final_confidence", 4).alias("final_confidence"), "status", "reason")
 
 
 @query("hy4_direction", f"""
 SELECT hypothesis_id, direction, CASE WHEN gap IS NULL THEN NOT against END AS direction_ok, {r_sql('confidence', 4)} AS confidence, {r_sql('final', 4)} AS final_confidence FROM hy_ver
 """)
 def _(spark, d):
-    *_, ver = verified(spark, d)
-    return ver.select("hypothesis_id", "direction", "direction_ok", r("confidence", 4).alias("confidence"), r("final_confidence", 4).alias("final_confidence"))
+    return channels(spark, d).verified.select("hypothesis_id", "direction", "direction_ok", r("confidence", 4).alias("confidence"), r("final_confidence", 4).alias("final_confidence"))
 
 
 @query("hy5_share_gate", f"SELECT hypothesis_id, {r_sql('share')} AS share, small AS gated, status FROM hy_ver")
 def _(spark, d):
-    *_, ver = verified(spark, d)
-    return ver.select("hypothesis_id", r("share").alias("share"), F.coalesce(F.col("share") < H.MIN_SHARE, F.lit(False)).alias("gated"), "status")
+    return channels(spark, d).verified.select("hypothesis_id", r("share").alias("share"), F.coalesce(F.col("share") < H.MIN_SHARE, F.lit(False)).alias("gated"), "status")
 
 
 def step_sql(step: str) -> str:
@@ -407,8 +395,7 @@ def step_sql(step: str) -> str:
 
 
 def step_rows(spark, d, step):
-    *_, checks = checked(spark, d)
-    return checks.where(F.col("step") == step).select("hypothesis_id", "verdict", "penalty")
+    return channels(spark, d).checks.where(F.col("step") == step).select("hypothesis_id", "verdict", "penalty")
 
 
 @query("pc1_control", step_sql("control"))
@@ -433,17 +420,146 @@ def _(spark, d):
 
 @query("pc5_first_deviation", "SELECT slice_id, factor, n_days, CAST(deviation_day AS INT) AS deviation_day FROM hy_dev")
 def _(spark, d):
-    cube = full_cube(spark, d)
-    return deviations(cube, channel_slices(cube)).select("slice_id", "factor", "n_days", "deviation_day")
+    return channels(spark, d).deviations.select("slice_id", "factor", "n_days", "deviation_day")
 
 
 @query("pc6_combine", "SELECT hypothesis_id, verdict, penalty, reasons, excluded FROM hy_verd")
 def _(spark, d):
-    *_, checks = checked(spark, d)
-    return H.combine_checks(checks)
+    return H.combine_checks(channels(spark, d).checks)
 
 
 @query("pc7_apply", f"SELECT hypothesis_id, verify_status, verdict, status, {r_sql('lowered', 4)} AS final_confidence, accepted, reason FROM hy_final")
 def _(spark, d):
-    *_, rows = judged(spark, d)
-    return rows.select("hypothesis_id", "verify_status", "verdict", "status", r("final_confidence", 4).alias("final_confidence"), "accepted", "reason")
+    return channels(spark, d).verdicts.select("hypothesis_id", "verify_status", "verdict", "status", r("final_confidence", 4).alias("final_confidence"), "accepted", "reason")
+
+
+# --- slices of several codes in four dimensions ------------------------------
+
+WIDE = ("channel", "nation", "region", "segment")
+
+
+def coded_slices(cube):
+    """Two kinds of slices with several codes, from the codes that occur, and one that names a code which doesn't.
+
+    For every region: its first three nations, the first and last channel, all segments but the first; and the same for one segment.
+    """
+    codes = cube.agg(F.min("channel").alias("c0"), F.max("channel").alias("c1"), F.sort_array(F.collect_set("segment")).alias("all"))
+    nations = F.slice(F.sort_array(F.collect_set("nation")), 1, 3)
+    both = F.array_distinct(F.array("c0", "c1"))
+
+    def dims(segments):
+        return F.map_from_arrays(F.array(*[F.lit(x) for x in WIDE]), F.array(both, "nations", F.array("region"), segments)).alias("dims")
+
+    broad = cube.groupBy("region").agg(nations.alias("nations")).join(codes).select(
+        F.concat(F.lit("broad/"), "region").alias("slice_id"), dims(F.slice(F.col("all"), 2, 100)))
+    narrow = cube.groupBy("region", "segment").agg(nations.alias("nations")).join(codes).select(
+        F.concat(F.lit("narrow/"), "region", F.lit("/"), "segment").alias("slice_id"), dims(F.array("segment")))
+    lost = codes.select(F.lit("lost").alias("slice_id"), F.map_from_arrays(
+        F.array(F.lit("channel")), F.array(F.array("c0", F.lit("no such channel")))).alias("dims"))
+    return broad.unionByName(narrow).unionByName(lost)
+
+
+def coded(spark, d):
+    return stored_run(spark, d, "coded", coded_slices, WIDE)
+
+
+cte("ms", """
+SELECT 'broad/' || region AS slice_id, region, NULL AS segment, list_sort(list(DISTINCT nation))[1:3] AS nations FROM v GROUP BY region
+UNION ALL SELECT 'narrow/' || region || '/' || segment, region, segment, list_sort(list(DISTINCT nation))[1:3] FROM v GROUP BY region, segment
+""")
+cte("mv", """
+SELECT ms.slice_id, v.* FROM v JOIN ms ON v.region = ms.region AND list_contains(ms.nations, v.nation)
+ AND (v.segment = ms.segment OR ms.segment IS NULL AND v.segment > (SELECT MIN(segment) FROM v))
+WHERE v.channel IN ((SELECT MIN(channel) FROM v), (SELECT MAX(channel) FROM v))
+UNION ALL SELECT 'all', v.* FROM v
+""")
+cte("ms_sums", "SELECT slice_id, " + ", ".join(
+    f"CAST({e} FILTER (WHERE {in_period(when)}) AS DOUBLE) AS {n}{i}"
+    for i, when in enumerate((BASE, CURRENT)) for n, e in (("o", "COUNT(DISTINCT order_id)"), ("u", "SUM(units)"), ("r", "SUM(revenue_cents)")))
+    + f" FROM mv WHERE {in_period(span(BASE, CURRENT))} GROUP BY 1")
+cte("ms_contrib", """
+SELECT slice_id, unnest(['orders', 'basket', 'price_per_unit']) AS factor, unnest([0, 1, 2]) AS child_order, r1 - r0 AS delta, status,
+  unnest([lm * (ln(o1) - ln(o0)), lm * (ln(u1 / o1) - ln(u0 / o0)), lm * (ln(r1 / u1) - ln(r0 / u0))]) AS contribution
+FROM (SELECT *, CASE WHEN r0 IS NULL OR r1 IS NULL THEN 'missing_value' ELSE 'ok' END AS status,
+  CASE WHEN r1 = r0 THEN r1 ELSE (r1 - r0) / (ln(r1) - ln(r0)) END AS lm
+ FROM (SELECT slice_id FROM ms UNION ALL SELECT 'lost') LEFT JOIN (SELECT slice_id, nullif(o0, 0) AS o0, nullif(o1, 0) AS o1, u0, u1, r0, r1 FROM ms_sums) USING (slice_id))
+""")
+cte("hym_hyp", """
+SELECT slice_id || '/' || factor AS hypothesis_id, slice_id, factor, CASE WHEN contribution < 0 THEN 'down' ELSE 'up' END AS direction FROM ms_contrib WHERE status = 'ok'
+""")
+cte("hym_osum", f"SELECT day, slice_id, {SUMS} FROM mv WHERE {in_period(OBSERVED)} GROUP BY day, slice_id")
+cte("hym_obs", f"SELECT slice_id, day, code AS factor, value FROM ({long_nodes('hym_osum', 'day, slice_id')}) WHERE value IS NOT NULL")
+cte("hym_move", "SELECT slice_id, r1 - r0 AS delta FROM ms_sums")
+cte("hym_tests", """
+SELECT hypothesis_id || '/verify/' AS test_id, hypothesis_id, 'verify' AS kind, '' AS code, factor, slice_id AS in_slice, 'all' AS out_slice FROM hym_hyp
+""")
+chain_tests("hym")
+
+
+@query("dc11_slice_table", f"SELECT slice_id, 'revenue' AS node, factor, {amount_sql('contribution')} AS contribution, delta, status FROM ms_contrib")
+def _(spark, d):
+    return coded(spark, d).contributions.select("slice_id", "node", "factor", amount("contribution"), "delta", "status")
+
+
+@query("dc17_slice_table", f"""
+SELECT slice_id, r1 - r0 AS delta, {r_sql("abs(r1 - r0) / NULLIF(abs((SELECT r1 - r0 FROM ms_sums WHERE slice_id = 'all')), 0)")} AS share
+FROM (SELECT slice_id FROM ms UNION ALL SELECT 'lost' UNION ALL SELECT 'all') LEFT JOIN ms_sums USING (slice_id)
+""")
+def _(spark, d):
+    return coded(spark, d).shares.select("slice_id", "delta", r("share").alias("share"))
+
+
+@query("flt2_slice_status", """
+SELECT slice_id, 'ok' AS status FROM ms UNION ALL SELECT 'all', 'ok' UNION ALL SELECT 'lost', 'unknown_code'
+""")
+def _(spark, d):
+    return coded(spark, d).slices.select("slice_id", "status")
+
+
+@query("hy5_multi_code", f"SELECT hypothesis_id, {r_sql('share')} AS share, small AS gated, n_in, n_out, p_value, status, reason FROM hym_ver")
+def _(spark, d):
+    return coded(spark, d).verified.select(
+        "hypothesis_id", r("share").alias("share"), F.coalesce(F.col("share") < H.MIN_SHARE, F.lit(False)).alias("gated"), "n_in", "n_out", "p_value", "status", "reason")
+
+
+# --- result rows of a run ----------------------------------------------------
+
+def kept_twice(spark, d, kind, rows, payload):
+    """Result rows written, written again as after a failure of the writer, and read back."""
+    path, run = scratch_path(spark, "results"), channels(spark, d)
+    for _ in range(2):
+        write_results(rows(run), path, "retail", "run-1", kind, ("slice_id",))
+    return read_results(spark, path, "retail", "run-1", kind, payload)
+
+
+@query("src7_steps", """
+SELECT 'retail' AS scenario, 'run-1' AS run_id, 'step' AS kind, slice_id, 1 AS seq, 'query' AS step, 'completed' AS status, 'revenue' AS nodes, NULL::BIGINT AS count, NULL AS factor, NULL AS verdict FROM hy_hyp GROUP BY slice_id
+UNION ALL SELECT 'retail', 'run-1', 'step', slice_id, 2, 'hypothesis', 'completed', NULL, COUNT(*), NULL, NULL FROM hy_hyp GROUP BY slice_id
+UNION ALL SELECT 'retail', 'run-1', 'step', slice_id, CAST(2 + rank AS INT), 'verify', status, NULL, NULL, factor, verdict FROM hy_final JOIN (SELECT hypothesis_id, rank FROM hy_hyp) USING (hypothesis_id)
+""")
+def _(spark, d):
+    payload = "seq int, step string, status string, nodes string, residual double, count long, factor string, confidence double, verdict string"
+    rows = kept_twice(spark, d, "step", lambda run: run.steps().withColumnRenamed("kind", "step"), payload)
+    return rows.drop("residual", "confidence")
+
+
+@query("src7_hypotheses", f"""
+SELECT 'retail' AS scenario, 'run-1' AS run_id, 'hypothesis' AS kind, slice_id, hypothesis_id, factor || ' in slice ' || slice_id || ' drives revenue' AS statement, direction AS expected_direction,
+       status, {r_sql('lowered', 4)} AS confidence, reason, {r_sql('sig', 4)} AS significance_score, {r_sql('eff', 4)} AS effect_score, CASE WHEN gap IS NULL THEN NOT against END AS direction_ok, penalty, verdict FROM hy_final
+""")
+def _(spark, d):
+    payload = ("hypothesis_id string, statement string, expected_direction string, status string, confidence double, reason string, significance_score double, "
+               "effect_score double, coverage_score double, direction_ok boolean, penalty double, verdict string")
+    rows = kept_twice(spark, d, "hypothesis", lambda run: run.hypothesis_rows(), payload).drop("coverage_score")
+    return rows.select(*[r(c, 4).alias(c) if c in ("confidence", "significance_score", "effect_score") else c for c in rows.columns])
+
+
+@query("src7_evidence", f"""
+SELECT 'retail' AS scenario, 'run-1' AS run_id, 'evidence' AS kind, slice_id, hypothesis_id, test_id, r.kind AS test_kind, code, n_in + n_out AS sample_size, p_value, {r_sql('effect')} AS effect_size
+FROM hy_res r JOIN (SELECT hypothesis_id, slice_id FROM hy_hyp) USING (hypothesis_id)
+""")
+def _(spark, d):
+    payload = ("hypothesis_id string, test_id string, test_kind string, code string, sample_size long, n_in long, n_out long, mean_in double, mean_out double, "
+               "p_value double, effect_size double")
+    rows = kept_twice(spark, d, "evidence", lambda run: run.evidence_rows(), payload)
+    return rows.select("scenario", "run_id", "kind", "slice_id", "hypothesis_id", "test_id", "test_kind", "code", "sample_size", "p_value", r("effect_size").alias("effect_size"))

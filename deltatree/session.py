@@ -64,6 +64,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def runs_path(spark: SparkSession) -> str:
+    """The folder of the runs that this application stores below the shared one; ``remove_scratch`` removes it too."""
+    path = os.path.join(scratch_dir(spark), f"runs-{spark.sparkContext.applicationId}")
+    if path not in _written:
+        _written.append(path)
+    return path
+
+
 def remove_scratch(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Remove written intermediate tables: ``paths``, or all of this driver once nothing reads them any more."""
     for path in list(_written if paths is None else paths):

@@ -52,23 +52,6 @@ def load_events(spark: SparkSession, source: str | DataFrame, fmt: str = "json")
     return events.where(F.col("deleted_at").isNull()).drop("deleted_at")
 
 
-def write_results(df: DataFrame, path: str, scenario: str, run_id: str, kind: str,
-                  keys: tuple[str, ...]) -> str:
-    """Append result rows with a JSON payload, in one folder per scenario and run."""
-    payload = [c for c in df.columns if c not in keys]
-    (
-        df.select(
-            *keys,
-            F.lit(kind).alias("kind"),
-            F.to_json(F.struct(*payload)).alias("payload"),
-            F.lit(scenario).alias("scenario"),
-            F.lit(run_id).alias("run_id"),
-        )
-        .write.mode("append").partitionBy("scenario", "run_id").parquet(path)
-    )
-    return path
-
-
 def limited(df: DataFrame, rows: int, order: list) -> DataFrame:
     """At most ``rows`` rows, each marked when the input held more.
 
