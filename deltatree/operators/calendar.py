@@ -79,33 +79,84 @@ def gap_days(event_start: Column, event_end: Column, start: Column, end: Column)
     )
 
 
-def events_near(windows: DataFrame, events: DataFrame, within: int = WINDOW_DAYS) -> DataFrame:
-    """Pairs of windows and events at most ``within`` days apart.
+def _window_weeks(windows: DataFrame, within: int) -> DataFrame:
+    """Windows once for each week that they reach: ``_w0`` the first of them, ``_bucket`` this one."""
+    return (
+        windows.withColumn("_w0", _bucket(F.date_sub("window_start", within)))
+        .withColumn("_bucket", F.explode(F.sequence("_w0", _bucket(F.date_add("window_end", within)))))
+    )
 
-    Both sides are unrolled to week buckets and joined on the bucket; a pair is
-    kept in the first bucket it shares. Long and open events are cut to the range
-    that the windows cover before they are unrolled.
-    """
+
+def _event_weeks(windows: DataFrame, events: DataFrame, within: int) -> DataFrame:
+    """Events once for each week: ``_e0``, ``_bucket``. Long and open events are cut to the range that the windows cover."""
     spread = windows.agg(
         F.struct(F.date_sub(F.min("window_start"), within).alias("lo"),
                  F.date_add(F.max("window_end"), within).alias("hi")).alias("r")
     ).scalar()
-    w = (
-        windows.withColumn("_w0", _bucket(F.date_sub("window_start", within)))
-        .withColumn("_w1", _bucket(F.date_add("window_end", within)))
-        .withColumn("_bucket", F.explode(F.sequence("_w0", "_w1")))
-    )
     e = events.withColumn("_r", spread)
     start = F.greatest(F.col("start_day"), F.col("_r.lo"))
     end = F.least(F.coalesce(F.col("end_day"), F.col("_r.hi")), F.col("_r.hi"))
-    e = (
+    return (
         e.withColumn("_e0", _bucket(start)).withColumn("_e1", _bucket(end)).where(F.col("_e0") <= F.col("_e1"))
-        .withColumn("_bucket", F.explode(F.sequence("_e0", "_e1"))).drop("_r")
+        .withColumn("_bucket", F.explode(F.sequence("_e0", "_e1"))).drop("_r", "_e1")
     )
-    pairs = w.join(e, "_bucket").where(F.col("_bucket") == F.greatest("_w0", "_e0"))
-    pairs = pairs.withColumn(
-        "gap", gap_days(F.col("start_day"), F.col("end_day"), F.col("window_start"), F.col("window_end")))
-    return pairs.where(F.col("gap") <= within).drop("_bucket", "_w0", "_w1", "_e0", "_e1")
+
+
+def _near(pairs: DataFrame, within: int) -> DataFrame:
+    """Pairs in the first week that they share, with their gap, if it is small enough."""
+    gap = gap_days(F.col("start_day"), F.col("end_day"), F.col("window_start"), F.col("window_end"))
+    kept = pairs.where(F.col("_bucket") == F.greatest("_w0", "_e0")).withColumn("gap", gap)
+    return kept.where(F.col("gap") <= within).drop("_bucket", "_w0", "_e0")
+
+
+def events_near(windows: DataFrame, events: DataFrame, within: int = WINDOW_DAYS) -> DataFrame:
+    """Pairs of windows and events at most ``within`` days apart.
+
+    Both sides are unrolled to week buckets and joined on the bucket; a pair is
+    kept in the first bucket it shares.
+    """
+    return _near(_window_weeks(windows, within).join(_event_weeks(windows, events, within), "_bucket"), within)
+
+
+#: How a dimension is posted: a listed code, an event that lists none, or any event that names the dimension.
+_CODE, _FREE, _ANY = 0, 1, 2
+
+
+def _listed(dims: Column, name: Column) -> Column:
+    return F.coalesce(F.try_element_at(dims, name), F.array().cast("array<string>"))
+
+
+def _post(name: Column, kind: int, code: Column | None = None) -> Column:
+    return F.struct(name.alias("name"), F.lit(kind).alias("kind"), (F.lit("") if code is None else code).alias("code"))
+
+
+def event_postings(dims: Column) -> Column:
+    """The keys under which an event is found: for each dimension it names, every code (or that it lists none), and the name alone."""
+    return F.array_distinct(F.flatten(F.transform(F.map_keys(dims), lambda n: F.concat(
+        F.array(_post(n, _ANY)),
+        F.when(F.size(_listed(dims, n)) > 0, F.transform(_listed(dims, n), lambda c: _post(n, _CODE, c))).otherwise(F.array(_post(n, _FREE)))))))
+
+
+def window_lookups(dims: Column, scenario_dims: Sequence[str]) -> Column:
+    """The keys that a window asks for: its codes and events without codes, or all events of a dimension that it leaves free."""
+    declared = F.array(*[F.lit(d) for d in scenario_dims]).cast("array<string>")
+    names = F.when(F.size(F.map_keys(dims)) > 0, F.map_keys(dims)).otherwise(declared)
+    return F.array_distinct(F.flatten(F.transform(names, lambda n: F.when(
+        F.size(_listed(dims, n)) > 0, F.concat(F.array(_post(n, _FREE)), F.transform(_listed(dims, n), lambda c: _post(n, _CODE, c))),
+    ).otherwise(F.array(_post(n, _ANY))))))
+
+
+def events_sharing(windows: DataFrame, events: DataFrame, scenario_dims: Sequence[str], within: int = WINDOW_DAYS) -> DataFrame:
+    """As ``events_near`` for pairs that share a dimension (``dimension_overlap`` above 0), and only those are made.
+
+    Events are posted under (week, dimension, code) and windows look their own keys up, so a window never meets the events of its week
+    whose codes are others'. A pair that shares several keys is kept at the least of them.
+    """
+    w = _window_weeks(windows, within).withColumn("_asked", window_lookups(F.col("slice_dims"), scenario_dims))
+    e = _event_weeks(windows, events, within).withColumn("_posted", event_postings(F.col("dims")))
+    pairs = w.withColumn("_key", F.explode("_asked")).join(e.withColumn("_key", F.explode("_posted")), ["_bucket", "_key"])
+    least = F.array_min(F.array_intersect("_asked", "_posted"))
+    return _near(pairs.where(F.col("_key") == least).drop("_key", "_asked", "_posted"), within)
 
 
 def dimension_overlap(event: Column, slice_dims: Column, scenario_dims: Sequence[str]) -> Column:
@@ -141,7 +192,7 @@ def match_events(windows: DataFrame, events: DataFrame, scenario_dims: Sequence[
     ``windows``: window_id, window_start, window_end, slice_dims. Events out of
     reach in time or without a common dimension are dropped, whatever their score.
     """
-    near = events_near(windows, events, within)
+    near = events_sharing(windows, events, scenario_dims, within)
     scored = (
         near.withColumn("overlap", dimension_overlap(F.col("dims"), F.col("slice_dims"), scenario_dims))
         .withColumn("proximity", time_proximity(F.col("gap"), within))

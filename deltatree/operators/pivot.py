@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltatree.functions import scalar as S
 from deltatree.functions.periods import Period, period_label
+from deltatree.operators.ranks import range_ranks
 from deltatree.operators.tree import Node, check_dimensions
 from deltatree.operators.values import slice_sets
 
@@ -17,27 +18,8 @@ TOP_N = 5
 
 def ranked(df: DataFrame, group: Sequence[str], size: Column, ties: Sequence[str],
            name: str = "rank") -> DataFrame:
-    """Rank by size descending, then ``ties``, without one task per group.
-
-    Rows are ranked inside narrow bands of size; the number of rows in the bands
-    above is added from a count per band. Rows of size 0 share one band, so it is
-    split further by the first tie column, which is their first sort key.
-    """
-    banded = df.withColumn("_size", size).withColumn("_band", F.floor(F.log2(F.col("_size") + 1) * 8))
-    banded = banded.withColumn("_tie", F.when(F.col("_size") == 0, F.col(ties[0])).otherwise(F.lit("")))
-    band = [*group, "_band", "_tie"]
-    counts = banded.groupBy(*band).agg(F.count(F.lit(1)).alias("_n"))
-    above = Window.partitionBy(*group).orderBy(F.col("_band").desc(), "_tie").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = counts.withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(*band).orderBy(F.col("_size").desc(), *ties)
-    return (
-        banded.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, band)
-        .withColumn(name, (F.col("_above") + F.col("_inside")).cast("int"))
-        .drop("_size", "_band", "_tie", "_above", "_inside")
-    )
+    """Rank by size descending, then ``ties``, without one task per group or per size: see ``range_ranks``."""
+    return range_ranks(df.withColumn("_size", size), group, [F.col("_size").desc(), *[F.col(t) for t in ties]], name).drop("_size")
 
 
 def combination_pairs(cube: DataFrame, node: Node, sets: Sequence[Sequence[str]],
