@@ -34,13 +34,15 @@ def combination_pairs(cube: DataFrame, node: Node, sets: Sequence[Sequence[str]]
     ).where(F.col("period").isNotNull())
     dims = sorted({d for s in sets for d in s})
     values = slice_sets(labelled, [*keys, "period"], sets, [node.value("value")])
-    sided = {side: F.col("period") == side for side in ("base", "current")}
-    return values.groupBy(*keys, "grouping_id", *dims, "slice_id").agg(
-        F.max(F.when(sided["base"], F.col("value"))).alias("base"),
-        F.max(F.when(sided["current"], F.col("value"))).alias("current"),
-        F.max(sided["base"]).alias("in_base"),
-        F.max(sided["current"]).alias("in_current"),
-    )
+    return sided(values, [*keys, "grouping_id", *dims, "slice_id"])
+
+
+def sided(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Both periods' ``value`` of a key in one row, and whether it occurs in them."""
+    base, current = (F.col("period") == side for side in ("base", "current"))
+    return values.groupBy(*keys).agg(
+        F.max(F.when(base, F.col("value"))).alias("base"), F.max(F.when(current, F.col("value"))).alias("current"),
+        F.max(base).alias("in_base"), F.max(current).alias("in_current"))
 
 
 def _noted(pairs: DataFrame) -> DataFrame:
@@ -90,12 +92,17 @@ def dimension_tables(cube: DataFrame, node: Node, sets: Sequence[Sequence[str]],
     """
     wanted = [check_dimensions(s, cube.columns) for s in sets if s]
     dims = sorted({d for s in wanted for d in s})
-    pairs = combination_pairs(cube, node, [(), *wanted], base, current, keys)
-    total_id = 2 ** len(dims) - 1
+    return contribution_tables(combination_pairs(cube, node, [(), *wanted], base, current, keys), 2 ** len(dims) - 1, keys, top_n)
+
+
+def contribution_tables(pairs: DataFrame, total_id: int, keys: Sequence[str] = (), top_n: int = TOP_N) -> DataFrame:
+    """The tables of ``dimension_tables`` from the pairs of their combinations; rows of ``total_id`` are the layers.
+
+    A layer without rows in a period counts as 0 there, as a combination does.
+    """
     group = [*keys, "grouping_id"]
     layer = pairs.where(F.col("grouping_id") == total_id).select(
-        *keys, F.col("base").alias("layer_base"), F.col("current").alias("layer_current")
-    )
+        *keys, *[F.when(F.col(f"in_{side}"), F.col(side)).otherwise(0.0).alias(f"layer_{side}") for side in ("base", "current")])
     rows = exact_contributions(pairs.where(F.col("grouping_id") != total_id))
     null_here = (F.col("in_base") & F.col("base").isNull()) | (F.col("in_current") & F.col("current").isNull())
     rows = rows.withColumn("_null", null_here)

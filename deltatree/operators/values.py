@@ -147,15 +147,19 @@ def period_values(cube: DataFrame, tree: MetricTree, base: Period, current: Peri
     return paired_values(wide, tree, ["slice_id"])
 
 
+def period_cells(cube: DataFrame, base: Period, current: Period, dims: Sequence[str]) -> DataFrame:
+    """Sums of both periods per combination of codes, which bounds what slices are joined with by the code lists."""
+    sums = [c for c in cube.columns if c not in ("day", *dims)]
+    period = period_label(F.col("day"), {"base": base, "current": current})
+    return cube.withColumn("period", period).where(F.col("period").isNotNull()).groupBy("period", *dims).agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def slice_pairs(cube: DataFrame, slices: DataFrame, tree: MetricTree, base: Period, current: Period, dims: Sequence[str]) -> DataFrame:
     """As ``period_values`` for a table ``(slice_id, dims)`` of slices, which may have several codes in each of any dimensions.
 
-    Both periods are summed per combination of codes before slices meet them, so the join works on rows that are bounded by the code
-    lists. A slice without rows, or with a ``status`` other than ok, keeps a row without values.
+    A slice without rows, or with a ``status`` other than ok, keeps a row without values.
     """
-    sums = [c for c in cube.columns if c not in ("day", *dims)]
-    period = period_label(F.col("day"), {"base": base, "current": current})
-    cells = cube.withColumn("period", period).where(F.col("period").isNotNull()).groupBy("period", *dims).agg(*[F.sum(c).alias(c) for c in sums])
+    cells = period_cells(cube, base, current, dims)
     usable = slices.where(F.col("status") == "ok") if "status" in slices.columns else slices
     wide = wide_values(join_slices(cells, usable.select("slice_id", "dims"), dims), tree, ["period", "slice_id"])
     return slices.select("slice_id").join(paired_values(wide, tree, ["slice_id"]), "slice_id", "left")

@@ -6,7 +6,7 @@ import importlib
 
 from deltatree.plans.common import ORACLES, QUERIES, Plan, compose
 
-MODULES = ("relational", "decomposition", "anomaly", "statistics", "events", "whatif", "quality", "reports", "streams")
+MODULES = ("relational", "decomposition", "anomaly", "statistics", "events", "whatif", "quality", "reports", "drilldown", "streams")
 
 for _name in MODULES:
     importlib.import_module(f"deltatree.plans.{_name}")
