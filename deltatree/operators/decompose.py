@@ -31,8 +31,12 @@ def _total(node: Node, values: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a * b, values)
 
 
-def substituted(x0: Column, x1: Column) -> tuple[Column, Column]:
-    """Both period values of a factor with non-positive ones replaced."""
+def substituted(x0: Column, x1: Column, replacement: float | None = None) -> tuple[Column, Column]:
+    """Both period values of a factor with non-positive ones replaced: by ``replacement`` if it is given."""
+    if replacement is not None:
+        if not replacement > 0:
+            raise ValueError(f"a replacement must be positive: {replacement}")
+        return tuple(F.when(x > 0, x).otherwise(F.lit(float(replacement))) for x in (x0, x1))
     z0 = F.when(x0 > 0, x0).otherwise(S.zero_replacement(x0, x1))
     second = F.greatest(
         F.lit(S.ZERO_FLOOR),
@@ -43,7 +47,7 @@ def substituted(x0: Column, x1: Column) -> tuple[Column, Column]:
     return z0, z1
 
 
-def _layer(tree: MetricTree, node: Node, zero_policy: str) -> Column:
+def _layer(tree: MetricTree, node: Node, zero_policy: str, replacements: dict[str, float]) -> Column:
     """Struct of one parent: its factors with both values, and what they amount to."""
     children = tree.factors(node.code)
     raw = [(F.col(f"b_{c.code}"), F.col(f"c_{c.code}")) for c in children]
@@ -51,7 +55,7 @@ def _layer(tree: MetricTree, node: Node, zero_policy: str) -> Column:
     if node.structure == ADDITIVE:
         pairs = [(b, v) if c.sign > 0 else (-b + 0.0, -v + 0.0) for (b, v), c in zip(raw, children)]
     elif replaceable:
-        pairs = [substituted(b, v) for b, v in raw]
+        pairs = [substituted(b, v, replacements.get(c.code)) for (b, v), c in zip(raw, children)]
     else:
         pairs = raw
     flat = [c for pair in raw for c in pair]
@@ -61,8 +65,10 @@ def _layer(tree: MetricTree, node: Node, zero_policy: str) -> Column:
                  b.alias("base"), v.alias("current"))
         for order, (child, (b, v)) in enumerate(zip(children, pairs))
     ])
+    affected = F.filter(F.array(*[
+        F.when(F.lit(replaceable) & ((b <= 0) | (v <= 0)), F.lit(c.code)) for (b, v), c in zip(raw, children)]), lambda x: x.isNotNull())
     return F.struct(
-        F.lit(node.code).alias("node"), F.lit(METHOD_OF[node.structure]).alias("method"),
+        F.lit(node.code).alias("node"), affected.alias("substituted_factors"), F.lit(METHOD_OF[node.structure]).alias("method"),
         factors.alias("factors"), declared[0].alias("declared_base"), declared[1].alias("declared_current"),
         _total(node, [b for b, _ in pairs]).alias("derived_base"),
         _total(node, [v for _, v in pairs]).alias("derived_current"),
@@ -72,7 +78,15 @@ def _layer(tree: MetricTree, node: Node, zero_policy: str) -> Column:
     )
 
 
-def _contributions(layers: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
+def _record() -> Column:
+    """What substitution did to a layer: the factors, and the totals that were declared and those that count now."""
+    return F.struct(
+        F.col("replaced").alias("totals_recomputed"), "substituted_factors",
+        F.col("declared_base").alias("original_base"), F.col("declared_current").alias("original_current"),
+        F.col("node_base").alias("recomputed_base"), F.col("node_current").alias("recomputed_current"))
+
+
+def _contributions(layers: DataFrame, keys: Sequence[str], tolerance: float, record: bool = False) -> DataFrame:
     """Factor rows from layer rows. Each step uses columns of the step before."""
     replaced, additive = F.col("replaced"), F.col("additive")
     rows = (
@@ -112,7 +126,7 @@ def _contributions(layers: DataFrame, keys: Sequence[str], tolerance: float) ->
         F.when(usable, F.col("residual")).alias("residual"),
         F.when(usable, F.col("relative")).alias("relative"),
         (usable & F.coalesce(F.col("relative") < tolerance, F.lit(False))).alias("conserved"),
-        "status",
+        "status", *([_record().alias("substitution")] if record else []),
     )
 
 
@@ -125,18 +139,25 @@ def decompose(
     zero_policy: str = "error",
     tolerance: float = S.TOLERANCE,
     strict: bool = False,
+    zero_replacements: dict[str, float] | None = None,
+    record: bool = False,
 ) -> DataFrame:
     """Factor contributions of the root and of the targets below it.
 
     ``targets`` are split whatever their values, and a key which cannot be split
     shows a status. ``auto_targets`` are screened per key: a node with a
     non-positive factor is left out for that key (see ``screen_targets``).
-    ``strict`` turns any status other than ok into a failed job.
+    ``strict`` turns any status other than ok into a failed job. With the policy ``substitute``, ``zero_replacements`` names the value that
+    stands for a non-positive one of a factor; ``record`` adds ``substitution``, with the factors replaced and both pairs of totals.
     """
+    if zero_replacements and zero_policy != "substitute":
+        raise ValueError("replacements are used by the policy substitute only")
+    for code in zero_replacements or ():
+        tree.find(code)
     wanted = targets or auto_targets
     parents = [tree.find(code) for code in tree.visited(wanted)]
-    layers = pairs.select(*keys, F.inline(F.array(*[_layer(tree, node, zero_policy) for node in parents])))
-    rows = _contributions(layers, keys, tolerance)
+    layers = pairs.select(*keys, F.inline(F.array(*[_layer(tree, node, zero_policy, zero_replacements or {}) for node in parents])))
+    rows = _contributions(layers, keys, tolerance, record)
     if auto_targets and not targets:
         rows = rows.where((F.col("node") == tree.root.code) | (F.col("status") != "non_positive"))
     if strict:

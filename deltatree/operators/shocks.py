@@ -112,18 +112,34 @@ def truth_rows(before: DataFrame, shocks: Sequence[Shock], metric: str, weight:
     return rows.withColumn("recheck_ok", F.coalesce(off <= 1.0, F.lit(False))).drop("m0", "w0", "w1", "by_weight")
 
 
-def evaluate_attribution(shocked: DataFrame, tree: MetricTree, shocks: Sequence[Shock], truth: DataFrame) -> DataFrame:
-    """Rank of the true factor per shock, its error, and conservation."""
-    tagged = tag_shocks(shocked, shocks)
+def shock_layers(shocked: DataFrame, tree: MetricTree, shocks: Sequence[Shock], targets: Sequence[str] | None = None) -> DataFrame:
+    """Contributions of the root and of the targets below it for every shock's slice and window, with the factor's ``rank`` in its node."""
     keys = ["truth_id", "expected_factor"]
-    pairs = paired_values(wide_values(tagged, tree, [*keys, "period"]), tree, keys)
-    rows = D.decompose(pairs, tree, keys).where(F.col("node") == tree.root.code)
-    ranked = rows.withColumn("rank", F.row_number().over(D.factor_order(keys)))
+    pairs = paired_values(wide_values(tag_shocks(shocked, shocks), tree, [*keys, "period"]), tree, keys)
+    rows = D.decompose(pairs, tree, keys, auto_targets=targets)
+    return rows.withColumn("rank", F.row_number().over(D.factor_order(keys)))
+
+
+def evaluate_targets(layers: DataFrame) -> DataFrame:
+    """One row per shock and visited node: its first factor, the rank of the true one (null if it isn't below), and whether it adds up."""
     hit = F.col("factor") == F.col("expected_factor")
-    found = ranked.groupBy(*keys).agg(
+    return layers.groupBy("truth_id", "expected_factor", "node").agg(
+        F.min_by("factor", "rank").alias("first_factor"), F.min(F.when(hit, F.col("rank"))).alias("rank"),
+        F.max("relative").alias("relative"), F.min("conserved").alias("conserved"), F.max("status").alias("status"))
+
+
+def evaluate_attribution(shocked: DataFrame, tree: MetricTree, shocks: Sequence[Shock], truth: DataFrame,
+                         targets: Sequence[str] | None = None) -> DataFrame:
+    """Rank of the true factor per shock, its error, and conservation of all visited nodes with the largest residual among them."""
+    keys = ["truth_id", "expected_factor"]
+    layers = shock_layers(shocked, tree, shocks, targets)
+    hit = (F.col("factor") == F.col("expected_factor")) & (F.col("node") == tree.root.code)
+    top = F.col("node") == tree.root.code
+    found = layers.groupBy(*keys).agg(
         F.min(F.when(hit, F.col("rank"))).alias("rank"),
         F.max(F.when(hit, F.col("contribution"))).alias("found_contribution"),
-        F.min_by("factor", "rank").alias("first_factor"), F.min("conserved").alias("conserved"),
+        F.min_by(F.when(top, F.col("factor")), F.when(top, F.col("rank"))).alias("first_factor"), F.min("conserved").alias("conserved"),
+        F.max("relative").alias("max_residual"), F.array_join(F.sort_array(F.collect_set("node")), ",").alias("nodes"),
     )
     known = truth.select("truth_id", F.col("contribution").alias("true_contribution"))
     error = F.abs(F.round("found_contribution") - F.col("true_contribution")) / F.greatest(
@@ -132,7 +148,7 @@ def evaluate_attribution(shocked: DataFrame, tree: MetricTree, shocks: Sequence[
         *keys, "first_factor", F.coalesce(F.col("rank") == 1, F.lit(False)).alias("top1_hit"),
         F.coalesce(F.col("rank") <= 3, F.lit(False)).alias("top3_hit"), "true_contribution",
         F.round("found_contribution").cast("long").alias("found_contribution"),
-        F.when(F.col("true_contribution") != 0, error).alias("relative_error"), "conserved",
+        F.when(F.col("true_contribution") != 0, error).alias("relative_error"), "conserved", "nodes", "max_residual",
     )
 
 

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from deltatree.functions import replicates as R
 from deltatree.functions import scalar as S
+from deltatree.functions.periods import Period
 from deltatree.operators.inference import finite
+from deltatree.operators.tree import MetricTree, check_dimensions, spark_sql
+from deltatree.operators.values import join_slices
 
 # Fixed values which decide results.
 MIN_OBSERVATIONS = 60
@@ -33,13 +36,17 @@ ADJUSTMENTS = (-0.30, -0.20, -0.10, 0.0, 0.10, 0.20, 0.30)
 
 @dataclass(frozen=True)
 class Knob:
-    """A factor that can be turned, and what stands for it in the data."""
+    """A factor that can be turned, and what stands for it in the data.
+
+    ``expression`` aggregates columns of the cube, as a dictionary's do (``fact.``), and those of the table named ``proxy``.
+    """
 
     scenario: str
     code: str
     name: str
     expression: str = ""
     reject_reason: str = ""
+    proxy: str = ""
 
     @property
     def estimable(self) -> bool:
@@ -63,6 +70,92 @@ def resolve_knobs(requests: DataFrame, declared: dict[str, Sequence[str]], knobs
     return joined.withColumn("status", status).drop("declared")
 
 
+@dataclass(frozen=True)
+class Proxy:
+    """Attributes of the codes of a dimension that the cube doesn't hold: a table ``code`` and attributes, one row per code."""
+
+    dimension: str
+    table: DataFrame
+
+
+def with_proxies(cube: DataFrame, knobs: Sequence[Knob], proxies: dict[str, Proxy]) -> DataFrame:
+    """The cube with the attributes that the knobs' expressions ask for; a code without attributes has nulls."""
+    out = cube
+    for name in sorted({k.proxy for k in knobs if k.proxy}):
+        if name not in proxies:
+            raise ValueError(f"no table of attributes is given for {name}")
+        attributes = [c for c in proxies[name].table.columns if c != "code"]
+        if clash := set(attributes) & set(out.columns):
+            raise ValueError(f"attributes of {name} that the cube has already: {sorted(clash)}")
+        right = proxies[name].table.withColumnRenamed("code", "_code")
+        out = out.join(right, F.col(proxies[name].dimension) == F.col("_code"), "left").drop("_code")
+    return out
+
+
+def knob_values(rows: DataFrame, keys: Sequence[str], target: Column, knobs: Sequence[Knob], names: tuple[str, str]) -> DataFrame:
+    """The target and each knob's proxy from one aggregate, as rows ``(keys, factor, target, proxy)``; ``names`` of the last two."""
+    wide = rows.alias("fact").groupBy(*keys).agg(target.alias("_target"), *[F.expr(spark_sql(k.expression)).alias(f"_x{i}") for i, k in enumerate(knobs)])
+    each = F.array(*[F.struct(F.lit(k.code).alias("factor"), F.col("_target").cast("double").alias(names[0]), F.col(f"_x{i}").cast("double").alias(names[1]))
+                     for i, k in enumerate(knobs)])
+    return wide.select(*keys, F.inline(each))
+
+
+def _knob_run(cube: DataFrame, tree: MetricTree, knobs: Sequence[Knob], proxies: dict[str, Proxy], slices: DataFrame, dims: Sequence[str],
+              window: Period, current: Period, by: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """Elasticities with their bases for every slice, knob and combination of ``by``."""
+    keys = ["slice_id", *by]
+    target = tree.root.value("_target")
+    days = window.holds(F.col("day")) | current.holds(F.col("day"))
+    rows = join_slices(with_proxies(cube.where(days), knobs, proxies), slices.select("slice_id", "dims"), dims)
+    pairs = knob_values(rows.where(window.holds(F.col("day"))), [*keys, "day"], target, knobs, ("y", "x"))
+    pairs = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    bases = knob_values(rows.where(current.holds(F.col("day"))), keys, target, knobs, ("base_value", "factor_base"))
+    keys = ["slice_id", "factor", *by]
+    return estimate(pairs, keys, replicates, seed).join(bases, keys, "left")
+
+
+def estimable_knobs(knobs: Sequence[Knob], tree: MetricTree) -> list[Knob]:
+    """Those that the tree declares and that have a proxy."""
+    return [k for k in knobs if k.scenario == tree.scenario and k.estimable and k.code in tree.intervenable_factors]
+
+
+def run_whatif(requests: DataFrame, cube: DataFrame, slices: DataFrame, dims: Sequence[str], tree: MetricTree, knobs: Sequence[Knob],
+               proxies: dict[str, Proxy], window: Period, current: Period, adjustments: Sequence[float] = ADJUSTMENTS,
+               max_adjustment: float = MAX_ADJUSTMENT, replicates: int = R.BOOTSTRAPS, seed: int = R.SEED) -> DataFrame:
+    """Curves of many requests ``(request_id, slice_id, factor)``: what the root would be if the knob were turned in the slice.
+
+    Series and bases of all knobs are compiled from their expressions into one aggregate of the cube; a slice and knob that several
+    requests name is estimated once. A request that is refused keeps one row with its ``status`` and ``reason``:
+    not intervenable, no proxy, not estimable; a slice without observations; no elasticity; no positive base.
+    """
+    resolved = resolve_knobs(requests.withColumn("scenario", F.lit(tree.scenario)), {tree.scenario: tree.intervenable_factors}, knobs)
+    usable = estimable_knobs(knobs, tree)
+    head = ("request_id", "slice_id", "factor", "status")
+    told = F.coalesce(F.nullif("reject_reason", F.lit("")), "status")
+    refused = resolved.where(F.col("status") != "ok").select(*head, told.alias("reason"))
+    if not usable:
+        return refused
+    asked = resolved.where(F.col("status") == "ok").select(*head)
+    needed = slices.join(asked.select("slice_id").distinct(), "slice_id", "left_semi")
+    found = _knob_run(cube, tree, usable, proxies, needed, dims, window, current, (), replicates, seed)
+    points = curve(found, ["slice_id", "factor", "base_value"], adjustments, max_adjustment).withColumnRenamed("reason", "_reason")
+    answered = asked.join(points, ["slice_id", "factor"], "left").withColumn("reason", F.coalesce("_reason", F.lit("no observations")))
+    rest = [c for c in points.columns if c not in ("slice_id", "factor", "_reason")]
+    return answered.select(*head, "reason", *rest).unionByName(refused, allowMissingColumns=True)
+
+
+def whatif_by(cube: DataFrame, slices: DataFrame, dims: Sequence[str], by: Sequence[str], tree: MetricTree, knobs: Sequence[Knob],
+              proxies: dict[str, Proxy], window: Period, current: Period, adjustments: Sequence[float] = ADJUSTMENTS,
+              max_adjustment: float = MAX_ADJUSTMENT, replicates: int = R.BOOTSTRAPS, seed: int = R.SEED) -> DataFrame:
+    """Curves per combination of the dimensions ``by`` inside each slice, for all knobs; the combination stands in columns of its own.
+
+    The knob's base is its value last observed in the window.
+    """
+    names = check_dimensions(by, dims)
+    found = _knob_run(cube, tree, estimable_knobs(knobs, tree), proxies, slices, dims, window, current, names, replicates, seed)
+    return curve(found.withColumn("factor_base", F.col("last_x")), ["slice_id", "factor", *names, "base_value", "n"], adjustments, max_adjustment)
+
+
 def align(target: DataFrame, factor: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Days on which both series have a value: x is the factor, y the target."""
     x = factor.select(*keys, "day", F.col("value").alias("x"))

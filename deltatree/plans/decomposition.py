@@ -165,6 +165,27 @@ def _(spark, d):
     return rows.select("month", "slice_id", "factor", amount("contribution"), amount("delta"), "status")
 
 
+#: What stands for a refund rate of nothing, in cents a line.
+NO_REFUND = 25.0
+
+
+@query("dc5_substitution", f"""
+SELECT c.month, c.slice_id, CASE WHEN b.f <= 0 OR c.f <= 0 THEN 'refund_rate' ELSE '' END AS substituted, b.f <= 0 OR c.f <= 0 AS totals_recomputed,
+       b.f AS original_base, c.f AS original_current, round(CASE WHEN b.f > 0 THEN b.f ELSE b.l * {NO_REFUND} END) + 0.0::DOUBLE AS recomputed_base,
+       round(CASE WHEN c.f > 0 THEN c.f ELSE c.l * {NO_REFUND} END) + 0.0::DOUBLE AS recomputed_current
+FROM refund_month c JOIN refund_month b ON b.slice_id = c.slice_id AND c.month = CAST(b.month + INTERVAL 1 MONTH AS DATE)
+""")
+def _(spark, d):
+    tree = parse_dictionary(REFUND_TREE)["refund"]
+    cube = lines_cube(spark, d, ("channel", "region", "segment", "status"), measures=("lines", "revenue_cents"))
+    pairs = V.month_pairs(cube, tree, (("channel", "region", "segment"),))
+    rows = D.decompose(pairs, tree, KEYS, zero_policy="substitute", zero_replacements={"refund_rate": NO_REFUND}, record=True)
+    kept = rows.where((F.col("status") != "missing_value") & (F.col("child_order") == 0))
+    return kept.select(
+        "month", "slice_id", F.array_join("substitution.substituted_factors", ",").alias("substituted"), "substitution.totals_recomputed", "substitution.original_base",
+        "substitution.original_current", amount("substitution.recomputed_base", "recomputed_base"), amount("substitution.recomputed_current", "recomputed_current"))
+
+
 @query("dc6_conservation", f"""
 SELECT scenario, month, slice_id, node, COUNT(*) AS n_factors, {amount_sql("SUM(contribution)", in_money_sql("node"))} AS total, {amount_sql("MAX(delta)", in_money_sql("node"))} AS delta,
        COALESCE(abs(SUM(contribution) - MAX(delta)) / greatest(abs(MAX(delta)), 1.0) < 1e-9, FALSE) AS passed

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from deltatree.functions import scalar as S
 from deltatree.functions.periods import Period, last_days
 from deltatree.operators import decompose as D
 from deltatree.operators import hypotheses as H
@@ -74,7 +75,7 @@ def _(spark, d):
 # --- shocks -----------------------------------------------------------------
 
 SHOCKS = (
-    K.Shock("price_urgent", "price_per_unit", ("revenue_cents",), 0.78, Period("1998-01-05", "1998-01-11"), {"channel": ["1-URGENT"]}),
+    K.Shock("price_urgent", "price_per_unit", ("revenue_cents",), 0.6, Period("1998-01-05", "1998-01-11"), {"channel": ["1-URGENT"]}),
     K.Shock("basket_asia", "basket", ("units", "revenue_cents"), 1.5, Period("1998-03-02", "1998-03-08"), {"region": ["ASIA"]}),
     K.Shock("orders_cars", "orders", ("orders", "lines", "units", "revenue_cents"), 3.0, Period("1998-05-04", "1998-05-17"), {"segment": ["AUTOMOBILE"]}),
     K.Shock("price_all", "price_per_unit", ("revenue_cents",), 1.3, Period("1998-07-06", "1998-07-12"), {}),
@@ -256,15 +257,42 @@ JOIN (SELECT truth_id, CAST(observed AS BIGINT) - counterfactual AS true_contrib
 """)
 
 
+#: Nodes below the root that an evaluation splits too.
+TARGETS = ("basket",)
+
+
 def evaluated(spark, d):
     before = cut_lineage(cells(spark, d), "cells")
     truth = K.truth_rows(before, SHOCKS, "revenue_cents", "units")
-    return K.evaluate_attribution(K.inject_shocks(before, SHOCKS), retail(), SHOCKS, truth)
+    return K.evaluate_attribution(K.inject_shocks(before, SHOCKS), retail(), SHOCKS, truth, TARGETS)
 
 
-@query("el1_cases", f"SELECT truth_id, expected_factor, first_factor, top1_hit, top3_hit, true_contribution, found_contribution, {r_sql('relative_error')} AS relative_error, conserved FROM eval_cases")
+@query("el1_cases", f"""
+SELECT truth_id, expected_factor, first_factor, top1_hit, top3_hit, true_contribution, found_contribution, {r_sql('relative_error')} AS relative_error, conserved,
+       'basket,revenue' AS nodes, conserved AS residual_small FROM eval_cases
+""")
 def _(spark, d):
-    return evaluated(spark, d).withColumn("relative_error", r("relative_error"))
+    rows = evaluated(spark, d).withColumn("relative_error", r("relative_error"))
+    return rows.withColumn("residual_small", F.coalesce(F.col("max_residual") < S.TOLERANCE, F.lit(False))).drop("max_residual")
+
+
+cte("eval_lines", " UNION ALL ".join(
+    f"SELECT '{_s.id}' AS truth_id, SUM(lines) FILTER (WHERE {BEFORE[_s.id]})::DOUBLE AS l0, SUM(lines) FILTER (WHERE {MASKS[_s.id]})::DOUBLE AS l1 FROM shocked" for _s in SHOCKS))
+cte("eval_basket", """
+SELECT truth_id, expected_factor, unnest(['lines_per_order', 'units_per_line']) AS factor, unnest([0, 1]) AS child_order,
+  unnest([lm * (ln(l1 / o1) - ln(l0 / o0)), lm * (ln(u1 / l1) - ln(u0 / l0))]) AS c
+FROM (SELECT *, CASE WHEN u1 / o1 = u0 / o0 THEN u1 / o1 ELSE (u1 / o1 - u0 / o0) / (ln(u1 / o1) - ln(u0 / o0)) END AS lm FROM eval_sums JOIN eval_lines USING (truth_id))
+""")
+
+
+@query("el1_targets", """
+SELECT truth_id, expected_factor, 'revenue' AS node, arg_min(factor, rank) AS first_factor, CAST(MIN(rank) FILTER (WHERE factor = expected_factor) AS INT) AS rank, bool_and(c IS NOT NULL) AS conserved FROM eval_ranked GROUP BY 1, 2
+UNION ALL SELECT truth_id, expected_factor, 'basket', first(factor ORDER BY abs(c) DESC, child_order), NULL, bool_and(c IS NOT NULL) FROM eval_basket GROUP BY 1, 2
+""")
+def _(spark, d):
+    before = cut_lineage(cells(spark, d), "cells")
+    layers = K.shock_layers(K.inject_shocks(before, SHOCKS), retail(), SHOCKS, TARGETS)
+    return K.evaluate_targets(layers).select("truth_id", "expected_factor", "node", "first_factor", "rank", "conserved")
 
 
 @query("ag14_rates", f"""

@@ -10,6 +10,7 @@ from deltatree.operators import values as V
 from deltatree.operators import whatif as W
 from deltatree.plans.anomaly import in_period
 from deltatree.plans.common import CURRENT, WHATIF, amount, amount_sql, cte, orders_cube, query, r, r_sql, retail, trees
+from deltatree.plans.statistics import channel_slices, stored_cube
 from deltatree.session import cut_lineage
 
 SETS = ((), ("channel",), ("channel", "region"))
@@ -18,29 +19,32 @@ ADJUSTMENT_SQL = "[" + ", ".join(f"{a}::DOUBLE" for a in W.ADJUSTMENTS) + "]"
 
 SLICE_SQL = """CASE WHEN GROUPING(region) = 0 THEN 'channel=' || channel || '&region=' || region
  WHEN GROUPING(channel) = 0 THEN 'channel=' || channel ELSE 'all' END AS slice_id"""
-cte("wi_xy", f"""
-SELECT slice_id, day, y, y / u AS x, ln(y / u) AS lx, ln(y) AS ly, row_number() OVER (PARTITION BY slice_id ORDER BY day) - 1 AS i FROM (
- SELECT day, {SLICE_SQL}, CAST(SUM(revenue_cents) AS DOUBLE) AS y, CAST(SUM(units) AS DOUBLE) AS u
- FROM v WHERE {in_period(WHATIF)} GROUP BY GROUPING SETS ((day), (day, channel), (day, channel, region)))
+
+
+def elasticity_chain(p: str) -> None:
+    """Subqueries of the estimate for the series ``{p}_raw`` (slice_id, day, x, y), up to ``{p}_est``."""
+    cte(f"{p}_xy", f"""
+SELECT slice_id, day, y, x, CASE WHEN x > 0 THEN ln(x) END AS lx, CASE WHEN y > 0 THEN ln(y) END AS ly, row_number() OVER (PARTITION BY slice_id ORDER BY day) - 1 AS i FROM {p}_raw
 """)
-cte("wi_fit", """
-SELECT slice_id, COUNT(*) AS n, CASE WHEN var_pop(lx) > 0 THEN regr_slope(ly, lx) END AS slope, CASE WHEN var_pop(lx) > 0 THEN regr_intercept(ly, lx) END AS intercept,
-  CASE WHEN var_pop(lx) > 0 THEN CASE WHEN var_pop(ly) > 0 THEN regr_r2(ly, lx) ELSE 0 END END AS r2 FROM wi_xy GROUP BY 1
+    cte(f"{p}_fit", f"""
+SELECT slice_id, n, CASE WHEN ok THEN slope END AS slope, CASE WHEN ok THEN intercept END AS intercept, CASE WHEN ok THEN r2 END AS r2 FROM (
+ SELECT slice_id, COUNT(*) AS n, bool_and(x > 0 AND y > 0) AND var_pop(lx) > 0 AS ok, regr_slope(ly, lx) AS slope, regr_intercept(ly, lx) AS intercept,
+  CASE WHEN var_pop(ly) > 0 THEN regr_r2(ly, lx) ELSE 0 END AS r2 FROM {p}_xy GROUP BY 1)
 """)
-cte("wi_half", """
+    cte(f"{p}_half", f"""
 SELECT slice_id, CASE WHEN n >= 4 THEN ((y1 - y0) / NULLIF(y0, 0)) / NULLIF((x1 - x0) / NULLIF(x0, 0), 0) END AS fd, last_x FROM (
  SELECT slice_id, COUNT(*) AS n, arg_max(x, i) AS last_x, AVG(x) FILTER (WHERE i < n // 2) AS x0, AVG(x) FILTER (WHERE i >= n // 2) AS x1,
   AVG(y) FILTER (WHERE i < n // 2) AS y0, AVG(y) FILTER (WHERE i >= n // 2) AS y1
- FROM (SELECT *, COUNT(*) OVER (PARTITION BY slice_id) AS n FROM wi_xy) GROUP BY 1)
+ FROM (SELECT *, COUNT(*) OVER (PARTITION BY slice_id) AS n FROM {p}_xy) GROUP BY 1)
 """)
-cte("wi_draws", f"""
+    cte(f"{p}_draws", f"""
 SELECT k.slice_id, rep, regr_slope(ly, lx) AS slope FROM (
  SELECT slice_id, rep, {R.position_sql("row", "j")} % n AS pick FROM (
-  SELECT slice_id, n, rep, {R.row_sql("slice_id", "rep")} AS row, unnest(range(n)) AS j FROM wi_fit, (SELECT unnest(range({BOOTSTRAPS})) AS rep) WHERE n >= 60)) k
-JOIN wi_xy x ON x.slice_id = k.slice_id AND x.i = k.pick GROUP BY 1, 2
+  SELECT slice_id, n, rep, {R.row_sql("slice_id", "rep")} AS row, unnest(range(n)) AS j FROM {p}_fit, (SELECT unnest(range({BOOTSTRAPS})) AS rep) WHERE n >= 60 AND slope IS NOT NULL)) k
+JOIN {p}_xy x ON x.slice_id = k.slice_id AND x.i = k.pick GROUP BY 1, 2
 """)
-cte("wi_ci", "SELECT slice_id, COUNT(slope) AS valid, quantile_cont(slope, 0.05) AS lo, quantile_cont(slope, 0.95) AS hi FROM wi_draws GROUP BY 1")
-cte("wi_est", f"""
+    cte(f"{p}_ci", f"SELECT slice_id, COUNT(slope) AS valid, quantile_cont(slope, 0.05) AS lo, quantile_cont(slope, 0.95) AS hi FROM {p}_draws GROUP BY 1")
+    cte(f"{p}_est", f"""
 SELECT *, CASE WHEN value IS NULL THEN 'refused' WHEN regress THEN 'log_log' ELSE 'finite_difference' END AS method,
   least(round(0.4 * sp + 0.3 * fp + 0.3 * wp, 4), CASE WHEN r2u IS NULL THEN 0.5 WHEN r2u < 0.3 THEN 0.4 ELSE 1.0 END) AS trust FROM (
  SELECT *, least(1.0, n / 60.0::DOUBLE) AS sp, COALESCE(greatest(0.0, least(1.0, r2u)), 0.0) AS fp,
@@ -50,15 +54,23 @@ SELECT *, CASE WHEN value IS NULL THEN 'refused' WHEN regress THEN 'log_log' ELS
     CASE WHEN regress THEN r2 END AS r2u FROM (
    SELECT f.slice_id, n, r2, lo, hi, COALESCE(valid, 0) AS valid, last_x, n >= 60 AND slope IS NOT NULL AS regress,
      CASE WHEN n >= 60 AND slope IS NOT NULL THEN slope ELSE fd END AS value
-   FROM wi_fit f JOIN wi_half USING (slice_id) LEFT JOIN wi_ci USING (slice_id))))
+   FROM {p}_fit f JOIN {p}_half USING (slice_id) LEFT JOIN {p}_ci USING (slice_id))))
 """)
+
+
+cte("wi_raw", f"""
+SELECT slice_id, day, y, y / u AS x FROM (
+ SELECT day, {SLICE_SQL}, CAST(SUM(revenue_cents) AS DOUBLE) AS y, CAST(SUM(units) AS DOUBLE) AS u
+ FROM v WHERE {in_period(WHATIF)} GROUP BY GROUPING SETS ((day), (day, channel), (day, channel, region)))
+""")
+elasticity_chain("wi")
 cte("wi_base", f"""
 SELECT {SLICE_SQL}, CAST(SUM(revenue_cents) AS DOUBLE) AS base_value, CAST(SUM(revenue_cents) AS DOUBLE) / SUM(units) AS factor_base
 FROM v WHERE {in_period(CURRENT)} GROUP BY GROUPING SETS ((), (channel), (channel, region))
 """)
 
 
-def curve_cte(name: str, factor_base: str) -> None:
+def curve_cte(name: str, factor_base: str, est: str = "wi_est", base: str = "wi_base") -> None:
     cte(name, f"""
 SELECT slice_id, method, reason, a AS adjustment, fb * (1 + a) AS factor_value, base_value * pow(1 + a, value) AS expected,
   least(base_value * pow(1 + a, value), base_value * pow(1 + a, low), base_value * pow(1 + a, high)) AS expected_low,
@@ -66,7 +78,7 @@ SELECT slice_id, method, reason, a AS adjustment, fb * (1 + a) AS factor_value,
 FROM (SELECT *, unnest(CASE WHEN reason = '' THEN {ADJUSTMENT_SQL} ELSE [NULL::DOUBLE] END) AS a FROM (
  SELECT e.*, b.base_value, {factor_base} AS fb, CASE WHEN value IS NULL THEN 'no elasticity' WHEN NOT COALESCE(base_value > 0, FALSE) THEN 'base value not positive'
    WHEN NOT COALESCE({factor_base} > 0, FALSE) THEN 'factor base not positive' ELSE '' END AS reason
- FROM wi_est e LEFT JOIN wi_base b USING (slice_id)))
+ FROM {est} e LEFT JOIN {base} b USING (slice_id)))
 """)
 
 
@@ -136,9 +148,9 @@ def with_base(est, cube):
     return est.join(now.select("slice_id", "base_value", "factor_base"), KEYS, "left")
 
 
-def whatif_curve(spark, d, last_observation=False, **options):
+def whatif_curve(spark, d, last_observation=False, sets=SETS, **options):
     cube = cut_lineage(priced_cube(spark, d), "priced")
-    est = with_base(W.estimate(price_pairs(cube), KEYS, BOOTSTRAPS), cube)
+    est = with_base(W.estimate(price_pairs(cube, sets), KEYS, BOOTSTRAPS), cube)
     if last_observation:
         est = est.withColumn("factor_base", F.col("last_x"))
     return W.curve(est, [*KEYS, "base_value"], **options)
@@ -180,7 +192,111 @@ def _(spark, d):
 @query("wi9_by_combination", CURVE_SQL + "wi_combo_curve WHERE slice_id LIKE '%&%'")
 def _(spark, d):
     """Per combination the anchor is the price last observed."""
-    return curve_columns(whatif_curve(spark, d, last_observation=True).where(F.col("slice_id").contains("&")))
+    return curve_columns(whatif_curve(spark, d, last_observation=True, sets=(("channel", "region"),)))
+
+
+# --- what-if from the knob's own expression ----------------------------------
+
+RUSH = ("1-URGENT", "2-HIGH")
+RETAIL_KNOBS = (
+    W.Knob("retail", "avg_price", "Price of a unit", "CAST(SUM(fact.revenue_cents) AS DOUBLE) / NULLIF(SUM(fact.units), 0)"),
+    W.Knob("retail", "tax_rate", "Tax rate", "CAST(SUM(fact.tax_cents) AS DOUBLE) / NULLIF(SUM(fact.revenue_cents), 0)"),
+    W.Knob("retail", "rush_share", "Share of units sold in a hurry", "CAST(SUM(CASE WHEN is_rush THEN fact.units ELSE 0 END) AS DOUBLE) / NULLIF(SUM(fact.units), 0)",
+           proxy="urgency"),
+    W.Knob("retail", "lines_mix", "Mix of lines", "", "the mix of lines follows from the customers' orders"),
+)
+WANTED = (*[k.code for k in RETAIL_KNOBS], "ship_date")
+KNOB_DIMS = ("channel", "region")
+_rush = ", ".join(f"'{c}'" for c in RUSH)
+
+cte("wk_rows", """
+SELECT 'all' AS slice_id, v.* FROM v UNION ALL SELECT 'channel=' || channel, v.* FROM v
+UNION ALL SELECT 'ends', v.* FROM v WHERE region IN ((SELECT MIN(region) FROM v), (SELECT MAX(region) FROM v)) AND channel IN ((SELECT MIN(channel) FROM v), (SELECT MAX(channel) FROM v))
+""")
+
+
+def knob_sql(rows: str, period: str, keys: str, day: str, x: str, y: str) -> str:
+    """Target and knobs of rows by key, as the proxies' expressions give them."""
+    return f"""
+SELECT {keys} || '/' || factor {"|| '/' || channel || '/' || region" if 'combo' in rows else ''} AS slice_id, {day} {y}, {x} FROM (
+ SELECT *, unnest(['avg_price', 'tax_rate', 'rush_share']) AS factor, unnest([{y} / u, t / {y}, h / u]) AS {x} FROM (
+  SELECT {keys}, {day} {"channel, region," if 'combo' in rows else ''} CAST(SUM(revenue_cents) AS DOUBLE) AS {y}, CAST(SUM(units) AS DOUBLE) AS u, CAST(SUM(tax_cents) AS DOUBLE) AS t,
+   CAST(SUM(CASE WHEN channel IN ({_rush}) THEN units ELSE 0 END) AS DOUBLE) AS h FROM {rows} WHERE {period} GROUP BY ALL))
+"""
+
+
+cte("wk_combo", "SELECT * FROM wk_rows WHERE slice_id = 'all'")
+cte("wk_raw", knob_sql("wk_rows", in_period(WHATIF), "slice_id", "day,", "x", "y"))
+cte("wk_base", knob_sql("wk_rows", in_period(CURRENT), "slice_id", "", "factor_base", "base_value"))
+elasticity_chain("wk")
+curve_cte("wk_curve", "b.factor_base", "wk_est", "wk_base")
+cte("wc_raw", knob_sql("wk_combo", in_period(WHATIF), "slice_id", "day,", "x", "y"))
+cte("wc_base", knob_sql("wk_combo", in_period(CURRENT), "slice_id", "", "factor_base", "base_value"))
+elasticity_chain("wc")
+curve_cte("wc_curve", "e.last_x", "wc_est", "wc_base")
+
+
+def knob_slices(cube):
+    """The total, every channel, a slice of several codes in two dimensions, and one whose code doesn't occur."""
+    codes = cube.agg(*[f(d).alias(f"{d}{i}") for d in KNOB_DIMS for i, f in enumerate((F.min, F.max))])
+    ends = codes.select(F.lit("ends").alias("slice_id"), F.create_map(*[
+        x for d in KNOB_DIMS for x in (F.lit(d), F.array_distinct(F.array(f"{d}0", f"{d}1")))]).alias("dims"))
+    lost = codes.select(F.lit("lost").alias("slice_id"), F.create_map(F.lit("channel"), F.array(F.lit("no such channel"))).alias("dims"))
+    return channel_slices(cube).select("slice_id", "dims").unionByName(ends).unionByName(lost)
+
+
+def knob_inputs(spark, d):
+    """Cube, slices and the proxy tables: which channels are urgent, from the orders themselves."""
+    cube = stored_cube(spark, d, KNOB_DIMS)
+    urgency = cube.select(F.col("channel").alias("code")).distinct().withColumn("is_rush", F.col("code").isin(*RUSH))
+    return cube, knob_slices(cube), {"urgency": W.Proxy("channel", urgency)}
+
+
+def knob_requests(spark, d):
+    cube, slices, proxies = knob_inputs(spark, d)
+    requests = slices.select("slice_id", F.explode(F.array(*[F.lit(w) for w in WANTED])).alias("factor")).withColumn(
+        "request_id", F.concat_ws("/", "slice_id", "factor"))
+    return W.run_whatif(requests, cube, slices, KNOB_DIMS, retail(), RETAIL_KNOBS, proxies, WHATIF, CURRENT)
+
+
+def knob_curve_columns(rows, *first):
+    return rows.select(
+        *first, "reason", "method", "adjustment", r("factor_value").alias("factor_value"), *[
+            r(F.col(c) / F.col("base_value")).alias(name) for c, name in (("expected", "expected_ratio"), ("expected_low", "low_ratio"), ("expected_high", "high_ratio"))])
+
+
+KNOB_CURVE = f"""reason, method, adjustment, {r_sql('factor_value')} AS factor_value, {r_sql('expected / base_value')} AS expected_ratio,
+ {r_sql('expected_low / base_value')} AS low_ratio, {r_sql('expected_high / base_value')} AS high_ratio"""
+
+
+@query("wi8_knob_curves", f"""
+SELECT slice_id AS request_id, 'ok' AS status, {KNOB_CURVE} FROM wk_curve
+UNION ALL SELECT 'lost/' || f, 'ok', 'no observations', NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT unnest(['avg_price', 'tax_rate', 'rush_share']) AS f)
+UNION ALL SELECT s || '/' || f, st, re, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT slice_id AS s FROM wk_rows UNION ALL SELECT 'lost'),
+ (VALUES ('lines_mix', 'not_estimable', 'the mix of lines follows from the customers'' orders'), ('ship_date', 'not_intervenable', 'not_intervenable')) t(f, st, re)
+""")
+def _(spark, d):
+    return knob_curve_columns(knob_requests(spark, d), "request_id", "status")
+
+
+@query("wi9_knob_combinations", f"""
+SELECT 'all' AS slice_id, split_part(slice_id, '/', 2) AS factor, split_part(slice_id, '/', 3) AS channel, split_part(slice_id, '/', 4) AS region, n, {KNOB_CURVE}
+FROM wc_curve JOIN (SELECT slice_id, n FROM wc_est) USING (slice_id)
+""")
+def _(spark, d):
+    cube, slices, proxies = knob_inputs(spark, d)
+    rows = W.whatif_by(cube, slices.where("slice_id = 'all'"), KNOB_DIMS, ("channel", "region"), retail(), RETAIL_KNOBS, proxies, WHATIF, CURRENT)
+    return knob_curve_columns(rows, "slice_id", "factor", "channel", "region", "n")
+
+
+@query("jn5_knob_series", f"SELECT slice_id AS series, COUNT(*) AS n, {r_sql('SUM(x)')} AS sum_x, SUM(y) AS sum_y FROM wk_raw GROUP BY 1")
+def _(spark, d):
+    cube, slices, proxies = knob_inputs(spark, d)
+    knobs = W.estimable_knobs(RETAIL_KNOBS, retail())
+    rows = V.join_slices(W.with_proxies(cube.where(WHATIF.holds(F.col("day"))), knobs, proxies), slices, KNOB_DIMS)
+    pairs = W.knob_values(rows, ["slice_id", "day"], retail().root.value("_target"), knobs, ("y", "x"))
+    return pairs.groupBy(F.concat_ws("/", "slice_id", "factor").alias("series")).agg(
+        F.count(F.lit(1)).alias("n"), r(F.sum("x")).alias("sum_x"), F.sum("y").alias("sum_y"))
 
 
 @query("set3_warnings", """

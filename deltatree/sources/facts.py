@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date, datetime, timedelta
+from math import prod
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltatree.operators.ranks import range_ranks
+
 UNKNOWN = "unknown"
 
 #: dimension -> (table, key, code column); how a code is found from an order or a line
@@ -261,21 +264,42 @@ def resolve_codes(requested: DataFrame, dimension: DataFrame, code: str, key: st
     )
 
 
-def densify(fact: DataFrame, codes: dict[str, DataFrame], keys: DataFrame,
-            measures: Sequence[str]) -> DataFrame:
+#: Codes of a dimension that are gathered to one array; a longer list is joined by number.
+LISTED = 10_000
+#: Cells of a grid; a larger one is refused.
+MOST_CELLS = 10 ** 11
+#: Numbers that one generated row unrolls to.
+UNROLLED = 1_000
+
+
+def densify(fact: DataFrame, codes: dict[str, DataFrame], keys: DataFrame, measures: Sequence[str],
+            listed: int = LISTED, most: int = MOST_CELLS) -> DataFrame:
     """Every combination of the listed codes per key row, absent ones with measure 0.
 
-    ``codes`` maps a dimension to its code list. The lists are short by nature
-    (they are the domain of a dimension); each is gathered to one array and
-    exploded, so the grid is made where the key rows already are.
+    ``codes`` maps a dimension to its code list; nulls are no codes. The lists are counted first, and a grid of more than ``most`` cells
+    is refused. A list of up to ``listed`` codes is one array, exploded where the key rows are. A longer one is numbered by ranges;
+    key rows are dealt out with blocks of numbers, unrolled, and joined with the codes by number, so no task holds a list.
     """
     grid = keys.distinct()
-    for dim, listing in codes.items():
-        array = listing.select(F.sort_array(F.collect_set(F.col(dim))).alias("a")).scalar()
+    lists = {dim: listing.select(dim).where(F.col(dim).isNotNull()).distinct() for dim, listing in codes.items()}
+    counts = {dim: rows.count() for dim, rows in lists.items()}
+    cells = grid.count() * prod(counts.values())
+    if cells > most:
+        raise ValueError(f"a grid of {cells} cells; at most {most} are made")
+    for dim in (d for d in codes if counts[d] <= listed):
+        array = lists[dim].select(F.sort_array(F.collect_list(dim)).alias("a")).scalar()
         grid = grid.select("*", F.explode(array).alias(dim))
-    joined = grid.join(fact, grid.columns, "left")
+    for dim in (d for d in codes if counts[d] > listed):
+        numbered = range_ranks(lists[dim], [], [F.col(dim)], "_number")
+        blocks = F.sequence(F.lit(0), F.lit((counts[dim] - 1) // UNROLLED))
+        first = F.col("_block") * UNROLLED + 1
+        spread = grid.withColumn("_block", F.explode(blocks)).repartition(*grid.columns, "_block")
+        unrolled = spread.withColumn("_number", F.explode(F.sequence(first, F.least(first + UNROLLED - 1, F.lit(counts[dim])))))
+        grid = unrolled.join(numbered, "_number").select(*grid.columns, dim)
+    order = [*keys.columns, *codes]
+    joined = grid.select(*order).join(fact, order, "left")
     return joined.select(
-        *grid.columns,
+        *order,
         *[F.coalesce(m, F.lit(0)).cast("long").alias(m) for m in measures],
         F.col(measures[0]).isNull().alias("filled"),
     )

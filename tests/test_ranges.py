@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from deltatree.operators import calendar as C
 from deltatree.operators import ranks as R
+from deltatree.sources import facts as X
 
 DIMS = ("channel", "region", "segment")
 
@@ -33,6 +34,28 @@ def test_ranks_without_rows(spark):
     assert R.range_ranks(df, ["g"], [F.col("k")]).collect() == []
 
 
+def test_grid_of_a_million_codes(spark):
+    """A long list is joined by number; no task holds it or makes all its rows."""
+    codes = spark.range(1_000_000).select(F.concat(F.lit("c"), "id").alias("sku"))
+    side = spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "side string")
+    fact = spark.createDataFrame([(1, "c17", "a", 5), (1, "c999999", "b", 7), (9, "c1", "a", 9)], "day int, sku string, side string, units long")
+    grid = X.densify(fact, {"sku": codes, "side": side}, spark.createDataFrame([(1,)], "day int"), ["units"])
+    rows = grid.agg(F.count(F.lit(1)), F.count_if("filled"), F.sum("units"), F.count_distinct("sku")).first()
+    assert tuple(rows) == (2_000_000, 1_999_998, 12, 1_000_000)
+    with pytest.raises(ValueError, match="at most"):
+        X.densify(fact, {"sku": codes, "side": side}, spark.createDataFrame([(1,)], "day int"), ["units"], most=1_999_999)
+
+
+def test_both_ways_to_a_grid_agree(spark):
+    codes = {"sku": spark.createDataFrame([(f"c{i}",) for i in range(30)] + [(None,)], "sku string"),
+             "side": spark.createDataFrame([("a",), ("b",)], "side string")}
+    fact = spark.createDataFrame([(1, "c1", "a", 5), (2, "c2", "b", 7)], "day int, sku string, side string, units long")
+    days = spark.createDataFrame([(1,), (2,), (2,)], "day int")
+    one, other = (sorted(map(tuple, X.densify(fact, codes, days, ["units"], listed=n).collect())) for n in (100, 1))
+    assert one == other and len(one) == 2 * 30 * 2
+    assert X.densify(fact, codes, days.where("day > 5"), ["units"]).collect() == []
+
+
 def calendar(spark, n, rng, free):
     """Events of one week that name one or two dimensions, some without codes; some open."""
     rows = []

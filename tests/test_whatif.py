@@ -1,12 +1,15 @@
 import math
 import random
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from deltatree.functions import replicates as R
+from deltatree.functions.periods import Period
 from deltatree.operators import whatif as W
+from deltatree.plans.common import retail
 
 SCHEMA = "k string, day int, x double, y double"
 
@@ -68,3 +71,77 @@ def test_curve_envelope_and_refusals(spark):
     assert {r["k"]: r["reason"] for r in out} == {"a": "", "b": "base value not positive", "c": "no elasticity", "d": "factor base not positive"}
     with pytest.raises(ValueError):
         W.curve(est, ["k"], (-1.0,))
+
+
+DAYS = [date(2020, 1, 1) + timedelta(days=i) for i in range(80)]
+KNOBS = (
+    W.Knob("retail", "avg_price", "price", "CAST(SUM(fact.revenue_cents) AS DOUBLE) / NULLIF(SUM(fact.units), 0)"),
+    W.Knob("retail", "rush_share", "rush", "CAST(SUM(CASE WHEN is_rush THEN fact.units ELSE 0 END) AS DOUBLE) / NULLIF(SUM(fact.units), 0)", proxy="urgency"),
+    W.Knob("retail", "lines_mix", "mix", "", "it follows from the orders"),
+    W.Knob("margin", "tax_rate", "tax", "SUM(fact.tax_cents)"),
+)
+WINDOW, NOW = Period("2020-01-01", "2020-03-20"), Period("2020-03-01", "2020-03-20")
+
+
+@pytest.fixture(scope="module")
+def knob_case(spark):
+    """Revenue grows with the square of the price in channel A and with the share of A over both; B & C is one code."""
+    rows = []
+    for i, day in enumerate(DAYS):
+        price = 100 + i % 13
+        rows.append((day, "A", "n", 10 + i % 5, (10 + i % 5) * price))
+        rows.append((day, "B & C", "n", 20, 20 * (90 + i % 7)))
+        if i < 3:
+            rows.append((day, "D", "s", 5, 500))
+    cube = spark.createDataFrame(rows, "day date, channel string, region string, units long, revenue_cents long").withColumn("orders", F.col("units")).withColumn("lines", F.col("units"))
+    slices = spark.createDataFrame([("all", {}), ("a", {"channel": ["A"]}), ("two", {"channel": ["A", "B & C"], "region": ["n"]}), ("d", {"channel": ["D"]}),
+                                    ("none", {"channel": ["Z"]})], "slice_id string, dims map<string, array<string>>")
+    urgency = spark.createDataFrame([("A", True), ("B & C", False)], "code string, is_rush boolean")
+    return cube, slices, {"urgency": W.Proxy("channel", urgency)}
+
+
+def test_what_if_from_the_expression_of_the_knob(spark, knob_case):
+    cube, slices, proxies = knob_case
+    wanted = slices.select("slice_id", F.explode(F.array(*[F.lit(f) for f in ("avg_price", "rush_share", "lines_mix", "tax_rate", "weather")])).alias("factor"))
+    requests = wanted.withColumn("request_id", F.concat_ws("/", "slice_id", "factor"))
+    rows = W.run_whatif(requests, cube, slices, ("channel", "region"), retail(), KNOBS, proxies, WINDOW, NOW, (-0.1, 0.0, 0.1), replicates=200).collect()
+    got = {}
+    for x in rows:
+        got.setdefault(x.request_id, []).append(x)
+    assert len(got) == 25
+    assert got["a/lines_mix"][0].reason == "it follows from the orders" and got["a/lines_mix"][0].status == "not_estimable"
+    assert got["a/weather"][0].status == "not_intervenable" and got["a/tax_rate"][0].status == "no_proxy"
+    assert {x.reason for x in got["none/avg_price"]} == {"no observations"} and got["none/avg_price"][0].adjustment is None
+    assert got["d/avg_price"][0].reason == "no elasticity"  # three days
+    assert {x.reason for x in got["a/rush_share"]} == {"no elasticity"}  # the share of one channel doesn't move
+    for name in ("all", "a", "two"):
+        inside = [x for x in cube.collect() if (name != "a" or x.channel == "A") and (name != "two" or x.region == "n")]
+        now = [x for x in inside if NOW.start <= x.day.isoformat() <= NOW.end]
+        curve = {x.adjustment: x for x in got[f"{name}/avg_price"]}
+        assert curve[0.0].base_value == curve[0.0].expected == sum(x.revenue_cents for x in now)
+        assert curve[0.1].factor_value == pytest.approx(1.1 * sum(x.revenue_cents for x in now) / sum(x.units for x in now))
+        assert curve[0.0].method == "log_log" and curve[0.1].expected_low <= curve[0.1].expected <= curve[0.1].expected_high
+    share = {x.adjustment: x for x in got["two/rush_share"]}
+    urgent = sum(x.units for x in cube.collect() if x.channel == "A" and x.day.isoformat() >= NOW.start)
+    everything = sum(x.units for x in cube.collect() if x.region == "n" and x.day.isoformat() >= NOW.start)
+    assert share[0.0].factor_value == pytest.approx(urgent / everything)
+
+
+def test_combinations_stand_in_columns(spark, knob_case):
+    cube, slices, proxies = knob_case
+    rows = W.whatif_by(cube, slices.where("slice_id = 'all'"), ("channel", "region"), ("channel", "region"), retail(), KNOBS, proxies, WINDOW, NOW, (0.0,), replicates=200).collect()
+    keys = {(x.factor, x.channel, x.region) for x in rows}
+    assert keys == {(f, c, g) for f in ("avg_price", "rush_share") for c, g in (("A", "n"), ("B & C", "n"), ("D", "s"))}
+    last = next(x for x in rows if (x.factor, x.channel) == ("avg_price", "A"))
+    assert last.factor_value == 100 + 79 % 13 and last.n == 80
+    with pytest.raises(ValueError):
+        W.whatif_by(cube, slices, ("channel", "region"), ("colour",), retail(), KNOBS, proxies, WINDOW, NOW)
+
+
+def test_proxies_that_do_not_fit(spark, knob_case):
+    cube, _, proxies = knob_case
+    with pytest.raises(ValueError, match="no table"):
+        W.with_proxies(cube, KNOBS, {})
+    clash = W.Proxy("channel", proxies["urgency"].table.withColumnRenamed("is_rush", "units"))
+    with pytest.raises(ValueError, match="already"):
+        W.with_proxies(cube, KNOBS, {"urgency": clash})
