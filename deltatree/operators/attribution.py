@@ -50,6 +50,8 @@ class Attribution:
     build_slices: Callable[[DataFrame], DataFrame]
     #: Hypotheses to test instead of the largest factors, from the cube.
     build_hypotheses: Callable[[DataFrame], DataFrame] | None = None
+    #: Nodes below the root that are split too, where their factors are positive.
+    targets: Sequence[str] | None = None
     replicates: int = R.PERMUTATIONS
     seed: int = R.SEED
 
@@ -74,7 +76,7 @@ class Attribution:
     def contributions(self) -> DataFrame:
         def build() -> DataFrame:
             asked = self.slices.where("asked").select("slice_id")
-            return D.decompose(self.pairs.join(asked, "slice_id", "left_semi"), self.tree, ["slice_id"])
+            return D.decompose(self.pairs.join(asked, "slice_id", "left_semi"), self.tree, ["slice_id"], auto_targets=self.targets)
 
         return self.store.stage("contributions", build, ("slice_id",))
 
@@ -87,7 +89,7 @@ class Attribution:
         def build() -> DataFrame:
             if self.build_hypotheses:
                 return self.build_hypotheses(self.cube)
-            return H.candidates(self.contributions, self.slices.select("slice_id", "dims"), self.tree.root.code)
+            return H.candidates(self.contributions, self.slices.select("slice_id", "dims"), self.tree)
 
         return self.store.stage("hypotheses", build, ("slice_id",))
 
@@ -162,7 +164,7 @@ class Attribution:
     def hypothesis_rows(self) -> DataFrame:
         """Rows of the hypotheses as they are kept: statement, expected direction, final status, confidence, reason and scores."""
         return self.verdicts.select(
-            "slice_id", "hypothesis_id", "statement", F.col("direction").alias("expected_direction"), "status", F.col("final_confidence").alias("confidence"),
+            "slice_id", "hypothesis_id", "statement", "verification", "counter_check", "measure_sql", F.col("direction").alias("expected_direction"), "status", F.col("final_confidence").alias("confidence"),
             "reason", "significance_score", "effect_score", "coverage_score", "direction_ok", F.coalesce("penalty", F.lit(0.0)).alias("penalty"), "verdict")
 
     def evidence_rows(self) -> DataFrame:

@@ -36,19 +36,26 @@ PLACEBO_RATIO = 0.8
 HARD_VERDICTS = ("insufficient_evidence", "common_driver", "trend_driver")
 
 
-def candidates(contributions: DataFrame, slices: DataFrame, root: str, limit: int = MAX_HYPOTHESES) -> DataFrame:
+def candidates(contributions: DataFrame, slices: DataFrame, tree: MetricTree, limit: int = MAX_HYPOTHESES) -> DataFrame:
     """The largest factors of the root per slice; a contribution of 0 points up.
 
-    ``slices``: slice_id, dims. A node has a handful of children, so the ranking
-    window is small.
+    ``slices``: slice_id, dims. Each says how it is verified, what would speak against it, and the expression that measures it. A node
+    has a handful of children, so the ranking window is small.
     """
+    root = tree.root.code
     order = Window.partitionBy("slice_id").orderBy(F.abs("contribution").desc(), "child_order")
     rows = contributions.where((F.col("node") == root) & F.col("contribution").isNotNull())
     rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    measures = F.create_map(*[x for n in tree.factors(root) for x in (F.lit(n.code), F.lit(n.sql))])
+    direction = F.when(F.col("contribution") < 0, "down").otherwise("up")
+    free = F.coalesce(_first_free(F.col("dims"), tree.dimensions), F.lit("no dimension"))
     return rows.join(slices, "slice_id").select(
         F.concat_ws("/", "slice_id", "factor").alias("hypothesis_id"), "slice_id", "dims", "factor", "rank",
-        "contribution", F.when(F.col("contribution") < 0, "down").otherwise("up").alias("direction"),
+        "contribution", direction.alias("direction"),
         F.format_string("%s in slice %s drives %s", F.col("factor"), F.col("slice_id"), F.lit(root)).alias("statement"),
+        F.format_string("days of %s in slice %s against those of all rows: the mean is %s", F.col("factor"), F.col("slice_id"),
+                        F.when(direction == "down", "lower").otherwise("higher")).alias("verification"),
+        F.format_string("codes of %s that move the other way", free).alias("counter_check"), measures[F.col("factor")].alias("measure_sql"),
     )
 
 

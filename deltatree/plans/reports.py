@@ -8,15 +8,16 @@ from deltatree.operators import anomaly as A
 from deltatree.operators import calendar as C
 from deltatree.operators import decompose as D
 from deltatree.operators import hypotheses as H
-from deltatree.operators import pivot as P
+from deltatree.operators import drilldown as L
 from deltatree.operators import report as R
 from deltatree.operators import values as V
 from deltatree.operators import whatif as W
 from deltatree.plans.anomaly import band_chain
 from deltatree.plans.calendar import derived_calendar
 from deltatree.plans.common import CURRENT, BASE, amount, amount_sql, cte, orders_cube, query, r, r_sql, retail
+from deltatree.plans import drilldown  # noqa: F401  its subqueries come before those of the report
 from deltatree.plans.events import SCENARIO_DIMS
-from deltatree.plans.statistics import channels, in_period
+from deltatree.plans.statistics import DIMS, channels, in_period
 from deltatree.plans.whatif import price_pairs, with_base
 from deltatree.session import cut_lineage
 from deltatree.sources.tables import load_events
@@ -24,7 +25,8 @@ from deltatree.sources.tables import load_events
 SETS = ((), ("channel",))
 TOP_CODES = 5
 #: Report rows whose value is in cents.
-MONEY_ROWS = "label IN ('base', 'current', 'change', 'main cause', 'further cause') OR segment = 'contributions' OR segment = 'drilldown' AND label <> 'coverage'"
+MONEY_ROWS = ("label IN ('base', 'current', 'change', 'main cause', 'further cause') OR segment = 'contributions' AND label NOT LIKE '%/%' AND label <> 'largest residual' "
+              "OR segment = 'drilldown' AND label NOT LIKE 'coverage%'")
 
 # factor, knob, action, owner, cycle, adjustment to look up
 PLAYBOOK = (
@@ -150,13 +152,17 @@ def number_text_sql(e, digits=3):
     return f"COALESCE(printf('%.{digits}f', {e}), '-')"
 
 
-cte("rp_regions", f"""
-SELECT *, row_number() OVER (PARTITION BY slice_id ORDER BY abs(c) DESC, region) AS rank, SUM(c) OVER (PARTITION BY slice_id) AS total, SUM(abs(c)) OVER (PARTITION BY slice_id) AS everything FROM (
- SELECT COALESCE('channel=' || channel, 'all') AS slice_id, region,
-   (COALESCE(SUM(revenue_cents) FILTER (WHERE {in_period(CURRENT)}), 0) - COALESCE(SUM(revenue_cents) FILTER (WHERE {in_period(BASE)}), 0))::DOUBLE AS c
- FROM v WHERE {in_period(BASE)} OR {in_period(CURRENT)} GROUP BY GROUPING SETS ((region), (channel, region)))
+cte("rp_deep", f"""
+SELECT COALESCE('channel=' || channel, 'all') AS slice_id, unnest(['lines_per_order', 'units_per_line']) AS factor, unnest([0, 1]) AS child_order, u1 / o1 - u0 / o0 AS delta,
+  unnest([lm * (ln(l1 / o1) - ln(l0 / o0)), lm * (ln(u1 / l1) - ln(u0 / l0))]) AS contribution FROM (
+ SELECT *, CASE WHEN u1 / o1 = u0 / o0 THEN u1 / o1 ELSE (u1 / o1 - u0 / o0) / (ln(u1 / o1) - ln(u0 / o0)) END AS lm FROM hy_sums JOIN (
+  SELECT channel, CAST(COUNT(*) FILTER (WHERE {in_period(BASE)}) AS DOUBLE) AS l0, CAST(COUNT(*) FILTER (WHERE {in_period(CURRENT)}) AS DOUBLE) AS l1
+  FROM v GROUP BY GROUPING SETS ((), (channel))) n ON n.channel IS NOT DISTINCT FROM hy_sums.channel)
 """)
+cte("rp_drill", "SELECT *, (list_position(['channel', 'region', 'segment'], by_dims) * 100) AS first FROM dr_table WHERE slice_id NOT IN ('pair', 'locked')")
 _adjust = "CASE WHEN adjustment = 0 THEN 'unchanged' ELSE printf('%+.0f%%', adjustment * 100) END"
+_covered = f"SUM(abs(contribution)) FILTER (WHERE rank <= {TOP_CODES}) / NULLIF(MAX(everything), 0)"
+cte("rp_tests", "SELECT *, row_number() OVER (PARTITION BY slice_id ORDER BY factor) * 10 AS first FROM hy_final")
 cte("rp_rows", f"""
 SELECT slice_id, 1 AS segment_index, 'background' AS segment, 1 AS position, 'base' AS label, base AS value, {amount_text_sql('base')} AS display FROM rpb_verdicts WHERE code = 'revenue' AND basis = 'daily_mean'
 UNION ALL SELECT slice_id, 1, 'background', 2, 'current', current, {amount_text_sql('current')} FROM rpb_verdicts WHERE code = 'revenue' AND basis = 'daily_mean'
@@ -164,12 +170,18 @@ UNION ALL SELECT slice_id, 1, 'background', 3, 'change', delta, {amount_text_sql
 UNION ALL SELECT slice_id, 1, 'background', 4, 'change rate', change_rate, {rate_text_sql('change_rate')} FROM rpb_verdicts WHERE code = 'revenue' AND basis = 'daily_mean'
 UNION ALL SELECT slice_id, 1, 'background', 5, 'z-score', z, CASE WHEN inside THEN 'inside the band' ELSE 'outside the band' END FROM rpb_verdicts WHERE code = 'revenue' AND basis = 'daily_mean'
 UNION ALL SELECT slice_id, 2, 'contributions', child_order + 1, factor, contribution, {rate_text_sql('rate')} FROM rp_causes
-UNION ALL SELECT slice_id, 3, 'drilldown', rank, region, c, {rate_text_sql('c / NULLIF(total, 0)')} FROM rp_regions WHERE rank <= {TOP_CODES}
-UNION ALL SELECT slice_id, 3, 'drilldown', 90, 'coverage', SUM(abs(c)) FILTER (WHERE rank <= {TOP_CODES}) / MAX(everything), {rate_text_sql(f'SUM(abs(c)) FILTER (WHERE rank <= {TOP_CODES}) / MAX(everything)')} FROM rp_regions GROUP BY 1
+UNION ALL SELECT slice_id, 2, 'contributions', 90, 'largest residual', 0.0, 'passed in all 2 layers' FROM rp_deep WHERE child_order = 0
+UNION ALL SELECT slice_id, 2, 'contributions', 100 + child_order, 'basket/' || factor, contribution, {rate_text_sql('contribution / NULLIF(delta, 0)')} FROM rp_deep
+UNION ALL SELECT slice_id, 3, 'drilldown', first + rank, combination, contribution, {rate_text_sql('contribution / NULLIF(total, 0)')} FROM rp_drill WHERE rank <= {TOP_CODES}
+UNION ALL SELECT slice_id, 3, 'drilldown', first + 90, 'coverage of ' || by_dims, {_covered}, {rate_text_sql(_covered)} FROM rp_drill GROUP BY slice_id, by_dims, first
+UNION ALL SELECT slice_id, 3, 'drilldown', first + 91, 'change of all ' || by_dims, MAX(total), {amount_text_sql('MAX(total)')} FROM rp_drill GROUP BY slice_id, by_dims, first
 UNION ALL SELECT slice_id, 4, 'conclusions', rank, CASE WHEN rank = 1 THEN 'main cause' ELSE 'further cause' END, contribution, factor FROM rp_causes WHERE rank <= 3
 UNION ALL SELECT slice_id, 4, 'conclusions', 10, 'verified hypotheses', COUNT(*) FILTER (WHERE status = 'verified'), CAST(COUNT(*) FILTER (WHERE status = 'verified') AS VARCHAR) || ' of ' || COUNT(*) FROM hy_final GROUP BY 1
 UNION ALL SELECT slice_id, 4, 'conclusions', 11, 'outside events', COUNT(*) FILTER (WHERE tier = 'chain'), string_agg(name, ', ' ORDER BY name) FILTER (WHERE tier = 'chain') FROM rp_events GROUP BY 1 HAVING COUNT(*) FILTER (WHERE tier = 'chain') > 0
-UNION ALL SELECT slice_id, 5, 'evidence', row_number() OVER (PARTITION BY slice_id ORDER BY factor), factor, p_value, status || ': ' || verdict FROM hy_final
+UNION ALL SELECT slice_id, 5, 'evidence', first, factor, p_value, status || ': ' || verdict FROM rp_tests
+UNION ALL SELECT slice_id, 5, 'evidence', first + 1, factor || ' sample', n_in + n_out, CAST(n_in AS VARCHAR) || ' days against ' || CAST(n_out AS VARCHAR) FROM rp_tests
+UNION ALL SELECT slice_id, 5, 'evidence', first + 2, factor || ' effect', effect, {number_text_sql('effect', 2)} FROM rp_tests
+UNION ALL SELECT slice_id, 5, 'evidence', first + 3, factor || ' confidence', lowered, reason FROM rp_tests
 UNION ALL SELECT slice_id, 6, 'whatif', 1, 'elasticity', value, method FROM wi_est WHERE slice_id NOT LIKE '%&%'
 UNION ALL SELECT slice_id, 6, 'whatif', 2, 'confidence', CASE WHEN value IS NOT NULL THEN trust END, CAST(n AS VARCHAR) || ' days' FROM wi_est WHERE slice_id NOT LIKE '%&%'
 UNION ALL SELECT slice_id, 6, 'whatif', 10 + CAST(round(adjustment * 100) AS INT) + 30, {_adjust}, expected, {number_text_sql('expected_low')} || ' to ' || {number_text_sql('expected_high')} FROM rp_points
@@ -193,15 +205,27 @@ def report_segments(spark, d, run):
         R.field(4, F.lit("change rate"), F.col("change_rate"), R.rate_text(F.col("change_rate"))),
         R.field(5, F.lit("z-score"), F.col("z_score"), F.when(F.col("in_normal_band"), "inside the band").otherwise("outside the band")),
     ])
-    split = R.segment_rows(contributions, "contributions", [
+    at_root = F.col("node") == retail().root.code
+    split = R.segment_rows(contributions.where(at_root), "contributions", [
         R.field(F.col("child_order") + 1, F.col("factor"), F.col("contribution"), R.rate_text(F.col("rate")))])
-    tagged = cube.withColumn("report_slice", F.explode(F.array(F.lit(V.ALL), F.concat(F.lit("channel="), "channel"))))
-    table = P.dimension_tables(tagged, retail().root, [("region",)], BASE, CURRENT, TOP_CODES, ["report_slice"])
-    table = table.withColumn("code", F.col("region")).drop("slice_id").withColumnRenamed("report_slice", "slice_id")
+    # values of deeper nodes are in the node's own unit, not in cents
+    deep = R.segment_rows(contributions.where(~at_root), "contributions", [
+        R.field(F.col("child_order") + 100, F.concat_ws("/", "node", "factor"), F.col("contribution"), R.rate_text(F.col("rate")))])
+    layers = contributions.groupBy("slice_id").agg(
+        F.count_distinct("node").alias("n"), F.max("relative").alias("relative"), F.min("conserved").alias("conserved"))
+    residual = R.segment_rows(layers, "contributions", [R.field(90, F.lit("largest residual"), F.round("relative", 9), F.when(
+        F.col("conserved"), F.concat(F.lit("passed in all "), F.col("n").cast("string"), F.lit(" layers"))).otherwise("not passed"))])
+    usable = slices.where("asked AND status = 'ok'")
+    table = run.store.stage("drilldown", lambda: L.drilldown(
+        cube, usable, L.pivot_plans(usable, retail(), DIMS), retail(), BASE, CURRENT, DIMS, TOP_CODES), ("slice_id", "pivot"))
+    first = F.array_position(F.array(*[F.lit(n) for n in retail().dimensions]), F.col("pivot")).cast("int") * 100
     drill = R.segment_rows(table.where("in_top"), "drilldown", [
-        R.field(F.col("rank"), F.col("code"), F.col("contribution"), R.rate_text(F.col("rate")))])
-    cover = R.segment_rows(table.groupBy("slice_id").agg(F.max("coverage").alias("c")), "drilldown", [
-        R.field(90, F.lit("coverage"), F.col("c"), R.rate_text(F.col("c")))])
+        R.field(first + F.col("rank"), F.col("combination"), F.col("contribution"), R.rate_text(F.col("rate")))])
+    whole = table.groupBy("slice_id", "pivot").agg(F.max("coverage").alias("covered"), F.max("layer_delta").alias("moved"))
+    cover = R.segment_rows(whole, "drilldown", [
+        R.field(first + 90, F.concat(F.lit("coverage of "), "pivot"), F.col("covered"), R.rate_text(F.col("covered"))),
+        R.field(first + 91, F.concat(F.lit("change of all "), "pivot"), F.col("moved"), R.amount_text(F.col("moved")))])
+    contributions = contributions.where(at_root)
     top = D.top_factors(contributions.where(F.col("contribution").isNotNull()), ["slice_id"], 3)
     causes = R.segment_rows(top, "conclusions", [R.field(
         F.col("rank"), F.when(F.col("rank") == 1, "main cause").otherwise("further cause"), F.col("contribution"), F.col("factor"))])
@@ -215,8 +239,13 @@ def report_segments(spark, d, run):
     from pyspark.sql import Window
 
     numbered = final.withColumn("i", F.row_number().over(Window.partitionBy("slice_id").orderBy("factor")))
-    evidence = R.segment_rows(numbered, "evidence", [R.field(
-        F.col("i"), F.col("factor"), F.col("p_value"), F.concat_ws(": ", "status", "verdict"))])
+    place = F.col("i") * 10
+    days = F.concat(F.col("n_in").cast("string"), F.lit(" days against "), F.col("n_out").cast("string"))
+    evidence = R.segment_rows(numbered, "evidence", [
+        R.field(place, F.col("factor"), F.col("p_value"), F.concat_ws(": ", "status", "verdict")),
+        R.field(place + 1, F.concat(F.col("factor"), F.lit(" sample")), F.col("n_in") + F.col("n_out"), days),
+        R.field(place + 2, F.concat(F.col("factor"), F.lit(" effect")), F.col("effect"), R.number_text(F.col("effect"), 2)),
+        R.field(place + 3, F.concat(F.col("factor"), F.lit(" confidence")), F.col("final_confidence"), F.col("reason"))])
     est, points = price_curve(cube)
     points = cut_lineage(points, "points")
     elastic = R.segment_rows(est, "whatif", [
@@ -231,7 +260,7 @@ def report_segments(spark, d, run):
         F.col("rank"), F.col("factor"), F.col("expected"),
         F.concat(F.coalesce(F.concat_ws(" / ", "action", "owner", "cycle"), F.lit("")), F.lit(" / "), F.col("range_status")))])
     acts = acts.withColumn("display", F.when(F.col("display").startswith(" / "), F.concat(F.lit("no template"), "display")).otherwise(F.col("display")))
-    return R.report_rows([background, split, drill, cover, causes, tested, outside, evidence, elastic, steps, acts])
+    return R.report_rows([background, split, residual, deep, drill, cover, causes, tested, outside, evidence, elastic, steps, acts])
 
 
 @query("rp1_report", f"""

@@ -241,7 +241,7 @@ def channel_slices(cube):
 
 def channels(spark, d):
     """The run of the total and every channel."""
-    return stored_run(spark, d, "channels", channel_slices)
+    return stored_run(spark, d, "channels", channel_slices, targets=("basket",))
 
 
 def fresh_results(run, *kinds):
@@ -355,10 +355,15 @@ def _(spark, d):
 
 @query("hy1_candidates", f"""
 SELECT hypothesis_id, slice_id, factor, CAST(rank AS INT) AS rank, {amount_sql('contribution')} AS contribution, direction,
-       factor || ' in slice ' || slice_id || ' drives revenue' AS statement FROM hy_hyp
+       factor || ' in slice ' || slice_id || ' drives revenue' AS statement,
+       'days of ' || factor || ' in slice ' || slice_id || ' against those of all rows: the mean is ' || CASE direction WHEN 'down' THEN 'lower' ELSE 'higher' END AS verification,
+       'codes of ' || CASE WHEN slice_id = 'all' THEN 'channel' ELSE 'region' END || ' that move the other way' AS counter_check,
+       CASE factor WHEN 'orders' THEN 'SUM(fact.orders)' WHEN 'basket' THEN 'CAST(SUM(fact.units) AS DOUBLE) / NULLIF(SUM(fact.orders), 0)'
+        ELSE 'CAST(SUM(fact.revenue_cents) AS DOUBLE) / NULLIF(SUM(fact.units), 0)' END AS measure_sql FROM hy_hyp
 """)
 def _(spark, d):
-    return channels(spark, d).hypotheses.select("hypothesis_id", "slice_id", "factor", "rank", amount("contribution"), "direction", "statement")
+    return channels(spark, d).hypotheses.select("hypothesis_id", "slice_id", "factor", "rank", amount("contribution"), "direction", "statement",
+                                             "verification", "counter_check", "measure_sql")
 
 
 @query("hy2_series", f"""
@@ -533,7 +538,7 @@ def kept_twice(spark, d, kind, rows, payload):
 
 
 @query("src7_steps", """
-SELECT 'retail' AS scenario, 'run-1' AS run_id, 'step' AS kind, slice_id, 1 AS seq, 'query' AS step, 'completed' AS status, 'revenue' AS nodes, NULL::BIGINT AS count, NULL AS factor, NULL AS verdict FROM hy_hyp GROUP BY slice_id
+SELECT 'retail' AS scenario, 'run-1' AS run_id, 'step' AS kind, slice_id, 1 AS seq, 'query' AS step, 'completed' AS status, 'basket,revenue' AS nodes, NULL::BIGINT AS count, NULL AS factor, NULL AS verdict FROM hy_hyp GROUP BY slice_id
 UNION ALL SELECT 'retail', 'run-1', 'step', slice_id, 2, 'hypothesis', 'completed', NULL, COUNT(*), NULL, NULL FROM hy_hyp GROUP BY slice_id
 UNION ALL SELECT 'retail', 'run-1', 'step', slice_id, CAST(2 + rank AS INT), 'verify', status, NULL, NULL, factor, verdict FROM hy_final JOIN (SELECT hypothesis_id, rank FROM hy_hyp) USING (hypothesis_id)
 """)
@@ -544,13 +549,15 @@ def _(spark, d):
 
 
 @query("src7_hypotheses", f"""
-SELECT 'retail' AS scenario, 'run-1' AS run_id, 'hypothesis' AS kind, slice_id, hypothesis_id, factor || ' in slice ' || slice_id || ' drives revenue' AS statement, direction AS expected_direction,
+SELECT 'retail' AS scenario, 'run-1' AS run_id, 'hypothesis' AS kind, slice_id, hypothesis_id, factor || ' in slice ' || slice_id || ' drives revenue' AS statement,
+       CASE factor WHEN 'orders' THEN 'SUM(fact.orders)' WHEN 'basket' THEN 'CAST(SUM(fact.units) AS DOUBLE) / NULLIF(SUM(fact.orders), 0)'
+        ELSE 'CAST(SUM(fact.revenue_cents) AS DOUBLE) / NULLIF(SUM(fact.units), 0)' END AS measure_sql, direction AS expected_direction,
        status, {r_sql('lowered', 4)} AS confidence, reason, {r_sql('sig', 4)} AS significance_score, {r_sql('eff', 4)} AS effect_score, CASE WHEN gap IS NULL THEN NOT against END AS direction_ok, penalty, verdict FROM hy_final
 """)
 def _(spark, d):
-    payload = ("hypothesis_id string, statement string, expected_direction string, status string, confidence double, reason string, significance_score double, "
+    payload = ("hypothesis_id string, statement string, verification string, counter_check string, measure_sql string, expected_direction string, status string, confidence double, reason string, significance_score double, "
                "effect_score double, coverage_score double, direction_ok boolean, penalty double, verdict string")
-    rows = kept_twice(spark, d, "hypothesis", lambda run: run.hypothesis_rows(), payload).drop("coverage_score")
+    rows = kept_twice(spark, d, "hypothesis", lambda run: run.hypothesis_rows(), payload).drop("coverage_score", "verification", "counter_check")
     return rows.select(*[r(c, 4).alias(c) if c in ("confidence", "significance_score", "effect_score") else c for c in rows.columns])
 
 
