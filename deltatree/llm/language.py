@@ -8,11 +8,11 @@ matrix products: presence with landmarks, then kernel values with the weights of
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,16 +21,15 @@ from deltatree.llm.features import fold
 
 #: Lengths in bytes of the n-grams, and places they are hashed to.
 LENGTHS, PLACES = (2, 3, 4), 1 << 13
-#: Landmarks and training texts of a language, at most.
+#: Landmarks and training texts of a language, at most, and of all languages together, about: with many languages each has fewer, one at least.
 LANDMARKS, EACH = 128, 800
-#: Languages that are learned, the most frequent ones.
-MOST = 1000
+ALL_LANDMARKS, ALL_TEXTS = 2048, 100_000
 RIDGE = 1e-3
 UNKNOWN = "und"
 #: Texts of one matrix product.
 BATCH = 256
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: Letters are lower-cased where they are ASCII; all bytes that aren't ASCII letters or part of another character become one blank.
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
@@ -88,7 +87,7 @@ def predict(column: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(best), np.concatenate(score).astype(np.float64)) if best else (np.zeros(0, int), np.zeros(0))
 
 
-def _sample(docs: DataFrame, folds: int, held: int, each: int, most: int) -> tuple[np.ndarray, list[str]]:
+def _sample(docs: DataFrame, folds: int, held: int, each: int) -> tuple[np.ndarray, list[str]]:
     """Rows of ``presence`` and languages of up to ``each`` texts a language, those with the smallest hashes.
 
     Candidates are found with a hash below a limit that the counts of the languages give, so a
@@ -96,7 +95,8 @@ def _sample(docs: DataFrame, folds: int, held: int, each: int, most: int) -> tup
     """
     known = docs.where("doc_id is not null and lang is not null and length(text) > 0").where(
         (F.col("lang") != UNKNOWN) & (fold(F.col("doc_id"), folds) != held)).select("lang", "text", F.xxhash64("doc_id", "text", F.lit(41)).alias("hash"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most)
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    each = max(1, min(each, ALL_TEXTS // max(1, counts.count())))
     # twice as many as are wanted pass, on average
     limit = F.least(F.lit(1.0), F.lit(2.0 * each + 50) / F.col("n"))
 
@@ -113,18 +113,19 @@ def _sample(docs: DataFrame, folds: int, held: int, each: int, most: int) -> tup
     return ones / np.sqrt(np.maximum(ones.sum(1, keepdims=True), 1)), rows["lang"].tolist()
 
 
-def languages(docs: DataFrame, folds: int = 3, held: int = 1, each: int = EACH, landmarks: int = LANDMARKS, most: int = MOST) -> DataFrame:
+def languages(docs: DataFrame, folds: int = 3, held: int = 1, each: int = EACH, landmarks: int = LANDMARKS) -> DataFrame:
     """One row per document: ``doc_id``, ``held_out``, ``lang_pred``, ``score`` (0 to 1).
 
-    Learned from text and ``lang`` of rows whose ``crc32(doc_id) mod folds`` isn't ``held``; at most ``each`` texts a
-    language and of the ``most`` most frequent languages (parameters), the first ``landmarks`` of which are landmarks. Only the text is an input of a prediction.
+    Learned from text and ``lang`` of rows whose ``crc32(doc_id) mod folds`` isn't ``held``: every language, from at most ``each`` texts
+    (a parameter), the first ``landmarks`` of which are landmarks. Only the text is an input of a prediction.
 
     * ``lang_pred`` is ``und`` with score 0 for a text that is null or has no letter, and for all if nothing could be learned.
     * A null ``doc_id`` is in no fold (``held_out`` false) and not learned from; rows with a null ``lang`` are predicted only.
     * Repeated rows each give a row; texts are taken whole. No documents: no rows. Other columns are ignored.
     """
     plain = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"))
-    rows, langs = _sample(plain, folds, held, each, most)
+    rows, langs = _sample(plain, folds, held, each)
+    landmarks = max(1, min(landmarks, ALL_LANDMARKS // max(1, len(set(langs)))))
     seen: dict[str, int] = {}
     first = [i for i, x in enumerate(langs) if seen.setdefault(x, 0) < landmarks and not seen.update({x: seen[x] + 1})]
     fitted = fit(rows[first], rows, langs) if langs else None

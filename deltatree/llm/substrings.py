@@ -78,17 +78,52 @@ def text_digest(text: bytes) -> bytes:
     return hashlib.blake2b(text, digest_size=16).digest()
 
 
+#: Blocks of characters that are written without blanks between words (first, last code point): Thai to Lao, Myanmar, Khmer, kana and CJK.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """True at each byte of a character of a block without blanks."""
+    out = np.zeros(data.size, bool)
+    first = np.flatnonzero(data >= 0xE0)
+    if not first.size:
+        return out
+    wide = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
+    lead, one, two, three = (wide[first + i] for i in range(4))
+    code = np.where(lead < 0xF0, (lead & 15) << 12 | (one & 63) << 6 | two & 63, (lead & 7) << 18 | (one & 63) << 12 | (two & 63) << 6 | three & 63)
+    mine = np.zeros(first.size, bool)
+    for low, high in UNSPACED:
+        mine |= (code >= low) & (code <= high)
+    for i in range(4):
+        at = first[mine & (i < 3 + (lead >= 0xF0))] + i
+        out[at[at < data.size]] = True
+    return out
+
+
 def repeated_words(data: bytes, spans: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
-    """Spans of whole words, each from a first byte of a word to the next one's, inside ``spans`` if they hold enough words."""
+    """Spans of whole words, each from a first byte of a word to the next one's, inside ``spans`` if they hold enough words.
+
+    A character of a script without blanks stands for itself; two of them count as a word.
+    """
     out = []
     for b, e in spans:
-        piece = np.frombuffer(data[b:e], np.uint8)
-        starts, ends, _ = A.word_spans(piece, np.array([0, piece.size]), A.SPACED)
-        first = 0 if b == 0 or data[b - 1:b].isspace() else 1
-        last = len(starts) if e >= len(data) or data[e:e + 1].isspace() or (piece.size and not A.SPACED[piece[-1]]) else len(starts) - 1
-        if last - first >= min_words:
-            stop = e if last == len(starts) else b + int(starts[last])
-            out.append((b + int(starts[first]), stop))
+        low, high = max(0, b - 4), min(len(data), e + 4)  # with the characters next to it
+        near = np.frombuffer(data[low:high], np.uint8)
+        alone, inside = unspaced(near), A.SPACED[near]
+        # a word begins after a blank, at a character that stands for itself, and after one
+        begins = inside & A.code_points(near)
+        begins[1:] &= ~inside[:-1] | alone[1:] | alone[:-1]
+        if low:
+            begins[0] = False
+        starts = np.flatnonzero(begins[b - low:e - low])
+        # the word that runs over the end isn't whole
+        whole = e == len(data) or not inside[e - low] or begins[e - low] or not inside[e - 1 - low]
+        last = len(starts) if whole else len(starts) - 1
+        if last <= 0:
+            continue
+        weight = np.where(alone[b - low + starts[:last]], 1, 2).sum()
+        if weight >= 2 * min_words:
+            out.append((b + int(starts[0]), e if last == len(starts) else b + int(starts[last])))
     return out
 
 
@@ -271,7 +306,8 @@ def substring_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: ``doc_id``, ``text`` without repeated passages, ``n_removed`` (characters), ``repeated``
     (whether anything went), ``first_doc_ids`` (documents that keep what went).
 
-    A passage of ``min_words`` words or more goes where an earlier document (a smaller ``doc_id``) has it; its first and
+    A passage of ``min_words`` words or more goes where an earlier document (a smaller ``doc_id``) has it (words are parted by white space; two
+    characters of a script without blanks, such as Chinese or Thai, count as a word); its first and
     last words may stay, up to the chunk in which it begins and ends. Repeats inside one document stay.
 
     * A null text stays null; texts are taken whole, whatever their length. A copy of a whole text of fewer words stays.

@@ -1,6 +1,7 @@
 """Substring dedup: planted passages go from all documents but the first, everything else stays as it is."""
 
 import random
+import re
 
 import numpy as np
 
@@ -86,3 +87,40 @@ def test_rows_without_an_id_are_documents_of_their_own(documents):
     assert all(r.doc_id is None for r in cut) and sum(r.first_doc_ids == [None] for r in cut) >= 6
     kept = [r.text for r in S.remove_repeats(docs).collect()]
     assert kept.count(long) == 1 and sum(passage in (t or "") for t in kept) == 1
+
+
+def test_scripts_without_blanks(documents):
+    """Whole copies and long passages of Chinese, Japanese and Thai text go; short ones, and words around them, stay."""
+    rng = random.Random(12)
+
+    def text(first, last, n):
+        return "".join(chr(rng.randrange(first, last)) for _ in range(n))
+
+    chinese, thai, kana, wide = text(0x4E00, 0x9FA0, 4000), text(0x0E01, 0x0E2F, 900), text(0x3041, 0x3095, 600), text(0x20000, 0x20100, 300)
+    shared = text(0x4E00, 0x9FA0, 200)
+    rows = [(1, chinese), (2, chinese), (3, thai), (4, thai), (5, kana), (6, kana), (7, wide), (8, wide), (9, text(0x4E00, 0x9FA0, 300) + shared), (10, "own words " + shared + "。end of it"),
+            (11, chinese[:30]), (12, text(0x4E00, 0x9FA0, 50))]
+    got = {r.doc_id: r for r in S.substring_report(documents(rows)).collect()}
+    for kept, gone in ((1, 2), (3, 4), (5, 6), (7, 8)):
+        assert got[kept].text == dict(rows)[kept] and got[gone].text == "" and got[gone].first_doc_ids == [kept]
+    assert got[9].text == rows[8][1] and got[12].text == rows[11][1] and got[11].text == rows[10][1]
+    left = got[10].text
+    assert left.startswith("own words ") and left.endswith("end of it") and len(left) < 20 + 2 * 24
+
+
+def test_words_of_a_span():
+    """Units by plain code, over spans that begin and end anywhere."""
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "bc", " ", "\n", "漢", "字", "ไ", "é", "가", "𠀀", "x "]) for _ in range(rng.randrange(1, 40)))
+        data = text.encode()
+        cuts = sorted(rng.sample(range(len(text) + 1), 2)) if len(text) > 1 else [0, len(text)]
+        b, e = (len(text[:c].encode()) for c in cuts)
+        units = [(m.start(), m.end(), m[0]) for m in re.finditer("[漢字ไ𠀀]|[^\\s漢字ไ𠀀]+", text)]
+        inside = [u for u in units if cuts[0] <= u[0] and u[1] <= cuts[1]]
+        weight = sum(1 if u[2] in "漢字ไ𠀀" else 2 for u in inside)
+        for least in (1, 2, 4):
+            got = S.repeated_words(data, [(b, e)], least)
+            assert bool(got) == (weight >= 2 * least), (text, cuts, got)
+            if got:
+                assert got[0][0] == len(text[:inside[0][0]].encode()) and got[0][1] >= len(text[:inside[-1][1]].encode())
