@@ -7,18 +7,19 @@ test suffix) is found in it by binary search, as a range of the array: all its l
 Adjacent windows of one test that lie at adjacent places make up the longest verbatim matches.
 
 The tests travel as a broadcast whose size is checked: beyond ``most_bytes`` of text they are dealt into blocks of that
-size, each block is one pass over the documents, and the places found so far travel along in two columns.
+size, and each block is one pass over the documents. These are written once with a number for each row; a pass writes only
+what it finds, by number, and at the end what all passes found joins the documents.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from itertools import count
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,19 +46,19 @@ class Tests:
         bits = int(self.vocabulary.size + 1).bit_length()
         self.bits, self.per = bits, 63 // bits
         self.names = [n for n, _ in items]
-        #: by length of window: sorted keys, and for each of them the (item, start) places in the tests
-        self.windows: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
-        starts: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, (b, e) in enumerate(zip(at, at[1:], strict=False)):
-            m = min(window, e - b)
-            starts[m] += [(i, p) for p in range(b, e - m + 1)] if m else []
-        for m, places in starts.items():
-            if places:
-                where = np.array(places, np.int64)
-                keys = self.keys(ids, where[:, 1], m)
-                order = np.argsort(keys, kind="stable")
-                unique, first = np.unique(keys[order], return_index=True)
-                self.windows[m] = (unique, np.split(where[order], first[1:]))
+        #: by length of window: sorted keys, the (item, start) places in the tests by key, and the keys' offsets into them
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        words = np.diff(at)
+        lengths = np.minimum(window, words)
+        for m in np.unique(lengths[lengths > 0]).tolist():
+            chosen = np.flatnonzero(lengths == m)
+            each = words[chosen] - m + 1
+            item = np.repeat(chosen, each)
+            start = np.arange(item.size) - np.repeat(np.cumsum(each) - each, each) + at[:-1][item]
+            keys = self.keys(ids, start, m)
+            order = np.argsort(keys, kind="stable")
+            unique, first = np.unique(keys[order], return_index=True)
+            self.windows[m] = (unique, np.stack([item, start], 1)[order], np.append(first, keys.size))
 
     def keys(self, ids: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
         """The ``m`` words from each place as one string of bytes which sorts as the words do."""
@@ -83,7 +84,7 @@ class Tests:
         nearest = np.minimum.accumulate(nearest[::-1])[::-1]
         ends = np.repeat(at[1:], np.diff(at))
         run = np.minimum(nearest, ends) - np.arange(n)
-        for m, (keys, places) in self.windows.items():
+        for m, (keys, places, of) in self.windows.items():
             suffixes = np.flatnonzero(run >= m)
             if not suffixes.size:
                 continue
@@ -94,7 +95,7 @@ class Tests:
             hit = np.flatnonzero(high > low)
             if hit.size:
                 yield m, np.concatenate([array[low[h]:high[h]] for h in hit]), [
-                    places[h] for h in hit for _ in range(high[h] - low[h])]
+                    places[of[h]:of[h + 1]] for h in hit for _ in range(high[h] - low[h])]
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -152,50 +153,71 @@ def _hits(marks: bytes, words: int) -> int:
 
 def _blocks(benchmark: DataFrame, most_bytes: int) -> tuple[int, Callable[[int], list[tuple[str | None, str]]]]:
     """Number of blocks of about ``most_bytes`` of test text, and what reads one of them."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // most_bytes) or 1
     return blocks, lambda b: [(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
 
 
-_STATE = T.StructType([T.StructField("marks", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType())),
-                       T.StructField("longest", T.LongType()), T.StructField("longest_item", T.StringType())])
+#: The broadcast that this worker has made ready last, and its tests: the next task of the same pass needs them again.
+_ready: list[tuple[Broadcast, Tests]] = []
+
+
+def _tests(held: Broadcast) -> Tests:
+    if not _ready or _ready[0][0] is not held:
+        _ready[:] = [(held, Tests(*held.value))]
+    return _ready[0][1]
 
 
 def _annotated(docs: DataFrame, benchmark: DataFrame, window: int, most_bytes: int, finish, schema: T.StructType | str) -> DataFrame:
     """``finish(part, counts, marks, items, longest)`` over every slice of documents, after all blocks of tests."""
     spark: SparkSession = docs.sparkSession
     blocks, read = _blocks(benchmark, most_bytes)
-    state = next(f"_found{i}" for i in count() if f"_found{i}" not in docs.columns)
-    now = docs
-    for number in range(blocks):
-        held = spark.sparkContext.broadcast((read(number), window))
-        first, last = number == 0, number == blocks - 1
-        names = list(docs.columns)
-
-        def run(batches: Iterable[pa.RecordBatch], held=held, first=first, last=last, names=names) -> Iterator[pa.RecordBatch]:
-            tests = Tests(*held.value)
+    if blocks == 1:
+        held = spark.sparkContext.broadcast((read(0), window))
+
+        def at_once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tests = _tests(held)
             for batch in batches:
                 for part in A.slices(batch):
-                    old = None if first else part.column(part.num_columns - 1).to_pylist()
-                    marks = [bytes(x["marks"]) for x in old] if old else [b""] * part.num_rows
-                    found = [x["items"] for x in old] if old else [[] for _ in range(part.num_rows)]
-                    longest = [(x["longest"], x["longest_item"]) for x in old] if old else [(0, None)] * part.num_rows
+                    marks, found, longest = [b""] * part.num_rows, [[] for _ in range(part.num_rows)], [(0, None)] * part.num_rows
                     counts = _scan(part.column("text"), tests, marks, found, longest)
-                    plain = part.select(names)
-                    if last:
-                        yield finish(plain, counts, marks, found, longest)
-                        continue
-                    struct = pa.StructArray.from_arrays([
-                        pa.array(marks, pa.binary()), pa.array(found, pa.list_(pa.string())), pa.array([x for x, _ in longest], pa.int64()),
-                        pa.array([x for _, x in longest], pa.string())], ["marks", "items", "longest", "longest_item"])
-                    yield pa.RecordBatch.from_arrays([*plain.columns, struct], [*names, state])
-
-        out = schema if last else T.StructType([*docs.schema.fields, T.StructField(state, _STATE)])
-        now = now.mapInArrow(run, out)
-        if not last:
-            now = cut_lineage(now, "tests")
-    return now
+                    yield finish(part, counts, marks, found, longest)
+
+        return docs.mapInArrow(at_once, schema)
+
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    numbered = cut_lineage(docs.select(F.monotonically_increasing_id().alias("number"), row, docs["text"].alias("text")), "numbered")
+    passes = []
+    for block in range(blocks):
+        held = spark.sparkContext.broadcast((read(block), window))
+
+        def look_up(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            tests = _tests(held)
+            for batch in batches:
+                for part in A.slices(batch):
+                    marks, found, longest = [b""] * part.num_rows, [[] for _ in range(part.num_rows)], [(0, None)] * part.num_rows
+                    _scan(part.column("text"), tests, marks, found, longest)
+                    hit = [i for i, m in enumerate(marks) if m]
+                    yield pa.RecordBatch.from_arrays([
+                        part.column("number").take(pa.array(hit, pa.int64())), pa.array([marks[i] for i in hit], pa.binary()), pa.array([found[i] for i in hit], pa.list_(pa.string())),
+                        pa.array([longest[i][0] for i in hit], pa.int64()), pa.array([longest[i][1] for i in hit], pa.string())], ["of", "marks", "items", "longest", "item"])
+
+        passes.append(cut_lineage(numbered.select("number", "text").mapInArrow(
+            look_up, "of long, marks binary, items array<string>, longest long, item string"), "found"))
+        held.destroy()
+    each = reduce(DataFrame.unionByName, passes).groupBy("of").agg(F.collect_list(F.struct("marks", "items", "longest", "item")).alias("found"))  # one entry a block at most
+
+    def together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in A.slices(batch):
+                found = [x or [] for x in part.column("found").to_pylist()]
+                _, at = word_hashes(part.column("text"))
+                plain = pa.RecordBatch.from_struct_array(part.column("row"))
+                yield finish(plain, np.diff(at), [b"".join(y["marks"] for y in x) for x in found], [[i for y in x for i in y["items"]] for x in found],
+                             [max(((y["longest"], y["item"]) for y in x), key=lambda z: z[0], default=(0, None)) for x in found])
+
+    return numbered.join(each, F.col("number") == F.col("of"), "left").select("row", "text", "found").mapInArrow(together, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -53,6 +53,17 @@ def test_against_brute_force(spark, documents, most_bytes):
     assert sorted(str(r[0]) for r in kept.collect()) == sorted(str(r[0]) for r in got if not r[5])
 
 
+def test_repeated_items_are_gathered_once(spark, documents):
+    """A test that a benchmark repeats very often is one test; windows of many tests are found by one table."""
+    items = spark.createDataFrame([ITEMS[0]] * 5000 + ITEMS[1:], "item_id long, text string")
+    blocks, read = D._blocks(items, D.BLOCK_BYTES)
+    assert blocks == 1 and len(read(0)) == len(ITEMS)
+    blocks, read = D._blocks(items, 100)
+    assert sum(len(read(b)) for b in range(blocks)) == len(ITEMS) and 2 < blocks < 10
+    got = [tuple(r)[:6] for r in D.contamination(documents(DOCS), items, most_bytes=100).collect()]
+    assert sorted(got, key=str) == brute(DOCS, ITEMS)
+
+
 def test_no_items_and_no_documents(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     assert all(not r.contaminated and r.n_items == 0 for r in D.contamination(documents(DOCS), none).collect())
