@@ -37,8 +37,8 @@ from deltatree.llm import arrays as A
 from deltatree.llm.graph import components
 from deltatree.session import cut_lineage
 
-#: Classes of a neighbourhood that one task compares; beyond, pairs of blocks of this size.
-BLOCK = 2048
+#: Classes of a neighbourhood that one task compares, and n-grams that they have together, about; beyond, pairs of blocks of this size.
+BLOCK, BLOCK_GRAMS = 2048, 4_000_000
 #: N-grams that one bucket holds, about.
 BUCKET = 2_000_000
 #: A side of a join is broadcast up to so many rows; beyond, both sides are shuffled.
@@ -244,6 +244,21 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def distinct_runs(batches: Iterable[pa.RecordBatch], key: str, columns: tuple[str, ...]) -> Iterator[tuple[object, dict[str, list]]]:
+    """As ``runs`` for a stream that is sorted by ``key`` and ``columns``: of equal rows only one is held."""
+    last: tuple | None = None
+
+    def once() -> Iterator[pa.RecordBatch]:
+        nonlocal last
+        for batch in batches:
+            rows = list(zip(*(batch.column(c).to_pylist() for c in (key, *columns)), strict=True))
+            keep = [i for i, row in enumerate(rows) if row != (rows[i - 1] if i else last)]
+            last = rows[-1] if rows else last
+            yield batch if len(keep) == len(rows) else batch.take(pa.array(keep, pa.int64()))
+
+    yield from runs(once(), key, columns)
+
+
 def runs(batches: Iterable[pa.RecordBatch], key: str, columns: tuple[str, ...]) -> Iterator[tuple[object, dict[str, list]]]:
     """Rows of equal ``key`` together, of a stream that is sorted by it."""
     now, held = None, {c: [] for c in columns}
@@ -335,17 +350,17 @@ def links_within(sets: list[np.ndarray], percent: int, group: int = GROUP) -> np
 def _tasks(members: DataFrame, percent: int, block: int) -> DataFrame:
     """``members`` once for each task that has to see them: column ``task``.
 
-    A neighbourhood of up to ``block`` classes is one task. A larger one is cut into blocks by size level and
-    hash, and a task is a pair of blocks of one level or of two adjacent ones.
+    A neighbourhood of up to ``block`` classes with up to ``BLOCK_GRAMS`` n-grams together is one task. A larger one is cut into blocks by size
+    level and hash, and a task is a pair of blocks of one level or of two adjacent ones.
     """
     # Sizes that may be linked differ by a factor of 100 / percent at most; a little more keeps rounding from making that two levels.
     step = float(np.log(100 / percent)) * 1.0001
     level = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(step)).cast("int")
     members = members.withColumn("level", level)
-    counts = members.groupBy("root", "level").agg(F.count("*").alias("c"))
-    blocks = F.ceil(F.col("c") / F.lit(block)).cast("int")
+    counts = members.groupBy("root", "level").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("g"))
+    blocks = F.ceil(F.greatest(F.col("c") / F.lit(block), F.col("g") / F.lit(BLOCK_GRAMS))).cast("int")
     # one entry for each size level, of which there are a few hundred at most
-    around = counts.groupBy("root").agg(F.sum("c").alias("size"), F.map_from_entries(F.collect_list(F.struct("level", blocks))).alias("of"))
+    around = counts.groupBy("root").agg(F.sum("c").alias("size"), F.sum("g").alias("weight"), F.map_from_entries(F.collect_list(F.struct("level", blocks))).alias("of"))
 
     def at(shift: int) -> Column:
         return F.coalesce(F.try_element_at("of", F.col("level") + F.lit(shift)), F.lit(0))
@@ -364,7 +379,7 @@ def _tasks(members: DataFrame, percent: int, block: int) -> DataFrame:
         each("blocks", lambda j: pair(lv, F.least(i, j), lv, F.greatest(i, j))),
         each("up", lambda j: pair(lv, i, lv + 1, j)),
         each("down", lambda j: pair(lv - 1, j, lv, i)))
-    tasks = F.when(F.col("size") <= block, F.array(F.lit("all"))).otherwise(parts)
+    tasks = F.when((F.col("size") <= block) & (F.col("weight") <= BLOCK_GRAMS), F.array(F.lit("all"))).otherwise(parts)
     return m.select("doc_id", "mark", "digest", F.explode(tasks).alias("part"), "root").select(
         "doc_id", "mark", "digest", F.xxhash64("root", "part").alias("task"))
 
@@ -379,7 +394,7 @@ def task_texts(docs: DataFrame, tasks: DataFrame) -> DataFrame:
 def exact_links(docs: DataFrame, tasks: DataFrame, k: int, percent: int, table: np.ndarray = A.SPACED) -> DataFrame:
     """Rows ``(a, b)`` of digests: the spanning forest of the links inside each task."""
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, cols in runs(batches, "task", ("text", "digest")):
+        for _, cols in distinct_runs(batches, "task", ("digest", "text")):  # a representative may have very many equal rows
             texts = pa.table({"text": pa.array(cols["text"], pa.large_string())}).combine_chunks()
             known: dict[bytes, np.ndarray] = {}
             done = 0
@@ -397,7 +412,7 @@ def exact_links(docs: DataFrame, tasks: DataFrame, k: int, percent: int, table:
                 yield pa.RecordBatch.from_arrays([
                     pa.array([names[i] for i in moved], pa.binary()), pa.array([names[label[i]] for i in moved], pa.binary())], ["a", "b"])
 
-    return task_texts(docs, tasks).repartition("task").sortWithinPartitions("task").mapInArrow(check, "a binary, b binary")
+    return task_texts(docs, tasks).repartition("task").sortWithinPartitions("task", "digest", "text").mapInArrow(check, "a binary, b binary")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, table: np.ndarray = A.SPACED, block: int = BLOCK) -> DataFrame:

@@ -51,6 +51,14 @@ EDGE = [
 ]
 
 
+def test_blocks_by_their_grams(documents, monkeypatch):
+    """A few long texts are too much for one task as many short ones are; a representative's equal rows are held once."""
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 300)
+    rows = EDGE + variants() + variants(6, 30) + variants()[:1] * 200
+    got = jaccard.jaccard_components(documents(rows), 3, 90).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 3, 90)
+
+
 @pytest.mark.parametrize("k, percent, block", [(3, 90, 2048), (5, 80, 8), (3, 90, 5)])
 def test_against_brute_force(documents, k, percent, block):
     rows = EDGE + variants() + variants(6, 30)
