@@ -122,6 +122,20 @@ def r(column, digits: int = 6):
     return F.round(column, digits) + F.lit(0.0)
 
 
+def sig(column):
+    """As ``r`` for ratios that can be very large: nine digits from 1,000 on, which is what two engines agree on."""
+    exponent = F.floor(F.log10(F.abs(column)))
+    # powers of ten with whole exponents from 0 on are exact; one of the two is 1
+    up, down = (F.pow(F.lit(10.0), F.greatest(x, F.lit(0))) for x in (8 - exponent, exponent - 8))
+    return F.when(F.abs(column) < 1000, r(column)).otherwise(F.round(column * up / down) / up * down)
+
+
+def sig_sql(expression: str) -> str:
+    exponent = f"floor(log10(abs({expression})))"
+    up, down = f"pow(10.0::DOUBLE, greatest(8 - {exponent}, 0))", f"pow(10.0::DOUBLE, greatest({exponent} - 8, 0))"
+    return f"(CASE WHEN abs({expression}) < 1000 THEN {r_sql(expression)} ELSE round(({expression}) * {up} / {down}) / {up} * {down} END)"
+
+
 #: Metrics in cents; the others are counts and ratios.
 MONEY = ("revenue", "profit", "refund", "discount_cost", "tax_cost", "material_cost")
 

@@ -9,7 +9,7 @@ from deltatree.functions.replicates import BOOTSTRAPS
 from deltatree.operators import values as V
 from deltatree.operators import whatif as W
 from deltatree.plans.anomaly import in_period
-from deltatree.plans.common import CURRENT, WHATIF, amount, amount_sql, cte, orders_cube, query, r, r_sql, retail, trees
+from deltatree.plans.common import CURRENT, WHATIF, amount, amount_sql, cte, orders_cube, query, r, r_sql, retail, sig, sig_sql, trees
 from deltatree.plans.statistics import channel_slices, stored_cube
 from deltatree.session import cut_lineage
 
@@ -129,16 +129,16 @@ def _(spark, d):
     return estimates(spark, d).select("slice_id", *[r(c, 4).alias(c) for c in ("sample_part", "fit_part", "width_part", "confidence")])
 
 
-CURVE_SQL = f"""SELECT slice_id, method, reason, adjustment, {r_sql('factor_value', 4)} AS factor_value, {r_sql('expected / base_value')} AS expected_ratio,
- {r_sql('expected_low / base_value')} AS low_ratio, {r_sql('expected_high / base_value')} AS high_ratio FROM """
+CURVE_SQL = f"""SELECT slice_id, method, reason, adjustment, {r_sql('factor_value', 4)} AS factor_value, {sig_sql('expected / base_value')} AS expected_ratio,
+ {sig_sql('expected_low / base_value')} AS low_ratio, {sig_sql('expected_high / base_value')} AS high_ratio FROM """
 
 
 def curve_columns(rows):
     return rows.select(
         "slice_id", "method", "reason", "adjustment", r("factor_value", 4).alias("factor_value"),
-        r(F.col("expected") / F.col("base_value")).alias("expected_ratio"),
-        r(F.col("expected_low") / F.col("base_value")).alias("low_ratio"),
-        r(F.col("expected_high") / F.col("base_value")).alias("high_ratio"))
+        sig(F.col("expected") / F.col("base_value")).alias("expected_ratio"),
+        sig(F.col("expected_low") / F.col("base_value")).alias("low_ratio"),
+        sig(F.col("expected_high") / F.col("base_value")).alias("high_ratio"))
 
 
 def with_base(est, cube):
@@ -157,11 +157,11 @@ def whatif_curve(spark, d, last_observation=False, sets=SETS, **options):
 
 
 @query("wi6_curve", f"""
-SELECT slice_id, adjustment, {r_sql('expected / base_value')} AS expected_ratio, abs(adjustment) > 0.25 AS out_of_range FROM wi_curve WHERE reason = ''
+SELECT slice_id, adjustment, {sig_sql('expected / base_value')} AS expected_ratio, abs(adjustment) > 0.25 AS out_of_range FROM wi_curve WHERE reason = ''
 """)
 def _(spark, d):
     rows = whatif_curve(spark, d, max_adjustment=0.25).where(F.col("reason") == "")
-    return rows.select("slice_id", "adjustment", r(F.col("expected") / F.col("base_value")).alias("expected_ratio"), "out_of_range")
+    return rows.select("slice_id", "adjustment", sig(F.col("expected") / F.col("base_value")).alias("expected_ratio"), "out_of_range")
 
 
 KNOBS = (
@@ -260,13 +260,14 @@ def knob_requests(spark, d):
 
 
 def knob_curve_columns(rows, *first):
+    """Logarithms of the ratios: few days give elasticities whose ratios have thirty digits."""
     return rows.select(
         *first, "reason", "method", "adjustment", r("factor_value").alias("factor_value"), *[
-            r(F.col(c) / F.col("base_value")).alias(name) for c, name in (("expected", "expected_ratio"), ("expected_low", "low_ratio"), ("expected_high", "high_ratio"))])
+            r(F.ln(F.col(c) / F.col("base_value"))).alias(f"log_{c}") for c in ("expected", "expected_low", "expected_high")])
 
 
-KNOB_CURVE = f"""reason, method, adjustment, {r_sql('factor_value')} AS factor_value, {r_sql('expected / base_value')} AS expected_ratio,
- {r_sql('expected_low / base_value')} AS low_ratio, {r_sql('expected_high / base_value')} AS high_ratio"""
+KNOB_CURVE = f"reason, method, adjustment, {r_sql('factor_value')} AS factor_value, " + ", ".join(
+    f"{r_sql(f'ln({c} / base_value)')} AS log_{c}" for c in ("expected", "expected_low", "expected_high"))
 
 
 @query("wi8_knob_curves", f"""
