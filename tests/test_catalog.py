@@ -24,6 +24,10 @@ SAMPLE = (
     "ev3_match", "wi4_estimate", "dq6_staleness", "pe1_inject", "st1_daily_stream", "flt4_refused", "flt8_event_list", "jn5_align", "jn8_promo_days",
     "jn11_reconcile", "jn12_run_log", "an7_series_band", "wi7_knobs", "set3_warnings", "dq1_tables", "dq9_date_table", "dq10_sku_costs", "el2_negative_cases",
     "rp5_actions",
+    # the stored run, slices of several codes, drill-down, knobs, substitution, targets
+    "dc11_slice_table", "dc17_slice_table", "flt2_slice_status", "hy5_multi_code", "src7_steps", "src7_hypotheses", "src7_evidence", "hy1_candidates",
+    "hy6_conclusion", "pc7_apply", "rp1_report", "dc15_drilldown", "rp6_drilldown", "rp7_drilldown", "wi8_knob_curves", "wi9_knob_combinations",
+    "jn5_knob_series", "dc5_substitution", "el1_cases", "el1_targets", "so1_rank_combinations",
 )
 
 
