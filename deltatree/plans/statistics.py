@@ -448,19 +448,19 @@ def coded_slices(cube):
 
     For every region: its first three nations, the first and last channel, all segments but the first; and the same for one segment.
     """
-    codes = cube.agg(F.min("channel").alias("c0"), F.max("channel").alias("c1"), F.sort_array(F.collect_set("segment")).alias("all"))
+    first, last = (cube.agg(f("channel")).scalar() for f in (F.min, F.max))
+    segments = cube.agg(F.sort_array(F.collect_set("segment"))).scalar()
     nations = F.slice(F.sort_array(F.collect_set("nation")), 1, 3)
-    both = F.array_distinct(F.array("c0", "c1"))
 
-    def dims(segments):
-        return F.map_from_arrays(F.array(*[F.lit(x) for x in WIDE]), F.array(both, "nations", F.array("region"), segments)).alias("dims")
+    def dims(chosen):
+        return F.map_from_arrays(F.array(*[F.lit(x) for x in WIDE]), F.array(
+            F.array_distinct(F.array(first, last)), "nations", F.array("region"), chosen)).alias("dims")
 
-    broad = cube.groupBy("region").agg(nations.alias("nations")).join(codes).select(
-        F.concat(F.lit("broad/"), "region").alias("slice_id"), dims(F.slice(F.col("all"), 2, 100)))
-    narrow = cube.groupBy("region", "segment").agg(nations.alias("nations")).join(codes).select(
+    broad = cube.groupBy("region").agg(nations.alias("nations")).select(
+        F.concat(F.lit("broad/"), "region").alias("slice_id"), dims(F.slice(segments, 2, 100)))
+    narrow = cube.groupBy("region", "segment").agg(nations.alias("nations")).select(
         F.concat(F.lit("narrow/"), "region", F.lit("/"), "segment").alias("slice_id"), dims(F.array("segment")))
-    lost = codes.select(F.lit("lost").alias("slice_id"), F.map_from_arrays(
-        F.array(F.lit("channel")), F.array(F.array("c0", F.lit("no such channel")))).alias("dims"))
+    lost = cube.sparkSession.range(1).select(F.lit("lost").alias("slice_id"), F.create_map(F.lit("channel"), F.array(first, F.lit("no such channel"))).alias("dims"))
     return broad.unionByName(narrow).unionByName(lost)
 
 
