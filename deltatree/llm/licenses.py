@@ -29,8 +29,8 @@ class Template:
     key: str
 
 
-#: Usual notices of public licences, lower case, without punctuation; the key phrase is a part of the words.
-TEMPLATES = (
+#: Usual notices of public licences, lower case, without punctuation; the key phrase is a part of the words. Fixed values.
+NOTICES = (
     Template("mit", "released under the mit license", "mit license"),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
     Template("apache", "licensed under the apache license version 2 0", "apache license"),
@@ -41,6 +41,45 @@ TEMPLATES = (
     Template("cc-by", "creative commons attribution 4 0 international license", "creative commons attribution"),
     Template("all-rights-reserved", "copyright all rights reserved", "all rights reserved"),
 )
+
+#: Whole texts of short licences, and the notices that the long ones ask for in every file. Fixed values.
+WHOLE = (
+    Template("mit", """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal
+in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to
+permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of
+merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability
+whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software""",
+             "permission is hereby granted free of charge"),
+    Template("isc", """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright
+notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied
+warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting
+from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this
+software""", "and or distribute this software for any purpose"),
+    Template("bsd", """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1
+redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the
+above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided
+by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a
+particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages
+including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability
+whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such
+damage""", "redistribution and use in source and binary forms"),
+    Template("zlib", """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of
+this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the
+following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product
+an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented
+as being the original software 3 this notice may not be removed or altered from any source distribution""", "origin of this software must not be misrepresented"),
+    Template("unlicense", """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this
+software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means""", "free and unencumbered software"),
+    Template("apache", """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the
+license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is
+basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the
+license""", "licensed under the apache license"),
+    Template("gpl", """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software
+foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without
+even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details""", "terms of the gnu general public license"),
+)
+TEMPLATES = NOTICES + WHOLE
 #: Share of a template's weight that has to be in place beside the key phrase.
 COVERAGE = 0.5
 
@@ -66,20 +105,19 @@ def _start(phrase: list[str], within: list[str]) -> int:
 
 
 def _postings(total: int, df: dict[str, int], templates: tuple[Template, ...], base: tuple[tuple[str, str], ...]) -> tuple[list[str], Column]:
-    """Index words, and the postings of all of them as an array: word, its place in the template, words, weights, key, label."""
+    """Index words, and the index, a map from word to its postings: the word's place in the template, words, weights, key, label."""
     weight = {w: log(1 + max(total, 1) / (1 + df.get(w, 0))) for t in (*(t.words for t in templates), *(p for _, p in base)) for w in t.split()}
-    entries, anchors = [], set()
+    postings: dict[str, list[Column]] = {}
     for label, words, key, is_base in (*((t.label, t.words, t.key, False) for t in templates), *((name, p, p, True) for name, p in base)):
         own, phrase = words.split(), key.split()
         begin = _start(phrase, own)
         rare = max(range(len(phrase)), key=lambda i: (weight[phrase[i]], -i))
-        anchors.add(phrase[rare])
         sums = sum(weight[w] for w in own)
-        entries.append(F.struct(
-            F.lit(phrase[rare]).alias("word"), F.lit(begin + rare).alias("at"), F.array(*map(F.lit, own)).alias("words"),
+        postings.setdefault(phrase[rare], []).append(F.struct(
+            F.lit(begin + rare).alias("at"), F.array(*map(F.lit, own)).alias("words"),
             F.array(*(F.lit(weight[w] / sums) for w in own)).alias("weights"), F.lit(begin).alias("key_at"), F.lit(len(phrase)).alias("key_size"),
             F.lit(label).alias("label"), F.lit(is_base).alias("base")))
-    return sorted(anchors), F.array(*entries)
+    return sorted(postings), F.create_map(*[x for word in sorted(postings) for x in (F.lit(word), F.array(*postings[word]))])
 
 
 def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: tuple[tuple[str, str], ...] = BASE, coverage: float = COVERAGE) -> DataFrame:
@@ -87,8 +125,8 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, b
 
     ``n_base`` counts the places where the words of a phrase of ``base`` stand consecutively, ``first_word`` and ``last_word`` are the smallest and
     largest place of a first word (words from 0; null without one). ``labels`` adds the labels of templates whose key phrase is in the text and
-    whose words are in place by ``coverage`` or more of their weight. ``score`` is the largest such share at any place with a key phrase, 1 for a whole
-    template, 0 without a key phrase.
+    whose words are in place by ``coverage`` or more of their weight. ``score`` is the largest such share of a template at any place with
+    its key phrase, to nine digits: 1 for a whole template, 0 without a key phrase; phrases of ``base`` don't count.
 
     * A null text counts as an empty one: zeros, empty labels. Texts are taken whole; a template may begin before the text or end behind it.
     * Repeated rows each give a row, a null ``doc_id`` too. No documents: no rows. Other columns are ignored, whatever their names.
@@ -112,7 +150,7 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, b
             F.get("words", start + j) == F.get(t["words"], j), F.get(t["weights"], j)).otherwise(0.0))
 
     def looked_up(p: Column) -> Column:
-        mine = F.filter("postings", lambda t: (t["word"] == p["word"]) & verified(p["at"] - t["at"], t))
+        mine = F.filter(F.col("postings")[p["word"]], lambda t: verified(p["at"] - t["at"], t))
         return F.transform(mine, lambda t: F.struct((p["at"] - t["at"]).cast("long").alias("start"), t["label"].alias("label"), t["base"].alias("base"),
                                                     in_place(p["at"] - t["at"], t).alias("share")))
 
@@ -128,4 +166,4 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, b
     return matched.select(
         "doc_id", "n_words", F.size(bases).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         labels(bases).alias("base_labels"), labels(F.filter("found", lambda x: x["base"] | (x["share"] >= coverage))).alias("labels"),
-        F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0))).alias("score"))
+        F.round(F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform(F.filter("found", lambda x: ~x["base"]), lambda x: x["share"])), F.lit(0.0))), 9).alias("score"))

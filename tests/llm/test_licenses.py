@@ -8,7 +8,8 @@ from deltatree.llm import licenses as L
 TEXTS = [None, "", "Released under the MIT License.", "mit  LICENSE, MIT-license mit", "Apache\nLicense and the Apache License, Version 2.0", "license mit", "xmit license",
          "This work is licensed under the GNU General Public License, version 3.", "general public license", "Licensed under CC BY-NC 4.0.", "cc by nc",
          "All rights reserved", "MIT", "permission is hereby granted, free of charge", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
-         "é MIT License ü", "MITé License", "mit license " * 3000, "word " * 9000, "MIT Lİcense", "apache license general public license mit license"]
+         "é MIT License ü", "MITé License", "mit license " * 3000, "word " * 9000, "MIT Lİcense", "apache license general public license mit license",
+         "Copyright 2020 Someone. " + L.WHOLE[0].words, L.WHOLE[1].words[:300], "x " * 50 + L.WHOLE[3].words + " end", L.WHOLE[4].words.upper(), L.WHOLE[5].words, L.WHOLE[6].words + "\n" + L.WHOLE[2].words]
 
 
 def plain(rows):
@@ -34,9 +35,8 @@ def plain(rows):
                 best = max(best, share)
                 labels |= {t.label} if share >= L.COVERAGE else set()
         names = {n for _, n in base}
-        score = 1.0 if base else best
         out.append((doc, len(words), len(base), min((p for p, _ in base), default=None), max((p for p, _ in base), default=None), ",".join(sorted(names)),
-                    ",".join(sorted(names | labels)), round(score, 9)))
+                    ",".join(sorted(names | labels)), round(min(best, 1.0), 9)))
     return sorted(out, key=str)
 
 
@@ -54,3 +54,12 @@ def test_against_plain_code(documents, given):
 def test_no_python_in_the_plan(documents):
     plan = L.license_scan(documents([(1, "mit license")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_whole_texts_and_scores(documents):
+    """A whole licence has score 1 whatever stands around it; a phrase alone has the share of its notice."""
+    rows = [(i, f"head of file {i}\n{t.words}\ncode code") for i, t in enumerate(L.WHOLE)] + [(100, "see the mit license here"), (101, "general public license of nothing"), (102, "code")]
+    got = {r.doc_id: r for r in L.license_scan(documents(rows)).collect()}
+    for i, t in enumerate(L.WHOLE):
+        assert t.label in got[i].labels.split(",") and got[i].score == 1.0
+    assert 0 < got[100].score < 1 and 0 < got[101].score < 1 and got[102].score == 0 and got[100].base_labels == "mit"
