@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from deltatree.functions import replicates as R
 from deltatree.functions import scalar as S
 from deltatree.functions.replicates import PERMUTATIONS
-from deltatree.functions.periods import Period
 from deltatree.operators import hypotheses as H
 from deltatree.operators import inference as I
 from deltatree.operators import values as V

@@ -9,7 +9,7 @@ from deltatree.functions.replicates import BOOTSTRAPS
 from deltatree.operators import values as V
 from deltatree.operators import whatif as W
 from deltatree.plans.anomaly import in_period
-from deltatree.plans.common import CURRENT, WHATIF, amount, amount_sql, cte, orders_cube, query, r, r_sql, retail, sig, sig_sql, trees
+from deltatree.plans.common import CURRENT, WHATIF, cte, orders_cube, query, r, r_sql, retail, sig, sig_sql, trees
 from deltatree.plans.statistics import channel_slices, stored_cube
 from deltatree.session import cut_lineage
 
