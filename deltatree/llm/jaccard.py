@@ -244,19 +244,22 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def distinct_runs(batches: Iterable[pa.RecordBatch], key: str, columns: tuple[str, ...]) -> Iterator[tuple[object, dict[str, list]]]:
-    """As ``runs`` for a stream that is sorted by ``key`` and ``columns``: of equal rows only one is held."""
-    last: tuple | None = None
-
+def distinct_runs(batches: Iterable[pa.RecordBatch], key: str, name: str, value: str) -> Iterator[tuple[object, dict[str, list]]]:
+    """As ``runs`` for a stream that is sorted by ``key``, ``name`` and ``value``: of equal rows only one is held."""
     def once() -> Iterator[pa.RecordBatch]:
-        nonlocal last
+        last, held = None, None
         for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in (key, *columns)), strict=True))
-            keep = [i for i, row in enumerate(rows) if row != (rows[i - 1] if i else last)]
-            last = rows[-1] if rows else last
-            yield batch if len(keep) == len(rows) else batch.take(pa.array(keep, pa.int64()))
+            heads = list(zip(batch.column(key).to_pylist(), batch.column(name).to_pylist(), strict=True))
+            values = batch.column(value)
+            keep = []
+            for i, head in enumerate(heads):
+                # values are long texts: looked at where the rest is equal
+                if head != last or values[i] != held:
+                    keep.append(i)
+                last, held = head, values[i]
+            yield batch if len(keep) == len(heads) else batch.take(pa.array(keep, pa.int64()))
 
-    yield from runs(once(), key, columns)
+    yield from runs(once(), key, (value, name))
 
 
 def runs(batches: Iterable[pa.RecordBatch], key: str, columns: tuple[str, ...]) -> Iterator[tuple[object, dict[str, list]]]:
@@ -394,7 +397,7 @@ def task_texts(docs: DataFrame, tasks: DataFrame) -> DataFrame:
 def exact_links(docs: DataFrame, tasks: DataFrame, k: int, percent: int, table: np.ndarray = A.SPACED) -> DataFrame:
     """Rows ``(a, b)`` of digests: the spanning forest of the links inside each task."""
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, cols in distinct_runs(batches, "task", ("digest", "text")):  # a representative may have very many equal rows
+        for _, cols in distinct_runs(batches, "task", "digest", "text"):  # a representative may have very many equal rows
             texts = pa.table({"text": pa.array(cols["text"], pa.large_string())}).combine_chunks()
             known: dict[bytes, np.ndarray] = {}
             done = 0
