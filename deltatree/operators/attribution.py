@@ -100,11 +100,11 @@ class Attribution:
 
     @cached_property
     def series(self) -> DataFrame:
-        """Daily values of every slice that a test or an order of deviations needs, each once: by the canonical name of the slice."""
+        """Daily values of every slice that a test or an order of deviations needs, each once, by the name of the slice."""
         def build() -> DataFrame:
             own = self.hypotheses.select("dims")
             sides = H.test_sides(self.tests).select("dims").unionByName(own)
-            needed = sides.withColumn("slice_id", V.canonical_slice(F.col("dims"))).groupBy("slice_id").agg(F.first("dims").alias("dims"))
+            needed = sides.withColumn("slice_id", V.slice_name(F.col("dims"))).groupBy("slice_id").agg(F.first("dims").alias("dims"))
             return H.slice_series(self.cube, self.tree, needed, self.observed, self.dims)
 
         return self.store.stage("series", build, ("slice_id",))
@@ -123,7 +123,7 @@ class Attribution:
         """First deviation of every metric for the slices that have hypotheses."""
         def build() -> DataFrame:
             names = self.hypotheses.groupBy("slice_id").agg(F.first("dims").alias("dims")).select(
-                "slice_id", V.canonical_slice(F.col("dims")).alias("name"))
+                "slice_id", V.slice_name(F.col("dims")).alias("name"))
             own = self.series.withColumnRenamed("slice_id", "name").join(names, "name")
             return H.first_deviation(own, ["slice_id", "factor"])
 

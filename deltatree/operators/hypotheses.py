@@ -16,7 +16,7 @@ from deltatree.functions import replicates as R
 from deltatree.functions.periods import Period
 from deltatree.operators import inference as I
 from deltatree.operators.tree import MetricTree
-from deltatree.operators.values import ALL, canonical_slice, join_slices, unpivot_nodes, wide_values
+from deltatree.operators.values import ALL, join_slices, slice_name, unpivot_nodes, wide_values
 
 # Fixed values which decide results.
 MAX_HYPOTHESES = 5
@@ -115,12 +115,12 @@ def slice_series(cube: DataFrame, tree: MetricTree, slices: DataFrame, window: P
 
 
 def test_sides(tests: DataFrame) -> DataFrame:
-    """``test_id, factor, side, dims, slice_id``: the slices of both sides of every test, by their canonical name."""
+    """``test_id, factor, side, dims, slice_id``: the slices of both sides of every test, by ``slice_name``."""
     sides = tests.select("test_id", "factor", F.explode(F.array(
         F.struct(F.lit("in").alias("side"), F.col("in_dims").alias("dims")),
         F.struct(F.lit("out").alias("side"), F.col("out_dims").alias("dims")),
     )).alias("s")).select("test_id", "factor", "s.side", "s.dims")
-    return sides.withColumn("slice_id", canonical_slice(F.col("dims")))
+    return sides.withColumn("slice_id", slice_name(F.col("dims")))
 
 
 def sides_series(sides: DataFrame, series: DataFrame) -> DataFrame:

@@ -39,6 +39,12 @@ def canonical_slice(dims: Column) -> Column:
     return F.when(F.size(entries) == 0, ALL).otherwise(name)
 
 
+def slice_name(dims: Column) -> Column:
+    """A name that no other slice has, whatever signs its codes hold: dimensions and codes in order, as JSON."""
+    return F.to_json(F.sort_array(F.transform(F.map_entries(dims), lambda e: F.struct(
+        e["key"].alias("d"), F.sort_array(F.array_distinct(e["value"])).alias("c")))))
+
+
 def slice_problem(dims: Column, names: Sequence[str]) -> Column:
     """Why a slice map can't be used: a dimension that doesn't exist, or a list without codes; NULL if it can."""
     return (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from deltatree.functions.periods import Period
+from deltatree.operators import values as V
 from deltatree.operators.attribution import Attribution
 from deltatree.plans.common import retail
 from deltatree.sources.store import MARK, RunStore, read_results, source_mark, write_results
@@ -135,6 +136,14 @@ def test_slices_of_several_codes_in_four_dimensions(run):
     assert set(gate) == {"wide", "repeated", "one", "everything"}
 
 
+def test_names_of_slices_are_their_own(spark):
+    """Codes with the signs that join codes and dimensions: no two slices share a series."""
+    dims = [{"a": ["x|y"]}, {"a": ["x", "y"]}, {"a": ["x&b=z"]}, {"a": ["x"], "b": ["z"]}, {}, {"a": ['"']}]
+    rows = spark.createDataFrame([(d,) for d in dims] + [({"a": ["y", "x", "x"]},)], "d map<string, array<string>>")
+    names = [r[0] for r in rows.select(V.slice_name(F.col("d"))).collect()]
+    assert len(set(names[:6])) == 6 and names[6] == names[1]
+
+
 def test_a_run_goes_on_after_a_failure(spark, run, store):
     made, built = run
 
