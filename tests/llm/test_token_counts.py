@@ -53,6 +53,15 @@ def test_any_text(parts):
     assert C.counting(PATH).text("".join(parts)) == library_count("".join(parts))
 
 
+def test_all_characters():
+    """The library and the pattern here take characters of all scripts for the same kind."""
+    count = C.counting(PATH)
+    for low in [*range(0, 0x3400, 256), *range(0xA000, 0xAC00, 256), *range(0xE000, 0x20000, 512)]:
+        chars = [chr(c) for c in range(low, low + 256) if not 0xD800 <= c < 0xE000]
+        text = " ".join(f"a{c}1{c}!" for c in chars)
+        assert count.text(text) == library_count(text), hex(low)
+
+
 def test_merges_against_plain_loop():
     r = random.Random(5)
     for _ in range(300):
