@@ -1,16 +1,17 @@
-"""Main text of web pages: markup decides where it speaks, a suffix array of each host where it doesn't.
+"""Main text of web pages: a suffix array of each host says what its pages repeat, markup says where an article is.
 
 A page is read into blocks of text. Elements and class names of menus, headers, footers, side columns, notices, adverts,
-forms, comments and the like go with all they hold. If the page marks its article, and that holds at least half of the
-words, the article's blocks are the text. If not, what is left can still be boilerplate: the token streams of such pages are
-put into suffix arrays by host, substrings of ``match`` tokens or more that stand on ``least`` distinct pages of a host
-are repeats, blocks that repeats cover go, and unique runs stay. Pages of the same blocks count once, and so do near-whole
+forms, comments and the like go with all they hold. The token streams of the blocks of all pages, marked or not, are put into suffix
+arrays by host; substrings of ``match`` tokens or more that stand on ``least`` distinct pages of a host are repeats. Tokens that repeats
+cover go, and unique runs stay. Markup is a check that follows: if a page marks its article, and that holds at least half of the words,
+the article's blocks are the text, and only a template's repeats go from them: those on ``TEMPLATE`` pages and half of the
+host's pages, since some pages may well carry the same article. Pages of the same blocks count once, and so do near-whole
 copies of each other (components of a Jaccard similarity of 0.8), so what only copies share stays.
 
-Each task sorts the suffixes of the pages it has in hand and sends on one row for each distinct head of ``match`` tokens,
-with the smallest and largest page that has it; equal heads of all tasks meet in an
-aggregate with partial sums, so a host with a third of all pages isn't gathered anywhere. Only heads on two pages or more are
-counted by near-copies.
+Each task orders the suffixes of the pages it has in hand by doubling, with their common prefixes. Suffixes that share ``match`` tokens or more are an interval;
+what a longer repeat covers is what the intervals along it cover, so its head of ``match`` tokens is all that is sent on. Heads travel packed by bucket,
+where the intervals of all tasks meet; a host with a third of all pages isn't gathered anywhere. What comes back to a page is the list of its
+own repeated heads, and those are counted again by their whole hashes and by near-copies.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from deltatree.llm import arrays as A
 from deltatree.llm import jaccard
+from deltatree.llm.jaccard import runs
 from deltatree.llm.urls import host_and_path
 from deltatree.session import cut_lineage
 
@@ -36,6 +38,10 @@ MATCH = 8
 COVERED = 0.8
 #: Pages, without copies and near-copies, that make a repeat: two may quote each other or share a heading.
 LEAST = 3
+#: Pages, without copies and near-copies, and half of the host's, that make a repeat a template's, which goes from a marked article too.
+TEMPLATE = 10
+#: Heads that one bucket holds, about.
+BUCKET = 2_000_000
 #: Near-copies: shingles of five words, a similarity of 0.8.
 SHINGLE, PERCENT = 5, 80
 
@@ -80,7 +86,13 @@ def _among(names: set[str], known: set[str]) -> bool:
 
 
 def read_page(page: str) -> tuple[list[str], bool]:
-    """The blocks that can be main text, in page order, and whether the page marks them as its article.
+    """The blocks that can be main text, in page order, and whether the page marks them as its article."""
+    blocks, mine, marked = page_blocks(page)
+    return [b for b, inside in zip(blocks, mine, strict=True) if inside or not marked], marked
+
+
+def page_blocks(page: str) -> tuple[list[str], list[bool], bool]:
+    """All blocks outside boilerplate elements, which of them a mark holds, and whether the page marks its article.
 
     A mark counts if what it holds has at least half of the words: a teaser or a byline doesn't stand for the page.
     """
@@ -157,75 +169,196 @@ def read_page(page: str) -> tuple[list[str], bool]:
     if not skip and at < len(page):
         words.append(page[at:])
     flush()
-    main = [b for b, mine in blocks if mine]
     words_of = [len(b.split()) for b, _ in blocks]
     held = sum(n for n, (_, mine) in zip(words_of, blocks, strict=True) if mine)
-    return (main, True) if main and 2 * held >= sum(words_of) else ([b for b, _ in blocks], False)
+    return [b for b, _ in blocks], [mine for _, mine in blocks], held > 0 and 2 * held >= sum(words_of)
 
 
-def heads(blocks: list[str], match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hash of the ``match`` tokens from each place of a block, and the offsets of the blocks into hashes and tokens."""
+def tokens(blocks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every token, and the offsets of the blocks into them."""
     text, at = A.text_bytes(pa.array(blocks, pa.large_string()))
     data = np.frombuffer(text, np.uint8)
     starts, ends, words = A.word_spans(data, at, np.arange(256) != 0x20)
-    hashes, of = A.windows(A.span_hashes(data, starts, ends), words, match)
-    return hashes, of, words
+    return A.span_hashes(data, starts, ends), words
+
+
+def heads(blocks: list[str], match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of the ``match`` tokens from each place of a block, and the offsets of the blocks into hashes and tokens."""
+    hashes, words = tokens(blocks)
+    found, of = A.windows(hashes, words, match)
+    return found, of, words
+
 
+def _numbered(values: np.ndarray) -> np.ndarray:
+    return np.unique(values, return_inverse=True)[1].astype(np.int64)
 
-def _suffixes(batches: Iterable[pa.RecordBatch], match: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Distinct heads of the suffixes in hand, by host, with their smallest and largest page."""
-    held: list[tuple[str, int, np.ndarray]] = []
+
+def suffix_array(hashes: np.ndarray, offsets: np.ndarray, host: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the suffixes of all blocks, ordered by host and first ``depth`` tokens, and each one's common prefix with the one before it.
+
+    ``host`` numbers the host of each block. A block ends in a mark that comes before every token, and no prefix goes beyond it. Ranks are doubled: those of ``2 * k`` tokens are pairs of
+    those of ``k``. Of hosts that differ, and of the first suffix, the prefix is -1.
+    """
+    n = hashes.size
+    lengths = np.diff(offsets)
+    left = np.repeat(offsets[1:], lengths) - np.arange(n)  # tokens to the end of the block
+    of = np.repeat(host, lengths)
+    levels = [(1, _numbered(hashes) + 1)]
+    # ranks of as many tokens as the binary digits of the depth ask for
+    while 2 * levels[-1][0] <= depth:
+        k, rank = levels[-1]
+        levels.append((2 * k, _numbered(rank * (n + 1) + _shifted(rank, left, k)) + 1))
+    order = of.astype(np.int64)
+    at, parts = 0, []
+    for k, rank in reversed(levels):
+        if at + k <= depth:
+            parts.append(_shifted(rank, left, at) if at else rank)
+            at += k
+    array = np.lexsort((*reversed(parts), order))
+    common = np.zeros(n, np.int64)
+    a, b = array[:-1].copy(), array[1:].copy()
+    done = np.zeros(a.size, np.int64)
+    for k, rank in reversed(levels):
+        here = (np.minimum(left[array[:-1]], left[array[1:]]) - done >= k) & (done + k <= depth)
+        here[here] = rank[a[here]] == rank[b[here]]
+        done[here] += k
+        a[here] = np.minimum(a[here] + k, n - 1)
+        b[here] = np.minimum(b[here] + k, n - 1)
+    common[1:] = np.where(of[array[1:]] == of[array[:-1]], done, -1)
+    common[:1] = -1
+    return array, common
+
+
+def _shifted(rank: np.ndarray, left: np.ndarray, k: int) -> np.ndarray:
+    """The rank ``k`` places on, 0 beyond the block."""
+    out = np.zeros(rank.size, np.int64)
+    out[:max(0, rank.size - k)] = rank[k:]
+    out[left <= k] = 0
+    return out
+
+
+def intervals(hashes: np.ndarray, offsets: np.ndarray, host: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of suffixes in their order, and the number of the interval of each: suffixes with ``match`` tokens in common, or blocks of fewer that are equal.
+
+    A suffix of fewer tokens that doesn't begin a block is in none and left out.
+    """
+    array, common = suffix_array(hashes, offsets, host, match)
+    lengths = np.diff(offsets)
+    left = (np.repeat(offsets[1:], lengths) - np.arange(hashes.size))[array]
+    begins = np.zeros(hashes.size, bool)
+    begins[offsets[:-1][lengths > 0]] = True
+    whole = np.minimum(left, match)
+    # suffixes of equal length, below match, with all of it in common are next to each other
+    same = np.zeros(array.size, bool)
+    same[1:] = (whole[1:] == whole[:-1]) & (common[1:] >= whole[1:])
+    number = np.cumsum(~same)
+    keep = (left >= match) | begins[array]
+    return array[keep], number[keep]
+
+
+def _packed(batches: Iterable[pa.RecordBatch], match: int, most: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The heads of the intervals in hand by bucket, grouped by the pages that have them; a page with unmarked text says so in its last bit."""
+    names: dict[str, int] = {}
+    held: list[tuple[int, int, list[str]]] = []
     total = 0
 
-    def flush() -> pa.RecordBatch:
-        names = sorted({h for h, _, _ in held})
-        number = {h: i for i, h in enumerate(names)}
-        head = np.concatenate([x for _, _, x in held])
-        host = np.repeat([number[h] for h, _, _ in held], [x.size for _, _, x in held])
-        page = np.repeat([p for _, p, _ in held], [x.size for _, _, x in held])
-        array = np.lexsort((page, head, host))
-        head, host, page = head[array], host[array], page[array]
-        first = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (host[1:] != host[:-1])]))
-        last = np.append(first[1:], head.size) - 1
-        return pa.RecordBatch.from_arrays([pa.array([names[i] for i in host[first]], pa.string()), pa.array(head[first].view(np.int64)),
-                                           pa.array(page[first], pa.int64()), pa.array(page[last], pa.int64())], ["host", "head", "low", "high"])
+    def flush() -> Iterator[pa.RecordBatch]:
+        host = [number for number, _, blocks in held for _ in blocks]
+        owner = [i for i, (_, _, blocks) in enumerate(held) for _ in blocks]
+        hashes, offsets = tokens([b for _, _, blocks in held for b in blocks])
+        if not hashes.size:
+            return
+        place, number = intervals(hashes, offsets, np.array(host), match)
+        page = np.repeat(np.array(owner), np.diff(offsets))[place]
+        first = jaccard._starts(number)
+        # the hash of an interval's head: of match tokens, or of a whole block of fewer
+        windows, of = A.windows(hashes, offsets, match)
+        block = np.searchsorted(offsets, place[first], "right") - 1
+        head = _key(windows[of[block] + place[first] - offsets[block]], np.array([_host(x) for x in names], np.uint64)[np.array(host)[block]])
+        head = np.repeat(head, np.diff(np.append(first, number.size)))
+        bucket, low = jaccard._spread(head, buckets), head.astype(np.uint32)
+        order = np.lexsort((low, page, bucket))
+        order = order[jaccard._starts(bucket[order], page[order], low[order])]
+        bucket, page, low = bucket[order], page[order], low[order]
+        first, counts = jaccard._groups(bucket, page)
+        used, cut = jaccard._cuts(bucket, buckets)
+        _, group = jaccard._cuts(bucket[first], buckets)
+        rows = np.array([r for _, r, _ in held], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), jaccard._blobs(low, used, cut), jaccard._blobs(rows[page[first]], used, group),
+                                          jaccard._blobs(counts, used, group)], ["bucket", "heads", "rows", "counts"])
 
     for batch in batches:
-        for host, page, blocks in zip(*(batch.column(c).to_pylist() for c in ("host", "row", "blocks")), strict=True):
-            mine = heads(blocks, match)[0]
-            if mine.size:
-                held.append((host, page, mine))
-                total += mine.size
+        for host, row, blocks, unmarked in zip(*(batch.column(c).to_pylist() for c in ("host", "row", "blocks", "open")), strict=True):
+            held.append((names.setdefault(host, len(names)), 2 * row + unmarked, blocks))
+            total += sum(b.count(" ") + 1 for b in blocks)
             if total >= most:
-                yield flush()
-                held, total = [], 0
+                yield from flush()
+                names, held, total = {}, [], 0
     if held:
-        yield flush()
+        yield from flush()
+
+
+def _host(name: str) -> int:
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
+
+
+def _key(head: np.ndarray, host: np.ndarray) -> np.ndarray:
+    return A.mix(head ^ host)
+
+
+def _meet(batches: Iterable[pa.RecordBatch], least: int, template: int) -> Iterator[pa.RecordBatch]:
+    """The heads, by page, that stand on ``least`` pages, one of them with unmarked text, or on ``template`` pages."""
+    for bucket, cols in runs(batches, "bucket", ("heads", "rows", "counts")):
+        row = np.repeat(jaccard._joined(cols["rows"], np.int64), jaccard._joined(cols["counts"], np.uint16))
+        low = jaccard._joined(cols["heads"], np.uint32)
+        order = np.argsort(low, kind="stable")
+        low, row = low[order], row[order]
+        first = jaccard._starts(low)
+        n = np.diff(np.append(first, low.size))
+        unmarked = np.bitwise_or.reduceat(row & 1, first) > 0 if first.size else np.zeros(0, bool)
+        keep = np.repeat((n >= template) | ((n >= least) & unmarked), n)
+        low, row = low[keep], row[keep] >> 1
+        order = np.argsort(row, kind="stable")
+        low, row = low[order], row[order]
+        first = jaccard._starts(row)
+        for at in range(0, first.size, 10_000):
+            some = first[at:at + 10_000]
+            ends = np.append(first, row.size)[at + 1:at + 1 + some.size]
+            yield pa.RecordBatch.from_arrays([pa.array(row[some], pa.int64()), pa.array(np.full(some.size, bucket), pa.int32()),
+                                              pa.array([low[i:j].tobytes() for i, j in zip(some, ends, strict=True)], pa.binary())], ["row", "bucket", "heads"])
 
 
 def unique_runs(blocks: list[str], repeated: set[int], match: int, covered: float) -> list[str]:
-    """Blocks that repeats don't cover; of a block of which repeats cover a part, the tokens are kept whole."""
+    """What repeats leave of the blocks: unique runs of tokens, of a block that repeats cover almost whole nothing."""
+    if not repeated:
+        return blocks
     hashes, of, words = heads(blocks, match)
+    known = np.fromiter(repeated, np.int64, len(repeated))
+    hit = np.isin(hashes.view(np.int64), known)
     out = []
     for b, block in enumerate(blocks):
         n = int(words[b + 1] - words[b])
-        depth = np.zeros(n + 1, np.int64)
-        for p, h in enumerate(hashes[of[b]:of[b + 1]].view(np.int64)):
-            if int(h) in repeated:
-                depth[p] += 1
-                depth[min(n, p + match)] -= 1
-        if not n or (np.cumsum(depth[:-1]) > 0).mean() < covered:
+        places = np.flatnonzero(hit[of[b]:of[b + 1]])
+        if not places.size:
             out.append(block)
+            continue
+        depth = np.zeros(n + 1, np.int64)
+        np.add.at(depth, places, 1)
+        np.add.at(depth, np.minimum(n, places + match), -1)
+        gone = np.cumsum(depth[:-1]) > 0
+        if gone.mean() < covered:
+            out.append(" ".join(w for w, g in zip(block.split(" "), gone, strict=True) if not g))
     return out
 
 
-def main_text(pages: DataFrame, match: int = MATCH, covered: float = COVERED, most: int = 500_000, least: int = LEAST) -> DataFrame:
+def main_text(pages: DataFrame, match: int = MATCH, covered: float = COVERED, most: int = 500_000, least: int = LEAST, template: int = TEMPLATE) -> DataFrame:
     """One row per page: ``page_id``, ``url``, ``text`` (blocks joined by a line feed) and ``n_chars`` (its code points).
 
     Character references are decoded, white space inside a block becomes one space, ``br`` counts as white space. Needs ``page_id``, ``url`` and ``html``.
 
     * A null or empty page, and one without main text, has an empty text. Pages are read whole; a cut-off tag at the end is dropped.
-    * A page that marks its article (``article``, ``main``, or such a class) and has half of its words or more in it keeps all of it, whatever other pages repeat: two pages may carry the same article.
+    * Repeats are found over the blocks of all pages of a host. A page that marks its article (``article``, ``main``, or such a class) and has half of its words or more in it keeps all of it but
+      repeats on ``template`` distinct pages and half of the host's: some pages may carry the same article.
     * Pages with a null URL, or one without ``://``, are of the host with no name. Each row gives a row; repeated rows and other copies count as one page.
     * No pages: no rows. Other columns are ignored, whatever their names.
     """
@@ -234,47 +367,71 @@ def main_text(pages: DataFrame, match: int = MATCH, covered: float = COVERED, mo
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in A.slices(batch, "html"):
-                found = [read_page(h or "") for h in part.column("html").to_pylist()]
-                content = [hashlib.blake2b("\n".join([n, *b]).encode(), digest_size=16).digest() for n, (b, _) in zip(part.column("host").to_pylist(), found, strict=True)]
+                found = [page_blocks(h or "") for h in part.column("html").to_pylist()]
+                hosts = part.column("host").to_pylist()
+                content = [hashlib.blake2b("\n".join([n, f"{marked:d}" + "".join(f"{i:d}" for i in mine), *b]).encode(), digest_size=16).digest()
+                           for n, (b, mine, marked) in zip(hosts, found, strict=True)]
                 yield pa.RecordBatch.from_arrays([
-                    part.column("page_id"), part.column("url"), part.column("host"),
-                    pa.array(["\n".join(b) if marked or not b else None for b, marked in found], pa.string()),
-                    pa.array([[] if marked else b for b, marked in found], pa.list_(pa.string())),
-                    pa.array([None if marked else c for c, (_, marked) in zip(content, found, strict=True)], pa.binary())], ["page_id", "url", "host", "text", "blocks", "content"])
+                    part.column("page_id"), part.column("url"), part.column("host"), pa.array([b for b, _, _ in found], pa.list_(pa.string())),
+                    pa.array([mine for _, mine, _ in found], pa.list_(pa.bool_())), pa.array([marked for _, _, marked in found], pa.bool_()),
+                    pa.array(content, pa.binary())], ["page_id", "url", "host", "blocks", "mine", "marked", "content"])
 
-    done = plain.withColumn("page_id", F.col("page_id").cast("long")).mapInArrow(read, "page_id long, url string, host string, text string, blocks array<string>, content binary")
+    done = plain.withColumn("page_id", F.col("page_id").cast("long")).mapInArrow(
+        read, "page_id long, url string, host string, blocks array<string>, mine array<boolean>, marked boolean, content binary")
     # rows are numbered before they are written, and read with their numbers from then on
-    done = cut_lineage(done.withColumn("row", F.monotonically_increasing_id()), "pages")
-    marked, open_rows = done.where("text is not null").select("page_id", "url", "text"), done.where("text is null")
-    if open_rows.isEmpty():
-        return marked.withColumn("n_chars", F.char_length("text").cast("long"))
+    done = cut_lineage(done.withColumn("row", F.monotonically_increasing_id()), "pages", compression="zstd")
     # one row of each content stands for all
-    first = open_rows.groupBy("content").agg(F.min("row").alias("row")).select("row")
-    open_pages = cut_lineage(open_rows.select("row", "host", "blocks", "content").join(first, "row", "left_semi"), "contents")
-    shared = open_pages.mapInArrow(lambda b: _suffixes(b, match, most), "host string, head long, low long, high long").groupBy("host", "head").agg(
-        F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("host", "head")
+    first = cut_lineage(done.groupBy("content").agg(F.min("row").alias("row")), "first")
+    each = done.join(first.select("row"), "row", "left_semi").select("host", "row", "blocks", (~F.col("marked") & (F.size("blocks") > 0)).cast("int").alias("open"))
+    size = done.agg(F.sum(F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.length(b)))).first()[0] or 0
+    buckets = int(min(1 << 20, max(int(done.sparkSession.conf.get("spark.sql.shuffle.partitions")), size / 6 / BUCKET)))
+    packed = each.mapInArrow(lambda b: _packed(b, match, most, buckets), "bucket int, heads binary, rows binary, counts binary")
+    shared = cut_lineage(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        lambda b: _meet(b, least, template), "row long, bucket int, heads binary"), "shared")
+    if shared.isEmpty():
+        lists = shared.select("row", F.lit(None).cast("array<bigint>").alias("heads"), F.lit(None).cast("array<bigint>").alias("templates"))
+    else:
+        of_host = each.groupBy("host").agg(F.count("*").alias("n_pages"))
+        lists = _repeats(done.select("row", "host", "blocks"), of_host, shared, match, least, template, buckets)
+
+    def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for blocks, mine, marked, some, often in zip(*(batch.column(c).to_pylist() for c in ("blocks", "mine", "marked", "heads", "templates")), strict=True):
+                blocks = [b for b, inside in zip(blocks, mine, strict=True) if inside or not marked]
+                texts.append("\n".join(unique_runs(blocks, set((often if marked else some) or ()), match, covered)))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    # the lists go from the row that stands for a content to all rows of it
+    named = cut_lineage(lists.join(first, "row").select("content", "heads", "templates"), "lists")
+    return done.join(named, "content", "left").select("page_id", "url", "blocks", "mine", "marked", "heads", "templates").mapInArrow(
+        clean, "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def _repeats(pages: DataFrame, of_host: DataFrame, shared: DataFrame, match: int, least: int, template: int, buckets: int) -> DataFrame:
+    """Rows ``(row, heads, templates)``: the heads of a page that are repeats, and those of them that are a template's."""
+    back = shared.groupBy("row").agg(F.collect_list(F.struct("bucket", "heads")).alias("back"))  # bounded by the length of the page
 
     def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [np.unique(heads(b, match)[0]).view(np.int64) for b in batch.column("blocks").to_pylist()]
-            n = [x.size for x in each]
+            hosts, found = batch.column("host").to_pylist(), []
+            for host, blocks, back in zip(hosts, batch.column("blocks").to_pylist(), batch.column("back").to_pylist(), strict=True):
+                mine = np.unique(heads(blocks, match)[0])
+                key = _key(mine, np.array([_host(host)], np.uint64))
+                known = np.concatenate([(np.uint64(x["bucket"]) << np.uint64(32)) | np.frombuffer(x["heads"], np.uint32).astype(np.uint64) for x in back])
+                here = (jaccard._spread(key, buckets).astype(np.uint64) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
+                found.append(mine[np.isin(here, known)].view(np.int64))
+            n = [x.size for x in found]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(batch.column("row").to_numpy(), n), pa.int64()), pa.array(np.repeat(np.array(batch.column("host").to_pylist(), object), n), pa.string()),
-                pa.array(np.concatenate([*each, np.zeros(0, np.int64)]), pa.int64())], ["row", "host", "head"])
+                pa.array(np.repeat(batch.column("row").to_numpy(), n), pa.int64()), pa.array(np.repeat(np.array(hosts, object), n), pa.string()),
+                pa.array(np.concatenate([*found, np.zeros(0, np.int64)]), pa.int64())], ["row", "host", "head"])
 
     # written, so that a head that very many pages share can be split in the joins
-    found = cut_lineage(open_pages.select("row", "host", "blocks").mapInArrow(places, "row long, host string, head long").join(shared, ["host", "head"]), "heads")
-    near = jaccard.jaccard_components(open_pages.join(found.select("row").distinct(), "row", "left_semi").select(
+    found = cut_lineage(pages.join(back, "row").mapInArrow(places, "row long, host string, head long"), "heads")
+    near = jaccard.jaccard_components(pages.join(found.select("row").distinct(), "row", "left_semi").select(
         F.col("row").alias("doc_id"), F.array_join("blocks", "\n").alias("text")), SHINGLE, PERCENT).select(F.col("doc_id").alias("row"), "component_id")
+    often = (F.col("count") >= template) & (2 * F.col("count") >= F.col("n_pages"))
     repeats = cut_lineage(found.join(near, "row").select("host", "head", "component_id").distinct().groupBy("host", "head").count().where(
-        F.col("count") >= least).select("host", "head"), "repeats")
-    hit = found.join(repeats, ["host", "head"]).groupBy("row").agg(F.collect_set("head").alias("heads"))  # bounded by the length of the page
-
-    def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = ["\n".join(unique_runs(b, set(h or ()), match, covered)) for b, h in zip(batch.column("blocks").to_pylist(), batch.column("heads").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(texts, pa.string())], ["content", "text"])
-
-    texts = cut_lineage(open_pages.join(hit, "row", "left").select("content", "blocks", "heads").mapInArrow(clean, "content binary, text string"), "texts")
-    rest = open_rows.select("page_id", "url", "content").join(texts, "content").select("page_id", "url", "text")
-    return marked.unionByName(rest).withColumn("n_chars", F.char_length("text").cast("long"))
+        F.col("count") >= least).join(of_host, "host").select("host", "head", often.alias("often")), "repeats")
+    return found.join(repeats, ["host", "head"]).groupBy("row").agg(  # bounded by the length of the page
+        F.collect_set("head").alias("heads"), F.collect_set(F.when(F.col("often"), F.col("head"))).alias("templates"))

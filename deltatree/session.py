@@ -81,12 +81,12 @@ def remove_scratch(spark: SparkSession, paths: list[str] | None = None) -> None:
             _written.remove(path)
 
 
-def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def cut_lineage(df: DataFrame, name: str = "stage", **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder, with any ``options`` of the writer, and read it back.
 
     The written table survives a lost executor, and later plans start from it
     instead of recomputing the scan and the joins.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

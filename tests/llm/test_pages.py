@@ -3,6 +3,7 @@
 import html
 import re
 
+import numpy as np
 import pytest
 
 from deltatree.llm import pages as P
@@ -94,3 +95,69 @@ def test_copies_keep_their_text(spark):
     assert got == sorted((i, "\n".join(html[i][:-1])) for i in [*html, 0, 3])
     alone = P.main_text(pages.where("page_id < 3")).collect()
     assert sorted((r.page_id, r.text) for r in alone) == sorted((i, "\n".join(html[i])) for i in (0, 0, 1, 2))
+
+
+def test_suffix_array_is_that_of_a_plain_sort():
+    rng = np.random.default_rng(7)
+    for depth in (1, 2, 3, 7, 8, 12):
+        blocks = [list(rng.integers(0, 3, n)) for n in rng.integers(1, 30, 25)]
+        host = np.sort(rng.integers(0, 3, len(blocks)))
+        hashes, offsets = np.concatenate(blocks).astype(np.uint64), np.concatenate([[0], np.cumsum([len(b) for b in blocks])])
+        suffixes = [(h, tuple(b[i:i + depth])) for h, b in zip(host, blocks) for i in range(len(b))]
+        array, common = P.suffix_array(hashes, offsets, host, depth)
+        assert sorted(array) == list(range(len(suffixes))) and [suffixes[i] for i in array] == sorted(suffixes)
+
+        def shared(a, b):
+            return -1 if a[0] != b[0] else next((i for i, (x, y) in enumerate(zip(a[1], b[1])) if x != y), min(len(a[1]), len(b[1])))
+        assert list(common) == [-1] + [shared(suffixes[i], suffixes[j]) for i, j in zip(array, array[1:])]
+
+
+def plain_texts(pages, match=8, covered=0.8, least=3, template=10):
+    """Texts of pages ``(host, blocks, marked)`` by counting windows in a dictionary; without copies."""
+    def windows(words):
+        return [tuple(words[i:i + match]) for i in range(max(1, len(words) - match + 1))]
+    seen, size = {}, {}
+    for p, (host, blocks, _) in enumerate(pages):
+        size[host] = size.get(host, 0) + 1
+        for b in blocks:
+            for w in windows(b.split()):
+                seen.setdefault((host, w), set()).add(p)
+    texts = []
+    for host, blocks, marked in pages:
+        out = []
+        for b in blocks:
+            words, gone = b.split(), set()
+            for i, w in enumerate(windows(words)):
+                n = len(seen[host, w])
+                if n >= template and 2 * n >= size[host] if marked else n >= least:
+                    gone |= set(range(i, min(len(words), i + match)))
+            if len(gone) < covered * len(words):
+                out.append(" ".join(w for i, w in enumerate(words) if i not in gone))
+        texts.append("\n".join(out))
+    return texts
+
+
+def test_repeats_are_those_of_a_plain_finder(spark):
+    rng = np.random.default_rng(3)
+    quotes = [" ".join(f"q{k}x{j}" for j in range(n)) for k, n in enumerate((3, 8, 9, 14, 30, 7))]
+    pages = []
+    for i in range(60):
+        host, marked, blocks = f"h{i % 3}.x", i % 3 != 1 and i % 2 == 0, []
+        for b in range(4):
+            own = [f"w{i}b{b}t{k}" for k in range(int(rng.integers(10, 30)))]
+            at = int(rng.integers(0, len(own)))
+            often = f"come to our shop today and see what is new {'for you' if b else ''}".strip()
+            some = quotes[int(rng.integers(0, len(quotes)))] if rng.random() < 0.5 else ""
+            blocks.append(" ".join([*own[:at], *some.split(), *own[at:], *(often.split() if b < 2 else ())]))
+            if some and rng.random() < 0.3:
+                blocks.append(some)
+        pages.append((host, blocks, marked))
+    rows = [(i, f"http://{h}/{i}", f"<{'article' if m else 'div'}>{''.join(f'<p>{b}</p>' for b in bs)}</{'article' if m else 'div'}>") for i, (h, bs, m) in enumerate(pages)]
+    want = plain_texts(pages)
+    whole = ["\n".join(bs) for _, bs, _ in pages]
+    assert sum(m and w != t for (_, _, m), w, t in zip(pages, want, whole)) > 9 and sum("shop" in w for w in want) == 0
+    assert any("q4x3" in w for (_, _, m), w in zip(pages, want) if m) and not any("q4x3" in w for (h, _, m), w in zip(pages, want) if h == "h1.x")
+    frame = spark.createDataFrame(rows + rows[:7], "page_id long, url string, html string").repartition(4)
+    for most in (150, 500_000):
+        got = sorted((r.page_id, r.text) for r in P.main_text(frame, most=most).collect())
+        assert got == sorted([(i, want[i]) for i in [*range(60), *range(7)]])
