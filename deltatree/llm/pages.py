@@ -30,7 +30,7 @@ from deltatree.llm import arrays as A
 from deltatree.llm import jaccard
 from deltatree.llm.jaccard import runs
 from deltatree.llm.urls import host_and_path
-from deltatree.session import cut_lineage
+from deltatree.session import cut_lineage, cut_lineage_by
 
 #: Tokens of a repeat; a shorter block repeats as a whole.
 MATCH = 8
@@ -42,6 +42,8 @@ LEAST = 3
 TEMPLATE = 10
 #: Heads that one bucket holds, about.
 BUCKET = 2_000_000
+#: Buckets of the written pages, and input partitions for each further one: joins by row read them as they lie, so texts are never shuffled.
+PAGE_BUCKETS, PARTITIONS = 16, 8
 #: Near-copies: shingles of five words, a similarity of 0.8.
 SHINGLE, PERCENT = 5, 80
 
@@ -379,10 +381,11 @@ def main_text(pages: DataFrame, match: int = MATCH, covered: float = COVERED, mo
     done = plain.withColumn("page_id", F.col("page_id").cast("long")).mapInArrow(
         read, "page_id long, url string, host string, blocks array<string>, mine array<boolean>, marked boolean, content binary")
     # rows are numbered before they are written, and read with their numbers from then on
-    done = cut_lineage(done.withColumn("row", F.monotonically_increasing_id()), "pages", compression="zstd")
+    parts = max(PAGE_BUCKETS, pages.rdd.getNumPartitions() // PARTITIONS)
+    done = cut_lineage_by(done.withColumn("row", F.monotonically_increasing_id()), "pages", "row", parts, compression="zstd")
     # one row of each content stands for all
     first = cut_lineage(done.groupBy("content").agg(F.min("row").alias("row")), "first")
-    each = done.join(first.select("row"), "row", "left_semi").select("host", "row", "blocks", (~F.col("marked") & (F.size("blocks") > 0)).cast("int").alias("open"))
+    each = done.join(first.select("row").hint("shuffle_hash"), "row", "left_semi").select("host", "row", "blocks", (~F.col("marked") & (F.size("blocks") > 0)).cast("int").alias("open"))
     size = done.agg(F.sum(F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.length(b)))).first()[0] or 0
     buckets = int(min(1 << 20, max(int(done.sparkSession.conf.get("spark.sql.shuffle.partitions")), size / 6 / BUCKET)))
     packed = each.mapInArrow(lambda b: _packed(b, match, most, buckets), "bucket int, heads binary, rows binary, counts binary")
@@ -403,8 +406,9 @@ def main_text(pages: DataFrame, match: int = MATCH, covered: float = COVERED, mo
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     # the lists go from the row that stands for a content to all rows of it
-    named = cut_lineage(lists.join(first, "row").select("content", "heads", "templates"), "lists")
-    return done.join(named, "content", "left").select("page_id", "url", "blocks", "mine", "marked", "heads", "templates").mapInArrow(
+    named = lists.join(first, "row").select("content", "heads", "templates")
+    named = cut_lineage(done.select("row", "content").join(named, "content").select("row", "heads", "templates"), "lists")
+    return done.join(named, "row", "left").select("page_id", "url", "blocks", "mine", "marked", "heads", "templates").mapInArrow(
         clean, "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))
 
 
@@ -428,7 +432,7 @@ def _repeats(pages: DataFrame, of_host: DataFrame, shared: DataFrame, match: int
 
     # written, so that a head that very many pages share can be split in the joins
     found = cut_lineage(pages.join(back, "row").mapInArrow(places, "row long, host string, head long"), "heads")
-    near = jaccard.jaccard_components(pages.join(found.select("row").distinct(), "row", "left_semi").select(
+    near = jaccard.jaccard_components(pages.join(found.select("row").distinct().hint("shuffle_hash"), "row", "left_semi").select(
         F.col("row").alias("doc_id"), F.array_join("blocks", "\n").alias("text")), SHINGLE, PERCENT).select(F.col("doc_id").alias("row"), "component_id")
     often = (F.col("count") >= template) & (2 * F.col("count") >= F.col("n_pages"))
     repeats = cut_lineage(found.join(near, "row").select("host", "head", "component_id").distinct().groupBy("host", "head").count().where(

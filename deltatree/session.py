@@ -90,3 +90,13 @@ def cut_lineage(df: DataFrame, name: str = "stage", **options: str) -> DataFrame
     path = scratch_path(df.sparkSession, name)
     df.write.mode("errorifexists").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage_by(df: DataFrame, name: str, key: str, buckets: int, **options: str) -> DataFrame:
+    """As ``cut_lineage``, written in buckets of ``key``: joins by it move only the other side."""
+    spark, path, table = df.sparkSession, scratch_path(df.sparkSession, name), f"deltatree_{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").options(**options, path=path).bucketBy(buckets, key).format("parquet").saveAsTable(table)
+    try:
+        return spark.table(table).select("*")
+    finally:
+        spark.sql(f"DROP TABLE {table}")  # the files stay until they are removed
