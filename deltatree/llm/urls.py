@@ -7,7 +7,7 @@ fitted to URLs the models haven't counted makes it a probability; the models tha
 
 Counts are exact. They stand in a table keyed by n-gram, summed inside tasks, then over all tasks; so the model grows with the
 URLs and no process holds it. URLs are dealt into blocks of bounded size, a block asks the table for its own distinct n-grams,
-and what comes back to it is only their counts.
+and what comes back to it is only their counts. Neither side of that join is ever broadcast, so the driver holds none of it.
 """
 
 from __future__ import annotations
@@ -169,7 +169,8 @@ def differences(rows: DataFrame, model: DataFrame) -> DataFrame:
         out = mine.select(KEPT).append_column("d", pa.array(of(n[0] + n[2], n[1] + n[3])))
         return out.append_column("d_held", pa.array(of(n[0], n[1]), mask=~held))
 
-    found = rows.select("block", "text").mapInArrow(ask, "block long, gram long").join(model, "gram")
+    # Catalyst takes the n-grams of either side for smaller than the written URLs, so it would broadcast many times its threshold
+    found = rows.select("block", "text").mapInArrow(ask, "block long, gram long").join(model.hint("merge"), "gram")
     return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
         score, "page_id long, host string, path string, rule string, verdict string, d double, d_held double")
 

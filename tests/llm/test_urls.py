@@ -117,3 +117,21 @@ def test_scores_are_those_of_all_labelled_urls(spark):
     near = (y > 1e-9) & (y < 1 - 1e-9)  # beyond that the logarithm is of rounded digits
     x, y = x[near], np.log(y[near] / (1 - y[near]))
     assert x.size > 8 and np.allclose(np.polyval(np.polyfit(x, y, 1), x), y, atol=1e-5)
+
+
+def test_ngrams_are_never_broadcast(spark):
+    rows = [(i, f"w{i % 7}.x", f"/{i}", None, "allow" if i % 2 else "block", f"w{i % 7}.x/{i}", i % 5 == 0) for i in range(400)]
+    rows = U._in_blocks(spark.createDataFrame(rows, "page_id long, host string, path string, rule string, verdict string, text string, held boolean").repartition(3))
+    model = U.count_models(rows.selectExpr("text", "verdict = 'allow' as accepted", "held"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for adaptive in ("true", "false"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            scored = U.differences(rows, model)
+            assert len(scored.collect()) == 400
+            plan = scored._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Broadcast" not in plan and "ShuffledHashJoin" not in plan
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
